@@ -47,7 +47,8 @@ VIEWS = {
     # changed, status gaps
     "orders_b_changed": """
         SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_custkey,
-               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 'PENDING'
+                    ELSE o_orderstatus END AS o_orderstatus,
                o_totalprice * 1.2 AS o_totalprice, o_orderdate,
                CASE WHEN o_orderkey % 4 = 0 THEN 'ONLINE' ELSE 'STORE' END AS o_channel
         FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
