@@ -89,3 +89,19 @@ def with_views(sql: str, *names: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+# Views read only by model queries (no SQL oracle), written in Spark SQL.
+SPARK_VIEWS = {
+    # first four embedding dimensions as numeric features, 10 classes
+    "embedding_features": """
+        SELECT vec_id, CAST(element_at(embedding, 1) AS DOUBLE) AS e1, CAST(element_at(embedding, 2) AS DOUBLE) AS e2,
+               CAST(element_at(embedding, 3) AS DOUBLE) AS e3, CAST(element_at(embedding, 4) AS DOUBLE) AS e4, label
+        FROM embeddings""",
+}
+
+
+def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sql = SPARK_VIEWS[name]
+    register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
+    return spark.sql(sql)
