@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_MAX_EXACT_ROWS = 2_000_000
+DEFAULT_MAX_EXACT_ROWS = 50_000  # intervals above this are narrowed by a bucket count first
 DEFAULT_BINS = 1024
 MAX_TARGETS = 200_000  # bound on (group, column, rank) targets shipped in a broadcast table
 

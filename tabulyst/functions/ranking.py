@@ -1,18 +1,20 @@
-"""Distributed ranks of a column's values (average ranks for ties, dense ranks).
+"""Distributed ranks of column values (average ranks for ties, dense ranks).
 
 A rank needs the number of rows below each value: a prefix sum in value order.
-A plain ``rank() OVER (ORDER BY v)`` puts the whole column in one task. Here:
-
-1. ``groupBy(v).count()`` – distinct values with multiplicities (a value holding a
-   third of the rows is one row after the map-side partial aggregate);
-2. if there are more than ``group_rows`` distinct values, approximate equal-depth
-   cut points (``percentile_approx``) split them into buckets (``Bucketizer``,
-   binary search in the JVM); per-bucket totals (one row per bucket) give bucket
-   offsets on the driver, shipped back as a bounded broadcast table;
-3. a window partitioned by bucket finishes the prefix sums, each window group
-   holding about ``group_rows`` distinct values.
-
-Output: ``(value, cnt, below, below_distinct)``; average rank =
+A plain ``rank() OVER (ORDER BY v)`` puts the whole column in one task. Here, for
+all requested columns at once:
+
+1. the long table ``(column, value)`` is counted with ``groupBy(column, value)``:
+   distinct values with multiplicities (a value holding a third of the rows is
+   one row after the map-side partial aggregate);
+2. a column with at most ``group_rows`` distinct values finishes its prefix sums in
+   one window group (partitioned by column, so columns run in parallel);
+3. a column with more distinct values is cut into about equal-depth buckets by
+   approximate quantiles (``Bucketizer``: binary search in the JVM); per-bucket
+   totals (one row per bucket) give offsets on the driver, shipped back as a
+   bounded broadcast table, and windows partitioned by bucket finish the sums.
+
+Output: ``(column, value, cnt, below, below_distinct)``; average rank =
 ``below + (cnt + 1) / 2``, dense rank (0-based) = ``below_distinct``.
 """
 
@@ -28,24 +30,27 @@ DEFAULT_GROUP_ROWS = 1_000_000
 MAX_BUCKETS = 20_000
 
 
-def value_ranks(df: DataFrame, col: str, group_rows: int = DEFAULT_GROUP_ROWS) -> tuple[DataFrame, int]:
-    """Returns ``(ranks, n_distinct)`` for the non-null values of ``col``."""
-    spark = df.sparkSession
-    d = (df.select(F.col(col).cast("double").alias("value")).where(F.col("value").isNotNull())
-         .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
-    nd = d.count()
-    n_buckets = min(MAX_BUCKETS, max(1, math.ceil(nd / group_rows)))
-    if n_buckets == 1:
-        w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # at most ``group_rows`` distinct values: one bounded window group
-        ranks = d.select("value", "cnt",
-                         (F.sum("cnt").over(w) - F.col("cnt")).alias("below"),
-                         (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint").alias("below_distinct"))
-        return ranks, nd
+def _distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    return (df.select(F.inline(arr)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def _small_ranks(d: DataFrame) -> DataFrame:
+    wc = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wr = Window.partitionBy("column").orderBy("value")
+    return d.select("column", "value", "cnt", (F.sum("cnt").over(wc) - F.col("cnt")).alias("below"),
+                    (F.row_number().over(wr) - 1).cast("bigint").alias("below_distinct"))
+
+
+def _bucketed_ranks(d: DataFrame, col: str, nd: int, group_rows: int) -> DataFrame:
+    spark = d.sparkSession
+    n_buckets = min(MAX_BUCKETS, max(2, math.ceil(nd / group_rows)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = d.agg(F.percentile_approx("value", probs, 10 * n_buckets).alias("c")).first()["c"]
+    one = d.where(F.col("column") == col)
+    cuts = one.agg(F.percentile_approx("value", probs, 10 * n_buckets).alias("c")).first()["c"]
     splits = [-math.inf] + sorted(set(float(c) for c in cuts)) + [math.inf]
-    b = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(d).withColumn(
+    b = Bucketizer(splits=splits, inputCol="value", outputCol="bucket").transform(one).withColumn(
         "bucket", F.col("bucket").cast("int"))
     totals = sorted((r["bucket"], int(r["rows"]), int(r["vals"])) for r in
                     b.groupBy("bucket").agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("vals")).collect())
@@ -57,26 +62,49 @@ def value_ranks(df: DataFrame, col: str, group_rows: int = DEFAULT_GROUP_ROWS) -
     off_df = spark.createDataFrame(offs, "bucket int, off_rows bigint, off_vals bigint")  # <= MAX_BUCKETS rows
     wb = Window.partitionBy("bucket").orderBy("value")
     wc = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = (b.join(F.broadcast(off_df), "bucket")
-             .select("value", "cnt",
-                     (F.col("off_rows") + F.sum("cnt").over(wc) - F.col("cnt")).alias("below"),
-                     (F.col("off_vals") + F.row_number().over(wb) - 1).cast("bigint").alias("below_distinct")))
+    return (b.join(F.broadcast(off_df), "bucket")
+            .select("column", "value", "cnt",
+                    (F.col("off_rows") + F.sum("cnt").over(wc) - F.col("cnt")).alias("below"),
+                    (F.col("off_vals") + F.row_number().over(wb) - 1).cast("bigint").alias("below_distinct")))
+
+
+def column_ranks(df: DataFrame, cols: list[str], group_rows: int = DEFAULT_GROUP_ROWS) -> tuple[DataFrame, dict]:
+    """Returns ``(ranks, n_distinct_by_column)`` for the non-null values of ``cols``."""
+    d = _distinct_counts(df, cols).persist()  # read by the size check and by the rank windows
+    nd = {r["column"]: int(r["n"]) for r in d.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [c for c in cols if nd.get(c, 0) <= group_rows]
+    big = [c for c in cols if nd.get(c, 0) > group_rows]
+    parts = []
+    if small:
+        parts.append(_small_ranks(d.where(F.col("column").isin(small))))
+    for c in big:
+        parts.append(_bucketed_ranks(d, c, nd[c], group_rows))
+    ranks = parts[0]
+    for p in parts[1:]:
+        ranks = ranks.unionByName(p)
     return ranks, nd
 
 
+def value_ranks(df: DataFrame, col: str, group_rows: int = DEFAULT_GROUP_ROWS) -> tuple[DataFrame, int]:
+    """Rank table of one column: ``(value, cnt, below, below_distinct)`` and its distinct count."""
+    ranks, nd = column_ranks(df, [col], group_rows)
+    return ranks.drop("column"), nd.get(col, 0)
+
+
 def attach_ranks(df: DataFrame, cols: list[str], kind: str = "average", suffix: str = "__rank",
-                 group_rows: int = DEFAULT_GROUP_ROWS, broadcast_limit: int = 2_000_000) -> DataFrame:
+                 group_rows: int = DEFAULT_GROUP_ROWS, broadcast_limit: int = 100_000) -> DataFrame:
     """Add ``<col><suffix>`` rank columns (``average`` 1-based or ``dense`` 0-based).
 
-    The rank table joins back on the value: broadcast when its distinct count
-    (just measured) is at most ``broadcast_limit``, else a shuffle join (AQE
-    splits a skewed hot value).
+    The rank table is computed once for all columns (and persisted); each column
+    joins back on its value: broadcast when its distinct count (just measured) is
+    at most ``broadcast_limit``, else a shuffle join (AQE splits a skewed value).
     """
+    ranks, nd = column_ranks(df, cols, group_rows)
+    ranks = ranks.persist()
+    r = (F.col("below") + (F.col("cnt") + 1) / 2.0) if kind == "average" else F.col("below_distinct")
     out = df
     for c in cols:
-        ranks, nd = value_ranks(df, c, group_rows)
-        r = (F.col("below") + (F.col("cnt") + 1) / 2.0) if kind == "average" else F.col("below_distinct")
-        rt = ranks.select(F.col("value").alias(f"{c}__v"), r.alias(f"{c}{suffix}"))
-        rt = F.broadcast(rt) if nd <= broadcast_limit else rt
-        out = (out.join(rt, F.col(c).cast("double") == F.col(f"{c}__v"), "left").drop(f"{c}__v"))
+        rt = ranks.where(F.col("column") == c).select(F.col("value").alias(f"{c}__v"), r.alias(f"{c}{suffix}"))
+        rt = F.broadcast(rt) if nd.get(c, 0) <= broadcast_limit else rt
+        out = out.join(rt, F.col(c).cast("double") == F.col(f"{c}__v"), "left").drop(f"{c}__v")
     return out

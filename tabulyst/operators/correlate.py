@@ -28,29 +28,62 @@ METHODS = ("pearson", "spearman", "kendall")
 MAX_PAIR_COLUMNS = 60
 
 
-def median_filled(df: DataFrame, cols: list[str], **qkw) -> DataFrame:
-    """Numeric columns as doubles with gaps set to the column median."""
+def median_filled(df: DataFrame, cols: list[str], with_means: bool = False, **qkw):
+    """Numeric columns as doubles with gaps set to the column median.
+
+    With ``with_means`` also returns the column means (of the present values, from
+    the same aggregate that counts the gaps) for use as numerical shifts.
+    """
     df = normalize_missing(df.select(*cols))
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    need = [c for c in cols if gaps[c]]
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)],
+                 *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    need = [c for i, c in enumerate(cols) if row[f"g{i}"]]
     meds = medians(df, need, **qkw) if need else {}
-    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c)).cast("double")).alias(c)
-                       if c in meds else F.col(c).cast("double").alias(c) for c in cols])
+    out = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c)).cast("double")).alias(c)
+                      if c in meds else F.col(c).cast("double").alias(c) for c in cols])
+    if with_means:
+        return out, {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return out
 
 
-def _pearson_values(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
+def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | None = None
+                    ) -> dict[tuple[str, str], float | None]:
+    """Pearson r for every pair from ONE aggregate of plain sums.
+
+    With u = x - s_x (s_x near the mean keeps the sums well conditioned):
+    ``r = (n Suv - Su Sv) / sqrt((n Suu - Su^2)(n Svv - Sv^2))``; k + k + k(k-1)/2
+    sums, all partially aggregated per map task and kept in generated code.
+    """
     k = len(cols)
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    if k <= MAX_PAIR_COLUMNS:
-        row = df.agg(*[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-        vals = {(cols[i], cols[j]): row[f"c{i}_{j}"] for i, j in pairs}
-    else:
+    if k > MAX_PAIR_COLUMNS:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.stat import Correlation
         vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(df).select("__v")
         m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()  # k x k, bounded by columns
         vals = {(cols[i], cols[j]): float(m[i, j]) for i, j in pairs}
-    return {p: (None if v is None or math.isnan(v) else float(v)) for p, v in vals.items()}
+        return {p: (None if v is None or math.isnan(v) else float(v)) for p, v in vals.items()}
+    if shifts is None:
+        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        shifts = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
+    u = [F.col(c).cast("double") - F.lit(float(shifts.get(c) or 0.0)) for c in cols]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(u[i]).alias(f"s{i}") for i in range(k)]
+    aggs += [F.sum(u[i] * u[i]).alias(f"q{i}") for i in range(k)]
+    aggs += [F.sum(u[i] * u[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    row = df.agg(*aggs).first()
+    n = row["n"]
+    out: dict[tuple[str, str], float | None] = {}
+    for i, j in pairs:
+        si, sj = row[f"s{i}"], row[f"s{j}"]
+        vi = n * row[f"q{i}"] - si * si
+        vj = n * row[f"q{j}"] - sj * sj
+        cov = n * row[f"p{i}_{j}"] - si * sj
+        if n is None or n < 2 or vi <= 0 or vj <= 0:
+            out[(cols[i], cols[j])] = None
+        else:
+            out[(cols[i], cols[j])] = max(-1.0, min(1.0, cov / math.sqrt(vi * vj)))
+    return out
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, ranked: bool = False) -> float | None:
@@ -102,13 +135,18 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, ranked: bool = False) -> float
     return float((n0 - n1 - n2 + n3 - 2 * disc) / math.sqrt(denom))
 
 
-def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson") -> dict[tuple[str, str], float | None]:
-    """``{(a, b): r}`` for every pair a before b (None where undefined)."""
+def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson", n: int | None = None,
+                       shifts: dict[str, float] | None = None) -> dict[tuple[str, str], float | None]:
+    """``{(a, b): r}`` for every pair a before b (None where undefined).
+
+    ``df`` has no gaps (see ``median_filled``); ``n`` is its row count when known.
+    """
     if method == "pearson":
-        return _pearson_values(df, cols)
+        return _pearson_values(df, cols, shifts)
     if method == "spearman":
         ranked = attach_ranks(df, cols, kind="average").select(*[F.col(f"{c}__rank").alias(c) for c in cols])
-        return _pearson_values(ranked, cols)
+        # average ranks of n gap-free values always have mean (n + 1) / 2
+        return _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
     ranked = attach_ranks(df, cols, kind="dense", suffix="__dr").select(
         *[F.col(f"{c}__dr").alias(c) for c in cols]).persist()
     out = {}
@@ -129,9 +167,9 @@ def correlate(df: DataFrame, target: str = "", method: str = "pearson", top_n: i
     cols = numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("Need at least 2 numeric columns.")
-    filled = median_filled(df, cols, **qkw)
+    filled, means = median_filled(df, cols, with_means=True, **qkw)
     n = filled.count()
-    vals = correlation_values(filled, cols, method)
+    vals = correlation_values(filled, cols, method, n=n, shifts=means)
 
     seq = {p: i for i, p in enumerate(vals)}
     rows = [(a, b, seq[(a, b)], v) for (a, b), v in vals.items()]

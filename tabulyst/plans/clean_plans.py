@@ -44,10 +44,14 @@ m AS (SELECT {_MISSING} AS total, '{{' || {_FILLED} || '}}' AS filled FROM s)
 SELECT 1 AS seq, 'strip_whitespace' AS step,
        'Stripped whitespace from 3 text columns: [''name'', ''brand'', ''ptype'']' AS detail, CAST(3 AS BIGINT) AS count
 UNION ALL
-SELECT 2, 'drop_duplicates', 'Removed ' || CAST(before - after AS VARCHAR) || ' duplicate rows',
+SELECT 2, 'drop_duplicates',
+       CASE WHEN before > after THEN 'Removed ' || CAST(before - after AS VARCHAR) || ' duplicate rows'
+            ELSE 'No duplicate rows found' END,
        CAST(before - after AS BIGINT) FROM n
 UNION ALL
-SELECT 3, 'fill_missing', 'Filled ' || CAST(total AS VARCHAR) || ' missing values: ' || filled, CAST(total AS BIGINT)
+SELECT 3, 'fill_missing',
+       CASE WHEN total > 0 THEN 'Filled ' || CAST(total AS VARCHAR) || ' missing values: ' || filled
+            ELSE 'No missing values found' END, CAST(total AS BIGINT)
 FROM m""", "part_dirty")
 
 
