@@ -33,8 +33,9 @@ def clean_rows(spark, sf_dir):
     return rounded(C.clean(view(spark, sf_dir, "part_dirty")).cleaned)
 
 
-_FILLED = " || ', ' || ".join(f"'''{c}'': ' || CAST(sum(CAST({c} IS NULL AS BIGINT)) AS VARCHAR)"
-                              for c in PART_TEXT + PART_NUM)
+_FILLED = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN sum(CAST({c} IS NULL AS BIGINT)) > 0 THEN "
+    f"'''{c}'': ' || CAST(sum(CAST({c} IS NULL AS BIGINT)) AS VARCHAR) END" for c in PART_TEXT + PART_NUM) + ")"
 _MISSING = " + ".join(f"sum(CAST({c} IS NULL AS BIGINT))" for c in ["name", "brand", "ptype", "size", "price"])
 _REPORT_SQL = with_views(f"""
 WITH s AS (SELECT DISTINCT {', '.join(STRIP.format(c=c) + f' AS {c}' for c in PART_TEXT)}, size, price
