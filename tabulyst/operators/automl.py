@@ -26,6 +26,8 @@ Model mapping (scikit-learn defaults -> Spark ML):
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -124,6 +126,20 @@ def _prepare(df: DataFrame, target: str, features: list[str] | None, fill_featur
     return vec.select(*names, "features", "label"), names, is_cls, classes
 
 
+def task_type(df: DataFrame, target: str) -> DataFrame:
+    """``(target, unique_values, type)``: classification when 1 < distinct targets < 15,
+    counted after the target gaps take the target median (numeric targets)."""
+    require_columns(df, target)
+    df = normalize_missing(df.select(target))
+    y = F.col(target)
+    if is_numeric_type(df.schema[target].dataType):
+        y = F.coalesce(y.cast("double"), F.lit(medians(df, [target])[target]))
+    n = df.agg(F.count_distinct(y).alias("u"))
+    return n.select(F.lit(target).alias("target"), F.col("u").cast("bigint").alias("unique_values"),
+                    F.when((F.col("u") > 1) & (F.col("u") < MAX_CLASSES), F.lit("classification"))
+                    .otherwise(F.lit("regression")).alias("type"))
+
+
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Hash split: deterministic per row content and seed, independent of partitioning."""
     h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "features"], F.lit(seed)), F.lit(10000))
@@ -172,7 +188,7 @@ def _rank_table(spark, imp: list[tuple[str, float]] | None) -> DataFrame:
 
 
 def automl(df: DataFrame, target: str, features: list[str] | None = None, test_size: float = 0.2,
-           seed: int = 42, models: list[str] | None = None) -> Tables:
+           seed: int = 42, models: list[str] | None = None, parallelism: int = 4) -> Tables:
     """Train the model sweep; tables ``leaderboard``, ``best``, ``importance`` and ``split``."""
     spark = df.sparkSession
     data, names, is_cls, classes = _prepare(df, target, features)
@@ -184,18 +200,28 @@ def automl(df: DataFrame, target: str, features: list[str] | None = None, test_s
     metric = "accuracy" if is_cls else "r2"
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if is_cls
           else RegressionEvaluator(metricName="r2"))
-    board, best = [], None
-    for name, est in _models(is_cls, len(classes), n_train, sd_y, seed):
-        if models and name not in models:
-            continue
+    sweep = [(name, est) for name, est in _models(is_cls, len(classes), n_train, sd_y, seed)
+             if not models or name in models]
+
+    def run(item):
+        name, est = item
         try:
             fitted = est.fit(train)
-            score = float(ev.evaluate(fitted.transform(test)))
+            return name, float(ev.evaluate(fitted.transform(test))), fitted, None
+        except Exception as exc:  # noqa: BLE001 - one failing model is a leaderboard row
+            return name, None, None, str(exc)[:500]
+
+    # models are independent Spark jobs: fit them concurrently (like ML tuning's ``parallelism``)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(run, sweep))
+    board, best = [], None
+    for name, score, fitted, err in results:  # sweep order: strict ">" keeps the first best
+        if err is None:
             board.append((name, score, metric, "success", None))
             if best is None or score > best[1]:
                 best = (name, score, fitted)
-        except Exception as exc:  # noqa: BLE001 - one failing model is a leaderboard row
-            board.append((name, None, metric, "failed", str(exc)[:500]))
+        else:
+            board.append((name, None, metric, "failed", err))
     for d in (train, test, data):
         d.unpersist()
     leaderboard = spark.createDataFrame(board, "model string, score double, metric string, status string, error string")

@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -23,6 +25,20 @@ from tabulyst.result import Tables
 from tabulyst.sources.schema import normalize_missing, select_columns
 
 
+def standardize(df: DataFrame, cols: list[str], population: bool = False) -> DataFrame:
+    """Columns centred and divided by their sd (sample sd like Spark's ``StandardScaler``;
+    ``population=True`` for the population sd). A constant column becomes 0."""
+    fn = F.stddev_pop if population else F.stddev_samp
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[fn(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    out = []
+    for i, c in enumerate(cols):
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0) * F.col(c)
+        out.append(z.cast("double").alias(c))
+    return df.select(*[o for o in out], *[c for c in df.columns if c not in cols])
+
+
 def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFrame:
     """``(cluster, column, size, percent, mean, median, std)`` per label value and column (4 dp)."""
     spark = df.sparkSession
@@ -58,7 +74,7 @@ def between_group_variance(df: DataFrame, label: str, cols: list[str]) -> DataFr
 
 
 def segment(df: DataFrame, k: int = 3, columns: str | list[str] = "", scale: bool = True, n_init: int = 10,
-            seed: int = 42, max_iter: int = 300, **qkw) -> Tables:
+            seed: int = 42, max_iter: int = 300, parallelism: int = 4, **qkw) -> Tables:
     """K-means segmentation: ``labelled`` rows (+ ``cluster_label``), ``profiles``,
     ``distinguishing``, ``sizes`` and ``summary``."""
     df = normalize_missing(df)
@@ -79,13 +95,14 @@ def segment(df: DataFrame, k: int = 3, columns: str | list[str] = "", scale: boo
         vec = vec.withColumnRenamed("__raw", "__x")
     # read by every K-means restart and by the final labelling
     vec = vec.drop(*fnames, *(["__raw"] if scale else [])).persist()
-    best = None
-    for s in range(seed, seed + n_init):
+    def run(s):
         model = KMeans(k=min(k, n), seed=s, maxIter=max_iter, featuresCol="__x", predictionCol="cluster_label").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    cost, model = best
+        return model.summary.trainingCost, s, model
+
+    # restarts are independent Spark jobs: run them concurrently, keep the least cost (lowest seed on ties)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(run, range(seed, seed + n_init)))
+    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
     inertia = cost * n / (n - 1) if scale and n > 1 else cost
     labelled = (model.transform(vec).withColumn("cluster_label", F.col("cluster_label").cast("int"))
                 .drop("__x"))

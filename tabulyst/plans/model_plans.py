@@ -120,3 +120,33 @@ def model_facts(spark, sf_dir):
 @register("model_drivers")
 def model_drivers(spark, sf_dir):
     return ML.model_facts(_part(spark, sf_dir), "p_retailprice").drivers
+
+
+@register("task_type_quality", """
+SELECT 'quality' AS target, CAST(count(DISTINCT coalesce(CAST(quality AS DOUBLE),
+         (SELECT median(CAST(quality AS DOUBLE)) FROM labels))) AS BIGINT) AS unique_values,
+       CASE WHEN count(DISTINCT quality) > 1 AND count(DISTINCT quality) < 15 THEN 'classification'
+            ELSE 'regression' END AS type
+FROM labels""")
+def task_type_quality(spark, sf_dir):
+    return ML.task_type(table(spark, sf_dir, "labels"), "quality")
+
+
+@register("task_type_price", """
+SELECT 'p_retailprice' AS target, CAST(count(DISTINCT p_retailprice) AS BIGINT) AS unique_values,
+       CASE WHEN count(DISTINCT p_retailprice) > 1 AND count(DISTINCT p_retailprice) < 15 THEN 'classification'
+            ELSE 'regression' END AS type
+FROM part""")
+def task_type_price(spark, sf_dir):
+    return ML.task_type(table(spark, sf_dir, "part"), "p_retailprice")
+
+
+@register("standardize", """
+WITH s AS (SELECT avg(c_acctbal) AS m1, stddev_samp(c_acctbal) AS s1, avg(c_nationkey) AS m2,
+                  stddev_samp(c_nationkey) AS s2 FROM customer)
+SELECT c_custkey, round((c_acctbal - m1) / s1, 4) AS c_acctbal, round((c_nationkey - m2) / s2, 4) AS c_nationkey
+FROM customer, s""")
+def standardize(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    out = SEG.standardize(cust, ["c_acctbal", "c_nationkey"])
+    return out.select("c_custkey", F.round("c_acctbal", 4).alias("c_acctbal"), F.round("c_nationkey", 4).alias("c_nationkey"))

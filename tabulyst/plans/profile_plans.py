@@ -165,3 +165,29 @@ SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS INTEG
 FROM orders GROUP BY o_orderpriority ORDER BY rank LIMIT 8""")
 def value_counts(spark, sf_dir):
     return P.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority", 8)
+
+
+@register("normalize_missing", with_views("""
+SELECT 'l_quantity' AS "column", CAST(count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity)) AS BIGINT) AS count,
+       round(count(*) FILTER (WHERE l_quantity IS NULL OR isnan(l_quantity)) * 100.0 / count(*), 4) AS percent
+FROM lineitem_gaps
+UNION ALL
+SELECT 'l_discount', CAST(count(*) - count(l_discount) AS BIGINT), round((count(*) - count(l_discount)) * 100.0 / count(*), 4)
+FROM lineitem_gaps
+UNION ALL
+SELECT 'l_returnflag', CAST(count(*) FILTER (WHERE l_returnflag IS NULL OR trim(l_returnflag) IN ('NA', 'null')) AS BIGINT),
+       round(count(*) FILTER (WHERE l_returnflag IS NULL OR trim(l_returnflag) IN ('NA', 'null')) * 100.0 / count(*), 4)
+FROM lineitem_gaps""", "lineitem_gaps"))
+def normalize_missing(spark, sf_dir):
+    """NaN and NA-like text become gaps (A-03), then counted per column (C-02)."""
+    df = S.normalize_missing(view(spark, sf_dir, "lineitem_gaps"), text=True)
+    return rounded(P.missing_by_column(df))
+
+
+@register("read_table_shape", """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns, CAST(3 AS BIGINT) AS numeric_columns,
+       CAST(2 AS BIGINT) AS categorical_columns FROM customer""")
+def read_table_shape(spark, sf_dir):
+    """A-01 by path (format from the extension) and A-09."""
+    from tabulyst.sources.io import read_table
+    return S.table_shape(read_table(spark, f"{sf_dir.rstrip('/')}/customer.parquet"))

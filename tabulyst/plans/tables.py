@@ -105,3 +105,11 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SPARK_VIEWS[name]
     register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
     return spark.sql(sql)
+
+VIEWS["lineitem_gaps"] = """
+        SELECT l_orderkey, l_linenumber,
+               CASE WHEN l_partkey % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS l_quantity,
+               CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE l_discount END AS l_discount,
+               CASE WHEN l_orderkey % 11 = 0 THEN 'NA' WHEN l_orderkey % 17 = 0 THEN 'null' ELSE l_returnflag END
+                 AS l_returnflag
+        FROM lineitem"""
