@@ -86,53 +86,75 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     return out
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, ranked: bool = False) -> float | None:
-    """Exact Kendall tau-b of two columns, as aggregations only.
-
-    With dense 0-based ranks X, Y and weights ``c`` per distinct (X, Y): a pair
-    (i, j) with X_i < X_j and Y_i > Y_j is discordant. X_i and X_j first differ at
-    one bit ``lx`` (i has 0, j has 1) below a shared prefix ``gx = X >> (lx+1)``;
-    likewise Y at ``ly`` (i has 1, j has 0) below ``gy``. So the discordant count is
-    ``sum over (lx, ly, gx, gy) of A * B`` with A = rows having (bit_lx X, bit_ly Y)
-    = (0, 1) and B = rows having (1, 0) in that cell: one explode by level pair,
-    one ``groupBy``, one sum. Work grows as n log^2 n; there is no window and no
-    pair enumeration, and a hot (X, Y) value is a single weighted row.
+def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Exact Kendall tau-b for many column pairs at once, as aggregations only.
+
+    ``ranked`` holds dense 0-based integer ranks. Per pair, rows collapse to
+    weights ``c`` per distinct (X, Y). A pair of rows (i, j) with X_i < X_j and
+    Y_i > Y_j is discordant; X_i and X_j first differ at one bit ``lx`` (i has 0, j
+    has 1) below a shared prefix ``gx = X >> (lx+1)``, and likewise Y at ``ly`` (i has
+    1, j has 0) below ``gy``. So the discordant count is ``sum over (lx, ly, gx, gy)
+    of A * B``, A = weight with (bit_lx X, bit_ly Y) = (0, 1), B = weight with (1, 0):
+    one explode by level pair, one ``groupBy``, one sum – for all pairs together
+    (the pair id is a grouping key). Work grows as n log^2 n per pair; there is no
+    window, no pair enumeration, and a hot (X, Y) value is a single weighted row.
     """
-    if ranked:
-        d = df.select(F.col(x).alias("X"), F.col(y).alias("Y"))
-    else:
-        r = attach_ranks(df.select(x, y), [x, y], kind="dense", suffix="__dr")
-        d = r.select(F.col(f"{x}__dr").alias("X"), F.col(f"{y}__dr").alias("Y"))
-    # read by four aggregates below; its size is the number of distinct (X, Y) pairs
-    w = (d.where(F.col("X").isNotNull() & F.col("Y").isNotNull())
-         .groupBy("X", "Y").agg(F.count(F.lit(1)).alias("c")).persist())
-    tot = w.agg(F.sum("c").alias("n"), F.max("X").alias("mx"), F.max("Y").alias("my"),
-                F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3")).first()
-    if tot["n"] is None or tot["n"] < 2:
-        w.unpersist()
-        return None
-    n = int(tot["n"])
-    n0 = n * (n - 1) / 2
-    n1 = w.groupBy("X").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0
-    n2 = w.groupBy("Y").agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0] or 0
-    n3 = tot["n3"] or 0
-    lx = max(1, int(tot["mx"]).bit_length())
-    ly = max(1, int(tot["my"]).bit_length())
-    lv = F.explode(F.sequence(F.lit(0), F.lit(lx * ly - 1))).alias("lv")
-    e = w.select("X", "Y", "c", lv).select(
-        "c", (F.col("lv") / ly).cast("int").alias("bx"), (F.col("lv") % ly).cast("int").alias("by"), "X", "Y")
+    if not pairs:
+        return {}
+    parts = [ranked.select(F.lit(p).alias("pair"), F.col(a).alias("X"), F.col(b).alias("Y"))
+             for p, (a, b) in enumerate(pairs)]
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
+    # read by four aggregates below; its size is the number of distinct (pair, X, Y)
+    w = (long.where(F.col("X").isNotNull() & F.col("Y").isNotNull())
+         .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c")).persist())
+    tot = {r["pair"]: r for r in w.groupBy("pair").agg(
+        F.sum("c").alias("n"), F.max("X").alias("mx"), F.max("Y").alias("my"),
+        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3")).collect()}
+
+    def ties(key):
+        return {r["pair"]: r["t"] or 0 for r in w.groupBy("pair", key).agg(F.sum("c").alias("t"))
+                .groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("t")).collect()}
+
+    n1, n2 = ties("X"), ties("Y")
+    # bit levels per pair (a literal map: one entry per pair)
+    bits = {p: (max(1, int(r["mx"]).bit_length()), max(1, int(r["my"]).bit_length())) for p, r in tot.items()}
+    lx_of = F.create_map(*[x for p, (bx_, _) in bits.items() for x in (F.lit(p), F.lit(bx_))])
+    ly_of = F.create_map(*[x for p, (_, by_) in bits.items() for x in (F.lit(p), F.lit(by_))])
+    sized = w.select("pair", "X", "Y", "c", lx_of[F.col("pair")].alias("lx"), ly_of[F.col("pair")].alias("ly"))
+    e = sized.select("pair", "X", "Y", "c", "ly",
+                     F.explode(F.sequence(F.lit(0), F.col("lx") * F.col("ly") - 1)).alias("lv")).select(
+        "pair", "c", (F.col("lv") / F.col("ly")).cast("int").alias("bx"), (F.col("lv") % F.col("ly")).cast("int").alias("by"),
+        "X", "Y")
     bitx = F.expr("(X >> bx) & 1")
     bity = F.expr("(Y >> by) & 1")
     cells = (e.where(bitx != bity)
-             .groupBy("bx", "by", F.expr("X >> (bx + 1)").alias("gx"), F.expr("Y >> (by + 1)").alias("gy"))
+             .groupBy("pair", "bx", "by", F.expr("X >> (bx + 1)").alias("gx"), F.expr("Y >> (by + 1)").alias("gy"))
              .agg(F.sum(F.when((bitx == 0) & (bity == 1), F.col("c")).otherwise(0)).alias("a"),
                   F.sum(F.when((bitx == 1) & (bity == 0), F.col("c")).otherwise(0)).alias("b")))
-    disc = cells.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    disc = {r["pair"]: r["d"] or 0 for r in cells.groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("d")).collect()}
     w.unpersist()
-    denom = (n0 - n1) * (n0 - n2)
-    if denom <= 0:
-        return None
-    return float((n0 - n1 - n2 + n3 - 2 * disc) / math.sqrt(denom))
+    out: dict[tuple[str, str], float | None] = {}
+    for p, key in enumerate(pairs):
+        r = tot.get(p)
+        if r is None or r["n"] is None or r["n"] < 2:
+            out[key] = None
+            continue
+        n = int(r["n"])
+        n0 = n * (n - 1) / 2
+        a1, a2, a3 = n1.get(p, 0), n2.get(p, 0), r["n3"] or 0
+        denom = (n0 - a1) * (n0 - a2)
+        out[key] = None if denom <= 0 else float((n0 - a1 - a2 + a3 - 2 * disc.get(p, 0)) / math.sqrt(denom))
+    return out
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, ranked: bool = False) -> float | None:
+    """Exact Kendall tau-b of two columns (see ``kendall_pairs``)."""
+    if not ranked:
+        df = attach_ranks(df.select(x, y), [x, y], kind="dense", suffix="__dr").select(
+            F.col(f"{x}__dr").alias(x), F.col(f"{y}__dr").alias(y))
+    return kendall_pairs(df, [(x, y)])[(x, y)]
 
 
 def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson", n: int | None = None,
@@ -149,10 +171,7 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
         return _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
     ranked = attach_ranks(df, cols, kind="dense", suffix="__dr").select(
         *[F.col(f"{c}__dr").alias(c) for c in cols]).persist()
-    out = {}
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            out[(cols[i], cols[j])] = kendall_tau_b(ranked, cols[i], cols[j], ranked=True)
+    out = kendall_pairs(ranked, [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))])
     ranked.unpersist()
     return out
 

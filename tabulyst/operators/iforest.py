@@ -90,23 +90,20 @@ def _forest_arrays(nodes: list, n_trees: int):
 
 
 def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
+    """Mean path length over all trees: every tree advances one level per step."""
     feat, thr, left, right, leaf = arrays
     n_trees = feat.shape[0]
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for t in range(n_trees):
-        node = np.zeros(len(x), dtype=np.int32)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = x[rows, fi] <= thr[t, node]
-            nxt = np.where(go_left, left[t, node], right[t, node])
-            node = np.where(inner, nxt, node)
-        total += leaf[t, node]
-    return total / n_trees
+    t_idx = np.arange(n_trees)[:, None]
+    rows = np.arange(len(x))[None, :]
+    node = np.zeros((n_trees, len(x)), dtype=np.int32)
+    while True:
+        f = feat[t_idx, node]
+        inner = f >= 0
+        if not inner.any():
+            break
+        go_left = x[rows, np.where(inner, f, 0)] <= thr[t_idx, node]
+        node = np.where(inner, np.where(go_left, left[t_idx, node], right[t_idx, node]), node)
+    return leaf[t_idx, node].mean(axis=0)
 
 
 def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05, n_trees: int = 100,
