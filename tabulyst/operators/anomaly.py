@@ -33,8 +33,7 @@ def _quartiles(df: DataFrame, cols: list[str], **qkw) -> dict[str, dict[float, f
     return out
 
 
-def zscore_scores(df: DataFrame, cols: list[str], threshold: float = 3.0) -> DataFrame:
-    """Adds ``is_anomaly`` (any |z| > threshold) and ``anomaly_score`` (max |z|, 4 dp)."""
+def _z_exprs(df: DataFrame, cols: list[str]) -> list[Column]:
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                  *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     zs = []
@@ -42,6 +41,29 @@ def zscore_scores(df: DataFrame, cols: list[str], threshold: float = 3.0) -> Dat
         m, s = row[f"m{i}"], row[f"s{i}"]
         # sd 0 or undefined: the column never flags (0/0 is NaN in the reference)
         zs.append(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(None).cast("double"))
+    return zs
+
+
+def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds ``<col>_z`` = |x - mean| / sd (sample sd; null where sd is 0 or undefined)."""
+    return df.select("*", *[z.alias(f"{c}_z") for c, z in zip(cols, _z_exprs(df, cols))])
+
+
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = IQR_K, **qkw) -> DataFrame:
+    """``(column, q1, median, q3, iqr, lower, upper)`` with exact quartiles and ``k * IQR`` fences."""
+    quart = _quartiles(df, cols, **qkw)
+    rows = []
+    for c in cols:
+        q1, med, q3 = quart[c][0.25], quart[c][0.5], quart[c][0.75]
+        iqr = None if q1 is None else q3 - q1
+        rows.append((c, q1, med, q3, iqr, None if q1 is None else q1 - k * iqr, None if q1 is None else q3 + k * iqr))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, q1 double, median double, q3 double, iqr double, lower double, upper double")
+
+
+def zscore_scores(df: DataFrame, cols: list[str], threshold: float = 3.0) -> DataFrame:
+    """Adds ``is_anomaly`` (any |z| > threshold) and ``anomaly_score`` (max |z|, 4 dp)."""
+    zs = _z_exprs(df, cols)
     return df.select("*", _any([z > threshold for z in zs]).alias("is_anomaly"),
                      F.round(F.greatest(*zs, F.lit(None).cast("double")), 4).alias("anomaly_score"))
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabulyst.functions.cells import cell_counts, modes
 from tabulyst.functions.expressions import strip_whitespace as strip_expr
@@ -35,6 +34,69 @@ def strip_whitespace(df: DataFrame) -> DataFrame:
     return df.select(*[strip_expr(c).alias(c) if c in texts else F.col(c) for c in df.columns])
 
 
+def drop_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Remove rows with a gap in any of ``cols``."""
+    return df.dropna(subset=list(cols)) if cols else df
+
+
+def fill_numeric(df: DataFrame, how: str = "median", cols: list[str] | None = None, **qkw) -> DataFrame:
+    """Fill gaps of numeric columns: ``median`` / ``mean`` / ``zero`` / ``drop``.
+
+    Filled columns become doubles (a fractional median fits an int column only as
+    a double, as in the reference where gaps make an int column float).
+    Constants come from one aggregate and enter the plan as literals.
+    """
+    if how not in FILL_NUMERIC:
+        raise ValueError(f"unknown fill_numeric: {how}")
+    cols = numeric_columns(df) if cols is None else list(cols)
+    if not cols:
+        return df
+    if how == "drop":
+        return drop_nulls(df, cols)
+    if how == "median":
+        consts = medians(df, cols, **qkw)
+    elif how == "mean":
+        row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+        consts = {c: row[c] for c in cols}
+    else:
+        consts = {c: 0.0 for c in cols}
+    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(consts[c]).cast("double")).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])
+
+
+def impute_median(df: DataFrame, cols: list[str], **qkw) -> DataFrame:
+    """Gaps of ``cols`` -> exact column median."""
+    return fill_numeric(df, "median", cols, **qkw)
+
+
+def impute_zero(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Gaps of ``cols`` -> 0."""
+    return fill_numeric(df, "zero", cols)
+
+
+def impute_label(df: DataFrame, target: str, **qkw) -> DataFrame:
+    """Gaps of a numeric target -> its median."""
+    return fill_numeric(df, "median", [target], **qkw)
+
+
+def fill_categorical(df: DataFrame, how: str = "mode", cols: list[str] | None = None) -> DataFrame:
+    """Fill gaps of text columns: ``mode`` (smallest on ties, ``Unknown`` when the
+    column has no value) / ``unknown`` / ``drop``. Modes come from one cells shuffle."""
+    if how not in FILL_TEXT:
+        raise ValueError(f"unknown fill_categorical: {how}")
+    cols = text_columns(df) if cols is None else list(cols)
+    if not cols:
+        return df
+    if how == "drop":
+        return drop_nulls(df, cols)
+    found = {r["column"]: r["mode"] for r in modes(cell_counts(df, cols)).collect()} if how == "mode" else {}
+    return df.fillna({c: found.get(c) or UNKNOWN for c in cols})
+
+
+# ``clean`` takes options named like these functions; it calls them through aliases
+_fill_numeric, _fill_categorical = fill_numeric, fill_categorical
+
+
 def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     """Cut lineage: reliable checkpoint into the shared folder, or persist, or nothing."""
     if how == "checkpoint":
@@ -85,6 +147,7 @@ def clean(df: DataFrame, drop_duplicates: bool = True, fill_numeric: str = "medi
         raise ValueError(f"unknown fill_numeric: {fill_numeric}")
     if fill_categorical not in FILL_TEXT:
         raise ValueError(f"unknown fill_categorical: {fill_categorical}")
+    fill_numeric_, fill_categorical_ = fill_numeric, fill_categorical
     spark = df.sparkSession
     df = normalize_missing(df)
     report = []
@@ -109,30 +172,9 @@ def clean(df: DataFrame, drop_duplicates: bool = True, fill_numeric: str = "medi
     total_missing = sum(missing.values())
     if total_missing > 0:
         nums = [c for c in numeric_columns(base) if missing[c] > 0]
-        if nums:
-            if fill_numeric == "drop":
-                out = out.dropna(subset=nums)
-            else:
-                if fill_numeric == "median":
-                    consts = medians(out, nums, **qkw)
-                elif fill_numeric == "mean":
-                    row = out.agg(*[F.avg(c).alias(c) for c in nums]).first()
-                    consts = {c: row[c] for c in nums}
-                else:
-                    consts = {c: 0.0 for c in nums}
-                out = out.select(*[
-                    F.coalesce(F.col(c).cast("double"), F.lit(consts[c]).cast("double")).alias(c) if c in nums
-                    else F.col(c) for c in out.columns])
+        out = _fill_numeric(out, fill_numeric_, nums, **qkw) if nums else out
         cats = [c for c in texts if missing.get(c, 0) > 0]
-        if cats:
-            if fill_categorical == "drop":
-                out = out.dropna(subset=cats)
-            else:
-                if fill_categorical == "mode":
-                    found = {r["column"]: r["mode"] for r in modes(cell_counts(out, cats)).collect()}
-                else:
-                    found = {}
-                out = out.fillna({c: found.get(c) or UNKNOWN for c in cats})
+        out = _fill_categorical(out, fill_categorical_, cats) if cats else out
         filled = "{" + ", ".join(f"{c!r}: {n}" for c, n in missing.items() if n > 0) + "}"
         report.append(("fill_missing", f"Filled {total_missing} missing values: {filled}", total_missing))
     else:

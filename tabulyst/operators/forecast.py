@@ -151,23 +151,12 @@ def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit:
     return res
 
 
-def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None, periods: int = 30,
-             interval: float = 0.95, refit: bool = False, min_points: int = MIN_POINTS) -> Tables:
-    """Per-key forecasts: ``forecast`` (keys, ds, yhat, yhat_lower, yhat_upper), ``test``
-    (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE) and
-    ``skipped`` (series with fewer than ``min_points`` rows)."""
-    user_keys = list(keys or [])
-    series = prepare_series(df, date, value, user_keys)
-    keys = user_keys or ["__one"]  # a keyless call is one series under a constant key
-    if not user_keys:
-        series = series.withColumn("__one", F.lit(0))
-    stats = chrono_split(daily_stats(series, keys), keys)
-    enough = stats.where(F.col("points") >= min_points)
-    skipped = stats.where(F.col("points") < min_points).select(*keys, "points").distinct()
-    if not user_keys and enough.limit(1).count() == 0:
-        found = stats.agg(F.max("points")).first()[0] or 0
-        raise ValueError(f"Need at least {min_points} data points for forecasting (found {found})")
-    schema = T.StructType([series.schema[k] for k in keys] + [
+def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval: float = 0.95,
+                refit: bool = False) -> DataFrame:
+    """``(keys..., ds, part, yhat, yhat_lower, yhat_upper)`` from ``chrono_split`` output;
+    ``part`` is ``test`` (holdout days) or ``future`` (the horizon). One
+    ``applyInPandas`` group per series, one row per day: bounded by the calendar span."""
+    schema = T.StructType([stats.schema[k] for k in keys] + [
         T.StructField("ds", T.DateType()), T.StructField("part", T.StringType()),
         T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
         T.StructField("yhat_upper", T.DoubleType())])
@@ -178,23 +167,53 @@ def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None
             res.insert(i, k, key[i])
         return res[[f.name for f in schema.fields]]
 
-    # one group per series, one row per day: bounded by the calendar span
-    preds = enough.groupBy(*keys).applyInPandas(fit, schema).persist()
-    fc = preds.where(F.col("part") == "future").drop("part")
-    test = preds.where(F.col("part") == "test").drop("part")
-    ape = (series.join(test.select(*keys, "ds", "yhat"), [*keys, "ds"])
-           .groupBy(*keys).agg(F.avg(F.abs((F.col("y") - F.col("yhat")) / F.col("y"))).alias("mape")))
+    return stats.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def holdout_mape(series: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., mape)``: mean |(y - yhat) / y| over holdout rows (a fraction, not percent)."""
+    return (series.join(test.select(*keys, "ds", "yhat"), [*keys, "ds"])
+            .groupBy(*keys).agg(F.avg(F.abs((F.col("y") - F.col("yhat")) / F.col("y"))).alias("mape")))
+
+
+def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: list[str], periods: int,
+                     interval: float) -> DataFrame:
+    """``(keys..., historical_points, latest_value, projected_value, change_percent, mape, ...)``;
+    the change is 0 when the latest value is 0."""
     wk = Window.partitionBy(*keys).orderBy(F.desc("ds"))  # one group per series, `periods` rows each
     proj = fc.withColumn("__r", F.row_number().over(wk)).where(F.col("__r") == 1).select(
         *keys, F.col("yhat").alias("projected_value"))
     latest = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("historical_points"),
                                        F.max_by("y", "ds").alias("latest_value"))
-    summary = latest.join(proj, keys).join(ape, keys, "left").select(
+    return latest.join(proj, keys).join(mape, keys, "left").select(
         *keys, "historical_points", "latest_value", "projected_value",
         F.when(F.col("latest_value") != 0,
                (F.col("projected_value") - F.col("latest_value")) / F.col("latest_value") * 100.0)
         .otherwise(F.lit(0.0)).alias("change_percent"),
         "mape", F.lit(periods).alias("periods"), F.lit(interval).alias("interval_width"))
+
+
+def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None, periods: int = 30,
+             interval: float = 0.95, refit: bool = False, min_points: int = MIN_POINTS) -> Tables:
+    """Per-key forecasts: ``forecast`` (keys, ds, yhat, yhat_lower, yhat_upper), ``test``
+    (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE) and
+    ``skipped`` (series with fewer than ``min_points`` rows)."""
+    user_keys = list(keys or [])
+    series = prepare_series(df, date, value, user_keys)
+    keys = user_keys or ["__one"]  # a keyless call is one series under a constant key
+    if not user_keys:
+        series = series.withColumn("__one", F.lit(0))
+    stats = chrono_split(daily_stats(series, keys), keys)
+    enough = stats.where(F.col("points") >= min_points)
+    skipped = stats.where(F.col("points") < min_points).select(*keys, "points").distinct()
+    if not user_keys and enough.limit(1).count() == 0:
+        found = stats.agg(F.max("points")).first()[0] or 0
+        raise ValueError(f"Need at least {min_points} data points for forecasting (found {found})")
+    # read by the forecast, the holdout join and the summary
+    preds = fit_predict(enough, keys, periods, interval, refit).persist()
+    fc = preds.where(F.col("part") == "future").drop("part")
+    test = preds.where(F.col("part") == "test").drop("part")
+    summary = forecast_summary(series, fc, holdout_mape(series, test, keys), keys, periods, interval)
     drop = [] if user_keys else ["__one"]
     return Tables(forecast=fc.drop(*drop), test=test.drop(*drop), summary=summary.drop(*drop),
                   skipped=skipped.drop(*drop), split=stats.drop(*drop))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulyst.functions.cells import cell_counts, nunique, nunique_direct, top_values
+from tabulyst.functions.cells import cell_counts, modes, nunique_direct, top_values
 from tabulyst.functions.expressions import null_if_nan, quality_grade
 from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.result import Tables
@@ -215,6 +215,17 @@ def quality_report(df: DataFrame, target: str | None = None, include_ml: bool =
     return out
 
 
+def nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """``(column, unique_values)``: distinct non-null values per column (one cells shuffle,
+    or HyperLogLog sketches with ``approx=True``)."""
+    return nunique_direct(df, list(cols or df.columns), approx=approx)
+
+
+def mode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``(column, mode)``: most frequent non-null value per column, smallest on ties."""
+    return modes(cell_counts(df, list(cols or df.columns)))
+
+
 def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """Frequency table of one column.
 
@@ -229,5 +240,5 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 __all__ = [
     "quality_summary", "duplicate_summary", "missing_summary", "missing_by_column", "describe_numeric",
-    "column_profile", "profile", "recommendations", "quality_report", "value_counts", "nunique", "cell_counts",
+    "column_profile", "profile", "recommendations", "quality_report", "value_counts", "nunique", "mode", "cell_counts",
 ]

@@ -59,3 +59,12 @@ def test_isolation_forest_invariants(points):
     assert 7 in lowest and 11 in lowest
     with pytest.raises(ValueError):
         A.anomalies(df, method="nope")
+
+
+def test_zscore_and_bounds(points):
+    df, pdf = points
+    z = A.zscore(df, ["a"]).where("id = 7").first()["a_z"]
+    assert z == pytest.approx(abs((12.0 - pdf.a.mean()) / pdf.a.std()))
+    b = {r["column"]: r for r in A.iqr_bounds(df, ["a"]).collect()}["a"]
+    assert b["q1"] == pytest.approx(pdf.a.quantile(0.25)) and b["upper"] == pytest.approx(
+        pdf.a.quantile(0.75) + 1.5 * (pdf.a.quantile(0.75) - pdf.a.quantile(0.25)))

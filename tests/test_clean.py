@@ -47,3 +47,11 @@ def test_outliers_sequential_and_single_pass(dirty):
 def test_constant_column_never_filters(spark):
     df = spark.createDataFrame([(1.0, float(i)) for i in range(20)], "c double, x double")
     assert C.zscore_filter(df, ["c", "x"], 3.0).count() == 20
+
+
+def test_named_fill_functions(dirty):
+    x = C.impute_median(dirty, ["x"]).where("id = 3").first()["x"]
+    assert x == 4.5  # median of the 10 non-null x before de-duplication
+    assert C.impute_zero(dirty, ["y"]).where("id = 4").first()["y"] == 0.0
+    assert C.drop_nulls(dirty, ["name", "grp"]).count() == 10
+    assert C.fill_categorical(dirty, "unknown", ["grp"]).where("id = 5").first()["grp"] == "Unknown"
