@@ -22,6 +22,7 @@ from tabulyst.functions.pvalues import p_value
 from tabulyst.functions.quantiles import medians
 from tabulyst.functions.ranking import attach_ranks
 from tabulyst.result import Tables
+from tabulyst.session import ship_package
 from tabulyst.sources.schema import normalize_missing, numeric_columns
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -183,6 +184,7 @@ def correlate(df: DataFrame, target: str = "", method: str = "pearson", top_n: i
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     spark = df.sparkSession
+    ship_package(spark)  # p-values run in a pandas UDF
     cols = numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("Need at least 2 numeric columns.")

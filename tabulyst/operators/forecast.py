@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulyst.result import Tables
+from tabulyst.session import ship_package
 from tabulyst.sources.schema import require_columns
 
 # Model defaults (Prophet's published defaults).
@@ -156,6 +157,7 @@ def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval:
     """``(keys..., ds, part, yhat, yhat_lower, yhat_upper)`` from ``chrono_split`` output;
     ``part`` is ``test`` (holdout days) or ``future`` (the horizon). One
     ``applyInPandas`` group per series, one row per day: bounded by the calendar span."""
+    ship_package(stats.sparkSession)
     schema = T.StructType([stats.schema[k] for k in keys] + [
         T.StructField("ds", T.DateType()), T.StructField("part", T.StringType()),
         T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulyst.functions.quantiles import exact_quantiles
+from tabulyst.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = T.StructType([
@@ -111,6 +112,7 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05
                      pool_factor: float = 3.0, persist: bool = True) -> DataFrame:
     """All rows of ``df`` plus ``is_anomaly`` and ``anomaly_score`` (lower = more anomalous)."""
     spark = df.sparkSession
+    ship_package(spark)
     contamination = max(0.01, min(0.5, contamination))
     if medians is None:
         res = exact_quantiles(df, cols, [0.5])

@@ -39,9 +39,19 @@ def _load() -> None:
                 raise
 
 
+def _shipping(fn: Callable) -> Callable:
+    """Wrap a query so the package is importable in the session's Python workers."""
+    def run(spark, sf_dir):
+        from tabulyst.session import ship_package
+        ship_package(spark)
+        return fn(spark, sf_dir)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable]:
     _load()
-    return dict(QUERIES)
+    return {name: _shipping(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,10 +74,15 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame (only the base tables it reads are registered)."""
+    """A derived view as a DataFrame (only the base tables it reads are registered).
+
+    The driver tables hold ``timestamp_ntz``; Spark reads a ``TIMESTAMP '...'``
+    literal in the session time zone, so literals become ``TIMESTAMP_NTZ`` here
+    and the comparison does not depend on the session time zone.
+    """
     sql = VIEWS[name]
     register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
-    return spark.sql(sql)
+    return spark.sql(sql.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -54,3 +54,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tabulyst-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabulyst`` importable in Python workers (like ``--py-files``).
+
+    Pandas UDFs, ``applyInPandas`` and ``mapInPandas`` pickle functions by module
+    reference, so executors must import this package. It is zipped once per
+    driver process and added with ``SparkContext.addPyFile``; a session that
+    already ships it (e.g. submitted with ``--py-files``) is left as is.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tabulyst-pkg-"), "tabulyst.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
