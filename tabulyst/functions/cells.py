@@ -26,7 +26,7 @@ def cell_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(arr)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nunique(counts: DataFrame, approx: bool = False) -> DataFrame:
+def nunique(counts: DataFrame) -> DataFrame:
     """``(column, unique_values)`` from a cells table."""
     return (counts.where(F.col("value").isNotNull()).groupBy("column")
             .agg(F.count(F.lit(1)).alias("unique_values")))
