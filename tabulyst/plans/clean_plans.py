@@ -66,7 +66,7 @@ WITH s AS (SELECT DISTINCT {', '.join(STRIP.format(c=c) + f' AS {c}' for c in PA
            FROM part_dirty)
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM part_dirty) AS rows_before, CAST(count(*) AS BIGINT) AS rows_after,
        (SELECT CAST(count(*) AS BIGINT) FROM part_dirty) - CAST(count(*) AS BIGINT) AS rows_removed,
-       CAST(5 AS BIGINT) AS columns, 100.0 AS completeness
+       CAST(5 AS BIGINT) AS columns, CAST(100.0 AS DOUBLE) AS completeness
 FROM s""", "part_dirty"))
 def clean_summary(spark, sf_dir):
     return C.clean(view(spark, sf_dir, "part_dirty")).summary
