@@ -60,18 +60,19 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tabulyst`` importable in Python workers (like ``--py-files``).
+    """Make ``tabulyst`` importable in Python workers of a local session.
 
     Pandas UDFs, ``applyInPandas`` and ``mapInPandas`` pickle functions by module
-    reference, so executors must import this package. It is zipped once per
-    driver process and added with ``SparkContext.addPyFile``; a session that
-    already ships it (e.g. submitted with ``--py-files``) is left as is.
+    reference, so executors must import this package. In local mode it is zipped
+    once per driver process and added with ``SparkContext.addPyFile``. On a
+    cluster nothing is written to a machine-local folder: submit the package with
+    ``--py-files`` (or install it on the executors) instead.
     """
     import zipfile
 
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="tabulyst-pkg-"), "tabulyst.zip")
