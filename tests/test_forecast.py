@@ -60,3 +60,11 @@ def test_text_dates_parse(spark):
     res = FC.forecast(df, "d", "v", periods=3)
     assert res.forecast.count() == 3
     assert pd.notna(res.summary.first()["projected_value"])
+
+
+def test_short_series_are_skipped(spark, weekly):
+    short = spark.createDataFrame([("tiny", dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0) for i in range(10)],
+                                  "k string, ds date, y double")
+    res = FC.forecast(weekly.unionByName(short), "ds", "y", keys=["k"], periods=2)
+    assert {r["k"] for r in res.skipped.collect()} == {"tiny"}
+    assert {r["k"] for r in res.forecast.collect()} == {"k0", "k1", "k2"}

@@ -62,3 +62,10 @@ def test_roles_and_size(shop):
     roles = {r["column"]: r["role"] for r in S.column_roles(shop).collect()}
     assert roles["date"] == "text" and roles["sales"] == "numeric"
     assert S.approx_size(shop).first()["bytes"] > 0
+
+
+def test_report_with_model_section(shop):
+    rep = P.quality_report(shop, target="sales", models=["Linear Regression", "Decision Tree"])
+    assert {"ml_leaderboard", "ml_best", "ml_importance", "ml_split"} <= set(rep)
+    assert rep.ml_best.first()["type"] == "regression"
+    assert "ml_leaderboard" not in P.quality_report(shop, target="sales", include_ml=False)
