@@ -69,3 +69,10 @@ def test_report_with_model_section(shop):
     assert {"ml_leaderboard", "ml_best", "ml_importance", "ml_split"} <= set(rep)
     assert rep.ml_best.first()["type"] == "regression"
     assert "ml_leaderboard" not in P.quality_report(shop, target="sales", include_ml=False)
+
+
+def test_fingerprint_matches_full_rows(spark, dirty):
+    gaps = spark.createDataFrame([(None, 1), (1, None), (None, 1), (2, 2)], "a int, b int")
+    for df in (dirty, gaps):
+        assert P.quality_summary(df, fingerprint=True).first() == P.quality_summary(df, fingerprint=False).first()
+    assert P.quality_summary(gaps).first()["duplicate_rows"] == 1
