@@ -51,7 +51,10 @@ def main() -> None:
             times[name] = round(time.perf_counter() - t0, 3)
         except Exception as exc:  # noqa: BLE001 - report and continue
             failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
+        # outside the timed region: drop caches and collect garbage so that one
+        # query's leftovers do not slow the next one in this long-lived local JVM
         spark.catalog.clearCache()
+        spark.sparkContext._jvm.System.gc()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "sum_query_wall_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus),
