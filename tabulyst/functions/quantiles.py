@@ -125,10 +125,17 @@ def _interval_frame(spark, long: DataFrame, key_cols, ts: list[_Target]):
         ivs.setdefault(t.key + (t.lo, t.hi), len(ivs))
     schema = T.StructType([long.schema[c] for c in key_cols] + [
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("iid", T.IntegerType())])
-    idf = spark.createDataFrame([k + (i,) for k, i in ivs.items()], schema)
-    # at most MAX_TARGETS rows (checked in exact_quantiles), so the broadcast is bounded
-    joined = (long.join(F.broadcast(idf), on=key_cols, how="inner")
-              .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
+    idf = spark.createDataFrame([k + (i,) for k, i in ivs.items()], schema).select(
+        *[F.col(c).alias(f"__g_{c}") for c in key_cols], "lo", "hi", "iid")
+    # at most MAX_TARGETS rows (checked in exact_quantiles), so the broadcast is bounded;
+    # null-safe equality keeps groups whose key is null
+    cond = None
+    for c in key_cols:
+        eq = F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+        cond = eq if cond is None else cond & eq
+    joined = (long.join(F.broadcast(idf), on=cond, how="inner")
+              .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+              .drop(*[f"__g_{c}" for c in key_cols]))
     return ivs, joined
 
 

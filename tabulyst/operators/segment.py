@@ -56,10 +56,14 @@ def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFram
     q = exact_quantiles(df, cols, [0.5], by=[label], **qkw)
     med = spark.createDataFrame([(r[label], r["column"], r["value"]) for r in q],
                                 f"cluster {df.schema[label].dataType.simpleString()}, column string, median double")
-    # ``med`` has one row per (group, column): bounded by the group count
-    return (sizes.join(mom, "cluster").join(F.broadcast(med), ["cluster", "column"], "left")
-            .select("cluster", "column", "size", "percent", F.round("mean", 4).alias("mean"),
-                    F.round("median", 4).alias("median"), F.round("std", 4).alias("std")))
+    # null-safe joins keep a group whose label is null; ``med`` has one row per
+    # (group, column), bounded by the group count
+    m2 = mom.withColumnRenamed("cluster", "__c")
+    j = sizes.join(m2, sizes["cluster"].eqNullSafe(m2["__c"])).drop("__c")
+    md = med.withColumnRenamed("cluster", "__c").withColumnRenamed("column", "__col")
+    j = j.join(F.broadcast(md), j["cluster"].eqNullSafe(md["__c"]) & (j["column"] == md["__col"]), "left")
+    return j.select("cluster", "column", "size", "percent", F.round("mean", 4).alias("mean"),
+                    F.round("median", 4).alias("median"), F.round("std", 4).alias("std"))
 
 
 def between_group_variance(df: DataFrame, label: str, cols: list[str]) -> DataFrame:

@@ -88,3 +88,10 @@ def test_encoders(spark):
     assert [(r["s_b"], r["s_c"]) for r in rows] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 1.0)]
     enc, classes = ML.label_encode(spark.createDataFrame([(10.0,), (2.0,), (2.0,)], "t double"), "t")
     assert classes == [2.0, 10.0] and [r["label"] for r in enc.collect()] == [1.0, 0.0, 0.0]
+
+
+def test_group_profile_keeps_null_label(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 10.0), ("a", 20.0), ("a", 30.0)], "g string, x double")
+    rows = {r["cluster"]: r for r in SEG.group_profile(df, "g", ["x"]).collect()}
+    assert rows[None]["size"] == 2 and rows[None]["median"] == 2.0 and rows[None]["percent"] == 40.0
+    assert rows["a"]["median"] == 20.0

@@ -62,3 +62,11 @@ def test_column_ranks_match_pandas(spark, group_rows):
             row = g.loc[v]
             assert row["below"] + (row["cnt"] + 1) / 2.0 == pytest.approx(r_avg)
             assert row["below_distinct"] == r_dense
+
+
+@pytest.mark.parametrize("max_rows", [2_000_000, 5])
+def test_null_group_key(spark, max_rows):
+    df = spark.createDataFrame([(None, float(i)) for i in range(20)] + [("a", float(i)) for i in range(7)],
+                               "g string, v double")
+    res = {r["g"]: r["value"] for r in exact_quantiles(df, ["v"], [0.5], by=["g"], max_exact_rows=max_rows, bins=4)}
+    assert res == {None: 9.5, "a": 3.0}
