@@ -77,6 +77,9 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     out: dict[tuple[str, str], float | None] = {}
     for i, j in pairs:
         si, sj = row[f"s{i}"], row[f"s{j}"]
+        if si is None or sj is None or row[f"p{i}_{j}"] is None:  # a column without values
+            out[(cols[i], cols[j])] = None
+            continue
         vi = n * row[f"q{i}"] - si * si
         vj = n * row[f"q{j}"] - sj * sj
         cov = n * row[f"p{i}_{j}"] - si * sj

@@ -67,3 +67,12 @@ def test_kendall_matrix(spark):
     for (a, b), v in got.items():
         assert v == pytest.approx(round(_brute_tau_b(pdf[a].to_numpy(float), pdf[b].to_numpy(float)), 4), abs=1e-4)
     assert res.top_pairs.where("p_value IS NOT NULL").count() == 0
+
+
+def test_all_null_and_constant_columns(spark):
+    rows = [(float(i), None, 1.0, float(i * i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "a double, empty double, c double, b double")
+    res = COR.correlate(df, target="a")
+    got = {(r["feature_a"], r["feature_b"]) for r in res.pairs.collect()}
+    assert got == {("a", "b")}
+    assert [r["feature"] for r in res.target.collect()] == ["b"]
