@@ -68,3 +68,9 @@ def test_zscore_and_bounds(points):
     b = {r["column"]: r for r in A.iqr_bounds(df, ["a"]).collect()}["a"]
     assert b["q1"] == pytest.approx(pdf.a.quantile(0.25)) and b["upper"] == pytest.approx(
         pdf.a.quantile(0.75) + 1.5 * (pdf.a.quantile(0.75) - pdf.a.quantile(0.25)))
+
+
+def test_text_column_named_for_anomalies_raises(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    with pytest.raises(ValueError):
+        A.anomalies(df, method="zscore", columns="x, s")
