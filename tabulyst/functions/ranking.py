@@ -68,9 +68,15 @@ def _bucketed_ranks(d: DataFrame, col: str, nd: int, group_rows: int) -> DataFra
                     (F.col("off_vals") + F.row_number().over(wb) - 1).cast("bigint").alias("below_distinct")))
 
 
-def column_ranks(df: DataFrame, cols: list[str], group_rows: int = DEFAULT_GROUP_ROWS) -> tuple[DataFrame, dict]:
-    """Returns ``(ranks, n_distinct_by_column)`` for the non-null values of ``cols``."""
+def column_ranks(df: DataFrame, cols: list[str], group_rows: int = DEFAULT_GROUP_ROWS,
+                 cached: list | None = None) -> tuple[DataFrame, dict]:
+    """Returns ``(ranks, n_distinct_by_column)`` for the non-null values of ``cols``.
+
+    Persisted intermediates are appended to ``cached`` so the caller can release them.
+    """
     d = _distinct_counts(df, cols).persist()  # read by the size check and by the rank windows
+    if cached is not None:
+        cached.append(d)
     nd = {r["column"]: int(r["n"]) for r in d.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = [c for c in cols if nd.get(c, 0) <= group_rows]
     big = [c for c in cols if nd.get(c, 0) > group_rows]
@@ -92,15 +98,19 @@ def value_ranks(df: DataFrame, col: str, group_rows: int = DEFAULT_GROUP_ROWS) -
 
 
 def attach_ranks(df: DataFrame, cols: list[str], kind: str = "average", suffix: str = "__rank",
-                 group_rows: int = DEFAULT_GROUP_ROWS, broadcast_limit: int = 100_000) -> DataFrame:
+                 group_rows: int = DEFAULT_GROUP_ROWS, broadcast_limit: int = 100_000,
+                 cached: list | None = None) -> DataFrame:
     """Add ``<col><suffix>`` rank columns (``average`` 1-based or ``dense`` 0-based).
 
     The rank table is computed once for all columns (and persisted); each column
     joins back on its value: broadcast when its distinct count (just measured) is
     at most ``broadcast_limit``, else a shuffle join (AQE splits a skewed value).
+    Persisted intermediates are appended to ``cached`` for the caller to release.
     """
-    ranks, nd = column_ranks(df, cols, group_rows)
+    ranks, nd = column_ranks(df, cols, group_rows, cached)
     ranks = ranks.persist()
+    if cached is not None:
+        cached.append(ranks)
     r = (F.col("below") + (F.col("cnt") + 1) / 2.0) if kind == "average" else F.col("below_distinct")
     out = df
     for c in cols:

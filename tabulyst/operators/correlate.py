@@ -169,14 +169,20 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
     """
     if method == "pearson":
         return _pearson_values(df, cols, shifts)
+    cached: list = []
     if method == "spearman":
-        ranked = attach_ranks(df, cols, kind="average").select(*[F.col(f"{c}__rank").alias(c) for c in cols])
+        ranked = attach_ranks(df, cols, kind="average", cached=cached).select(
+            *[F.col(f"{c}__rank").alias(c) for c in cols])
         # average ranks of n gap-free values always have mean (n + 1) / 2
-        return _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
-    ranked = attach_ranks(df, cols, kind="dense", suffix="__dr").select(
+        out = _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
+        for frame in cached:  # the coefficients are on the driver: release the rank tables
+            frame.unpersist()
+        return out
+    ranked = attach_ranks(df, cols, kind="dense", suffix="__dr", cached=cached).select(
         *[F.col(f"{c}__dr").alias(c) for c in cols]).persist()
     out = kendall_pairs(ranked, [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))])
-    ranked.unpersist()
+    for frame in [ranked, *cached]:
+        frame.unpersist()
     return out
 
 
