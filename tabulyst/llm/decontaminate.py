@@ -63,7 +63,7 @@ def seeds(masks: tuple[str, ...]) -> Column:
 def best_run(doc: Column, item: Column, offset: Column) -> Column:
     """Of the alignment ``doc[i + offset] = item[i]``: struct (matched, length, start) of the run with the highest score.
 
-    A match scores 1, a mismatch -2, so a run tolerates one substitution in three words and drops unlike ends.
+    A match scores 1, a mismatch -2, so a run tolerates one substitution in three words and drops unlike ends; of equal scores the later end counts.
     """
     first = F.greatest(F.lit(0), -offset)
     last = F.least(F.size(item), F.size(doc) - offset) - 1
@@ -80,9 +80,9 @@ def best_run(doc: Column, item: Column, offset: Column) -> Column:
             lambda n: F.struct(
                 n["score"].alias("score"), n["hit"].alias("hit"), n["len"].alias("len"), n["begin"].alias("begin"),
                 F.greatest(s["best"], n["score"]).alias("best"),
-                F.when(n["score"] > s["best"], n["hit"]).otherwise(s["matched"]).alias("matched"),
-                F.when(n["score"] > s["best"], n["len"]).otherwise(s["length"]).alias("length"),
-                F.when(n["score"] > s["best"], n["begin"]).otherwise(s["start"]).alias("start")))
+                F.when(n["score"] >= F.greatest(s["best"], F.lit(1)), n["hit"]).otherwise(s["matched"]).alias("matched"),
+                F.when(n["score"] >= F.greatest(s["best"], F.lit(1)), n["len"]).otherwise(s["length"]).alias("length"),
+                F.when(n["score"] >= F.greatest(s["best"], F.lit(1)), n["begin"]).otherwise(s["start"]).alias("start")))
 
     return F.when(last >= first, F.aggregate(F.sequence(first, last), state, step)).otherwise(state)
 

@@ -194,7 +194,7 @@ def sent(manifest: DataFrame, bits: int) -> DataFrame:
                     at = _ranges(hashes, bits)
                     some = [p for p in range(1 << bits) if at[p] < at[p + 1]]
                     blobs = [pack(hashes[at[p]: at[p + 1]], counts[at[p]: at[p + 1]]) for p in some]
-                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array([path] * len(some)), pa.array([kind] * len(some), pa.int32()),
+                    yield pa.record_batch([pa.array(some, pa.int32()), pa.array([path] * len(some), pa.string()), pa.array([kind] * len(some), pa.int32()),
                                            pa.array(blobs, pa.binary())], ["part", "path", "kind", "blob"])
 
     files = manifest.select("path").repartition(max(1, manifest.count()), "path")

@@ -7,18 +7,18 @@ aggregate over the table of sources; only two sums reach the driver.
 
 ``take`` gives every row of a source the whole repetitions
 ``floor(target / source size)`` and one more to a seeded part of its rows: rows
-in the order of a seeded hash, for as long as their sizes fill the fraction (the
-row at the border goes to the nearer side). So a source's taken size differs from
-its target by at most half of one row's size, and reruns agree.
+in the order of a seeded hash, for as long as their sizes fill the fraction; then, a few times, the
+largest other row that still fits. So a source's taken size is below its target
+by less than the smallest row left out at the last fill, and reruns agree.
 
 Scaling: a source may hold any share of the rows. Its hash order is cut into
 buckets, about the square root of the row count many, so neither the prefix sums
 over buckets nor those inside a bucket grow faster than that.
 
 Defined cases: an empty table gives an empty result; null sources are one source;
-null and negative sizes and weights count as 0; if the clamps cannot hold the total, all sources are
-taken ``max_epochs`` times; repeated rows (same id and size) are exchangeable, so it is open which of
-them is taken again. Columns named like the outputs are replaced.
+null sizes and null or negative weights count as 0 (negative sizes are not allowed); if the clamps cannot hold
+the total, all sources with a weight are taken ``max_epochs`` times; rows equal in source, id and size are taken alike.
+Columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -60,35 +60,47 @@ def fill_targets(sources: DataFrame, total: float, max_epochs: float) -> DataFra
 def source_sizes(df: DataFrame, source: str, size: str, salt: Column) -> DataFrame:
     """``source, source_size`` in two steps, so a hot source is summed in parts."""
     part = df.groupBy(F.col(source).alias("source"), F.pmod(F.xxhash64(salt), F.lit(32)).alias("__salt")).agg(F.sum(size).alias("s"))
-    return part.groupBy("source").agg(F.sum("s").cast("long").alias("source_size"))
-
-
-def take(df: DataFrame, targets: DataFrame, row_id: str, source: str = "source", size: str = "size", seed: int = 0) -> DataFrame:
+    return part.groupBy("source").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("source_size"))
+
+
+def _decide(units: DataFrame, targets: DataFrame, seed: int, fills: int) -> DataFrame:
+    """``units`` (``source, id, size, words``) with the target's columns and ``repeats``."""
+    bits = max(4, (max(1, units.count()) - 1).bit_length() // 2)
+    h = F.xxhash64(F.lit(seed), "id", "size")
+    rows = units.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    t = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source_size", "target")
+    buckets = rows.groupBy("name", "none", "bucket").agg(F.sum("words").alias("s"))
+    before = F.sum("s").over(W.partitionBy("name", "none").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0))).drop("s").join(t, ["name", "none"])
+    upto = F.sum("words").over(W.partitionBy("name", "none", "bucket").orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.join(buckets, ["name", "none", "bucket"])
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("part", (ratio - F.col("whole")) * F.col("source_size"))
+    rows = rows.withColumn("again", F.col("before") + upto <= F.col("part") + 1e-9)
+    for _ in range(fills):
+        rows = written(rows, "mix-units")
+        spread = rows.groupBy("name", "none", F.pmod("h", F.lit(32)).alias("salt"), "part").agg(F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).alias("s"))
+        rest = spread.groupBy("name", "none").agg((F.max("part") - F.sum("s")).alias("rest"))
+        fits = rows.where(~F.col("again") & (F.col("words") > 0)).join(rest, ["name", "none"]).where(F.col("words") <= F.col("rest") + 1e-9)
+        pick = fits.groupBy("name", "none").agg(F.max(F.struct("words", "h"))["h"].alias("pick"))
+        rows = rows.join(pick, ["name", "none"], "left").withColumn("again", F.col("again") | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))).drop("pick")
+    return rows.withColumn("repeats", (F.col("whole") + F.col("again").cast("long")).cast("int")).select("source", "id", "size", "source_size", "target", "repeats")
+
+
+def take(df: DataFrame, targets: DataFrame, row_id: str, source: str = "source", size: str = "size", seed: int = 0, fills: int = 3) -> DataFrame:
     """``df`` with ``source_size``, ``target`` and ``repeats`` (int, how often the row is taken).
 
-    ``targets``: ``source, source_size, target`` with one row per source. ``df``
-    is read three times, so hand over a written or cached narrow table; sizes must not be negative.
+    ``targets``: ``source, source_size, target`` with one row per source. Decisions
+    are made on narrow units (rows equal in source, id and size), then joined to the rows.
     """
-    n = df.count()
-    bits = max(4, (max(1, n) - 1).bit_length() // 2)
-    h = F.xxhash64(F.lit(seed), F.col(row_id), F.col(size))
-    rows = df.drop("source_size", "target", "repeats").withColumn("__h", h).withColumn(
-        "__bucket", F.shiftrightunsigned("__h", 64 - bits))
-    key = F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()
-    rows = rows.withColumn("__source", key[0]).withColumn("__null", key[1])
-    t = targets.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__null"),
-                       "source_size", "target")
-    buckets = rows.groupBy("__source", "__null", "__bucket").agg(F.sum(size).alias("__s"))
-    before = F.sum("__s").over(W.partitionBy("__source", "__null").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
-    buckets = buckets.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__s").join(t, ["__source", "__null"])
-    inside = F.sum(size).over(W.partitionBy("__source", "__null", "__bucket").orderBy("__h", row_id).rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.join(buckets, ["__source", "__null", "__bucket"])
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(ratio + 1e-12)
-    part = (ratio - whole) * F.col("source_size")
-    middle = F.col("__before") + F.coalesce(inside, F.lit(0)) + F.col(size) / 2
-    return (rows.withColumn("repeats", (whole + (middle < part - 1e-9).cast("long")).cast("int"))
-            .drop("__source", "__null", "__bucket", "__before", "__h"))
+    units = df.groupBy(F.col(source).alias("source"), F.col(row_id).alias("id"), F.col(size).alias("size")).agg((F.coalesce(F.col(size), F.lit(0)) * F.count("*")).alias("words"))
+    got = _decide(written(units.where("words >= 0"), "mix-units"), targets, seed, fills).select(
+        F.col("source").alias("__source"), F.col("id").alias("__id"), F.col("size").alias("__size"), "source_size", "target", "repeats")
+    got = written(got, "mix-decisions")
+    rows = df.drop("source_size", "target", "repeats")
+    both = rows[source].eqNullSafe(got["__source"]) & rows[row_id].eqNullSafe(got["__id"]) & rows[size].eqNullSafe(got["__size"])
+    return rows.join(got, both).drop("__source", "__id", "__size")
 
 
 def mix(df: DataFrame, weights: DataFrame, share: float, max_epochs: float, row_id: str, seed: int = 0) -> DataFrame:
@@ -96,7 +108,7 @@ def mix(df: DataFrame, weights: DataFrame, share: float, max_epochs: float, row_
 
     ``share``: the mix's size as a multiple of all sizes.
     """
-    sizes = source_sizes(df, "source", "size", F.col(row_id))
+    sizes = source_sizes(df, "source", "size", F.col(row_id))  # null sizes add nothing
     both = written(sizes.join(weights, sizes["source"].eqNullSafe(weights["source"]), "left").select(sizes["source"], "weight", "source_size"),
                    "mix-sources")
     total = both.agg(F.sum("source_size")).first()[0] or 0

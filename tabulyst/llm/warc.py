@@ -134,7 +134,7 @@ def directory(file, size: int) -> Iterator[Member]:
     tail_at = max(0, size - 65_557)
     tail = _at(file, tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\x05\x06", 0, end)  # these bytes stood in the comment
     if end < 0:
         raise ValueError("no end of central directory: not a ZIP file")
