@@ -14,14 +14,16 @@ that all hold weighs ``1 - strength``. The range is narrow on purpose: a large f
 copies raises the document frequency of its own shingles, and a steep idf would
 then tear it apart.
 
-**Buckets.** Nothing pairs all members of a bucket. Each round verifies a bucket's
+**Buckets.** Nothing pairs all members of a bucket. The first round verifies a bucket's
 members against one pivot, the member with the most company in its buckets. Members
-within the distance ``1 - threshold`` of the pivot are linked to it. The others stay for the next
-round, together with the linked members that the triangle inequality (the
-weighted Jaccard distance is a metric) still allows to be near one of
-them. A bucket is done when what stays lies in one component or is a single
-node. So no link between different components is lost inside a bucket and no
-partner is capped, while rounds get smaller quickly.
+within the distance ``1 - threshold`` of the pivot are linked to it. The others stay,
+together with the linked members that the triangle inequality (the
+weighted Jaccard distance is a metric) still allows to be near one of them. Then, round by round, a member
+leaves when the shingles that it shares with any other remaining node weigh too little for
+a similarity of the threshold, and a bucket leaves when all that stays lies in one component.
+What is left is verified against 8, 64, 512, ... pivots, between different components and
+where the bound allows it. A pivot leaves after its round, so no link between different components is lost
+inside a bucket and no partner is capped, and there are few rounds.
 
 Scaling: texts are read twice for counts and draws and once for the candidates'
 shingles; shuffles carry draws, candidates and links only. A hot pivot's shingles are
@@ -223,9 +225,9 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = per_key(both, ["u"], F.col("v"), {"m": F.min("v")}, {"m": F.min("m")})
+        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u")
         large = large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = per_key(large, ["u"], F.col("v"), {"m": F.min("v")}, {"m": F.min("m")})
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = written(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                         .select("e.*").where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -236,6 +238,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold nodes of two or more components."""
+    of = members.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    return members.join(of, ["band", "key"])
+
+
+def overlap_bounds(sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``node, total, most``: a node's whole weight, and the weight of its shingles that any other of these nodes has.
+
+    No similarity with another of these nodes can rest on more than ``most``.
+    """
+    table = sets.sparkSession.sparkContext.broadcast(idf)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, packed in zip(b.column("node"), b.column("set")):
+                h, t = unpack(packed.as_py())
+                w = (1 + np.log(t)) * table.value[(h >> np.uint64(48 - CELL_BITS)).astype(np.int64)]
+                yield pa.record_batch([pa.array([node.as_py()] * len(h), pa.binary()), pa.array(h.astype(np.int64)), pa.array(w, pa.float64())], ["node", "shingle", "w"])
+
+    rows = sets.mapInArrow(spread, "node binary, shingle long, w double")
+    holders = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("own"), F.first("w").alias("own_w"))
+    alone = holders.where("n = 1").groupBy(F.col("own").alias("node")).agg(F.sum("own_w").alias("alone"))
+    total = rows.groupBy("node").agg(F.sum("w").alias("total"))
+    return written(total.join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("most")), "overlap-bounds")
+
+
+def _possible(members: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+    """Members (with their bounds) whose bound leaves room for a partner in their bucket.
+
+    A similarity t of weights x and y takes a shared weight of t / (1 + t) * (x + y),
+    and y is at least t * x and at least the bucket's least weight.
+    """
+    known = members.join(bounds, "node")
+    least = known.groupBy("band", "key").agg(F.min("total").alias("least"))
+    partner = F.greatest(F.col("total") * threshold, F.col("least"))
+    need = threshold / (1 + threshold) * (F.col("total") + partner)
+    return known.join(least, ["band", "key"]).where(F.col("most") >= need * (1 - 1e-6)).drop("least")
+
+
+def _linked(roots: DataFrame, sims: DataFrame, threshold: float) -> DataFrame:
+    """Components after adding the pairs of at least the threshold."""
+    new = sims.where(F.col("sim") >= threshold).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    if new.isEmpty():
+        return roots
+    return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
+
+
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -257,27 +307,36 @@ def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
     central = members.groupBy("node").agg(F.sum("company").alias("central"))
     members = members.drop("company").join(central, "node")
     sets = written(shingle_sets(docs, text, central.select("node")), "shingle-sets")
-    links, roots = [], _empty(spark, "node binary, root binary")
+    roots = _empty(spark, "node binary, root binary")
+    # the first round: one pivot per bucket
+    pivot = members.groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("pivot"))
+    paired = written(members.join(pivot, ["band", "key"]).where("node <> pivot"), "bucket-pairs")
+    sims = written(similarities(paired.select("pivot", "node").distinct(), sets, idf), "similarities")
+    roots = _linked(roots, sims, threshold)
+    # what stays: members away from the pivot, and linked ones that may be near those
+    seen = paired.join(sims, ["pivot", "node"])
+    away = seen.where(F.col("sim") < threshold).groupBy("band", "key").agg(F.max("sim").alias("nearest"))
+    members = seen.join(away, ["band", "key"]).where((F.col("sim") < threshold) | (F.col("sim") <= F.col("nearest") + 1 - threshold))
+    pivots = 8
     while True:
+        members = _mixed(members.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         members = written(members, "bucket-members")
         if members.isEmpty():
             break
-        pivot = members.groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("pivot"))
-        paired = members.join(pivot, ["band", "key"])
-        pairs = paired.where("node <> pivot").select("pivot", "node").distinct()
-        sims = written(similarities(pairs, sets, idf), "similarities")
-        links.append(sims.where(F.col("sim") >= threshold).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        roots = written(components(every), "components")
-        # what stays: members away from the pivot, and linked ones that may be near those
-        seen = paired.where("node <> pivot").join(sims, ["pivot", "node"])
-        away = seen.where(F.col("sim") < threshold).groupBy("band", "key").agg(F.max("sim").alias("nearest"))
-        left = seen.join(away, ["band", "key"]).where((F.col("sim") < threshold) | (F.col("sim") <= F.col("nearest") + 1 - threshold))
-        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "key", "node", "central", "root")
-        mixed = left.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-        members = left.drop("root").join(mixed, ["band", "key"])
+        bounds = overlap_bounds(sets.join(members.select("node").distinct(), "node", "left_semi"), idf)
+        members = written(_mixed(_possible(members, bounds, threshold)), "bucket-members")
+        size = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("most", "node"))["node"].alias("top"))
+        members = members.join(size, ["band", "key"])
+        chosen = F.pmod(F.xxhash64("node", F.lit(pivots)), F.greatest(F.lit(1), F.floor(F.col("n") / pivots))) == 0
+        members = written(members.withColumn("chosen", chosen | (F.col("node") == F.col("top"))).drop("n", "top"), "bucket-members")
+        mine = members.where("chosen").select("band", "key", F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("total").alias("p_total"), F.col("most").alias("p_most"))
+        pairs = members.join(mine, ["band", "key"]).where(
+            (F.col("root") != F.col("p_root")) & (~F.col("chosen") | (F.col("pivot") < F.col("node")))
+            & (F.least("most", "p_most") >= threshold / (1 + threshold) * (F.col("total") + F.col("p_total")) * (1 - 1e-6)))
+        sims = written(similarities(pairs.select("pivot", "node").distinct(), sets, idf), "similarities")
+        roots = _linked(roots, sims, threshold)
+        members = members.where(~F.col("chosen"))
+        pivots *= 8
     ids = docs.select(F.col(row_id).alias("id"), node_of(F.col(text)).alias("node"))
     ids = written(ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "document-nodes")
     ids = per_key(ids, ["root"], F.xxhash64("id", "node"), {"g": F.min("id")}, {"group_id": F.min("g")})
