@@ -67,7 +67,7 @@ def _decide(units: DataFrame, targets: DataFrame, seed: int, fills: int) -> Data
     """``units`` (``source, id, size, words``) with the target's columns and ``repeats``."""
     bits = max(4, (max(1, units.count()) - 1).bit_length() // 2)
     h = F.xxhash64(F.lit(seed), "id", "size")
-    rows = units.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    rows = units.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits)).withColumn("salt", F.pmod("h", F.lit(32)))
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     t = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source_size", "target")
     buckets = rows.groupBy("name", "none", "bucket").agg(F.sum("words").alias("s"))
@@ -80,11 +80,14 @@ def _decide(units: DataFrame, targets: DataFrame, seed: int, fills: int) -> Data
     rows = rows.withColumn("again", F.col("before") + upto <= F.col("part") + 1e-9)
     for _ in range(fills):
         rows = written(rows, "mix-units")
-        spread = rows.groupBy("name", "none", F.pmod("h", F.lit(32)).alias("salt"), "part").agg(F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).alias("s"))
-        rest = spread.groupBy("name", "none").agg((F.max("part") - F.sum("s")).alias("rest"))
-        fits = rows.where(~F.col("again") & (F.col("words") > 0)).join(rest, ["name", "none"]).where(F.col("words") <= F.col("rest") + 1e-9)
-        pick = fits.groupBy("name", "none").agg(F.max(F.struct("words", "h"))["h"].alias("pick"))
-        rows = rows.join(pick, ["name", "none"], "left").withColumn("again", F.col("again") | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))).drop("pick")
+        # a source's rows are summed and matched in 32 parts, so a hot one does not meet in one task
+        parts = rows.groupBy("name", "none", "salt").agg(F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).alias("s"), F.max("part").alias("part"))
+        rest = parts.groupBy("name", "none").agg((F.max("part") - F.sum("s")).alias("rest"))
+        rest = parts.select("name", "none", "salt").join(rest, ["name", "none"])
+        fits = rows.where(~F.col("again") & (F.col("words") > 0)).join(rest, ["name", "none", "salt"]).where(F.col("words") <= F.col("rest") + 1e-9)
+        pick = fits.groupBy("name", "none", "salt").agg(F.max(F.struct("words", "h")).alias("best")).groupBy("name", "none").agg(F.max("best")["h"].alias("pick"))
+        pick = parts.select("name", "none", "salt").join(pick, ["name", "none"])
+        rows = rows.join(pick, ["name", "none", "salt"], "left").withColumn("again", F.col("again") | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))).drop("pick")
     return rows.withColumn("repeats", (F.col("whole") + F.col("again").cast("long")).cast("int")).select("source", "id", "size", "source_size", "target", "repeats")
 
 
