@@ -26,6 +26,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,13 @@ from tabulyst.llm.files import create, own_name, reader
 BLOCK = 256
 SECTION = 1 << 20
 #: Words that an encoder remembers before it starts anew.
-MEMO = 400_000
+MEMO = 700_000
 MAGIC = b"PFOR1\n"
-_UNSAFE = re.compile(r"\s ")
-_UNSAFE_AFTER = re.compile(r" \s")
+_UNSAFE = re.compile(r"\s | \s")
+#: Letters, a sentence mark, and perhaps a line break and the same again: byte-level BPE never merges over these edges.
+_LETTERS = re.compile(r"( ?[^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+#: One encoder per Python worker, so that what it remembers serves its next tasks.
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -63,19 +67,21 @@ class Encoder:
 
     def _forget(self):
         self.places: dict[str, int] = {}
+        self.stems: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]):
-        fresh = list({p for p in pieces if p not in self.places})
-        if not fresh:
-            return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+    def _learn(self, fresh: list[str]):
+        """Encode new pieces, by their letters and the sentence marks and line breaks between them."""
+        parts = [m.groups() if (m := _LETTERS.fullmatch(p)) else (p,) for p in fresh]
+        new = [x for x in dict.fromkeys(x for xs in parts for x in xs if x) if x not in self.stems]
+        for lo in range(0, len(new), 4096):
+            some = new[lo: lo + 4096]
+            self.stems.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        got = [self.stems[xs[0]] if len(xs) == 1 else [i for x in xs if x for i in self.stems[x]] for xs in parts]
         self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
-        flat = np.fromiter((i for g in got for i in g), np.int64, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
+        self.ids = np.append(self.ids, np.array(list(chain.from_iterable(got)), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
@@ -85,17 +91,21 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _UNSAFE.search(text) or _UNSAFE_AFTER.search(text):
+            if _UNSAFE.search(text):
                 parts = [text]
             else:
-                parts = text.split(" ")
-                parts[1:] = [" " + p for p in parts[1:]]
+                # a mark before each space, which goes with the word after it
+                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
                 if not parts[0]:
                     del parts[0]
             pieces += parts
             lengths[i] = len(parts)
-        self._learn(pieces)
-        which = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        which = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            unknown = [pieces[i] for i in missing]
+            self._learn(list(dict.fromkeys(unknown)))
+            which[missing] = list(map(self.places.__getitem__, unknown))
         begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(size)
         out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
@@ -111,8 +121,8 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
         return {"low": np.zeros(0, "<u4"), "width": np.zeros(0, "u1"), "exceptions": np.zeros(0, "<u2"), "start": np.zeros(0, "<u8")}, b""
     padded = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1], ids.dtype)]).astype(np.int64).reshape(blocks, BLOCK)
     low = padded.min(axis=1)
-    rest = padded - low[:, None]
-    needs = np.frexp(rest.astype(np.float64))[1]  # bits of each difference
+    rest = (padded - low[:, None]).astype(np.uint32)
+    needs = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each difference
     width = np.sort(needs, axis=1)[:, min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)].astype(np.int64)
     out = needs > width[:, None]
     exceptions = out.sum(axis=1)
@@ -123,7 +133,8 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
         some = np.flatnonzero(width == w)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
-                bits = ((rest[part][:, :, None] >> np.arange(w)) & 1).astype(np.uint8)
+                # the low w of each value's 32 bits
+                bits = np.unpackbits(rest[part].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
                 raw[start[part][:, None] + np.arange(w * BLOCK // 8)] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
     block, place = np.nonzero(out)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
@@ -144,8 +155,9 @@ def unpack_blocks(index: dict[str, np.ndarray], raw: np.ndarray, base: int = 0)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
                 packed = raw[start[part][:, None] + np.arange(w * BLOCK // 8)]
-                bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
-                rest[part] = bits @ (1 << np.arange(w))
+                bits = np.zeros((len(part) * BLOCK, 32), np.uint8)
+                bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
+                rest[part] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
     block = np.repeat(np.arange(len(width)), exceptions)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
     at = start[block] + width[block] * (BLOCK // 8)
@@ -247,7 +259,12 @@ def write_tokens(docs: DataFrame, definition: str, row_id: str = "doc_id", text:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, file, path = Encoder(shared.value), None, own_name(folder, ".pfor")
+        file, path = None, own_name(folder, ".pfor")
+        key = str(hash(shared.value))
+        if key not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(shared.value)
+        encoder = _ENCODERS[key]
         held: list[tuple] = []
 
         def flush():
