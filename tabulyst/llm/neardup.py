@@ -21,9 +21,9 @@ together with the linked members that the triangle inequality (the
 weighted Jaccard distance is a metric) still allows to be near one of them. Then, round by round, a member
 leaves when the shingles that it shares with any other remaining node weigh too little for
 a similarity of the threshold, and a bucket leaves when all that stays lies in one component.
-What is left is verified against 8, 64, 512, ... pivots, between different components and
-where the bound allows it. A pivot leaves after its round, so no link between different components is lost
-inside a bucket and no partner is capped, and there are few rounds.
+What is left is verified against one in 64, then one in 8, then all of the nodes, each pair once, between
+different components and where the bound allows it. So no link between different components is lost
+inside a bucket and no partner is capped, while few nodes reach the last round.
 
 Scaling: texts are read twice for counts and draws and once for the candidates'
 shingles; shuffles carry draws, candidates and links only. A hot pivot's shingles are
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulyst.llm.common import checked_broadcast, per_key, written
+from tabulyst.llm.common import BROADCAST_ROWS, checked_broadcast, per_key, written
 from tabulyst.llm.hashing import mix64, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -209,8 +209,8 @@ def similarities(pairs: DataFrame, sets: DataFrame, idf: np.ndarray) -> DataFram
             yield pa.record_batch([b.column("pivot"), b.column("node"), pa.array(sims, pa.float64())], ["pivot", "node", "sim"])
 
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
-    pivots = salted.select("pivot", "salt").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("a")), "pivot")
-    members = salted.join(sets.withColumnRenamed("set", "b"), "node")
+    pivots = checked_broadcast(written(salted.select("pivot", "salt").distinct(), "pivots")).join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("a")), "pivot")
+    members = checked_broadcast(salted).join(sets.withColumnRenamed("set", "b"), "node")
     both = members.join(pivots, ["pivot", "salt"]).select("pivot", "node", "a", "b")
     return both.mapInArrow(score, "pivot binary, node binary, sim double")
 
@@ -221,13 +221,14 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star contraction: each step points a node's neighbours at its
     least neighbour; steps repeat until the links no longer change.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u")
-        large = large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        hint = F.broadcast if edges.count() <= BROADCAST_ROWS // 2 else (lambda x: x)
+        large = both.join(hint(both.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        large = written(large.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v"), "links")
+        small = large.join(hint(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         edges = written(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                         .select("e.*").where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -301,8 +302,8 @@ def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
     spark = docs.sparkSession
     idf = shingle_idf(docs, text, rare, strength)
     sig = written(signatures(docs, text, idf, bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
-    members = sig.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1")
+    members = sig.select("node", "keys", F.posexplode("keys").alias("band", "key"))
+    shared = members.drop("keys").groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1")
     members = written(members.join(shared, ["band", "key"]), "bucket-members")
     central = members.groupBy("node").agg(F.sum("company").alias("central"))
     members = members.drop("company").join(central, "node")
@@ -311,32 +312,33 @@ def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
     # the first round: one pivot per bucket
     pivot = members.groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("pivot"))
     paired = written(members.join(pivot, ["band", "key"]).where("node <> pivot"), "bucket-pairs")
-    sims = written(similarities(paired.select("pivot", "node").distinct(), sets, idf), "similarities")
+    pairs = written(paired.select("pivot", "node").distinct(), "pairs")
+    sims = written(similarities(pairs, sets, idf), "similarities")
     roots = _linked(roots, sims, threshold)
     # what stays: members away from the pivot, and linked ones that may be near those
     seen = paired.join(sims, ["pivot", "node"])
     away = seen.where(F.col("sim") < threshold).groupBy("band", "key").agg(F.max("sim").alias("nearest"))
     members = seen.join(away, ["band", "key"]).where((F.col("sim") < threshold) | (F.col("sim") <= F.col("nearest") + 1 - threshold))
-    pivots = 8
-    while True:
-        members = _mixed(members.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        members = written(members, "bucket-members")
+    for every in (64, 8, 1):
+        members = members.select("band", "key", "node", "keys").join(checked_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = written(_mixed(members), "bucket-members")
         if members.isEmpty():
             break
         bounds = overlap_bounds(sets.join(members.select("node").distinct(), "node", "left_semi"), idf)
-        members = written(_mixed(_possible(members, bounds, threshold)), "bucket-members")
-        size = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("most", "node"))["node"].alias("top"))
-        members = members.join(size, ["band", "key"])
-        chosen = F.pmod(F.xxhash64("node", F.lit(pivots)), F.greatest(F.lit(1), F.floor(F.col("n") / pivots))) == 0
-        members = written(members.withColumn("chosen", chosen | (F.col("node") == F.col("top"))).drop("n", "top"), "bucket-members")
-        mine = members.where("chosen").select("band", "key", F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("total").alias("p_total"), F.col("most").alias("p_most"))
-        pairs = members.join(mine, ["band", "key"]).where(
-            (F.col("root") != F.col("p_root")) & (~F.col("chosen") | (F.col("pivot") < F.col("node")))
+        members = _mixed(_possible(members, bounds, threshold))
+        both = written(members.withColumn("chosen", F.pmod(F.xxhash64("node"), F.lit(every)) == 0), "bucket-members")
+        mine = checked_broadcast(both.where("chosen")).select("band", "key", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "keys", "total", "most")])
+        # a pair that shares several buckets comes from the first
+        band = F.array_position(F.zip_with("keys", "p_keys", lambda x, y: x == y), True) - 1
+        members = both.where(~F.col("chosen"))
+        pairs = both.join(mine, ["band", "key"]).where(
+            (F.col("root") != F.col("p_root")) & (~F.col("chosen") | (F.col("p_node") < F.col("node"))) & (band == F.col("band"))
             & (F.least("most", "p_most") >= threshold / (1 + threshold) * (F.col("total") + F.col("p_total")) * (1 - 1e-6)))
-        sims = written(similarities(pairs.select("pivot", "node").distinct(), sets, idf), "similarities")
+        pairs = written(pairs.select(F.col("p_node").alias("pivot"), "node"), "pairs")
+        if pairs.isEmpty():
+            continue
+        sims = written(similarities(pairs, sets, idf), "similarities")
         roots = _linked(roots, sims, threshold)
-        members = members.where(~F.col("chosen"))
-        pivots *= 8
     ids = docs.select(F.col(row_id).alias("id"), node_of(F.col(text)).alias("node"))
     ids = written(ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "document-nodes")
     ids = per_key(ids, ["root"], F.xxhash64("id", "node"), {"g": F.min("id")}, {"group_id": F.min("g")})
