@@ -21,6 +21,7 @@ ordered by the text's hash; an empty table gives no files and an empty result; c
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -67,7 +68,7 @@ class Encoder:
 
     def _forget(self):
         self.places: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
+        self.stems: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
 
@@ -77,8 +78,8 @@ class Encoder:
         new = [x for x in dict.fromkeys(x for xs in parts for x in xs if x) if x not in self.stems]
         for lo in range(0, len(new), 4096):
             some = new[lo: lo + 4096]
-            self.stems.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        got = [self.stems[xs[0]] if len(xs) == 1 else [i for x in xs if x for i in self.stems[x]] for xs in parts]
+            self.stems.update(zip(some, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        got = [self.stems[xs[0]] if len(xs) == 1 else tuple(i for x in xs if x for i in self.stems[x]) for xs in parts]
         self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
         self.ids = np.append(self.ids, np.array(list(chain.from_iterable(got)), np.int64))
@@ -104,7 +105,12 @@ class Encoder:
         missing = np.flatnonzero(which < 0)
         if len(missing):
             unknown = [pieces[i] for i in missing]
-            self._learn(list(dict.fromkeys(unknown)))
+            # the collector would walk all remembered lists again and again; there are no cycles among them
+            gc.disable()
+            try:
+                self._learn(list(dict.fromkeys(unknown)))
+            finally:
+                gc.enable()
             which[missing] = list(map(self.places.__getitem__, unknown))
         begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(size)
