@@ -65,7 +65,7 @@ def zscore_scores(df: DataFrame, cols: list[str], threshold: float = 3.0) -> Dat
     """Adds ``is_anomaly`` (any |z| > threshold) and ``anomaly_score`` (max |z|, 4 dp)."""
     zs = _z_exprs(df, cols)
     return df.select("*", _any([z > threshold for z in zs]).alias("is_anomaly"),
-                     F.round(F.greatest(*zs, F.lit(None).cast("double")), 4).alias("anomaly_score"))
+                     F.round(F.greatest(*zs, F.lit(None).cast("double"), F.lit(None).cast("double")), 4).alias("anomaly_score"))
 
 
 def iqr_scores(df: DataFrame, cols: list[str], quart: dict | None = None, **qkw) -> DataFrame:
@@ -81,7 +81,7 @@ def iqr_scores(df: DataFrame, cols: list[str], quart: dict | None = None, **qkw)
         flags += [F.col(c) < q1 - IQR_K * iqr, F.col(c) > q3 + IQR_K * iqr]
         devs.append(F.abs(F.col(c) - F.lit(med)) / F.lit(iqr + IQR_EPS))
     return df.select("*", _any(flags).alias("is_anomaly"),
-                     F.round(F.greatest(*devs, F.lit(None).cast("double")), 4).alias("anomaly_score"))
+                     F.round(F.greatest(*devs, F.lit(None).cast("double"), F.lit(None).cast("double")), 4).alias("anomaly_score"))
 
 
 def column_stats(df: DataFrame, cols: list[str], quart: dict | None = None, **qkw) -> DataFrame:

@@ -156,16 +156,16 @@ def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed
             ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt)),
             ("Logistic Regression", LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1),
                                                        elasticNetParam=0.0, standardization=False)),
-            ("Decision Tree", DecisionTreeClassifier(maxDepth=10, seed=seed)),
+            ("Decision Tree", DecisionTreeClassifier(maxDepth=10, maxBins=128, seed=seed)),
         ]
     ridge = (sd_y or 0.0) / max(n_train, 1)
     return [
-        ("Random Forest", RandomForestRegressor(numTrees=100, maxDepth=RF_DEPTH, seed=seed)),
+        ("Random Forest", RandomForestRegressor(numTrees=100, maxDepth=RF_DEPTH, featureSubsetStrategy="all", seed=seed)),
         ("Gradient Boosting", GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)),
         ("Linear Regression", LinearRegression(regParam=0.0, solver="normal")),
         ("Ridge Regression", LinearRegression(regParam=ridge, elasticNetParam=0.0, standardization=False)),
         ("Lasso Regression", LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=5000)),
-        ("Decision Tree", DecisionTreeRegressor(maxDepth=10, seed=seed)),
+        ("Decision Tree", DecisionTreeRegressor(maxDepth=10, maxBins=128, seed=seed)),
     ]
 
 
@@ -209,7 +209,7 @@ def automl(df: DataFrame, target: str, features: list[str] | None = None, test_s
             fitted = est.fit(train)
             return name, float(ev.evaluate(fitted.transform(test))), fitted, None
         except Exception as exc:  # noqa: BLE001 - one failing model is a leaderboard row
-            return name, None, None, str(exc)[:500]
+            return name, None, None, str(exc)
 
     # models are independent Spark jobs: fit them concurrently (like ML tuning's ``parallelism``)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -243,7 +243,8 @@ def feature_importance(df: DataFrame, target: str, top_n: int = 10, features: li
         types = {f.name: f.dataType for f in df.schema.fields}
         features = [c for c in features if c in types and is_numeric_type(types[c])]
     data, names, is_cls, _ = _prepare(df, target, features, dummies=False)
-    est = (RandomForestClassifier if is_cls else RandomForestRegressor)(numTrees=100, maxDepth=RF_DEPTH, seed=seed)
+    est = (RandomForestClassifier if is_cls else RandomForestRegressor)(
+        numTrees=100, maxDepth=RF_DEPTH, featureSubsetStrategy="auto" if is_cls else "all", seed=seed)
     model = est.fit(data)
     table = _rank_table(spark, importances(model, names))
     top = table.where(F.col("rank") <= top_n)

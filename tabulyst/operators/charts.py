@@ -24,7 +24,6 @@ TREND_POINTS = 50
 SCATTER_POINTS = 100
 PREVIEW_COLUMNS = 8
 PREVIEW_ROWS = 20
-DATE_PROBE = 10
 
 
 def _order(df: DataFrame, order_by: list[str] | None) -> list[Column]:
@@ -105,16 +104,19 @@ def dashboard_tables(df: DataFrame, target: str = "", order_by: list[str] | None
                   scatter=scatter(df, order_by), preview=preview(df, order_by), info=info)
 
 
-def date_columns(df: DataFrame, probe: int = DATE_PROBE) -> list[str]:
-    """Date/timestamp typed columns, plus text columns whose first ``probe`` values all parse."""
+def date_columns(df: DataFrame) -> list[str]:
+    """Date/timestamp typed columns, plus text columns all of whose values parse (one aggregate)."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    parsed = df.agg(F.lit(0).alias("none"), *[
+        F.min(F.when(F.col(f"`{c}`").isNotNull(), F.try_to_timestamp(F.col(f"`{c}`")).isNotNull().cast("int"))).alias(f"c{i}")
+        for i, c in enumerate(texts)]).first()
+    dates = {c for i, c in enumerate(texts) if parsed[f"c{i}"] == 1}
     out = []
     for f in df.schema.fields:
         if is_date_type(f.dataType):
             out.append(f.name)
         elif isinstance(f.dataType, T.StringType):
-            vals = df.where(F.col(f.name).isNotNull()).select(
-                F.try_to_timestamp(F.col(f.name)).isNotNull().alias("ok")).limit(probe).collect()
-            if vals and all(r["ok"] for r in vals):
+            if f.name in dates:
                 out.append(f.name)
     return out
 

@@ -90,7 +90,7 @@ def fill_categorical(df: DataFrame, how: str = "mode", cols: list[str] | None =
     if how == "drop":
         return drop_nulls(df, cols)
     found = {r["column"]: r["mode"] for r in modes(cell_counts(df, cols)).collect()} if how == "mode" else {}
-    return df.fillna({c: found.get(c) or UNKNOWN for c in cols})
+    return df.fillna({c: UNKNOWN if found.get(c) is None else found[c] for c in cols})
 
 
 # ``clean`` takes options named like these functions; it calls them through aliases

@@ -115,11 +115,11 @@ def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple
          .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c")).persist())
     tot = {r["pair"]: r for r in w.groupBy("pair").agg(
         F.sum("c").alias("n"), F.max("X").alias("mx"), F.max("Y").alias("my"),
-        F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3")).collect()}
+        F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("n3")).collect()}
 
     def ties(key):
         return {r["pair"]: r["t"] or 0 for r in w.groupBy("pair", key).agg(F.sum("c").alias("t"))
-                .groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("t")).collect()}
+                .groupBy("pair").agg(F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("t")).collect()}
 
     n1, n2 = ties("X"), ties("Y")
     # bit levels per pair (a literal map: one entry per pair)
@@ -137,7 +137,7 @@ def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple
              .groupBy("pair", "bx", "by", F.expr("X >> (bx + 1)").alias("gx"), F.expr("Y >> (by + 1)").alias("gy"))
              .agg(F.sum(F.when((bitx == 0) & (bity == 1), F.col("c")).otherwise(0)).alias("a"),
                   F.sum(F.when((bitx == 1) & (bity == 0), F.col("c")).otherwise(0)).alias("b")))
-    disc = {r["pair"]: r["d"] or 0 for r in cells.groupBy("pair").agg(F.sum(F.col("a") * F.col("b")).alias("d")).collect()}
+    disc = {r["pair"]: r["d"] or 0 for r in cells.groupBy("pair").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("d")).collect()}
     w.unpersist()
     out: dict[tuple[str, str], float | None] = {}
     for p, key in enumerate(pairs):

@@ -50,15 +50,16 @@ TRAIN_SHARE = 0.8
 MIN_POINTS = 20
 
 
-def prepare_series(df: DataFrame, date: str, value: str, keys: list[str] | None = None) -> DataFrame:
-    """``(keys..., ds, y)`` with ds a date, y a double, rows with gaps dropped."""
+def prepare_series(df: DataFrame, date: str, value: str, keys: list[str] | None = None, keep_time: bool = False) -> DataFrame:
+    """``(keys..., ds, y)`` with ds a date, y a double, rows with gaps dropped; ``keep_time`` adds the full timestamp ``ts``."""
     keys = list(keys or [])
     require_columns(df, date, value, *keys)
     dt = df.schema[date].dataType
-    ds = F.col(date).cast("date") if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) \
-        else F.to_date(F.try_to_timestamp(F.col(date).cast("string")))
+    ts = F.col(date).cast("timestamp") if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) \
+        else F.try_to_timestamp(F.col(date).cast("string"))
     y = F.col(value).cast("double")
-    return (df.select(*keys, ds.alias("ds"), F.when(F.isnan(y), None).otherwise(y).alias("y"))
+    return (df.select(*keys, F.to_date(ts).alias("ds"), F.when(F.isnan(y), None).otherwise(y).alias("y"),
+                      *([ts.alias("ts")] if keep_time else []))
             .dropna(subset=["ds", "y"]))
 
 
@@ -173,9 +174,11 @@ def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval:
 
 
 def holdout_mape(series: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys..., mape)``: mean |(y - yhat) / y| over holdout rows (a fraction, not percent)."""
+    """``(keys..., mape)``: mean |(y - yhat) / y| over holdout rows (a fraction, not percent);
+    a missed zero makes it infinite."""
     return (series.join(test.select(*keys, "ds", "yhat"), [*keys, "ds"])
-            .groupBy(*keys).agg(F.avg(F.abs((F.col("y") - F.col("yhat")) / F.col("y"))).alias("mape")))
+            .groupBy(*keys).agg(F.avg(F.when(F.col("y") != 0, F.abs((F.col("y") - F.col("yhat")) / F.col("y")))
+                                      .when(F.col("yhat") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("mape")))
 
 
 def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: list[str], periods: int,
@@ -186,7 +189,7 @@ def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: li
     proj = fc.withColumn("__r", F.row_number().over(wk)).where(F.col("__r") == 1).select(
         *keys, F.col("yhat").alias("projected_value"))
     latest = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("historical_points"),
-                                       F.max_by("y", "ds").alias("latest_value"))
+                                       F.max_by("y", F.struct("ts", "y")).alias("latest_value"))
     return latest.join(proj, keys).join(mape, keys, "left").select(
         *keys, "historical_points", "latest_value", "projected_value",
         F.when(F.col("latest_value") != 0,
@@ -201,7 +204,7 @@ def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None
     (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE) and
     ``skipped`` (series with fewer than ``min_points`` rows)."""
     user_keys = list(keys or [])
-    series = prepare_series(df, date, value, user_keys)
+    series = prepare_series(df, date, value, user_keys, keep_time=True)
     keys = user_keys or ["__one"]  # a keyless call is one series under a constant key
     if not user_keys:
         series = series.withColumn("__one", F.lit(0))

@@ -25,7 +25,6 @@ from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.result import Tables
 from tabulyst.sources.schema import approx_size, categorical_columns, column_types, numeric_columns, table_shape
 
-STATISTICS_COLUMNS = 10  # fixed value: the profile describes the first 10 numeric columns
 
 
 def _is_null(df: DataFrame, name: str) -> Column:
@@ -179,11 +178,11 @@ def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
                     "mean", "std", "min", "max"))
 
 
-def profile(df: DataFrame, kind: str = "full", **qkw) -> Tables:
+def profile(df: DataFrame, kind: str = "full", statistics_columns: int | None = None, **qkw) -> Tables:
     """Dataset analysis: ``full`` / ``quality`` / ``statistics`` / ``quick``.
 
     Tables: ``shape``, ``types`` always; ``quality`` and ``missing`` for full/quality;
-    ``statistics`` (first 10 numeric columns) for full/statistics.
+    ``statistics`` (all numeric columns, or the first ``statistics_columns``) for full/statistics.
     """
     if kind not in ("full", "quality", "statistics", "quick"):
         raise ValueError(f"unknown analysis kind: {kind}")
@@ -192,7 +191,7 @@ def profile(df: DataFrame, kind: str = "full", **qkw) -> Tables:
         out["quality"] = quality_summary(df).drop("rows")
         out["missing"] = missing_by_column(df)
     if kind in ("full", "statistics"):
-        out["statistics"] = describe_numeric(df, limit=STATISTICS_COLUMNS, **qkw)
+        out["statistics"] = describe_numeric(df, limit=statistics_columns, **qkw)
     return out
 
 

@@ -65,7 +65,19 @@ def table_ddl(df: DataFrame, name: str = "dataset", order_by: list[str] | None =
 
 
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
-    """Run SQL over the given DataFrames registered as temporary views."""
+    """Run SQL over the given DataFrames as views that exist during this call alone.
+
+    The result is resolved before they go; a caller's view of the same name comes back.
+    """
+    views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in views}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)

@@ -85,8 +85,7 @@ def automl_leaderboard(spark, sf_dir):
 
 @register("automl_best")
 def automl_best(spark, sf_dir):
-    return ML.automl(view(spark, sf_dir, "lineitem_target"), "target",
-                     models=["Linear Regression", "Ridge Regression", "Lasso Regression", "Decision Tree"]).best
+    return ML.automl(view(spark, sf_dir, "lineitem_target"), "target").best
 
 
 @register("automl_classification")

@@ -30,7 +30,7 @@ def foreach_batch_tables(stream: DataFrame, operator: Callable[..., dict], out_d
             if tables and name not in tables:
                 continue
             (table.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-             .write.mode("append").partitionBy("batch_id").parquet(f"{out_dir.rstrip('/')}/{name}"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir.rstrip('/')}/{name}"))
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
