@@ -46,6 +46,9 @@ MAGIC = b"PFOR1\n"
 _UNSAFE = re.compile(r"\s | \s")
 #: Letters, a sentence mark, and perhaps a line break and the same again: byte-level BPE never merges over these edges.
 _LETTERS = re.compile(r"( ?[^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+# Fixed values of byte-level BPE: printable bytes stand for themselves, the others for the code points from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512))))
 #: One encoder per Python worker, so that what it remembers serves its next tasks.
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -64,22 +67,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        rules = json.loads(definition)
+        before = rules.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        #: The library's merges alone, for runs of letters, which its pattern never cuts; None for other kinds of tokenizers.
+        self.model = self.tokenizer.model if plain and not rules.get("normalizer") else None
         self._forget()
 
     def _forget(self):
         self.places: dict[str, int] = {}
-        self.stems: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
 
+    def _whole(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for lo in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[lo: lo + 4096], add_special_tokens=False)]
+
+    def _letters(self, part: str) -> list[int]:
+        """Ids of one run of letters, perhaps after a space."""
+        if not (part[1:] if part[0] == " " else part).isalpha():  # numerals such as fractions are words to `re`
+            return self._whole([part])[0]
+        if part.isascii():
+            part = part.replace(" ", _ALPHABET[32])
+        else:
+            part = part.encode().decode("latin-1").translate(_ALPHABET)
+        return [t.id for t in self.model.tokenize(part)]
+
     def _learn(self, fresh: list[str]):
         """Encode new pieces, by their letters and the sentence marks and line breaks between them."""
-        parts = [m.groups() if (m := _LETTERS.fullmatch(p)) else (p,) for p in fresh]
-        new = [x for x in dict.fromkeys(x for xs in parts for x in xs if x) if x not in self.stems]
-        for lo in range(0, len(new), 4096):
-            some = new[lo: lo + 4096]
-            self.stems.update(zip(some, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        got = [self.stems[xs[0]] if len(xs) == 1 else tuple(i for x in xs if x for i in self.stems[x]) for xs in parts]
+        got: list[list[int]] = []
+        other = []
+        mark = dict(zip(".,\n", self._whole([".", ",", "\n"]))) | {"": []}
+        for piece in fresh:
+            m = _LETTERS.fullmatch(piece) if self.model is not None else None
+            if m is None:
+                other.append(len(got))
+                got.append([])
+                continue
+            first, stop, line, second, end = m.groups()
+            ids = self._letters(first) + mark[stop]
+            if line:
+                ids += mark[line] + self._letters(second) + mark[end]
+            got.append(ids)
+        for place, ids in zip(other, self._whole([fresh[i] for i in other])):
+            got[place] = ids
         self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
         self.ids = np.append(self.ids, np.array(list(chain.from_iterable(got)), np.int64))
