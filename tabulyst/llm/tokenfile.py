@@ -27,7 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,14 @@ from tabulyst.llm.files import create, own_name, reader
 
 BLOCK = 256
 SECTION = 1 << 20
-#: Words that an encoder remembers before it starts anew.
-MEMO = 700_000
+#: Words, and characters in them, that an encoder remembers before it starts anew.
+MEMO, MEMO_CHARS = 700_000, 1 << 25
 MAGIC = b"PFOR1\n"
 _UNSAFE = re.compile(r"\s | \s")
+#: A space between two characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, a sentence mark, and perhaps a line break and the same again: byte-level BPE never merges over these edges.
-_LETTERS = re.compile(r"( ?[^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+_LETTERS = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
 # Fixed values of byte-level BPE: printable bytes stand for themselves, the others for the code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512))))
@@ -53,12 +55,19 @@ _ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, ra
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class _Places(dict):
+    """Numbers pieces in the order of their first look-up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        return place
+
+
 class Encoder:
     """Encodes texts with a ``tokenizers`` file; repeated words are encoded once.
 
     Byte-level BPE never merges over a single space between two characters that are no
-    white space, so such texts are cut there. Texts with a space next to other
-    white space are encoded whole.
+    white space, so texts are cut there; the space goes with the piece after it.
     """
 
     def __init__(self, definition: str):
@@ -75,22 +84,21 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.places: dict[str, int] = {}
+        self.places = _Places()
+        self.chars = 0
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
 
     def _whole(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for lo in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[lo: lo + 4096], add_special_tokens=False)]
 
-    def _letters(self, part: str) -> list[int]:
+    def _letters(self, word: str, space: bool) -> list[int]:
         """Ids of one run of letters, perhaps after a space."""
-        if not (part[1:] if part[0] == " " else part).isalpha():  # numerals such as fractions are words to `re`
-            return self._whole([part])[0]
-        if part.isascii():
-            part = part.replace(" ", _ALPHABET[32])
-        else:
-            part = part.encode().decode("latin-1").translate(_ALPHABET)
-        return [t.id for t in self.model.tokenize(part)]
+        if not word.isalpha():  # numerals such as fractions are words to `re`
+            return self._whole([" " + word if space else word])[0]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_ALPHABET)
+        return [t.id for t in self.model.tokenize(_ALPHABET[32] + word if space else word)]
 
     def _learn(self, fresh: list[str]):
         """Encode new pieces, by their letters and the sentence marks and line breaks between them."""
@@ -98,50 +106,57 @@ class Encoder:
         other = []
         mark = dict(zip(".,\n", self._whole([".", ",", "\n"]))) | {"": []}
         for piece in fresh:
-            m = _LETTERS.fullmatch(piece) if self.model is not None else None
+            space = piece[:1] != " "
+            word = piece if space else piece[1:]
+            if self.model is None:
+                m = None
+            elif word.isalpha():
+                got.append(self._letters(word, space))
+                continue
+            else:
+                m = _LETTERS.fullmatch(word)
             if m is None:
-                other.append(len(got))
+                other.append((len(got), " " + word if space else word))
                 got.append([])
                 continue
             first, stop, line, second, end = m.groups()
-            ids = self._letters(first) + mark[stop]
+            ids = self._letters(first, space) + mark[stop]
             if line:
-                ids += mark[line] + self._letters(second) + mark[end]
+                ids += mark[line] + self._letters(second, False) + mark[end]
             got.append(ids)
-        for place, ids in zip(other, self._whole([fresh[i] for i in other])):
+        for (place, _), ids in zip(other, self._whole([piece for _, piece in other])):
             got[place] = ids
-        self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh))))
+        self.chars += sum(map(len, fresh))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
-        self.ids = np.append(self.ids, np.array(list(chain.from_iterable(got)), np.int64))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        if len(self.places) > MEMO:
+        if len(self.places) > MEMO or self.chars > MEMO_CHARS:
             self._forget()
         pieces, lengths = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _UNSAFE.search(text):
-                parts = [text]
+            # the first tests are quicker; together they find every text that the pattern finds
+            doubtful = "  " in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable()
+            parts = _CUT.split(text) if doubtful and _UNSAFE.search(text) else text.split(" ")
+            # all pieces lost their space but the first, which has none and gets one as its mark
+            if parts[0]:
+                parts[0] = " " + parts[0]
             else:
-                # a mark before each space, which goes with the word after it
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-                if not parts[0]:
-                    del parts[0]
+                del parts[0]
             pieces += parts
             lengths[i] = len(parts)
-        which = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            unknown = [pieces[i] for i in missing]
-            # the collector would walk all remembered lists again and again; there are no cycles among them
-            gc.disable()
-            try:
-                self._learn(list(dict.fromkeys(unknown)))
-            finally:
-                gc.enable()
-            which[missing] = list(map(self.places.__getitem__, unknown))
+        known = len(self.places)
+        # the collector would walk all remembered pieces again and again; there are no cycles among them
+        gc.disable()
+        try:
+            which = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+            if len(self.places) > known:
+                self._learn(list(islice(reversed(self.places), len(self.places) - known))[::-1])
+        finally:
+            gc.enable()
         begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(size)
         out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
@@ -149,6 +164,11 @@ class Encoder:
         return out, np.diff(edges)
 
 
+def _holding(width: int) -> np.dtype:
+    """The narrowest unsigned integer type of ``width`` bits or more."""
+    return np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np.ndarray], bytes]:
     """Blocks of ids: (index arrays ``low, width, exceptions, start``, bytes)."""
     n = len(ids)
@@ -159,7 +179,8 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
     low = padded.min(axis=1)
     rest = (padded - low[:, None]).astype(np.uint32)
     needs = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each difference
-    width = np.sort(needs, axis=1)[:, min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)].astype(np.int64)
+    place = min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)
+    width = np.partition(needs, place, axis=1)[:, place].astype(np.int64)
     out = needs > width[:, None]
     exceptions = out.sum(axis=1)
     sizes = width * (BLOCK // 8) + 5 * exceptions
@@ -169,8 +190,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
         some = np.flatnonzero(width == w)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
-                # the low w of each value's 32 bits
-                bits = np.unpackbits(rest[part].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
+                # the low w bits of each value
+                kind = _holding(w)
+                bits = np.unpackbits(rest[part].astype(kind).view(np.uint8).reshape(-1, kind.itemsize), axis=1, bitorder="little")[:, :w]
                 raw[start[part][:, None] + np.arange(w * BLOCK // 8)] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
     block, place = np.nonzero(out)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
@@ -191,9 +213,10 @@ def unpack_blocks(index: dict[str, np.ndarray], raw: np.ndarray, base: int = 0)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
                 packed = raw[start[part][:, None] + np.arange(w * BLOCK // 8)]
-                bits = np.zeros((len(part) * BLOCK, 32), np.uint8)
+                kind = _holding(w)
+                bits = np.zeros((len(part) * BLOCK, 8 * kind.itemsize), np.uint8)
                 bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
-                rest[part] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
+                rest[part] = np.packbits(bits, axis=1, bitorder="little").view(kind).reshape(-1, BLOCK)
     block = np.repeat(np.arange(len(width)), exceptions)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
     at = start[block] + width[block] * (BLOCK // 8)
