@@ -125,68 +125,82 @@ def date_columns_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c,) for c in date_columns(df)], "column string")
 
 
-def suggest_charts(df: DataFrame, target: str = "", max_suggestions: int = 8) -> Tables:
-    """Ranked chart suggestions from column roles; ``suggestions`` and ``profile`` tables."""
-    spark = df.sparkSession
-    nums = numeric_columns(df)
-    texts = text_columns(df)
+# What each chart is for, the roles and category counts it needs, and its texts.
+# ``x``/``y`` name a role and how many of its columns are tried; a quoted text is used as it is. ``target`` is the
+# caller's target column. ``needs`` is a condition on the columns of the joined rows. ``{x}``, ``{y}``, ``{k}`` (values of x) and ``{n}`` (numeric columns) fill the rationale.
+CHART_RULES = """
+rank | chart_type | x | y | needs | rationale | use_case | priority
+1 | Line Chart | date 2 | numeric 2 | | '{x}' is a date column — line chart shows trend over time for '{y}'. | Trend analysis, time series visualization | high
+2 | Bar Chart | category 2 | numeric 1 | k <= 20 | '{x}' has {k} categories — bar chart compares '{y}' across groups. | Category comparison, ranking | high
+3 | Scatter Plot | numeric 1 | numeric 2 | y_place = x_place + 1 | Both columns are numeric — scatter reveals correlation between '{x}' and '{y}'. | Correlation analysis, outlier detection | high
+4 | Histogram | numeric 3 | "frequency" | | '{x}' is numeric — histogram shows its distribution and skewness. | Distribution analysis, outlier spotting | medium
+5 | Doughnut Chart | category 2 | "count" | k between 2 and 8 | '{x}' has {k} categories — doughnut shows proportional share. | Part-to-whole relationships, market share | medium
+6 | Correlation Heatmap | "all numeric columns" | "all numeric columns" | n >= 3 | Dataset has {n} numeric columns — heatmap reveals all pairwise correlations at once. | Feature selection, multicollinearity detection | medium
+7 | Box Plot | category 1 | numeric 1 | | Shows distribution spread and outliers of '{y}' per '{x}' group. | Outlier detection, group distribution comparison | medium
+8 | Scatter Plot | numeric 3 | target 1 | x_column <> y_column | Shows relationship between '{x}' and your target '{y}'. Useful for feature analysis. | Feature vs target relationship, regression visualization | high
+"""
+
+
+def _chart_rules(spark) -> DataFrame:
+    """The rule table, one row per chart, with the sides split into role and number of columns."""
+    head, *lines = [[cell.strip() for cell in line.split("|")] for line in CHART_RULES.strip().splitlines()]
+    rules = spark.createDataFrame([tuple(line) for line in lines], ", ".join(f"{c} string" for c in head))
+    for side in ("x", "y"):
+        quoted = F.col(side).startswith('"')
+        rules = rules.withColumns({
+            f"{side}_text": F.when(quoted, F.trim(F.col(side), F.lit('"'))),
+            f"{side}_role": F.when(quoted, F.lit("text")).otherwise(F.split_part(F.col(side), F.lit(" "), F.lit(1))),
+            f"{side}_most": F.when(quoted, F.lit(1)).otherwise(F.try_element_at(F.split(F.col(side), " "), F.lit(2)).cast("int"))})
+    return rules.withColumn("rank", F.col("rank").cast("int"))
+
+
+def column_roles_profile(df: DataFrame, target: str = "") -> DataFrame:
+    """``(role, column, ordinal, k)``: columns by chart role in order; ``k`` counts a category's values."""
     dates = date_columns(df)
-    cats = [c for c in texts if c not in dates]
-    probe = cats[:2]
-    uniq = {r["column"]: int(r["unique_values"]) for r in nunique(cell_counts(df, probe)).collect()} if probe else {}
-    s: list[tuple] = []
-
-    def add(rank, chart, x, y, why, use, prio):
-        s.append((rank, chart, x, y, why, use, prio))
-
-    if dates and nums:
-        for d in dates[:2]:
-            for n in nums[:2]:
-                add(1, "Line Chart", d, n, f"'{d}' is a date column — line chart shows trend over time for '{n}'.",
-                    "Trend analysis, time series visualization", "high")
-    if cats and nums:
-        for c in cats[:2]:
-            k = uniq.get(c, 0)
-            if k <= 20:
-                add(2, "Bar Chart", c, nums[0], f"'{c}' has {k} categories — bar chart compares '{nums[0]}' across groups.",
-                    "Category comparison, ranking", "high")
-    if len(nums) >= 2:
-        add(3, "Scatter Plot", nums[0], nums[1],
-            f"Both columns are numeric — scatter reveals correlation between '{nums[0]}' and '{nums[1]}'.",
-            "Correlation analysis, outlier detection", "high")
-    for c in nums[:3]:
-        add(4, "Histogram", c, "frequency", f"'{c}' is numeric — histogram shows its distribution and skewness.",
-            "Distribution analysis, outlier spotting", "medium")
-    for c in cats[:2]:
-        k = uniq.get(c, 0)
-        if 2 <= k <= 8:
-            add(5, "Doughnut Chart", c, "count", f"'{c}' has {k} categories — doughnut shows proportional share.",
-                "Part-to-whole relationships, market share", "medium")
-    if len(nums) >= 3:
-        add(6, "Correlation Heatmap", "all numeric columns", "all numeric columns",
-            f"Dataset has {len(nums)} numeric columns — heatmap reveals all pairwise correlations at once.",
-            "Feature selection, multicollinearity detection", "medium")
-    if nums and cats:
-        add(7, "Box Plot", cats[0], nums[0],
-            f"Shows distribution spread and outliers of '{nums[0]}' per '{cats[0]}' group.",
-            "Outlier detection, group distribution comparison", "medium")
-    if target and target in nums:
-        for c in nums[:3]:
-            if c != target:
-                add(8, "Scatter Plot", c, target,
-                    f"Shows relationship between '{c}' and your target '{target}'. Useful for feature analysis.",
-                    "Feature vs target relationship, regression visualization", "high")
-    seen, final = set(), []
-    for row in s:
-        key = (row[1], row[2], row[3])
-        if key not in seen:
-            seen.add(key)
-            final.append(row)
-    final = final[:max_suggestions]
-    sug = spark.createDataFrame([(i + 1,) + r for i, r in enumerate(final)],
-                                "position int, rank int, chart_type string, x_column string, y_column string, "
-                                "rationale string, use_case string, priority string")
-    prof = spark.createDataFrame(
-        [("numeric", c) for c in nums] + [("categorical", c) for c in cats] + [("date", c) for c in dates],
-        "role string, column string")
-    return Tables(suggestions=sug, profile=prof)
+    categories = [c for c in text_columns(df) if c not in dates]
+    numbers = numeric_columns(df)
+    roles = {"numeric": numbers, "category": categories, "date": dates, "target": [c for c in numbers if c == target], "text": [""]}
+    listed = [(role, c, i) for role, names in roles.items() for i, c in enumerate(names, 1)]
+    profile = df.sparkSession.createDataFrame(listed, "role string, column string, ordinal int")
+    if not categories:
+        return profile.withColumn("k", F.lit(0).cast("bigint"))
+    tried = categories[:2]  # the rules try no more
+    counts = nunique(cell_counts(df, tried)).select(F.lit("category").alias("role"), "column", F.col("unique_values").cast("bigint").alias("k"))
+    return profile.join(F.broadcast(counts), ["role", "column"], "left").withColumn("k", F.coalesce("k", F.lit(0).cast("bigint")))
+
+
+def suggest_charts(df: DataFrame, target: str = "", max_suggestions: int = 8) -> Tables:
+    """Ranked chart suggestions from column roles; ``suggestions`` and ``profile`` tables.
+
+    The rule table is joined with the column profile on both sides' roles; conditions and texts are
+    evaluated on the joined rows. Of equal (chart, x, y) the first stays.
+    """
+    profile = column_roles_profile(df, target)
+    numbers = len(numeric_columns(df))
+    conditions = {line.split("|")[4].strip() for line in CHART_RULES.strip().splitlines()[1:]} - {""}
+    met = F.col("needs") == ""
+    for condition in sorted(conditions):
+        met = met | ((F.col("needs") == condition) & F.expr(condition))
+    x, y = profile.alias("x"), profile.alias("y")
+    pairs = (_chart_rules(df.sparkSession)
+             .join(x, (F.col("x_role") == F.col("x.role")) & (F.col("x.ordinal") <= F.col("x_most")))
+             .join(y, (F.col("y_role") == F.col("y.role")) & (F.col("y.ordinal") <= F.col("y_most")))
+             .select("rank", "chart_type", "needs", "rationale", "use_case", "priority",
+                     F.coalesce("x_text", F.col("x.column")).alias("x_column"), F.coalesce("y_text", F.col("y.column")).alias("y_column"),
+                     F.col("x.ordinal").alias("x_place"), F.col("y.ordinal").alias("y_place"), F.col("x.k").alias("k"), F.lit(numbers).alias("n"))
+             .where(met))
+    names = {"x": "x_column", "y": "y_column", "k": "k", "n": "n"}
+    pieces = F.split("rationale", r"[{}]")  # text and names in turn
+    filled = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(
+        F.coalesce(*[F.when(p == name, F.col(c).cast("string")) for name, c in names.items()]))), "")
+    found = pairs.withColumn("rationale", filled).withColumn("place", F.struct("rank", "x_place", "y_place"))
+    first = found.groupBy("chart_type", "x_column", "y_column").agg(
+        F.min_by(F.struct("rank", "rationale", "use_case", "priority", "place"), "place").alias("row"))
+    # a few rows whatever the table: rules times the columns that they try
+    position = F.row_number().over(Window.orderBy("row.place")).cast("int")
+    suggestions = (first.select(position.alias("position"), "row.rank", "chart_type", "x_column", "y_column",
+                                "row.rationale", "row.use_case", "row.priority")
+                   .where(F.col("position") <= max_suggestions))
+    shown = profile.where(F.col("role").isin("numeric", "category", "date")).select(
+        F.when(F.col("role") == "category", F.lit("categorical")).otherwise(F.col("role")).alias("role"), "column")
+    return Tables(suggestions=suggestions, profile=shown)
