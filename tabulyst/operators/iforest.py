@@ -1,17 +1,18 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) as Spark jobs.
 
-1. **Sample** – one Bernoulli sample of about ``pool_factor * trees * psi`` rows
-   (``psi = min(max_samples, n)``), so the training input is bounded whatever the
-   table size. Each pool row joins a tree with probability ``~2 psi / pool`` (hash
-   of a per-row random number and the tree id, filtered inside the array before
-   ``explode``); each tree keeps its first ``psi`` rows by that hash.
+1. **Sample** – rows are counted by feature values (partial counts on the map
+   side, so a hot row costs nothing extra). Each distinct row takes
+   ``floor(count * 2 psi * trees / n + u)`` draws, ``u`` being a hash of its values,
+   spread evenly over the trees; each tree keeps its first ``psi`` draws by hash.
+   About ``2 psi`` draws per tree whatever the table size, and the same
+   ones however the table is partitioned.
 2. **Build** – ``groupBy(tree).applyInPandas``: one group of at most ``2 psi`` rows
    per tree; random feature among non-constant ones, uniform threshold, depth
    limit ``ceil(log2 psi)``. Output: a node table (at most ``trees * (2 psi - 1)``
    rows), collected and broadcast – its size is bounded by the parameters, not
    the data.
-3. **Score** – ``mapInPandas`` over the whole table: vectorised numpy traversal of
-   every tree per Arrow batch; ``score = -2 ** (-E[h] / c(psi))``.
+3. **Score** – a pandas UDF over the feature columns alone: vectorised numpy
+   traversal of every tree per Arrow batch; ``score = -2 ** (-E[h] / c(psi))``.
 4. **Offset** – exact distributed quantile of the scores at ``contamination``;
    ``anomaly_score = score - offset`` and a row is anomalous when it is below 0.
 """
@@ -109,7 +110,7 @@ def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
 
 def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05, n_trees: int = 100,
                      max_samples: int = 256, seed: int = 42, medians: dict | None = None,
-                     pool_factor: float = 3.0, persist: bool = True) -> DataFrame:
+                     persist: bool = True) -> DataFrame:
     """All rows of ``df`` plus ``is_anomaly`` and ``anomaly_score`` (lower = more anomalous)."""
     spark = df.sparkSession
     ship_package(spark)
@@ -124,24 +125,22 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05
     psi = int(min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
-    # 1. bounded training sample
-    frac = min(1.0, pool_factor * n_trees * psi / n)
-    pool = df.select(*[filled[c].alias(f"x{i}") for i, c in enumerate(cols)])
-    if frac < 1.0:
-        pool = pool.sample(False, frac, seed)
-    pool = pool.withColumn("u", F.rand(seed))
-    pool_n = min(n, int(frac * n * 1.2) + 1)
-    keep = min(1.0, 2.0 * psi / max(pool_n, 1))
+    # 1. bounded training sample, a function of the rows alone
+    feature_names = [f"x{i}" for i in range(len(cols))]
+    counted = df.select(*[filled[c].alias(x) for x, c in zip(feature_names, cols)]).groupBy(*feature_names).agg(
+        F.count(F.lit(1)).alias("rows"))
+    per_row = n_trees * min(1.0, 2.0 * psi / n)
     scale = 1 << 30
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(F.col("u"), t, F.lit(seed)), F.lit(scale)) < F.lit(int(keep * scale)))
-    member = pool.select("*", F.explode(trees).alias("tree")).withColumn(
-        "h", F.xxhash64(F.col("u"), F.col("tree"), F.lit(seed + 1)))
-    w = Window.partitionBy("tree").orderBy("h")
-    sample = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).drop("rn", "h", "u")
+    u = F.pmod(F.xxhash64(*feature_names, F.lit(seed)), F.lit(scale)) / F.lit(float(scale))
+    drawn = counted.withColumn("draws", F.floor(F.col("rows") * F.lit(per_row) + u).cast("int")).where("draws > 0")
+    start = F.pmod(F.xxhash64(*feature_names, F.lit(seed + 1)), F.lit(n_trees))
+    member = drawn.select(*feature_names, start.alias("start"), F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("draw"))
+    member = member.withColumn("tree", F.pmod(F.col("start") + F.col("draw"), F.lit(n_trees)).cast("int")).withColumn(
+        "h", F.xxhash64(*feature_names, "draw", F.lit(seed + 2)))
+    w = Window.partitionBy("tree").orderBy("h", *feature_names)
+    sample = member.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= psi).select(*feature_names, "tree")
 
     # 2. build one tree per group (bounded group size)
-    feature_names = [f"x{i}" for i in range(len(cols))]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -152,19 +151,13 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05
     arrays = spark.sparkContext.broadcast(_forest_arrays(nodes, n_trees))
     c_psi = float(average_path_length([psi])[0])
 
-    # 3. score every row (Arrow batches, vectorised numpy)
-    scored_in = df.select("*", *[filled[c].alias(f"__x{i}") for i, c in enumerate(cols)])
-    out_schema = T.StructType(scored_in.schema.fields + [T.StructField("__score", T.DoubleType())])
-    xnames = [f"__x{i}" for i in range(len(cols))]
-
-    def score(batches):
-        arr = arrays.value
-        for pdf in batches:
-            h = _path_lengths(pdf[xnames].to_numpy(dtype=float), arr)
-            pdf["__score"] = -np.power(2.0, -h / c_psi) if c_psi > 0 else -np.ones(len(pdf))
-            yield pdf
+    # 3. score every row (Arrow batches of the features, vectorised numpy)
+    @F.pandas_udf("double")
+    def score(*features: pd.Series) -> pd.Series:
+        h = _path_lengths(np.column_stack([f.to_numpy(dtype=float) for f in features]), arrays.value)
+        return pd.Series(-np.power(2.0, -h / c_psi) if c_psi > 0 else -np.ones(len(h)))
 
-    scored = scored_in.mapInPandas(score, out_schema).drop(*xnames)
+    scored = df.withColumn("__score", score(*filled.values()))
     if persist:
         scored = scored.persist()
 

@@ -74,3 +74,16 @@ def test_text_column_named_for_anomalies_raises(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
     with pytest.raises(ValueError):
         A.anomalies(df, method="zscore", columns="x, s")
+
+
+def test_isolation_forest_does_not_depend_on_partitions(spark):
+    """A third of the rows are equal; the flags are the same for 2 and 7 partitions."""
+    from tabulyst.operators.iforest import isolation_forest
+
+    rows = spark.range(6000).selectExpr(
+        "id", "if(id % 3 = 0, 1D, (id * 7919) % 1000 / 10D) AS a", "if(id % 3 = 0, 2D, (id * 104729) % 977 / 7D) AS b")
+    flagged = [{(r["id"], r["is_anomaly"], round(r["anomaly_score"], 9)) for r in isolation_forest(
+        rows.repartition(parts, "id"), ["a", "b"], n_trees=20, max_samples=64).select("id", "is_anomaly", "anomaly_score").collect()}
+        for parts in (2, 7)]
+    assert flagged[0] == flagged[1] and len(flagged[0]) == 6000
+    assert 0 < sum(x[1] for x in flagged[0]) <= 300
