@@ -17,7 +17,8 @@ SIGNIFICANCE = 0.05  # p-value cut for "significant"
 
 
 def col_(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its whole name, which may hold dots; other columns as they are."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def strip_whitespace(c) -> Column:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulyst.functions.expressions import col_
+
 DEFAULT_MAX_EXACT_ROWS = 50_000  # intervals above this are narrowed by a bucket count first
 DEFAULT_BINS = 1024
 MAX_TARGETS = 200_000  # bound on (group, column, rank) targets shipped in a broadcast table
@@ -35,7 +37,7 @@ MAX_TARGETS = 200_000  # bound on (group, column, rank) targets shipped in a bro
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
     """``(by..., column, v)`` with v as double; null and NaN dropped."""
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), col_(c).cast("double").alias("v")) for c in cols])
     return (df.select(*by, F.inline(arr))
             .where(F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
 

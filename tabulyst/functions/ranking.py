@@ -26,12 +26,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulyst.functions.expressions import col_
+
 DEFAULT_GROUP_ROWS = 1_000_000
 MAX_BUCKETS = 20_000
 
 
 def _distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), col_(c).cast("double").alias("value")) for c in cols])
     return (df.select(F.inline(arr)).where(F.col("value").isNotNull() & ~F.isnan("value"))
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 

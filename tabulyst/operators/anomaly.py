@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulyst.functions.expressions import col_
 from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.result import Tables
 from tabulyst.sources.schema import normalize_missing, select_columns
@@ -34,13 +35,13 @@ def _quartiles(df: DataFrame, cols: list[str], **qkw) -> dict[str, dict[float, f
 
 
 def _z_exprs(df: DataFrame, cols: list[str]) -> list[Column]:
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_samp(col_(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     zs = []
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
         # sd 0 or undefined: the column never flags (0/0 is NaN in the reference)
-        zs.append(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(None).cast("double"))
+        zs.append(F.abs((col_(c) - F.lit(m)) / F.lit(s)) if s else F.lit(None).cast("double"))
     return zs
 
 
@@ -78,8 +79,8 @@ def iqr_scores(df: DataFrame, cols: list[str], quart: dict | None = None, **qkw)
         if q1 is None:
             continue
         iqr = q3 - q1
-        flags += [F.col(c) < q1 - IQR_K * iqr, F.col(c) > q3 + IQR_K * iqr]
-        devs.append(F.abs(F.col(c) - F.lit(med)) / F.lit(iqr + IQR_EPS))
+        flags += [col_(c) < q1 - IQR_K * iqr, col_(c) > q3 + IQR_K * iqr]
+        devs.append(F.abs(col_(c) - F.lit(med)) / F.lit(iqr + IQR_EPS))
     return df.select("*", _any(flags).alias("is_anomaly"),
                      F.round(F.greatest(*devs, F.lit(None).cast("double"), F.lit(None).cast("double")), 4).alias("anomaly_score"))
 
@@ -90,7 +91,7 @@ def column_stats(df: DataFrame, cols: list[str], quart: dict | None = None, **qk
     aggs = []
     for i, c in enumerate(cols):
         q1, q3 = quart[c][0.25], quart[c][0.75]
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         if q1 is None:
             out_cnt = F.lit(0).cast("bigint")
         else:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulyst.functions.cells import cell_counts
-from tabulyst.functions.expressions import score_grade
+from tabulyst.functions.expressions import col_, score_grade
 from tabulyst.functions.quantiles import medians
 from tabulyst.result import Tables
 from tabulyst.sources.schema import is_numeric_type, is_text_type, normalize_missing, numeric_columns, require_columns
@@ -75,8 +75,8 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True,
         for v in values:
             name = f"{c}_{v}"
             new_cols.append(name)
-            exprs.append(F.when(F.col(c) == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(name))
-    return df.select(*[c for c in df.columns if c not in cols], *exprs), new_cols
+            exprs.append(F.when(col_(c) == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(name))
+    return df.select(*[col_(c) for c in df.columns if c not in cols], *exprs), new_cols
 
 
 def label_encode(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, list]:
@@ -85,12 +85,12 @@ def label_encode(df: DataFrame, target: str, out: str = "label") -> tuple[DataFr
     The class list is small (checked: fewer than ``MAX_CLASSES``) and enters the
     plan as a literal map.
     """
-    classes = sorted(r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct()
+    classes = sorted(r[0] for r in df.select(col_(target)).where(col_(target).isNotNull()).distinct()
                      .limit(MAX_CLASSES + 1).collect())
     if len(classes) > MAX_CLASSES:
         raise ValueError("too many classes to encode")
     mapping = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-    return df.withColumn(out, mapping[F.col(target)]), classes
+    return df.withColumn(out, mapping[col_(target)]), classes
 
 
 def _prepare(df: DataFrame, target: str, features: list[str] | None, fill_features: bool = True, dummies: bool = True):
@@ -104,34 +104,36 @@ def _prepare(df: DataFrame, target: str, features: list[str] | None, fill_featur
     require_columns(df, *features)
     texts = [c for c in features if is_text_type(types[c])]
     nums = [c for c in features if is_numeric_type(types[c])]
-    work = df.select(*features, target)
+    work = df.select(*[col_(c) for c in features], col_(target))
     names = list(nums)
     if texts and dummies:
         work, dummy_cols = one_hot(work, texts)
         names += dummy_cols
-    work = work.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if fill_features
-                         else F.col(c).cast("double").alias(c) for c in names], target)
+    work = work.select(*[F.coalesce(col_(c).cast("double"), F.lit(0.0)).alias(c) if fill_features
+                         else col_(c).cast("double").alias(c) for c in names], col_(target))
     if is_numeric_type(types[target]):
         med = medians(work, [target])[target]
-        work = work.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(med)))
-    n_classes = work.select(target).where(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).count()
+        work = work.withColumn(target, F.coalesce(col_(target).cast("double"), F.lit(med)))
+    n_classes = work.select(col_(target)).where(col_(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).count()
     is_cls = 1 < n_classes < MAX_CLASSES
     if is_cls:
         work, classes = label_encode(work, target)
     else:
         if not is_numeric_type(types[target]):
             raise ValueError("text target with too many classes")
-        work, classes = work.withColumn("label", F.col(target).cast("double")), []
-    vec = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(work)
-    return vec.select(*names, "features", "label"), names, is_cls, classes
+        work, classes = work.withColumn("label", col_(target).cast("double")), []
+    plain = [f"f{i}" for i in range(len(names))]  # the assembler splits names at dots
+    flat = work.select(*[col_(c).alias(p) for p, c in zip(plain, names)], "label")
+    vec = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="keep").transform(flat)
+    return vec.select(*plain, "features", "label"), names, is_cls, classes
 
 
 def task_type(df: DataFrame, target: str) -> DataFrame:
     """``(target, unique_values, type)``: classification when 1 < distinct targets < 15,
     counted after the target gaps take the target median (numeric targets)."""
     require_columns(df, target)
-    df = normalize_missing(df.select(target))
-    y = F.col(target)
+    df = normalize_missing(df.select(col_(target)))
+    y = col_(target)
     if is_numeric_type(df.schema[target].dataType):
         y = F.coalesce(y.cast("double"), F.lit(medians(df, [target])[target]))
     n = df.agg(F.count_distinct(y).alias("u"))

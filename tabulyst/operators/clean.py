@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulyst.functions.cells import cell_counts, modes
+from tabulyst.functions.expressions import col_
 from tabulyst.functions.expressions import strip_whitespace as strip_expr
 from tabulyst.functions.quantiles import medians
 from tabulyst.result import Tables
@@ -31,12 +32,14 @@ UNKNOWN = "Unknown"  # fixed value: text used for gaps without a mode
 def strip_whitespace(df: DataFrame) -> DataFrame:
     """Trim both ends of every text column (blank text becomes "", not null)."""
     texts = set(text_columns(df))
-    return df.select(*[strip_expr(c).alias(c) if c in texts else F.col(c) for c in df.columns])
+    return df.select(*[strip_expr(c).alias(c) if c in texts else col_(c) for c in df.columns])
 
 
 def drop_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
     """Remove rows with a gap in any of ``cols``."""
-    return df.dropna(subset=list(cols)) if cols else df
+    for c in cols:
+        df = df.where(col_(c).isNotNull())
+    return df
 
 
 def fill_numeric(df: DataFrame, how: str = "median", cols: list[str] | None = None, **qkw) -> DataFrame:
@@ -56,12 +59,12 @@ def fill_numeric(df: DataFrame, how: str = "median", cols: list[str] | None = No
     if how == "median":
         consts = medians(df, cols, **qkw)
     elif how == "mean":
-        row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-        consts = {c: row[c] for c in cols}
+        row = df.agg(*[F.avg(col_(c)) for c in cols]).first()
+        consts = dict(zip(cols, row))
     else:
         consts = {c: 0.0 for c in cols}
-    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(consts[c]).cast("double")).alias(c) if c in cols
-                       else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(col_(c).cast("double"), F.lit(consts[c]).cast("double")).alias(c) if c in cols
+                       else col_(c) for c in df.columns])
 
 
 def impute_median(df: DataFrame, cols: list[str], **qkw) -> DataFrame:
@@ -90,7 +93,8 @@ def fill_categorical(df: DataFrame, how: str = "mode", cols: list[str] | None =
     if how == "drop":
         return drop_nulls(df, cols)
     found = {r["column"]: r["mode"] for r in modes(cell_counts(df, cols)).collect()} if how == "mode" else {}
-    return df.fillna({c: UNKNOWN if found.get(c) is None else found[c] for c in cols})
+    fill = {c: UNKNOWN if found.get(c) is None else found[c] for c in cols}
+    return df.select(*[F.coalesce(col_(c), F.lit(fill[c])).alias(c) if c in fill else col_(c) for c in df.columns])
 
 
 # ``clean`` takes options named like these functions; it calls them through aliases
@@ -109,7 +113,7 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
 
 def _null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     row = df.agg(F.count(F.lit(1)).alias("__n"), *[
-        F.sum(F.col(c).isNull().cast("bigint")).alias(f"__m{i}") for i, c in enumerate(df.columns)]).first()
+        F.sum(col_(c).isNull().cast("bigint")).alias(f"__m{i}") for i, c in enumerate(df.columns)]).first()
     return int(row["__n"]), {c: int(row[f"__m{i}"] or 0) for i, c in enumerate(df.columns)}
 
 
@@ -123,18 +127,18 @@ def zscore_filter(df: DataFrame, cols: list[str], threshold: float = 3.0, mode:
     if mode not in ("sequential", "single_pass"):
         raise ValueError(f"unknown outlier mode: {mode}")
     if mode == "single_pass":
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                     *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                     *[F.stddev_samp(col_(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
         for i, c in enumerate(cols):
             m, s = row[f"m{i}"], row[f"s{i}"]
             if s is not None and s > 0:
-                df = df.where(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) <= threshold)
+                df = df.where(F.abs((col_(c) - F.lit(m)) / F.lit(s)) <= threshold)
         return df
     for c in cols:
-        row = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
+        row = df.agg(F.avg(col_(c)).alias("m"), F.stddev_samp(col_(c)).alias("s")).first()
         m, s = row["m"], row["s"]
         if s is not None and s > 0:
-            df = df.where(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) <= threshold)
+            df = df.where(F.abs((col_(c) - F.lit(m)) / F.lit(s)) <= threshold)
     return df
 
 
@@ -191,7 +195,7 @@ def clean(df: DataFrame, drop_duplicates: bool = True, fill_numeric: str = "medi
     n_cols = len(out.columns)
     summary = out.agg(
         F.count(F.lit(1)).alias("rows_after"),
-        F.sum(sum([F.col(c).isNull().cast("bigint") for c in out.columns], F.lit(0).cast("bigint"))).alias("missing"),
+        F.sum(sum([col_(c).isNull().cast("bigint") for c in out.columns], F.lit(0).cast("bigint"))).alias("missing"),
     ).select(
         F.lit(rows_before).cast("bigint").alias("rows_before"), F.col("rows_after"),
         (F.lit(rows_before) - F.col("rows_after")).cast("bigint").alias("rows_removed"),

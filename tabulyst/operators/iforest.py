@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulyst.functions.expressions import col_
 from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.session import ship_package
 
@@ -118,7 +119,7 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05
     if medians is None:
         res = exact_quantiles(df, cols, [0.5])
         medians = {r["column"]: r["value"] for r in res}
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)).cast("double")) for c in cols}
+    filled = {c: F.coalesce(col_(c).cast("double"), F.lit(medians.get(c)).cast("double")) for c in cols}
     n = df.count()
     if n == 0:
         return df.select("*", F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"))
@@ -164,6 +165,6 @@ def isolation_forest(df: DataFrame, cols: list[str], contamination: float = 0.05
     # 4. offset = contamination quantile of all scores (exact, distributed)
     offset = exact_quantiles(scored, ["__score"], [contamination])[0]["value"]
     return scored.select(
-        *[F.col(c) for c in df.columns],
+        *[col_(c) for c in df.columns],
         ((F.col("__score") - F.lit(offset)) < 0).alias("is_anomaly"),
         (F.col("__score") - F.lit(offset)).alias("anomaly_score"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulyst.functions.cells import cell_counts, modes, nunique_direct, top_values
-from tabulyst.functions.expressions import null_if_nan, quality_grade
+from tabulyst.functions.expressions import col_, null_if_nan, quality_grade
 from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.result import Tables
 from tabulyst.sources.schema import approx_size, categorical_columns, column_types, numeric_columns, table_shape
@@ -29,7 +29,7 @@ from tabulyst.sources.schema import approx_size, categorical_columns, column_typ
 
 def _is_null(df: DataFrame, name: str) -> Column:
     dt = df.schema[name].dataType
-    c = F.col(name)
+    c = col_(name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -50,7 +50,7 @@ def groupable_columns(df: DataFrame) -> list[Column]:
     out = []
     for f in df.schema.fields:
         if _has_map(f.dataType):
-            out.append(F.to_json(F.struct(F.col(f.name))).alias(f.name))
+            out.append(F.to_json(F.struct(col_(f.name))).alias(f.name))
         else:
             out.append(null_if_nan(f.name, f.dataType).alias(f.name))
     return out
@@ -83,7 +83,7 @@ def quality_summary(df: DataFrame, fingerprint: bool = True) -> DataFrame:
     nulls = row_null_count(df).alias("__nulls")
     keyed = df.select(*(row_fingerprint(df) if fingerprint else groupable_columns(df)), nulls)
     keys = [c for c in keyed.columns if c != "__nulls"]
-    g = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), F.max("__nulls").alias("__nulls"))
+    g = keyed.groupBy(*[col_(c) for c in keys]).agg(F.count(F.lit(1)).alias("__c"), F.max("__nulls").alias("__nulls"))
     s = g.agg(
         F.coalesce(F.sum("__c"), F.lit(0)).cast("bigint").alias("rows"),
         F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),

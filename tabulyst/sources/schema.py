@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulyst.functions.expressions import col_
+
 # Text treated as missing when ``normalize_missing(text=True)``;
 # these are the default NA strings of the pandas CSV reader.
 NA_STRINGS = [
@@ -125,7 +127,7 @@ def normalize_missing(df: DataFrame, text: bool = False) -> DataFrame:
     """
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = col_(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             out.append(F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c).alias(f.name))
         elif text and is_text_type(f.dataType):
