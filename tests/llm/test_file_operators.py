@@ -338,3 +338,16 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert len(tight) == len(ids) and all(math.isfinite(x) for x in tight.values())
     assert lm.score(df.limit(0), train).count() == 0
     assert lm.score(df, F.lit(False)).agg(F.sum("n_known")).first()[0] == 0
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    """White space of all kinds, numerals that are words to patterns, marks, control characters."""
+    draw = random.Random(3)
+    texts = ["", " ", "  ", " x y", "x ", "a  b c\n d e\n\nf  ", "½x a½ ²", "Ⅷ. ñandú, ﬁ\nﬂ.", "日本語。 中文,\nअ.", "don't 's", "<|endoftext|> x", "a\0 \0b \0 c"]
+    texts += ["".join(draw.choice(" \n\t.,'aB½ñ日1_　  \x1f \0-") for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    encoder = tokenfile.Encoder(queries.tokenizer_json())
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time from memory
+        ids, lengths = encoder.encode(texts)
+        assert lengths.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
