@@ -16,10 +16,11 @@ Flow, with every step proportional to the input:
    the n-grams of ``least`` or more occurrences with their levels. The number of ranges follows
    the number of words, so a task's share stays bounded. A frequent word comes once per block, so
    there is no hot key.
-3. The filter: one segment per range, built where the range's n-grams are, and broadcast. Its
-   size is bounded by ``max_bits``: it gets ``bits_per_entry`` for each entry, and if
-   all entries would need more, the lowest levels are left out (counts of a lower level back
-   off), as many as needed. The counts themselves are never cut.
+3. The filter: one segment per range, built where the range's n-grams are. It grows with the corpus,
+   ``bits_per_entry`` for each entry, and holds every n-gram that was kept. Up to ``broadcast_bits`` it is
+   broadcast and each task probes it. A larger one stays in its segments: each block sends its distinct
+   n-grams to their ranges, is answered with their levels, and no worker holds more than a segment.
+   Both ways probe the same bits, so scores do not depend on the way.
 4. Each block's file is read again and its documents are scored.
 
 A block file is written under a name of its own and counts once its manifest
@@ -248,10 +249,13 @@ def _answer(part, kind, path, blob, levels, known) -> pa.RecordBatch:
 
 
 class LogFilter:
-    """A Bloom filter of 2**bits segments of ``segment_bits`` each, over (n-gram, level) entries above level ``skip``."""
+    """A Bloom filter of 2**bits segments of ``segment_bits`` each, over (n-gram, level) entries.
 
-    def __init__(self, bits: int, segment_bits: int, skip: int, least: int, data: np.ndarray | None = None):
-        self.bits, self.segment_bits, self.skip, self.least, self.data = bits, segment_bits, skip, least, data
+    ``data`` holds all segments, or that of range ``only`` alone.
+    """
+
+    def __init__(self, bits: int, segment_bits: int, least: int, data: np.ndarray | None = None, only: bool = False):
+        self.bits, self.segment_bits, self.least, self.data, self.only = bits, segment_bits, least, data, only
 
     def place(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
         """Bit numbers of one probe inside the n-grams' segments."""
@@ -261,7 +265,7 @@ class LogFilter:
     def segment(self, h: np.ndarray, levels: np.ndarray) -> bytes:
         """One segment's bytes from its n-grams."""
         bits = np.zeros(self.segment_bits, bool)
-        for q in range(self.skip + 1, int(levels.max(initial=0)) + 1):
+        for q in range(1, int(levels.max(initial=0)) + 1):
             some = h[levels >= q]
             for i in range(PROBES):
                 bits[self.place(some, q, i).astype(np.int64)] = True
@@ -272,9 +276,9 @@ class LogFilter:
         out = np.zeros(len(h), np.int64)
         if self.data is None or not len(self.data):
             return out
-        part = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        part = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits and not self.only else np.zeros(len(h), np.int64)
         base = part * (self.segment_bits // 8)
-        at, q = np.arange(len(h)), self.skip + 1
+        at, q = np.arange(len(h)), 1
         while len(at) and q < 64:
             for i in range(PROBES):
                 p = self.place(h[at], q, i).astype(np.int64)
@@ -283,50 +287,85 @@ class LogFilter:
             q += 1
         return out
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
+    def counts(self, levels: np.ndarray) -> np.ndarray:
         """Estimated counts: the middle of the level's octave, 0 if not held."""
-        q = self.levels(h)
-        return np.where(q > 0, self.least * 1.5 * np.exp2(q - 1.0), 0.0)
+        return np.where(levels > 0, self.least * 1.5 * np.exp2(levels - 1.0), 0.0)
 
 
-def build_filter(counted: DataFrame, bits: int, least: int, bits_per_entry: int, max_bits: int) -> LogFilter:
-    """The filter over all counted n-grams, of at most ``max_bits`` bits: each range builds its segment.
+def filter_size(counted: DataFrame, bits: int, least: int, bits_per_entry: int) -> LogFilter:
+    """The filter for all counted n-grams, still without its bits. The driver gets one sum."""
+    levels = counted.where("kind = 1").select(F.posexplode("levels").alias("level", "n"))
+    entries = int(levels.agg(F.sum(F.col("level") * F.col("n"))).first()[0] or 0)  # a level q n-gram is entered q times
+    return LogFilter(bits, (-(-entries * bits_per_entry >> bits) // 8) * 8 + 64, least)
 
-    The driver gets 64 sums and then the segments, ``max_bits / 8`` bytes at most.
-    """
-    spread = counted.where("kind = 1").select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
-    held = np.zeros(65, np.int64)
-    for r in spread.collect():
-        held[r["level"]] = r["n"]
-    above = held[::-1].cumsum()[::-1]  # n-grams of at least that level, so the entries of that level
-    skip = 0
-    while skip < 64 and int(above[skip + 1:].sum()) * bits_per_entry > max_bits:
-        skip += 1
-    entries = int(above[skip + 1:].sum())
-    size = min(max_bits >> bits, -(-entries * bits_per_entry >> bits)) // 8 * 8 + 64
-    model = LogFilter(bits, size, skip, least)
 
+def whole_filter(counted: DataFrame, model: LogFilter) -> LogFilter:
+    """The filter with its bits, for a broadcast: each range builds its segment, the driver joins them."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             segments = [model.segment(*unpack(x.as_py())) for x in b.column("blob")]
             yield pa.record_batch([b.column("part"), pa.array(segments, pa.binary())], ["part", "segment"])
 
     got = counted.where("kind = 1").select("part", "blob").mapInArrow(build, "part int, segment binary").toArrow()
-    data = np.zeros((size // 8) << bits, "u1")
+    size = model.segment_bits // 8
+    data = np.zeros(size << model.bits, "u1")
     for part, segment in zip(got.column("part").to_pylist(), got.column("segment")):
-        data[part * (size // 8): (part + 1) * (size // 8)] = np.frombuffer(segment.as_py(), "u1")
-    model.data = data
-    return model
+        data[part * size: (part + 1) * size] = np.frombuffer(segment.as_py(), "u1")
+    return LogFilter(model.bits, model.segment_bits, model.least, data)
+
+
+def needed(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct n-gram hashes in order, and where its vocabulary and each token's pair stand among them."""
+    before = np.roll(block.index, 1)
+    before[np.append(0, np.cumsum(block.lengths)[:-1])] = np.searchsorted(block.vocabulary, END)
+    size = len(block.vocabulary)
+    pairs, which = np.unique(before * size + block.index, return_inverse=True)
+    both = np.concatenate([block.vocabulary, pair_hash(block.vocabulary[pairs // size], block.vocabulary[pairs % size])])
+    hashes, at = np.unique(both, return_inverse=True)
+    return hashes, at[:size], at[size:][which]
+
+
+def answered_levels(manifest: DataFrame, counted: DataFrame, model: LogFilter) -> DataFrame:
+    """``path, part, kind (2), blob``: levels of each block's n-grams, found in the range's own segment."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                hashes = needed(Block(path))[0]
+                at = _ranges(hashes, model.bits)
+                some = np.flatnonzero(np.diff(at))
+                blobs = [pack(hashes[at[p]: at[p + 1]], np.zeros(at[p + 1] - at[p], np.int64)) for p in some]
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([path] * len(some), pa.string()), pa.array([2] * len(some), pa.int32()),
+                                       pa.array(blobs, pa.binary())], ["part", "path", "kind", "blob"])
+
+    def tell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked = model.segment(np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+        for b in batches:
+            for path, kind, blob in zip(b.column("path").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+                if kind == 1:
+                    held = model.segment(*unpack(blob.as_py()))
+                else:
+                    asked.append((path, blob))
+        own = LogFilter(model.bits, model.segment_bits, model.least, np.frombuffer(held, "u1"), only=True)
+        for path, blob in asked:
+            levels = zlib.compress(own.levels(unpack(blob.as_py())[0]).astype("u1").tobytes(), 1)
+            yield pa.record_batch([pa.array([path]), pa.array([key[0].as_py()], pa.int32()), pa.array([2], pa.int32()), pa.array([levels], pa.binary())],
+                                  ["path", "part", "kind", "blob"])
+
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
+    questions = files.mapInArrow(ask, "part int, path string, kind int, blob binary")
+    both = questions.unionByName(counted.where("kind = 1").select("part", "path", "kind", "blob"))
+    return both.groupBy("part").applyInArrow(tell, "path string, part int, kind int, blob binary")
 
 
 # ---- scores -----------------------------------------------------------------------------------------
 
 
 def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "text", back: float = 0.8, least: int = 2,
-          bits_per_entry: int = 8, max_bits: int = 1 << 28) -> DataFrame:
+          bits_per_entry: int = 8, broadcast_bits: int = 1 << 28) -> DataFrame:
     """``row_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``base_score``: sum of log10((c + 1) / (N + V + 1)) with exact counts; ``score``: the model's log10 probability.
+    A filter of more than ``broadcast_bits`` is not broadcast but asked range by range, with equal scores.
     """
     spark = docs.sparkSession
     manifest = make_blocks(docs, row_id, text, train)
@@ -335,26 +374,33 @@ def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "t
     bits = max(4, (int((sums["t"] or 0)) // RANGE_NGRAMS).bit_length())
     counted = written(count_ranges(sent(manifest, bits), least), "lm-counts")
     known = int(counted.where("kind = 1").agg(F.sum("known")).first()[0] or 0)
-    model = spark.sparkContext.broadcast(build_filter(counted, bits, least, bits_per_entry, max_bits))
+    model = filter_size(counted, bits, least, bits_per_entry)
     floor = total + known + 1
-    answers = counted.where("kind = 0").select("path", "part", "blob")
+    answers = counted.where("kind = 0").select("path", "part", "kind", "blob")
+    if model.segment_bits << bits <= broadcast_bits:
+        shared = spark.sparkContext.broadcast(whole_filter(counted, model))
+    else:
+        shared = spark.sparkContext.broadcast(model)
+        answers = answers.unionByName(answered_levels(manifest, counted, model))
 
     def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {}
+        parts: dict[int, dict[int, bytes]] = {0: {}, 2: {}}
         for b in batches:
-            for part, blob in zip(b.column("part").to_pylist(), b.column("blob")):
-                parts[part] = blob.as_py()
-        exact = np.concatenate([np.ascontiguousarray(np.frombuffer(zlib.decompress(parts[p]), "u1").reshape(8, -1).T).view("<i8").ravel() for p in sorted(parts)])
+            for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+                parts[kind][part] = blob.as_py()
+        told = {kind: [zlib.decompress(blobs[p]) for p in sorted(blobs)] for kind, blobs in parts.items()}
+        exact = np.concatenate([np.ascontiguousarray(np.frombuffer(x, "u1").reshape(8, -1).T).view("<i8").ravel() for x in told[0]])
         block = Block(key[0].as_py())
         at = np.append(0, np.cumsum(block.lengths)[:-1])
         base = np.log10((exact + 1) / floor)[block.index]
-        words = model.value.counts(block.vocabulary)
+        hashes, one, two = needed(block)
+        levels = np.frombuffer(b"".join(told[2]), "u1").astype(np.int64) if told[2] else shared.value.levels(hashes)
+        counts = shared.value.counts(levels)
+        words = counts[one]
         unigram = (words + 1) / floor
-        end = np.searchsorted(block.vocabulary, END)
-        before = np.roll(block.index, 1)
-        before[at] = end
-        joint = model.value.counts(pair_hash(block.vocabulary[before], block.vocabulary[block.index]))
-        given = words[before]
+        joint = counts[two]
+        given = np.roll(words[block.index], 1)
+        given[at] = words[np.searchsorted(block.vocabulary, END)]
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.where(given > 0, np.minimum(1.0, joint / given), 0.0)
         p = (1 - back) * share + back * unigram[block.index]
