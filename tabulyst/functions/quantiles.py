@@ -7,21 +7,27 @@ narrows an interval around each target rank:
 
 1. one aggregate gives ``n, min, max`` per (group, column);
 2. while an interval holds more than ``max_exact_rows`` values, one aggregate
-   counts its rows in ``bins`` equal-width buckets (``count, min, max`` per bucket,
+   counts its rows in ``bins`` buckets (``count, min, max`` per bucket,
    partial aggregation on the map side); the driver keeps the bucket holding the
    rank. A bucket whose min equals its max resolves the rank at once, so a hot
-   value holding a third of all rows costs nothing extra;
+   value holding a third of all rows costs nothing extra. Buckets are of equal width; where
+   that is of no use (an infinite bound, a width beyond the largest double, or a round that left most
+   rows in one bucket, as with log-uniform values) one round goes by sign and exponent;
 3. the remaining small intervals are finished by one window over their distinct
    values (each window group holds at most ``max_exact_rows`` rows).
 
-Only interval bounds and bucket counts reach the driver. The result equals
+Only interval bounds and bucket counts reach the driver, for at most ``INTERVALS`` intervals a job.
+:func:`group_quantiles` is the way for any number of groups: small groups never reach the driver.
+The result equals
 ``quantile_cont`` / numpy's linear percentile: ``v[k] + (v[k+1] - v[k]) * frac``
 with ``pos = (n - 1) * p``.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -32,7 +38,7 @@ from tabulyst.functions.expressions import col_
 
 DEFAULT_MAX_EXACT_ROWS = 50_000  # intervals above this are narrowed by a bucket count first
 DEFAULT_BINS = 1024
-MAX_TARGETS = 200_000  # bound on (group, column, rank) targets shipped in a broadcast table
+INTERVALS = 1000  # intervals narrowed or finished by one job; more take further jobs
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
@@ -52,11 +58,18 @@ class _Target:
     cnt: int  # rows inside [lo, hi]
     value: float | None = None
     done: bool = False
+    by_exponent: bool = False  # how the next round cuts the interval
+
+    def settle(self) -> None:
+        """Done if the interval holds one value; a width without an end is cut by exponent."""
+        if self.lo == self.hi:
+            self.value, self.done = self.lo, True
+        elif not math.isfinite(self.hi - self.lo):
+            self.by_exponent = True
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | tuple = (),
-                    max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS, bins: int = DEFAULT_BINS,
-                    max_rounds: int = 64) -> list[dict]:
+                    max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS, bins: int = DEFAULT_BINS) -> list[dict]:
     """Exact linear-interpolation quantiles of ``cols`` (per ``by`` group).
 
     Returns one dict per (group, column, p): ``{**group, column, p, value, n, mean,
@@ -72,8 +85,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
              .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                   F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
              .collect())
-    if len(stats) * max(1, len(probs)) * 2 > MAX_TARGETS:
-        raise ValueError("too many (group, column) quantile targets; aggregate fewer groups")
 
     targets: dict[tuple, _Target] = {}
     plan = []  # (key, p, n, rank0, rank1, frac)
@@ -90,28 +101,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
             for k in (k0, k1):
                 if (key, k) not in targets:
                     t = _Target(key, k, float(r["lo"]), float(r["hi"]), 0, n)
-                    if t.lo == t.hi:
-                        t.value, t.done = t.lo, True
+                    t.settle()
                     targets[(key, k)] = t
 
     key_cols = by + ["column"]
-    rounds = 0
-    while True:
-        open_t = [t for t in targets.values() if not t.done]
-        if not open_t:
-            break
-        rounds += 1
-        big = [t for t in open_t if t.cnt > max_exact_rows and rounds <= max_rounds]
-        small = [t for t in open_t if t not in big]
-        if small:
-            _finish(spark, long, key_cols, small)
-        if big:
-            _refine(spark, long, key_cols, big, bins)
+    while open_t := [t for t in targets.values() if not t.done]:
+        for few in _by_interval([t for t in open_t if t.cnt <= max_exact_rows]):
+            _finish(spark, long, key_cols, few)
+        for few in _by_interval([t for t in open_t if t.cnt > max_exact_rows]):
+            _refine(spark, long, key_cols, few, bins)
 
     out = []
     for key, p, n, k0, k1, frac in plan:
         v0, v1 = targets[(key, k0)].value, targets[(key, k1)].value
-        value = v0 + (v1 - v0) * frac if frac else v0
+        value = v0 + (v1 - v0) * frac if frac and v0 != v1 else v0
         d = {c: key[i] for i, c in enumerate(by)}
         mean, std, lo, hi = moments[key]
         d.update(column=key[-1], p=float(p), value=float(value), n=n, mean=mean, std=std, min=lo, max=hi)
@@ -120,16 +123,54 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     return out
 
 
+def _by_interval(ts: list[_Target]) -> Iterator[list[_Target]]:
+    """Targets in lots of at most INTERVALS intervals, targets of one interval together."""
+    per: dict[tuple, list[_Target]] = {}
+    for t in ts:
+        per.setdefault(t.key + (t.lo, t.hi), []).append(t)
+    lots = list(per.values())
+    for lo in range(0, len(lots), INTERVALS):
+        yield [t for some in lots[lo: lo + INTERVALS] for t in some]
+
+
+def group_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str],
+                    max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS, **kw) -> DataFrame:
+    """``(by..., column, p, value)`` for any number of groups.
+
+    Groups of at most ``max_exact_rows`` values take Spark's ``percentile``, each within that
+    bound; the driver gets only the larger ones, of which there is at most one per ``max_exact_rows`` rows.
+    """
+    spark, key = df.sparkSession, [*by, "column"]
+    long = long_values(df, cols, by)
+    sizes = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    large = spark.createDataFrame(sizes.where(F.col("n") > max_exact_rows).select(*key).collect(), sizes.select(*key).schema)
+    hot = large.select(*[F.col(c).alias(f"__g_{c}") for c in key])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in key])
+    small = long.join(hot, same, "left_anti").groupBy(*key).agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
+    small = small.select(*key, F.posexplode("q").alias("__i", "value"))
+    out = small.select(*key, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "value")
+    if large.isEmpty():
+        return out
+    few = large.select(*by).distinct().select(*[F.col(c).alias(f"__g_{c}") for c in by])
+    mine = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by])
+    wanted = {tuple(r) for r in large.collect()}
+    found = exact_quantiles(df.join(few, mine, "left_semi"), cols, probs, by, max_exact_rows, **kw)
+    rows = [tuple(r[c] for c in [*key, "p", "value"]) for r in found if tuple(r[c] for c in key) in wanted]
+    return out.unionByName(spark.createDataFrame(rows, out.schema))
+
+
 def _interval_frame(spark, long: DataFrame, key_cols, ts: list[_Target]):
     """Rows of ``long`` inside each distinct target interval, tagged with an interval id."""
     ivs: dict[tuple, int] = {}
     for t in ts:
-        ivs.setdefault(t.key + (t.lo, t.hi), len(ivs))
+        ivs.setdefault(t.key + (t.lo, t.hi), (len(ivs), t.by_exponent))
     schema = T.StructType([long.schema[c] for c in key_cols] + [
-        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("iid", T.IntegerType())])
-    idf = spark.createDataFrame([k + (i,) for k, i in ivs.items()], schema).select(
-        *[F.col(c).alias(f"__g_{c}") for c in key_cols], "lo", "hi", "iid")
-    # at most MAX_TARGETS rows (checked in exact_quantiles), so the broadcast is bounded;
+        T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("iid", T.IntegerType()),
+        T.StructField("by_exponent", T.BooleanType())])
+    idf = spark.createDataFrame([k + i for k, i in ivs.items()], schema).select(
+        *[F.col(c).alias(f"__g_{c}") for c in key_cols], "lo", "hi", "iid", "by_exponent")
+    ivs = {k: i for k, (i, _) in ivs.items()}
+    # at most INTERVALS rows, so the broadcast is bounded;
     # null-safe equality keeps groups whose key is null
     cond = None
     for c in key_cols:
@@ -143,8 +184,13 @@ def _interval_frame(spark, long: DataFrame, key_cols, ts: list[_Target]):
 
 def _refine(spark, long, key_cols, ts: list[_Target], bins: int) -> None:
     ivs, joined = _interval_frame(spark, long, key_cols, ts)
-    width = F.col("hi") - F.col("lo")
-    b = F.least(F.floor((F.col("v") - F.col("lo")) / width * bins), F.lit(bins - 1)).cast("int")
+    v, lo = F.col("v"), F.col("lo")
+    even = F.least(F.floor((v - lo) / (F.col("hi") - lo) * bins), F.lit(bins - 1))
+    # zero in the middle, then by exponent (-1074 to 1024) away from it, infinity last
+    side = max(3, bins // 2)
+    place = F.when(F.abs(v) == float("inf"), F.lit(side)).otherwise(F.floor((F.log2(F.abs(v)) + 1075) / 2100 * (side - 2)) + 1)
+    exponent = F.when(v == 0, F.lit(0)).when(v > 0, place).otherwise(-place)
+    b = F.when(F.col("by_exponent"), exponent).otherwise(even).cast("int")
     rows = (joined.withColumn("b", b).groupBy("iid", "b")
             .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
             .collect())
@@ -158,9 +204,10 @@ def _refine(spark, long, key_cols, ts: list[_Target], bins: int) -> None:
         for _, c, bmin, bmax in buckets:
             if cum + c > want:
                 t.base += cum
+                # equal width always parts least from greatest, so it follows every round by exponent
+                t.by_exponent = not t.by_exponent and c * 4 > t.cnt
                 t.lo, t.hi, t.cnt = bmin, bmax, c
-                if bmin == bmax:
-                    t.value, t.done = bmin, True
+                t.settle()
                 break
             cum += c
 

@@ -20,7 +20,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyst.functions.quantiles import exact_quantiles, medians
+from tabulyst.functions.quantiles import group_quantiles, medians
 from tabulyst.result import Tables
 from tabulyst.sources.schema import normalize_missing, select_columns
 
@@ -41,7 +41,6 @@ def standardize(df: DataFrame, cols: list[str], population: bool = False) -> Dat
 
 def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFrame:
     """``(cluster, column, size, percent, mean, median, std)`` per label value and column (4 dp)."""
-    spark = df.sparkSession
     total = F.sum("size").over(Window.partitionBy(F.lit(1)))  # one row per group: bounded
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.select(F.col(label).alias("cluster"), "size",
@@ -53,15 +52,13 @@ def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFram
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
                     for i, c in enumerate(cols)])
     mom = mom.select(F.col(label).alias("cluster"), F.inline(arr))
-    q = exact_quantiles(df, cols, [0.5], by=[label], **qkw)
-    med = spark.createDataFrame([(r[label], r["column"], r["value"]) for r in q],
-                                f"cluster {df.schema[label].dataType.simpleString()}, column string, median double")
-    # null-safe joins keep a group whose label is null; ``med`` has one row per
-    # (group, column), bounded by the group count
+    med = group_quantiles(df, cols, [0.5], [label], **qkw)
+    med = med.select(F.col(label).alias("cluster"), "column", F.col("value").alias("median"))
+    # null-safe joins keep a group whose label is null
     m2 = mom.withColumnRenamed("cluster", "__c")
     j = sizes.join(m2, sizes["cluster"].eqNullSafe(m2["__c"])).drop("__c")
     md = med.withColumnRenamed("cluster", "__c").withColumnRenamed("column", "__col")
-    j = j.join(F.broadcast(md), j["cluster"].eqNullSafe(md["__c"]) & (j["column"] == md["__col"]), "left")
+    j = j.join(md, j["cluster"].eqNullSafe(md["__c"]) & (j["column"] == md["__col"]), "left")
     return j.select("cluster", "column", "size", "percent", F.round("mean", 4).alias("mean"),
                     F.round("median", 4).alias("median"), F.round("std", 4).alias("std"))
 

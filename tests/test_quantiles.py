@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tabulyst.functions.quantiles import exact_quantiles, quantile_map
+from tabulyst.functions.quantiles import exact_quantiles, group_quantiles, quantile_map
 from tabulyst.functions.ranking import column_ranks
 
 
@@ -70,3 +70,43 @@ def test_null_group_key(spark, max_rows):
                                "g string, v double")
     res = {r["g"]: r["value"] for r in exact_quantiles(df, ["v"], [0.5], by=["g"], max_exact_rows=max_rows, bins=4)}
     assert res == {None: 9.5, "a": 3.0}
+
+
+def _passes(monkeypatch):
+    from tabulyst.functions import quantiles as q
+    seen, real = [], q._refine
+    monkeypatch.setattr(q, "_refine", lambda *a: (seen.append(1), real(*a))[1])
+    return seen
+
+
+@pytest.mark.parametrize("kind", ["infinite", "largest", "log_uniform", "cluster"])
+def test_hard_distributions_take_few_rounds(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    x = {"infinite": np.r_[rng.normal(size=3000), [np.inf] * 5, [-np.inf] * 7],
+         "largest": np.r_[rng.normal(size=3000), 1e308, -1e308, 1.7e308],
+         "log_uniform": 10.0 ** rng.uniform(-300, 300, 3000),
+         "cluster": np.r_[1 + rng.random(3000) * 1e-9, 0.0, 1e300, -5.0]}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    seen = _passes(monkeypatch)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs, max_exact_rows=100, bins=64)}
+    x = np.sort(x)
+    for p in probs:
+        pos = (len(x) - 1) * p
+        k = int(pos)
+        a, b = x[k], x[min(k + 1, len(x) - 1)]
+        assert got[p] == pytest.approx(a if a == b else a + (b - a) * (pos - k), rel=1e-9, abs=1e-12)
+    assert len(seen) <= 8
+
+
+def test_group_quantiles_many_small_and_large_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g in range(400) for v in rng.normal(size=3)]
+    rows += [(None, float(v)) for v in rng.normal(size=900)] + [(1000, float(v)) for v in rng.normal(size=1200)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {(r["g"], r["p"]): r["value"] for r in group_quantiles(df, ["x"], [0.25, 0.5], ["g"], max_exact_rows=100).collect()}
+    assert len(got) == 2 * 402
+    for g in {g for g, _ in rows} - {2000}:
+        values = [v for h, v in rows if h == g]
+        for p in (0.25, 0.5):
+            assert got[g, p] == pytest.approx(np.quantile(values, p))
