@@ -164,9 +164,28 @@ class Encoder:
         return out, np.diff(edges)
 
 
-def _holding(width: int) -> np.dtype:
-    """The narrowest unsigned integer type of ``width`` bits or more."""
-    return np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, one after the other: 64 values fill ``width`` words of 64 bits."""
+    v = np.ascontiguousarray((values.reshape(-1, 64) & np.uint32((1 << width) - 1)).T, np.uint64)
+    words = np.zeros((width, v.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        words[word] |= v[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= v[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)
+
+
+def _unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    """Values back from :func:`_pack_bits`."""
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).reshape(-1, 8 * width).view("<u8").T)
+    out = np.zeros((64, words.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[i] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[i] |= words[word + 1] << np.uint64(64 - shift)
+    return np.ascontiguousarray((out & np.uint64((1 << width) - 1)).T)
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np.ndarray], bytes]:
@@ -178,7 +197,8 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
     padded = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1], ids.dtype)]).astype(np.int64).reshape(blocks, BLOCK)
     low = padded.min(axis=1)
     rest = (padded - low[:, None]).astype(np.uint32)
-    needs = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bits of each difference
+    # bits of each difference: the exponent of its float
+    needs = np.maximum((rest.astype(np.float64).view(np.int64) >> 52) - 1022, 0).astype(np.uint8)
     place = min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)
     width = np.partition(needs, place, axis=1)[:, place].astype(np.int64)
     out = needs > width[:, None]
@@ -190,10 +210,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 90.0) -> tuple[dict[str, np
         some = np.flatnonzero(width == w)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
-                # the low w bits of each value
-                kind = _holding(w)
-                bits = np.unpackbits(rest[part].astype(kind).view(np.uint8).reshape(-1, kind.itemsize), axis=1, bitorder="little")[:, :w]
-                raw[start[part][:, None] + np.arange(w * BLOCK // 8)] = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+                raw[start[part][:, None] + np.arange(w * BLOCK // 8)] = _pack_bits(rest[part], int(w)).reshape(len(part), -1)
     block, place = np.nonzero(out)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
     at = start[block] + width[block] * (BLOCK // 8)
@@ -213,10 +230,7 @@ def unpack_blocks(index: dict[str, np.ndarray], raw: np.ndarray, base: int = 0)
         for part in np.array_split(some, max(1, len(some) // 1024)):
             if w:
                 packed = raw[start[part][:, None] + np.arange(w * BLOCK // 8)]
-                kind = _holding(w)
-                bits = np.zeros((len(part) * BLOCK, 8 * kind.itemsize), np.uint8)
-                bits[:, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(-1, w)
-                rest[part] = np.packbits(bits, axis=1, bitorder="little").view(kind).reshape(-1, BLOCK)
+                rest[part] = _unpack_bits(packed, int(w)).reshape(-1, BLOCK)
     block = np.repeat(np.arange(len(width)), exceptions)
     rank = np.arange(len(block)) - np.repeat(np.append(0, np.cumsum(exceptions)[:-1]), exceptions)
     at = start[block] + width[block] * (BLOCK // 8)
