@@ -288,8 +288,9 @@ class LogFilter:
         return out
 
     def counts(self, levels: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the level's octave, 0 if not held."""
-        return np.where(levels > 0, self.least * 1.5 * np.exp2(levels - 1.0), 0.0)
+        """Estimated counts: the middle of the level's octave, 0 if not held. The octave from 1 holds the count 1 alone."""
+        low = self.least * np.exp2(levels - 1.0)
+        return np.where(levels > 0, np.where(low > 1, 1.5 * low, low), 0.0)
 
 
 def filter_size(counted: DataFrame, bits: int, least: int, bits_per_entry: int) -> LogFilter:
@@ -366,6 +367,7 @@ def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "t
 
     ``base_score``: sum of log10((c + 1) / (N + V + 1)) with exact counts; ``score``: the model's log10 probability.
     A filter of more than ``broadcast_bits`` is not broadcast but asked range by range, with equal scores.
+    N-grams of fewer than ``least`` occurrences score as never seen; with ``least=1`` the filter holds all.
     """
     spark = docs.sparkSession
     manifest = make_blocks(docs, row_id, text, train)

@@ -105,10 +105,10 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by a model of the documents that are not held out."""
+    """Every document scored by a model of all n-grams of the documents that are not held out."""
     ship_package(spark)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    out = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    out = lm.score(table(spark, sf_dir, "documents"), ~held_out, least=1)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -342,6 +342,19 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert lm.score(df, F.lit(False)).agg(F.sum("n_known")).first()[0] == 0
 
 
+def test_query_scores_words_and_pairs_seen_once(spark, tmp_path):
+    texts = [" ".join(f"w{i}n{k}" for k in range(12)) for i in range(40)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in queries.op9_lm(spark, str(tmp_path)).collect() if not r["held_out"]]
+    n = 13 * len(got)
+    floor, ends = n + 12 * len(got) + 2, 1.5 * 2 ** math.floor(math.log2(len(got)))
+    # the first word follows an end, the others and the last end follow a word that was seen once
+    want = math.log10(0.2 / ends + 1.6 / floor) + 11 * math.log10(0.2 + 1.6 / floor) + math.log10(0.2 + 0.8 * (ends + 1) / floor)
+    assert len(got) > 20 and sorted(r["score"] for r in got)[len(got) // 2] == pytest.approx(want, rel=1e-6)
+    assert sum(r["score"] for r in got) / len(got) == pytest.approx(want, rel=0.05)
+    assert lm.LogFilter(0, 64, 1).counts(np.array([0, 1, 2, 3])).tolist() == [0.0, 1.0, 3.0, 6.0]
+
+
 def test_encoder_equals_the_library_on_odd_texts():
     """White space of all kinds, numerals that are words to patterns, marks, control characters."""
     draw = random.Random(3)
