@@ -5,9 +5,10 @@ a window still hashes equally if words at ignored positions were substituted.
 Windows of the benchmark items and of the documents are hashed under each mask
 and joined. A hit gives an alignment (document, item, offset); it is verified by
 comparing the tokens of item and document along that alignment, substitutions
-counting as mismatches. An item leaks into a document if the best run of the
+counting as mismatches. An item leaks into a document if any run of the
 alignment holds at least ``min_match`` equal tokens (or the whole of a shorter item's),
-with at least ``min_share`` of the run equal.
+with at least ``min_share`` of the run equal. Reported is the best-scoring run if it does,
+else the run with the most equal tokens that does.
 
 Tokens are the words of the lower-cased text without punctuation.
 
@@ -87,6 +88,39 @@ def best_run(doc: Column, item: Column, offset: Column) -> Column:
     return F.when(last >= first, F.aggregate(F.sequence(first, last), state, step)).otherwise(state)
 
 
+def widest_run(doc: Column, item: Column, offset: Column, min_share: float) -> Column:
+    """Of the alignment: struct (matched, length, start) of the run with the most equal tokens among all with at least ``min_share`` equal.
+
+    With equal tokens at h[0], h[1], ..., the run from the a-th to the b-th has the share if
+    ``b + 1 - min_share (h[b] + 1) >= a - min_share h[a]``. Sorted by these values, an end meets all starts that it
+    can have before it, and the least of them gives its widest run.
+    """
+    first = F.greatest(F.lit(0), -offset)
+    last = F.least(F.size(item), F.size(doc) - offset) - 1
+    share = F.lit(float(min_share))
+
+    def mark(value: Column, end: int, k: Column, h: Column) -> Column:
+        return F.struct(value.alias("value"), F.lit(end).alias("end"), k.alias("k"), h.alias("h"))
+
+    def step(s: Column, x: Column) -> Column:
+        wider = (x["end"] == 1) & (x["k"] - s["k"] + 1 > s["matched"])
+        earlier = (x["end"] == 0) & (x["k"] < s["k"])
+        return F.struct(
+            F.when(earlier, x["k"]).otherwise(s["k"]).alias("k"), F.when(earlier, x["h"]).otherwise(s["h"]).alias("h"),
+            F.when(wider, x["k"] - s["k"] + 1).otherwise(s["matched"]).alias("matched"),
+            F.when(wider, x["h"] - s["h"] + 1).otherwise(s["length"]).alias("length"),
+            F.when(wider, s["h"]).otherwise(s["start"]).alias("start"))
+
+    def search(hits: Column) -> Column:
+        starts = F.transform(hits, lambda h, k: mark(k - share * h, 0, k, h))
+        ends = F.transform(hits, lambda h, k: mark(k + 1 - share * (h + 1) + 1e-9, 1, k, h))
+        state = F.struct(F.lit(2**31 - 1).alias("k"), *[F.lit(0).alias(x) for x in ("h", "matched", "length", "start")])
+        return let(F.sort_array(F.concat(starts, ends)), lambda marks: F.aggregate(marks, state, step))
+
+    hits = F.when(last >= first, F.filter(F.sequence(first, last), lambda i: F.get(doc, i + offset) == F.get(item, i))).otherwise(F.array().cast("array<int>"))
+    return let(let(hits, search), lambda s: F.struct(*[s[x].alias(x) for x in ("matched", "length", "start")]))
+
+
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """``hash, item, item_at`` of every window of every item under every mask."""
     span = max(map(len, masks))
@@ -112,10 +146,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: s
     ids = written(hits.select("id").distinct(), "benchmark-hit-ids")
     again = rows.join(checked_broadcast(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
     pairs = hits.join(checked_broadcast(items.withColumnRenamed("tokens", "item_tokens")), "item")
+    need = F.least(F.lit(min_match), F.size("item_tokens"))
+
+    def holds(run: Column) -> Column:
+        return (run["matched"] >= need) & (run["matched"] >= F.lit(min_share) * run["length"] - 1e-9)
+
+    aligned = F.col("tokens"), F.col("item_tokens"), F.col("offset")
+    found_run = let(best_run(*aligned), lambda run: F.when(holds(run), F.struct(*[run[x].alias(x) for x in ("matched", "length", "start")]))
+                    .when(run["matched"] > 0, widest_run(*aligned, min_share)))
     checked = again.join(pairs, again["id"].eqNullSafe(pairs["id"])).select(
-        again["id"], "item", "offset", F.size("item_tokens").alias("n_item"), best_run(F.col("tokens"), F.col("item_tokens"), F.col("offset")).alias("run"))
-    need = F.least(F.lit(min_match), F.col("n_item"))
-    good = checked.where((F.col("run.matched") >= need) & (F.col("run.matched") >= F.lit(min_share) * F.col("run.length")))
+        again["id"], "item", "offset", F.size("item_tokens").alias("n_item"), "item_tokens", found_run.alias("run"))
+    good = checked.where(holds(F.col("run")))
     best = good.groupBy("id", "item").agg(F.max(F.struct(
         F.col("run.matched").alias("matched"), (-F.col("run.length")).alias("neg"), (-(F.col("run.start") + F.col("offset"))).alias("at"),
         F.col("n_item").alias("n_item"))).alias("b"))

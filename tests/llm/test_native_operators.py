@@ -257,6 +257,32 @@ def test_alignment_score(spark):
     assert (r["matched"], r["length"], r["start"]) == (6, 7, 0)
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_long_leaks_with_regular_substitutions_are_found(spark, every):
+    rng = random.Random(every)
+    items = [words_of(rng, n) for n in (15, 19, 38, 59, 200)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    changed = [[f"other{k}" if k % every == every - 1 else x for k, x in enumerate(w)] for w in items]
+    texts = [" ".join(words_of(rng, 20) + w + words_of(rng, 20)) for w in changed]
+    texts.append(" ".join(items[4][:100] + words_of(rng, 300) + [x if k % 3 else "other" for k, x in enumerate(items[3])]))
+    got = decontaminate.leaks(docs_of(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(5)} | {(5, 4)}
+    assert all(r["matched"] >= 10 and r["matched"] >= 0.8 * r["run_length"] for r in got)
+
+
+def test_widest_run_equals_all_runs_tried(spark):
+    rng = random.Random(4)
+    pairs = [[int(rng.random() < p) for _ in range(n)] for n in (1, 2, 7, 20, 40) for p in (0.0, 0.5, 0.7, 0.8, 0.9, 1.0)]
+    df = spark.createDataFrame([(k, [7, 7] + same, [1] * len(same)) for k, same in enumerate(pairs)], "k int, d array<bigint>, i array<bigint>")
+    run = decontaminate.widest_run(F.col("d"), F.col("i"), F.lit(2), 0.8)
+    for r in df.select("k", run.alias("r")).collect():
+        same = pairs[r["k"]]
+        runs = [same[a:b] for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+        assert r["r"]["matched"] == max((sum(x) for x in runs if 5 * sum(x) >= 4 * len(x)), default=0)
+        mine = same[r["r"]["start"]:][:r["r"]["length"]]
+        assert sum(mine) == r["r"]["matched"] and 5 * sum(mine) >= 4 * len(mine)
+
+
 def test_shuffled_and_broadcast_joins_agree(spark, monkeypatch):
     rng = random.Random(2)
     items = [words_of(rng, 20) for _ in range(5)]
