@@ -7,9 +7,10 @@ aggregate over the table of sources; only two sums reach the driver.
 
 ``take`` gives every row of a source the whole repetitions
 ``floor(target / source size)`` and one more to a seeded part of its rows: rows
-in the order of a seeded hash, for as long as their sizes fill the fraction; then, a few times, the
-largest other row that still fits. So a source's taken size is below its target
-by less than the smallest row left out at the last fill, and reruns agree.
+in the order of a seeded hash, for as long as their sizes fill the fraction. Rows larger than what is
+left are then passed over and the order goes on, round by round until no row fits. So a source's taken size is
+below its target by less than the smallest row with a size left out, and reruns agree. Each round but the first
+starts with less left than the row that ended the one before, so rounds are few in a random order.
 
 Scaling: a source may hold any share of the rows. Its hash order is cut into
 buckets, about the square root of the row count many, so neither the prefix sums
@@ -23,6 +24,8 @@ Columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,42 +66,55 @@ def source_sizes(df: DataFrame, source: str, size: str, salt: Column) -> DataFra
     return part.groupBy("source").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("source_size"))
 
 
-def _decide(units: DataFrame, targets: DataFrame, seed: int, fills: int) -> DataFrame:
+def _in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (those that fit alone) with ``again``: whether the row and all before it in its source's hash order fit into ``rest``."""
+    buckets = rows.groupBy("name", "none", "bucket").agg(F.sum("words").alias("s"))
+    before = F.sum("s").over(W.partitionBy("name", "none").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0))).drop("s")
+    upto = F.sum("words").over(W.partitionBy("name", "none", "bucket").orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(buckets, ["name", "none", "bucket"]).withColumn("again", F.col("before") + upto <= F.col("rest") + 1e-9).drop("before")
+
+
+def _decide(units: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """``units`` (``source, id, size, words``) with the target's columns and ``repeats``."""
     bits = max(4, (max(1, units.count()) - 1).bit_length() // 2)
     h = F.xxhash64(F.lit(seed), "id", "size")
     rows = units.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits)).withColumn("salt", F.pmod("h", F.lit(32)))
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     t = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source_size", "target")
-    buckets = rows.groupBy("name", "none", "bucket").agg(F.sum("words").alias("s"))
-    before = F.sum("s").over(W.partitionBy("name", "none").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    buckets = buckets.withColumn("before", F.coalesce(before, F.lit(0))).drop("s").join(t, ["name", "none"])
-    upto = F.sum("words").over(W.partitionBy("name", "none", "bucket").orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.join(buckets, ["name", "none", "bucket"])
+    # a source's rows meet its numbers in 32 parts, so a hot one does not meet in one task
+    t = rows.groupBy("name", "none", "salt").agg(F.lit(1).alias("one")).drop("one").join(t, ["name", "none"])
+    rows = rows.join(t, ["name", "none", "salt"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("part", (ratio - F.col("whole")) * F.col("source_size"))
-    rows = rows.withColumn("again", F.col("before") + upto <= F.col("part") + 1e-9)
-    for _ in range(fills):
-        rows = written(rows, "mix-units")
-        # a source's rows are summed and matched in 32 parts, so a hot one does not meet in one task
-        parts = rows.groupBy("name", "none", "salt").agg(F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).alias("s"), F.max("part").alias("part"))
-        rest = parts.groupBy("name", "none").agg((F.max("part") - F.sum("s")).alias("rest"))
-        rest = parts.select("name", "none", "salt").join(rest, ["name", "none"])
-        fits = rows.where(~F.col("again") & (F.col("words") > 0)).join(rest, ["name", "none", "salt"]).where(F.col("words") <= F.col("rest") + 1e-9)
-        pick = fits.groupBy("name", "none", "salt").agg(F.max(F.struct("words", "h")).alias("best")).groupBy("name", "none").agg(F.max("best")["h"].alias("pick"))
-        pick = parts.select("name", "none", "salt").join(pick, ["name", "none"])
-        rows = rows.join(pick, ["name", "none", "salt"], "left").withColumn("again", F.col("again") | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))).drop("pick")
+    rows = rows.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("rest", (ratio - F.col("whole")) * F.col("source_size"))
+    rows = written(rows, "mix-units")
+    fits = (F.col("rest") > 1e-9) & (F.col("words") <= F.col("rest") + 1e-9)
+    no, columns, done = F.lit(False).alias("again"), rows.columns, []
+    while True:
+        done.append(rows.where(~fits).select("*", no))
+        rows = written(_in_order(rows.where(fits)).select(*columns, "again"), "mix-round")
+        done.append(rows.where("again"))
+        parts = rows.groupBy("name", "none", "salt").agg(F.sum(F.when(F.col("again"), F.col("words")).otherwise(0)).alias("s"))
+        got = parts.select("name", "none", "salt").join(parts.groupBy("name", "none").agg(F.sum("s").alias("got")), ["name", "none"])
+        left = rows.where(~F.col("again")).drop("again").join(got, ["name", "none", "salt"]).withColumn("rest", F.col("rest") - F.col("got"))
+        left = written(left.select(*columns), "mix-left")
+        done.append(left.where("words = 0").select("*", no))
+        rows = left.where("words > 0")
+        if rows.where(fits).isEmpty():
+            break
+    done.append(rows.select("*", no))
+    rows = reduce(DataFrame.unionByName, done)
     return rows.withColumn("repeats", (F.col("whole") + F.col("again").cast("long")).cast("int")).select("source", "id", "size", "source_size", "target", "repeats")
 
 
-def take(df: DataFrame, targets: DataFrame, row_id: str, source: str = "source", size: str = "size", seed: int = 0, fills: int = 3) -> DataFrame:
+def take(df: DataFrame, targets: DataFrame, row_id: str, source: str = "source", size: str = "size", seed: int = 0) -> DataFrame:
     """``df`` with ``source_size``, ``target`` and ``repeats`` (int, how often the row is taken).
 
     ``targets``: ``source, source_size, target`` with one row per source. Decisions
     are made on narrow units (rows equal in source, id and size), then joined to the rows.
     """
     units = df.groupBy(F.col(source).alias("source"), F.col(row_id).alias("id"), F.col(size).alias("size")).agg((F.coalesce(F.col(size), F.lit(0)) * F.count("*")).alias("words"))
-    got = _decide(written(units.where("words >= 0"), "mix-units"), targets, seed, fills).select(
+    got = _decide(written(units.where("words >= 0"), "mix-units"), targets, seed).select(
         F.col("source").alias("__source"), F.col("id").alias("__id"), F.col("size").alias("__size"), "source_size", "target", "repeats")
     got = written(got, "mix-decisions")
     rows = df.drop("source_size", "target", "repeats")

@@ -223,6 +223,22 @@ def test_lines_fail_by_rule_and_prose_stays(spark):
     assert quality.clean(docs_of(spark, [PROSE]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large, others", [(20_000, 60), (200_000, 300)])
+def test_a_very_long_row_does_not_end_the_fraction(spark, large, others):
+    rng = random.Random(large)
+    rows = [(i, f"s{k}", rng.randrange(50, 800)) for k in range(8) for i in range(k * 1000, k * 1000 + others)]
+    rows += [(9000 + k, f"s{k}", large) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sums = {f"s{k}": sum(r[2] for r in rows if r[1] == f"s{k}") for k in range(8)}
+    targets = spark.createDataFrame([(s, n, 1.5 * n) for s, n in sums.items()], "source string, source_size long, target double")
+    got = mixing.take(df, targets, "doc_id").collect()
+    assert len(got) == len(rows) and {r["repeats"] for r in got} == {1, 2}
+    for s, n in sums.items():
+        mine = [r for r in got if r["source"] == s]
+        short = 1.5 * n - sum(r["repeats"] * r["size"] for r in mine)
+        assert 0 <= short < min(r["size"] for r in mine if r["repeats"] == 1)
+
+
 # ---- decontamination --------------------------------------------------------------------------------
 
 
