@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulyst.llm.common import checked_broadcast, let, written
+from tabulyst.llm.neardup import node_of
 from tabulyst.llm.quality import words
 
 #: 1: the position counts, 0: it is ignored. Each has 6 counting positions; one substitution
@@ -165,9 +166,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: s
                        (-F.col("b.at")).cast("long").alias("doc_start"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows into which an item leaks; all columns stay as they are."""
-    found = written(leaks(docs, benchmark, row_id=row_id, **options).select(F.col(row_id).alias("__leaked")).distinct(), "leaked-ids")
-    return docs.join(checked_broadcast(found), docs[row_id].eqNullSafe(found["__leaked"]), "left_anti")
-
-
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows into which an item leaks; all columns stay as they are. Rows are told by their text, whatever their ids."""
+    rows = docs.select(node_of(F.col(text)).alias("__node"), F.col(text))
+    found = written(leaks(rows, benchmark, row_id="__node", text=text, **options).select(F.col("__node").alias("__leaked")).distinct(), "leaked-texts")
+    return docs.join(checked_broadcast(found), node_of(docs[text]) == found["__leaked"], "left_anti")

@@ -291,13 +291,11 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 3,
+def rooted(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 3,
            rare: float = 0.002, strength: float = 0.2) -> DataFrame:
-    """One row per row of ``docs``: ``row_id, class_id, group_id, kept``.
+    """One row per row of ``docs``: ``id, node, root``, the root being the same in a near-duplicate group.
 
-    ``class_id``: least id of the rows with the same text; ``group_id``: least id
-    of the near-duplicate group; ``kept``: whether the row has its group's id. With
-    10 bands of 3 draws a pair at 0.8 shares a bucket with probability 0.999.
+    With 10 bands of 3 draws a pair at 0.8 shares a bucket with probability 0.999.
     """
     spark = docs.sparkSession
     idf = shingle_idf(docs, text, rare, strength)
@@ -340,15 +338,28 @@ def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
         sims = written(similarities(pairs, sets, idf), "similarities")
         roots = _linked(roots, sims, threshold)
     ids = docs.select(F.col(row_id).alias("id"), node_of(F.col(text)).alias("node"))
-    ids = written(ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "document-nodes")
+    return written(ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("id", "node", "root"), "document-nodes")
+
+
+def groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: ``row_id, class_id, group_id, kept``.
+
+    ``class_id``: least id of the rows with the same text; ``group_id``: least id
+    of the near-duplicate group; ``kept``: whether the row has its group's id. ``options`` as in :func:`rooted`.
+    """
+    ids = rooted(docs, row_id, text, **options)
     ids = per_key(ids, ["root"], F.xxhash64("id", "node"), {"g": F.min("id")}, {"group_id": F.min("g")})
     ids = per_key(ids, ["node"], F.col("id"), {"c": F.min("id")}, {"class_id": F.min("c")})
     return ids.select(F.col("id").alias(row_id), "class_id", "group_id", F.col("id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
 def remove_near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each group, the one with the least id; all columns stay as they are. Of rows that
-    share that id one stays."""
-    keep = written(groups(docs, row_id, text, **options).where("kept").groupBy(F.col(row_id).alias("__kept")).agg(F.count("*").alias("__n")), "kept-ids")
-    out = docs.join(checked_broadcast(keep.select("__kept")), docs[row_id].eqNullSafe(keep["__kept"]), "left_semi")
-    return out if keep.where("__n > 1").isEmpty() else out.dropDuplicates([row_id])
+    """One row of each group, the one with the least id (null last), then the least node; all columns stay as they are.
+    Of rows that share id and text one stays; texts that only share an id or have none are told apart."""
+    same = rooted(docs, row_id, text, **options).groupBy("root", "id", "node").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("least")
+    keep = written(same.groupBy("root").agg(least).select(F.col("least.id").alias("__kept"), F.col("least.node").alias("__node"), F.col("least.n").alias("__n")), "kept-rows")
+    rows = docs.withColumn("__text_node", node_of(F.col(text)))
+    own = rows[row_id].eqNullSafe(keep["__kept"]) & (rows["__text_node"] == keep["__node"])
+    out = rows.join(checked_broadcast(keep.select("__kept", "__node")), own, "left_semi")
+    return (out if keep.where("__n > 1").isEmpty() else out.dropDuplicates([row_id, "__text_node"])).drop("__text_node")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulyst.llm import queries
+from tabulyst.llm import decontaminate, queries
 from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,17 @@ def test_every_stage_takes_null_and_repeated_rows(spark):
             assert len(out) == len(rows)
 
 
+def test_texts_with_null_and_shared_ids_are_told_apart(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (6, text("e")), (6, text("e")), (None, text("e")), (7, text("c"))]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r[0]), r[1][0]) for r in corpus_pipeline.near_duplicates(spark, base, SF).collect())
+    assert got == [("5", "c"), ("5", "d"), ("6", "e"), ("None", "a"), ("None", "b")]
+    item = spark.createDataFrame([(1, text("a")), (2, text("c"))], "item_id long, text string")
+    left = sorted((str(r[0]), r[1][0]) for r in decontaminate.remove_leaks(base, item).collect())
+    assert left == [("5", "d"), ("6", "e"), ("6", "e"), ("None", "b"), ("None", "b"), ("None", "e")]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and set(out.columns) >= {"doc_id", "text", "shard", "slot"}
