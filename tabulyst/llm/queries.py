@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, tokenfile, warc
+from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, suffix, tokenfile, warc
 from tabulyst.llm.common import WORD, written
 from tabulyst.session import ship_package
 
@@ -117,7 +117,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_neardup, op4_warc, op5_mixing, op6_chat, op7_quality, op8_tokens, op9_lm, op10_decontaminate)}
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that a document of a smaller id also holds."""
+    ship_package(spark)
+    out = suffix.remove_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_neardup, op4_warc, op5_mixing, op6_chat, op7_quality, op8_tokens, op9_lm, op10_decontaminate,
+                                   op13_passages)}
 
 _ESC = r"regexp_replace({}, '([\\<\[\]])', '\\\1', 'g')"
 _FORMATTED = f"""CASE r WHEN 'system' THEN '<<SYS>>' || {_ESC.format('x')} || '<</SYS>>' WHEN 'user' THEN '[INST] ' || {_ESC.format('x')} || ' [/INST]'
