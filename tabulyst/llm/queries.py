@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, suffix, tokenfile, warc
+from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, suffix, tokenfile, trie, warc
 from tabulyst.llm.common import WORD, written
 from tabulyst.session import ship_package
 
@@ -117,6 +117,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def shared_starts(turns: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Conversations rebuilt on the first h turns of their group's first one, and all conversation ids.
+
+    ``turns`` as :func:`trie.ordered_turns` gives them; h = crc32(id) % ``most``.
+    """
+    convs = turns.select("conv_id").distinct().withColumns({
+        "base": F.col("conv_id") - F.col("conv_id") % group, "h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % most})
+    first = turns.where((F.col("conv_id") % group == 0) & (F.col("place") < most)).withColumnRenamed("conv_id", "base")
+    heads = convs.join(first, "base").where(F.col("place") <= F.col("h")).select("conv_id", "place", "role", "text")
+    own = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
+    return heads.unionByName(turns.where(F.col("place") > own)), convs.select("conv_id")
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on shared starts, with subtree totals."""
+    ship_package(spark)
+    turns, convs = shared_starts(trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, convs).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 50-byte strings that a document of a smaller id also holds."""
     ship_package(spark)
@@ -126,7 +146,7 @@ def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_neardup, op4_warc, op5_mixing, op6_chat, op7_quality, op8_tokens, op9_lm, op10_decontaminate,
-                                   op13_passages)}
+                                   op12_trie, op13_passages)}
 
 _ESC = r"regexp_replace({}, '([\\<\[\]])', '\\\1', 'g')"
 _FORMATTED = f"""CASE r WHEN 'system' THEN '<<SYS>>' || {_ESC.format('x')} || '<</SYS>>' WHEN 'user' THEN '[INST] ' || {_ESC.format('x')} || ' [/INST]'
@@ -179,4 +199,23 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t,
   CAST(lost AS BIGINT) AS lost_words
 FROM w LEFT JOIN cov USING (k) LEFT JOIN lost USING (k)"""
 
-ORACLES = {"op4_warc": _WARC_SQL, "op6_chat": _CHAT_SQL, "op7_quality": _QUALITY_SQL}
+_TRIE_SQL = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, c - c % 20 AS b, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT)),
+   lambda a, y: list_reduce([xor(a, y)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda q, z: xor(q >> 1, 3988292384 * (q & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+rb AS (SELECT cs.c, 0 AS p, i, r, x FROM cs JOIN t ON t.c = cs.b AND i <= h UNION ALL SELECT cs.c, 1, i, r, x FROM cs JOIN t ON t.c = cs.c AND i > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p, i) AS d, sha256(length(r) || ':' || r || x) AS k,
+  len(list_filter(string_split_regex(x, '{_SPACES}'), lambda y: y <> '')) AS w FROM rb),
+m AS (SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS path, w FROM s UNION ALL SELECT c, 0, '', 0 FROM cs),
+e AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e FROM m JOIN (SELECT c, max(d) AS n FROM m GROUP BY c) USING (c) WHERE d = n GROUP BY path),
+nodes AS (SELECT path, d, min(c) AS g, count(*) AS n, max(w) AS w FROM m GROUP BY path, d),
+kids AS (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+up AS (SELECT left(path, 64 * y) AS path, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT path, n, w, k, unnest(range(0, d + 1)) AS y FROM nodes LEFT JOIN kids USING (path)) GROUP BY 1)
+SELECT a.g AS conv_id, CAST(a.d AS BIGINT) AS depth, q.g AS parent_conv_id, a.n AS n_convs, coalesce(k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes a LEFT JOIN nodes q ON a.d > 0 AND q.path = left(a.path, 64 * (a.d - 1)) LEFT JOIN kids ON kids.path = a.path JOIN up ON up.path = a.path LEFT JOIN e ON e.path = a.path"""
+
+ORACLES = {"op12_trie": _TRIE_SQL, "op4_warc": _WARC_SQL, "op6_chat": _CHAT_SQL, "op7_quality": _QUALITY_SQL}
