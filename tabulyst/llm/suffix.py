@@ -45,12 +45,14 @@ from tabulyst.llm.neardup import slices
 
 ANCHOR = 16
 #: Text bytes per block, and text bytes for each shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 #: Strings of one fragment at most; runs of one anchor from which its strings are dealt one by one.
 LONGEST, HOT_RUNS = 256, 20_000
 #: Most buckets of an induction scan.
 WIDE = 2048
 _SEGMENT = 1 << 17
+#: Fragments or strings that are looked at together.
+_FEW = 20_000
 _NO_ID = np.iinfo(np.int64).max
 _ZERO = np.zeros(1, np.int64)
 
@@ -432,9 +434,9 @@ class Fragments:
         # strings of hot anchors one by one, by their own hash
         n = count[hot]
         single = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.array([], np.uint64)
-        if len(single):
-            own = mix64(_spread(_VALUE[self.raw[single[:, None] + np.arange(size)]].T, size)[0])
+        own = np.zeros(len(single), np.uint64)
+        for lo in range(0, len(single), _FEW):
+            own[lo: lo + _FEW] = mix64(_spread(_VALUE[self.raw[single[lo: lo + _FEW, None] + np.arange(size)]].T, size)[0])
         self.start = np.append(start[one], single)
         self.count = np.append(count[one], np.ones(len(single), np.int64))
         part = np.append(_parts(anchor[one], bits), _parts(own, bits))
@@ -498,21 +500,23 @@ def _cut(path: str, rows: list, size: int, bits: int) -> Iterator[pa.RecordBatch
     """The texts of a block without the repeated bytes."""
     block = Fragments(path, [r[2] for r in rows if r[0] == 0], size, bits)
     found = {part: np.frombuffer(_unzip(blob), "<i8") for kind, part, blob in rows if kind == 1}
-    covered = np.zeros(len(block.raw) + 1, np.int32)
+    repeats = np.zeros(len(block.raw), bool)
     if len(block.start):
         # the answers, fragment by fragment in the order in which they were asked
         answer = np.concatenate([found[part] for part, _ in block.shards()])
         strings = np.array([len(x) for x in block.distinct], np.int64) - size + 1
         at = np.empty(len(strings), np.int64)
         at[block.order] = np.cumsum(strings[block.order]) - strings[block.order]
-        nth = np.arange(block.count.sum()) - np.repeat(np.cumsum(block.count) - block.count, block.count)
-        where = np.repeat(block.start, block.count) + nth
-        least = answer[np.repeat(at[block.which], block.count) + nth]
-        owner = np.repeat(block.ids[np.searchsorted(block.at, block.start, side="right") - 1], block.count)
-        where = where[least < owner]
-        np.add.at(covered, where, 1)
-        np.add.at(covered, where + size, -1)
-    gone = np.cumsum(covered[:-1]) > 0
+        for lo in range(0, len(block.start), _FEW):
+            start, count, which = block.start[lo: lo + _FEW], block.count[lo: lo + _FEW], block.which[lo: lo + _FEW]
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            owner = np.repeat(block.ids[np.searchsorted(block.at, start, side="right") - 1], count)
+            repeats[np.repeat(start, count) + nth] = answer[np.repeat(at[which], count) + nth] < owner
+    # a byte goes if a repeated string starts at it or less than ``size`` before it
+    begun = np.cumsum(repeats, dtype=np.int32)
+    gone = begun > 0
+    gone[size:] = begun[size:] > begun[:-size]
+    del begun
     edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
     inner = np.unique(block.at[(block.at > 0) & (block.at < len(gone))])
     edge[inner] = 0  # a span ends with its text
