@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, quality, secrets, sharding, suffix, tokenfile, trie, warc
+from tabulyst.llm import chat, decontaminate, lm, mixing, neardup, phrases, quality, secrets, sharding, suffix, tokenfile, trie, warc
 from tabulyst.llm.common import WORD, written
 from tabulyst.session import ship_package
 
@@ -117,6 +117,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations of two to four words."""
+    ship_package(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def shared_starts(turns: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
     """Conversations rebuilt on the first h turns of their group's first one, and all conversation ids.
 
@@ -146,7 +152,7 @@ def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_neardup, op4_warc, op5_mixing, op6_chat, op7_quality, op8_tokens, op9_lm, op10_decontaminate,
-                                   op12_trie, op13_passages)}
+                                   op11_phrases, op12_trie, op13_passages)}
 
 _ESC = r"regexp_replace({}, '([\\<\[\]])', '\\\1', 'g')"
 _FORMATTED = f"""CASE r WHEN 'system' THEN '<<SYS>>' || {_ESC.format('x')} || '<</SYS>>' WHEN 'user' THEN '[INST] ' || {_ESC.format('x')} || ' [/INST]'
@@ -218,4 +224,20 @@ SELECT a.g AS conv_id, CAST(a.d AS BIGINT) AS depth, q.g AS parent_conv_id, a.n
   CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
 FROM nodes a LEFT JOIN nodes q ON a.d > 0 AND q.path = left(a.path, 64 * (a.d - 1)) LEFT JOIN kids ON kids.path = a.path JOIN up ON up.path = a.path LEFT JOIN e ON e.path = a.path"""
 
-ORACLES = {"op12_trie": _TRIE_SQL, "op4_warc": _WARC_SQL, "op6_chat": _CHAT_SQL, "op7_quality": _QUALITY_SQL}
+_PHRASES_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+inside AS (SELECT lang, ws[i:i + j - 1] AS ws, max(f) AS longer FROM (SELECT lang, ws, f, j, unnest(range(1, k - j + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, ws) WHERE longer IS NULL OR 100 * longer < 80 * f),
+cut AS (SELECT a.lang, a.ws, a.f AS a, j, l.f AS l, r.f AS r, (2000000::HUGEINT * a.f) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) a JOIN f l ON l.lang = a.lang AND l.ws = a.ws[1:j] JOIN f r ON r.lang = a.lang AND r.ws = a.ws[j + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+s AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN tot USING (lang)
+QUALIFY rank <= 2000"""
+
+ORACLES = {"op11_phrases": _PHRASES_SQL, "op12_trie": _TRIE_SQL, "op4_warc": _WARC_SQL, "op6_chat": _CHAT_SQL, "op7_quality": _QUALITY_SQL}
