@@ -45,11 +45,11 @@ from tabulyst.llm.neardup import slices
 
 ANCHOR = 16
 #: Text bytes per block, and text bytes for each shard.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
 #: Strings of one fragment at most; runs of one anchor from which its strings are dealt one by one.
 LONGEST, HOT_RUNS = 256, 20_000
-#: Most buckets of an induction scan.
-WIDE = 2048
+#: Most buckets of an induction scan, and names that need no further recursion.
+WIDE, FEW_NAMES = 2048, 1 << 17
 _SEGMENT = 1 << 17
 #: Fragments or strings that are looked at together.
 _FEW = 20_000
@@ -162,6 +162,22 @@ def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
     return out, int(name[-1]) + 1
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix array of a short string by doubling ranks: where the recursion ends."""
+    n, have = len(names), 1
+    rank = names.astype(np.int64)
+    while True:
+        key = rank * np.int64(n + 1)
+        key[:-have or n] += rank[have:] + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        rank[order] = new
+        if new[-1] == n - 1:
+            return order
+        have *= 2
+
+
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """Start of each suffix of ``t`` in order; ``t`` holds 0..symbols-1 and ends with its only 0."""
     if len(t) == 1:
@@ -187,7 +203,9 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
         short = names[kept]
         used = np.bincount(short, minlength=kinds) > 0
         short, kinds = (np.cumsum(used) - 1)[short], int(used.sum())
-        if kinds > WIDE and 2 * len(short) + 1 < 0.9 * len(t):
+        if len(short) <= FEW_NAMES:
+            deep = _doubled(short)
+        elif kinds > WIDE and 2 * len(short) + 1 < 0.9 * len(t):
             base = int(np.ceil(np.sqrt(kinds)))
             digits = np.zeros(2 * len(short) + 1, np.int64)
             digits[:-1:2], digits[1::2] = short // base + 1, short % base + 1
@@ -304,7 +322,8 @@ def runs(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
         found.append((start + lo, count, key))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    start, count, key = (np.concatenate(x) for x in zip(*found))
+    return start, count, mix64(key ^ np.uint64(_STEP))  # least hashes are small: spread them over the shards
 
 
 # ---- blocks -----------------------------------------------------------------------------------------

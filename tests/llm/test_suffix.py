@@ -17,9 +17,10 @@ def shipped(spark):
     ship_package(spark)
 
 
-@pytest.mark.parametrize("wide", [2, 5, 2048])
-def test_suffix_array_and_prefixes_equal_sorting(monkeypatch, wide):
+@pytest.mark.parametrize("wide,few", [(2, 1), (5, 1), (2048, 1), (2, 4), (2048, 1 << 18)])
+def test_suffix_array_and_prefixes_equal_sorting(monkeypatch, wide, few):
     monkeypatch.setattr(suffix, "WIDE", wide)
+    monkeypatch.setattr(suffix, "FEW_NAMES", few)
     rng = random.Random(wide)
     for _ in range(150):
         k = rng.choice([2, 3, 6, 40])
