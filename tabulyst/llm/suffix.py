@@ -49,7 +49,7 @@ BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
 #: Strings of one fragment at most; runs of one anchor from which its strings are dealt one by one.
 LONGEST, HOT_RUNS = 256, 20_000
 #: Most buckets of an induction scan, and names that need no further recursion.
-WIDE, FEW_NAMES = 2048, 1 << 17
+WIDE, FEW_NAMES = 2048, 1 << 18
 _SEGMENT = 1 << 17
 #: Fragments or strings that are looked at together.
 _FEW = 20_000
