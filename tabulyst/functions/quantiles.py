@@ -1,23 +1,19 @@
-"""Exact quantiles (linear interpolation) without a one-task merge.
+"""Exact quantiles (linear interpolation) in three passes, without a one-task merge.
 
 Spark's exact ``percentile``/``median`` keeps a value->count map per group and
 merges all partial maps of a global aggregate in one task: fine for a few million
-distinct values, not for a column of a 100 TB table. ``exact_quantiles`` instead
-narrows an interval around each target rank:
-
-1. one aggregate gives ``n, min, max`` per (group, column);
-2. while an interval holds more than ``max_exact_rows`` values, one aggregate
-   counts its rows in ``bins`` buckets (``count, min, max`` per bucket,
-   partial aggregation on the map side); the driver keeps the bucket holding the
-   rank. A bucket whose min equals its max resolves the rank at once, so a hot
-   value holding a third of all rows costs nothing extra. Buckets are of equal width; where
-   that is of no use (an infinite bound, a width beyond the largest double, or a round that left most
-   rows in one bucket, as with log-uniform values) one round goes by sign and exponent;
-3. the remaining small intervals are finished by one window over their distinct
-   values (each window group holds at most ``max_exact_rows`` rows).
-
-Only interval bounds and bucket counts reach the driver, for at most ``INTERVALS`` intervals a job.
-:func:`group_quantiles` is the way for any number of groups: small groups never reach the driver.
+distinct values, not for a column of a 100 TB table. ``exact_quantiles`` reads the rows at most three times, whatever their values:
+
+1. one aggregate gives ``n, min, max, mean, std`` and a mergeable quantile sketch per (group, column); the sketch's rank
+   error is at most ``n / accuracy``, so two of its quantiles bracket each target;
+2. one aggregate counts the rows below and inside each bracket, with the least and greatest value inside and the nearest outside. A
+   bracket of one value, as inside a value that holds a third of all rows, resolves at once; so do targets at a bracket's edge;
+3. the rows inside the other brackets (a share of about ``6 / accuracy`` of a column, and ties) are counted by value and finished by one window.
+
+Passes 1 and 2 are wide: one row of the table stays one row. Infinite values are values like others. A target outside its bracket, which
+the sketch's guarantee rules out, would be narrowed in rounds of bucket counts.
+
+Only bounds and counts reach the driver. :func:`group_quantiles` is the way for any number of groups: small groups never reach the driver.
 The result equals
 ``quantile_cont`` / numpy's linear percentile: ``v[k] + (v[k+1] - v[k]) * frac``
 with ``pos = (n - 1) * p``.
@@ -38,13 +34,14 @@ from tabulyst.functions.expressions import col_
 
 DEFAULT_MAX_EXACT_ROWS = 50_000  # intervals above this are narrowed by a bucket count first
 DEFAULT_BINS = 1024
+ACCURACY = 20_000  # of the sketch: its ranks are off by at most n / ACCURACY
 INTERVALS = 1000  # intervals narrowed or finished by one job; more take further jobs
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | tuple = ()) -> DataFrame:
     """``(by..., column, v)`` with v as double; null and NaN dropped."""
     arr = F.array(*[F.struct(F.lit(c).alias("column"), col_(c).cast("double").alias("v")) for c in cols])
-    return (df.select(*by, F.inline(arr))
+    return (df.select(*[col_(b) for b in by], F.inline(arr))
             .where(F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
 
 
@@ -68,48 +65,113 @@ class _Target:
             self.by_exponent = True
 
 
+def _bracketed(df: DataFrame, cols: list[str], by: list[str], brackets: list[dict]) -> dict[tuple, dict]:
+    """Pass 2: ``below, inside, least, most, before, after`` of each bracket ``{key, lo, hi}``, key = group values and column."""
+    at = {c: i for i, c in enumerate(cols)}
+    slots: dict[tuple, list[dict]] = {}
+    for b in brackets:
+        slots.setdefault(b["key"][:-1], []).append(b)
+    width = max(len(x) for x in slots.values())
+    cells: list[tuple] = []  # one row per group: which column, lo and hi of each slot
+    for group, few in slots.items():
+        few = few + [few[0]] * (width - len(few))
+        cells.append(group + tuple(v for b in few for v in (at[b["key"][-1]], b["lo"], b["hi"])))
+    values = F.array(*[col_(c).cast("double") for c in cols])
+    if by:
+        schema = T.StructType([T.StructField(f"__g{i}", df.schema[b].dataType) for i, b in enumerate(by)] + [
+            T.StructField(f"__{n}{k}", t) for k in range(width) for n, t in (("c", T.IntegerType()), ("lo", T.DoubleType()), ("hi", T.DoubleType()))])
+        bounds = F.broadcast(df.sparkSession.createDataFrame(cells, schema))  # one row per group of the driver's list
+        same = functools.reduce(lambda a, b: a & b, [col_(b).eqNullSafe(F.col(f"__g{i}")) for i, b in enumerate(by)])
+        rows = df.select(*[col_(b) for b in by], values.alias("__v")).join(bounds, same)
+        slot = [(F.get("__v", F.col(f"__c{k}")), F.col(f"__lo{k}"), F.col(f"__hi{k}")) for k in range(width)]
+    else:
+        rows = df.select(*[col_(c).cast("double").alias(f"__v{i}") for i, c in enumerate(cols)])
+        slot = [(F.col(f"__v{cells[0][3 * k]}"), F.lit(cells[0][3 * k + 1]), F.lit(cells[0][3 * k + 2])) for k in range(width)]
+    aggs = []
+    for k, (v, lo, hi) in enumerate(slot):
+        v = F.when(~F.isnan(v), v)
+        inside = (v >= lo) & (v <= hi)
+        aggs.append(F.struct(F.count_if(v < lo), F.count_if(inside), F.min(F.when(inside, v)), F.max(F.when(inside, v)), F.max(F.when(v < lo, v)),
+                             F.min(F.when(v > hi, v))).alias(f"s{k}"))
+    got = rows.groupBy(*[F.col(f"__g{i}") for i in range(len(by))]).agg(*aggs).collect()
+    found = {}
+    for r in got:
+        for k, b in enumerate(slots[tuple(r[f"__g{i}"] for i in range(len(by)))]):
+            found[b["key"] + (b["lo"], b["hi"])] = dict(zip(("below", "inside", "least", "most", "before", "after"), r[f"s{k}"]))
+    return found
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | tuple = (),
-                    max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS, bins: int = DEFAULT_BINS) -> list[dict]:
+                    max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS, bins: int = DEFAULT_BINS, accuracy: int = ACCURACY,
+                    passes: list[str] | None = None) -> list[dict]:
     """Exact linear-interpolation quantiles of ``cols`` (per ``by`` group).
 
     Returns one dict per (group, column, p): ``{**group, column, p, value, n, mean,
     std, min, max}`` (the moments come free with the first aggregate). A
-    group/column without any non-null value has no entry.
+    group/column without any non-null value has no entry. ``passes`` gets the name of each pass over the rows.
     """
-    by = list(by)
+    by, passes = list(by), [] if passes is None else passes
     if not cols:
         return []
     spark = df.sparkSession
-    long = long_values(df, cols, by)
-    stats = (long.groupBy(*by, "column")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                  F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-             .collect())
+    step = 2.0 / accuracy
+    near = [min(1.0, max(0.0, float(p) + d)) for p in probs for d in (-step, step)]
+    passes.append("sketch")
+    aggs = []
+    for i, c in enumerate(cols):
+        v = col_(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs.append(F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                             F.percentile_approx(v, near, accuracy).alias("near")).alias(f"__s{i}"))
+    groups = df.groupBy(*[col_(b).alias(f"__g{i}") for i, b in enumerate(by)]).agg(*aggs).collect()
 
     targets: dict[tuple, _Target] = {}
+    brackets: dict[tuple, dict] = {}
     plan = []  # (key, p, n, rank0, rank1, frac)
     moments = {}
-    for r in stats:
-        key = tuple(r[b] for b in by) + (r["column"],)
-        n = int(r["n"])
-        moments[key] = (r["mean"], r["std"], r["lo"], r["hi"])
-        for p in probs:
-            pos = (n - 1) * float(p)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n - 1)
-            plan.append((key, p, n, k0, k1, pos - k0))
-            for k in (k0, k1):
-                if (key, k) not in targets:
-                    t = _Target(key, k, float(r["lo"]), float(r["hi"]), 0, n)
-                    t.settle()
-                    targets[(key, k)] = t
+    for row in groups:
+        for i, c in enumerate(cols):
+            r = row[f"__s{i}"]
+            if not r["n"]:
+                continue
+            key, n = tuple(row[f"__g{j}"] for j in range(len(by))) + (c,), int(r["n"])
+            moments[key] = (r["mean"], r["std"], r["lo"], r["hi"])
+            for k, p in enumerate(probs):
+                pos = (n - 1) * float(p)
+                k0 = int(math.floor(pos))
+                k1 = min(k0 + 1, n - 1)
+                plan.append((key, p, n, k0, k1, pos - k0))
+                lo, hi = float(r["near"][2 * k]), float(r["near"][2 * k + 1])
+                for rank in (k0, k1):
+                    if (key, rank) not in targets:
+                        t = targets[(key, rank)] = _Target(key, rank, lo, hi, 0, n)
+                        if r["lo"] == r["hi"]:
+                            t.value, t.done = float(r["lo"]), True
+                        elif rank in (0, n - 1):
+                            t.value, t.done = float(r["lo"] if rank == 0 else r["hi"]), True
+                        else:
+                            brackets[key + (lo, hi)] = {"key": key, "lo": lo, "hi": hi}
+    if brackets:
+        passes.append("count")
+        counted = _bracketed(df, cols, by, list(brackets.values()))
+        for t in targets.values():
+            if not t.done:
+                _locate(t, counted[t.key + (t.lo, t.hi)], moments[t.key])
 
     key_cols = by + ["column"]
-    while open_t := [t for t in targets.values() if not t.done]:
-        for few in _by_interval([t for t in open_t if t.cnt <= max_exact_rows]):
-            _finish(spark, long, key_cols, few)
-        for few in _by_interval([t for t in open_t if t.cnt > max_exact_rows]):
+    wide = [t for t in targets.values() if not t.done and t.cnt < 0]  # outside their brackets
+    for t in wide:
+        t.cnt = -t.cnt
+        t.settle()
+    long = long_values(df, cols, by)
+    while open_t := [t for t in wide if not t.done and t.cnt > max_exact_rows]:
+        passes.append("refine")
+        for few in _by_interval(open_t):
             _refine(spark, long, key_cols, few, bins)
+    if open_t := [t for t in targets.values() if not t.done]:
+        passes.append("finish")
+        for few in _by_interval(open_t):
+            _finish(spark, long, key_cols, few)
 
     out = []
     for key, p, n, k0, k1, frac in plan:
@@ -119,10 +181,34 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
         mean, std, lo, hi = moments[key]
         d.update(column=key[-1], p=float(p), value=float(value), n=n, mean=mean, std=std, min=lo, max=hi)
         out.append(d)
-    # (group, column) pairs without any value never appear in ``stats``; callers treat them as None
+    # (group, column) pairs without any value have no entry; callers treat them as None
     return out
 
 
+def _locate(t: _Target, found: dict, moments: tuple) -> None:
+    """Settle a target by its bracket's counts, or give it the rows that are left to look at."""
+    below, inside = int(found["below"]), int(found["inside"])
+    t.base, place = below, t.rank - below
+    if place == -1:
+        t.value = found["before"]
+    elif place == inside:
+        t.value = found["after"]
+    elif 0 <= place < inside:
+        if place == 0 or found["least"] == found["most"]:
+            t.value = found["least"]
+        elif place == inside - 1:
+            t.value = found["most"]
+        else:
+            t.lo, t.hi, t.cnt = found["least"], found["most"], inside
+    elif place < 0:
+        t.lo, t.hi, t.base, t.cnt = float(moments[2]), found["before"], 0, -below
+    else:
+        n_above = t.cnt - below - inside
+        t.lo, t.hi, t.base, t.cnt = found["after"], float(moments[3]), below + inside, -n_above
+    if t.value is not None:
+        t.value, t.done = float(t.value), True
+
+
 def _by_interval(ts: list[_Target]) -> Iterator[list[_Target]]:
     """Targets in lots of at most INTERVALS intervals, targets of one interval together."""
     per: dict[tuple, list[_Target]] = {}
@@ -142,17 +228,17 @@ def group_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list
     """
     spark, key = df.sparkSession, [*by, "column"]
     long = long_values(df, cols, by)
-    sizes = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    large = spark.createDataFrame(sizes.where(F.col("n") > max_exact_rows).select(*key).collect(), sizes.select(*key).schema)
-    hot = large.select(*[F.col(c).alias(f"__g_{c}") for c in key])
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in key])
-    small = long.join(hot, same, "left_anti").groupBy(*key).agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
-    small = small.select(*key, F.posexplode("q").alias("__i", "value"))
-    out = small.select(*key, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "value")
+    sizes = long.groupBy(*[col_(c) for c in key]).agg(F.count(F.lit(1)).alias("n"))
+    large = spark.createDataFrame(sizes.where(F.col("n") > max_exact_rows).select(*[col_(c) for c in key]).collect(), sizes.select(*[col_(c) for c in key]).schema)
+    hot = large.select(*[col_(c).alias(f"__g_{c}") for c in key])
+    same = functools.reduce(lambda a, b: a & b, [col_(c).eqNullSafe(col_(f"__g_{c}")) for c in key])
+    small = long.join(hot, same, "left_anti").groupBy(*[col_(c) for c in key]).agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
+    small = small.select(*[col_(c) for c in key], F.posexplode("q").alias("__i", "value"))
+    out = small.select(*[col_(c) for c in key], F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("p"), "value")
     if large.isEmpty():
         return out
-    few = large.select(*by).distinct().select(*[F.col(c).alias(f"__g_{c}") for c in by])
-    mine = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by])
+    few = large.select(*[col_(c) for c in by]).distinct().select(*[col_(c).alias(f"__g_{c}") for c in by])
+    mine = functools.reduce(lambda a, b: a & b, [col_(c).eqNullSafe(col_(f"__g_{c}")) for c in by])
     wanted = {tuple(r) for r in large.collect()}
     found = exact_quantiles(df.join(few, mine, "left_semi"), cols, probs, by, max_exact_rows, **kw)
     rows = [tuple(r[c] for c in [*key, "p", "value"]) for r in found if tuple(r[c] for c in key) in wanted]
@@ -168,13 +254,13 @@ def _interval_frame(spark, long: DataFrame, key_cols, ts: list[_Target]):
         T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("iid", T.IntegerType()),
         T.StructField("by_exponent", T.BooleanType())])
     idf = spark.createDataFrame([k + i for k, i in ivs.items()], schema).select(
-        *[F.col(c).alias(f"__g_{c}") for c in key_cols], "lo", "hi", "iid", "by_exponent")
+        *[col_(c).alias(f"__g_{c}") for c in key_cols], "lo", "hi", "iid", "by_exponent")
     ivs = {k: i for k, (i, _) in ivs.items()}
     # at most INTERVALS rows, so the broadcast is bounded;
     # null-safe equality keeps groups whose key is null
     cond = None
     for c in key_cols:
-        eq = F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+        eq = col_(c).eqNullSafe(col_(f"__g_{c}"))
         cond = eq if cond is None else cond & eq
     joined = (long.join(F.broadcast(idf), on=cond, how="inner")
               .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))

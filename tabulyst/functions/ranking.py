@@ -104,6 +104,8 @@ def attach_ranks(df: DataFrame, cols: list[str], kind: str = "average", suffix:
                  cached: list | None = None) -> DataFrame:
     """Add ``<col><suffix>`` rank columns (``average`` 1-based or ``dense`` 0-based).
 
+    Kind ``below`` gives only ``<col>`` (rows below the value) and ``<col>__n`` (rows that share it) instead.
+
     The rank table is computed once for all columns (and persisted); each column
     joins back on its value: broadcast when its distinct count (just measured) is
     at most ``broadcast_limit``, else a shuffle join (AQE splits a skewed value).
@@ -115,8 +117,11 @@ def attach_ranks(df: DataFrame, cols: list[str], kind: str = "average", suffix:
         cached.append(ranks)
     r = (F.col("below") + (F.col("cnt") + 1) / 2.0) if kind == "average" else F.col("below_distinct")
     out = df
-    for c in cols:
-        rt = ranks.where(F.col("column") == c).select(F.col("value").alias(f"{c}__v"), r.alias(f"{c}{suffix}"))
+    for i, c in enumerate(cols):
+        new = [F.col("below").alias(f"__b{i}"), F.col("cnt").alias(f"__n{i}")] if kind == "below" else [r.alias(f"{c}{suffix}")]
+        rt = ranks.where(F.col("column") == c).select(F.col("value").alias("__v"), *new)
         rt = F.broadcast(rt) if nd.get(c, 0) <= broadcast_limit else rt
-        out = out.join(rt, F.col(c).cast("double") == F.col(f"{c}__v"), "left").drop(f"{c}__v")
+        out = out.join(rt, col_(c).cast("double") == F.col("__v"), "left").drop("__v")
+    if kind == "below":
+        out = out.select(*[x for i, c in enumerate(cols) for x in (F.col(f"__b{i}").alias(c), F.col(f"__n{i}").alias(f"{c}__n"))])
     return out

@@ -6,8 +6,8 @@ category dropped (gaps -> all zeros); feature gaps -> 0; target gaps -> target
 median; ``1 < distinct targets < 15`` means classification, classes encoded
 0..k-1 in sorted order.
 
-Split: a row is in the test set when ``pmod(xxhash64(row, seed), 10000) <
-test_size * 10000`` – stable under any repartitioning, no shuffle. The assembled
+Split: equal rows are counted and their exact share goes to the test set, single rows by a hash of their
+content – stable under any repartitioning, one pre-aggregated shuffle. The assembled
 frame is persisted once and every model of the sweep reads it; one failing
 model becomes a ``failed`` leaderboard row.
 
@@ -36,12 +36,15 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulyst.functions.cells import cell_counts
+from tabulyst.functions.codes import value_codes, with_codes
 from tabulyst.functions.expressions import col_, score_grade
 from tabulyst.functions.quantiles import medians
 from tabulyst.result import Tables
@@ -50,6 +53,7 @@ from tabulyst.sources.schema import is_numeric_type, is_text_type, normalize_mis
 MAX_CLASSES = 15  # fixed value: fewer distinct targets than this (and more than 1) means classification
 MAX_DUMMY_CATEGORIES = 1000
 RF_DEPTH = 12
+LOT = 65_536  # copies of one row made by one task
 
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True,
@@ -79,18 +83,42 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True,
     return df.select(*[col_(c) for c in df.columns if c not in cols], *exprs), new_cols
 
 
-def label_encode(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, list]:
-    """Classes -> 0..k-1 in sorted order (numeric order for numeric targets).
+def one_hot_vectors(df: DataFrame, cols: list[str], drop_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Any number of categories: each column becomes a sparse 0/1 vector of the same name.
 
-    The class list is small (checked: fewer than ``MAX_CLASSES``) and enters the
-    plan as a literal map.
+    Returns the table and ``column, place, category``, the vectors' places in order (first sorted category dropped, gaps all 0). The
+    categories are a table of codes that joins the rows; neither the schema nor the driver holds them.
     """
-    classes = sorted(r[0] for r in df.select(col_(target)).where(col_(target).isNotNull()).distinct()
-                     .limit(MAX_CLASSES + 1).collect())
-    if len(classes) > MAX_CLASSES:
-        raise ValueError("too many classes to encode")
-    mapping = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-    return df.withColumn(out, mapping[col_(target)]), classes
+    places = None
+    for c in cols:
+        codes, n = value_codes(df, c)
+        keep = codes.select(F.lit(c).alias("column"), (F.col("code") - int(drop_first)).alias("place"), F.col("value").alias("category")).where("place >= 0")
+        places = keep if places is None else places.unionByName(keep)
+        # the encoder drops its last index: gaps, and with them the first category
+        gap = float(n - int(drop_first))
+        index = F.col("__code") - int(drop_first)
+        rows = with_codes(df, col_(c), codes, n, "__code").withColumn("__index", F.when(F.col("__code").isNull() | (index < 0), F.lit(gap)).otherwise(index).cast("double"))
+        rows = rows.withColumn("__index", F.col("__index").alias("__index", metadata={"ml_attr": {"type": "nominal", "num_vals": int(gap) + 1, "name": "__index"}}))
+        if gap < 1:  # one category or none: nothing is left of it
+            df = rows.withColumn(c, array_to_vector(F.array().cast("array<double>"))).drop("__code", "__index")
+            continue
+        fitted = OneHotEncoder(inputCols=["__index"], outputCols=["__hot"], dropLast=True).fit(rows.limit(1))
+        out = fitted.transform(rows)
+        df = out.select(*[(F.col("__hot") if x == c else col_(x)).alias(x) for x in df.columns])
+    return df, places
+
+
+def label_encode(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, list]:
+    """Classes -> 0..k-1 in sorted order (numeric order for numeric targets), and the classes in order."""
+    codes, _ = value_codes(df, target)
+    return label_codes(df, target, out)[0], [r["value"] for r in codes.orderBy("code").collect()]
+
+
+def label_codes(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, int]:
+    """Classes -> 0..k-1 in sorted order, and k; the codes are a table of any length
+    (:func:`tabulyst.functions.codes.value_codes`) that joins the rows, gaps stay gaps."""
+    codes, n = value_codes(df, target)
+    return with_codes(df, col_(target), codes.select("value", F.col("code").cast("double").alias("code")), n, out), n
 
 
 def _prepare(df: DataFrame, target: str, features: list[str] | None, fill_features: bool = True, dummies: bool = True):
@@ -106,24 +134,38 @@ def _prepare(df: DataFrame, target: str, features: list[str] | None, fill_featur
     nums = [c for c in features if is_numeric_type(types[c])]
     work = df.select(*[col_(c) for c in features], col_(target))
     names = list(nums)
+    vectors: list[str] = []  # text features of many categories, as sparse vectors
     if texts and dummies:
-        work, dummy_cols = one_hot(work, texts)
+        sizes = work.agg(*[F.approx_count_distinct(col_(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+        vectors = [c for i, c in enumerate(texts) if sizes[i] > MAX_DUMMY_CATEGORIES // 2]
+        work, dummy_cols = one_hot(work, [c for c in texts if c not in vectors])
         names += dummy_cols
     work = work.select(*[F.coalesce(col_(c).cast("double"), F.lit(0.0)).alias(c) if fill_features
-                         else col_(c).cast("double").alias(c) for c in names], col_(target))
+                         else col_(c).cast("double").alias(c) for c in names], *[col_(c) for c in vectors], col_(target))
     if is_numeric_type(types[target]):
         med = medians(work, [target])[target]
         work = work.withColumn(target, F.coalesce(col_(target).cast("double"), F.lit(med)))
     n_classes = work.select(col_(target)).where(col_(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).count()
     is_cls = 1 < n_classes < MAX_CLASSES
     if is_cls:
-        work, classes = label_encode(work, target)
+        work, classes = label_codes(work, target)
     else:
         if not is_numeric_type(types[target]):
-            raise ValueError("text target with too many classes")
-        work, classes = work.withColumn("label", col_(target).cast("double")), []
+            # the reference's rule for numbers would make this a regression, which text has not
+            work, classes = label_codes(work, target)
+            is_cls = True
+        else:
+            work, classes = work.withColumn("label", col_(target).cast("double")), 0
     plain = [f"f{i}" for i in range(len(names))]  # the assembler splits names at dots
-    flat = work.select(*[col_(c).alias(p) for p, c in zip(plain, names)], "label")
+    flat = work.select(*[col_(c).alias(p) for p, c in zip(plain, names)], *[col_(c).alias(f"t{i}") for i, c in enumerate(vectors)], "label")
+    if vectors:
+        renamed = [f"t{i}" for i in range(len(vectors))]
+        flat, places = one_hot_vectors(flat, renamed)
+        # one name per feature of the model, which is as long as the model's own weights
+        listed = sorted(((int(r["column"][1:]), r["place"], r["category"]) for r in places.collect()))
+        names = names + [f"{vectors[i]}_{category}" for i, _, category in listed]
+        vec = VectorAssembler(inputCols=plain + renamed, outputCol="features", handleInvalid="keep").transform(flat)
+        return vec.select(*plain, *renamed, "features", "label"), names, is_cls, classes
     vec = VectorAssembler(inputCols=plain, outputCol="features", handleInvalid="keep").transform(flat)
     return vec.select(*plain, "features", "label"), names, is_cls, classes
 
@@ -143,11 +185,29 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Hash split: deterministic per row content and seed, independent of partitioning."""
-    h = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "features"], F.lit(seed)), F.lit(10000))
-    cut = int(round(test_size * 10000))
-    tagged = df.withColumn("__test", h < cut)
-    return tagged.where(~F.col("__test")).drop("__test"), tagged.where(F.col("__test")).drop("__test")
+    """Split with the exact share of repeated rows, deterministic per content and seed, independent of partitioning.
+
+    Rows of equal content are counted, which pre-aggregates a content that holds a third of all rows. Of its n rows
+    ``floor(n * test_size + u)`` go to the test set, u being the content's own uniform draw: a single row goes there with
+    probability ``test_size``, and of a thousand equal rows its share does. The copies are written out again in
+    lots, so that no task makes more than ``LOT`` of one row. Rows with vectors alone keep ``features`` from their group.
+    """
+    keys = [c for c in df.columns if c != "features"]
+    rest = [F.first("features").alias("features")] if "features" in df.columns else []
+    rows = df.groupBy(*[col_(c) for c in keys]).agg(F.count(F.lit(1)).alias("__n"), *rest)
+    plain = [c for c in keys if df.schema[c].dataType.typeName() != "udt" and not isinstance(df.schema[c].dataType, VectorUDT)]
+    draw = F.pmod(F.xxhash64(*[col_(c) for c in plain], F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    rows = rows.withColumn("__t", F.least(F.col("__n"), F.floor(F.col("__n") * test_size + draw)))
+
+    def copies(n: Column) -> DataFrame:
+        some = rows.withColumn("__c", n)
+        few = some.where((F.col("__c") > 0) & (F.col("__c") <= LOT)).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c"))))
+        lots = some.where(F.col("__c") > LOT).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1, F.lit(LOT).cast("long"))))
+        lots = lots.repartition(F.xxhash64("__k", *[col_(c) for c in plain]))
+        many = lots.withColumn("__k", F.explode(F.sequence(F.col("__k") + 1, F.least(F.col("__k") + LOT, F.col("__c")))))
+        return few.unionByName(many).select(*[col_(c) for c in df.columns])
+
+    return copies(F.col("__n") - F.col("__t")), copies(F.col("__t"))
 
 
 def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed: int):
@@ -202,7 +262,7 @@ def automl(df: DataFrame, target: str, features: list[str] | None = None, test_s
     metric = "accuracy" if is_cls else "r2"
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if is_cls
           else RegressionEvaluator(metricName="r2"))
-    sweep = [(name, est) for name, est in _models(is_cls, len(classes), n_train, sd_y, seed)
+    sweep = [(name, est) for name, est in _models(is_cls, classes, n_train, sd_y, seed)
              if not models or name in models]
 
     def run(item):
@@ -264,7 +324,7 @@ def model_facts(df: DataFrame, target: str, test_size: float = 0.2, seed: int =
     data, names, is_cls, classes = _prepare(df, target, None, dummies=False)
     train, test = train_test_split(data, test_size, seed)
     gbt = (GBTClassifier if is_cls else GBTRegressor)(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
-    est = OneVsRest(classifier=gbt) if is_cls and len(classes) > 2 else gbt
+    est = OneVsRest(classifier=gbt) if is_cls and classes > 2 else gbt
     model = est.fit(train)
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if is_cls
           else RegressionEvaluator(metricName="r2"))
@@ -281,5 +341,5 @@ def model_facts(df: DataFrame, target: str, test_size: float = 0.2, seed: int =
     return Tables(facts=facts, drivers=drivers)
 
 
-__all__ = ["automl", "feature_importance", "model_facts", "one_hot", "label_encode", "train_test_split",
+__all__ = ["automl", "feature_importance", "model_facts", "one_hot", "one_hot_vectors", "label_encode", "label_codes", "train_test_split",
            "importances"]

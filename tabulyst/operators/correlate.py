@@ -5,7 +5,7 @@
   task); beyond ``MAX_PAIR_COLUMNS`` columns the covariance comes from
   ``pyspark.ml.stat.Correlation`` on an assembled vector.
 * Spearman: Pearson on average ranks (``functions.ranking``: no global window).
-* Kendall tau-b: exact and join-free (``kendall_tau_b``).
+* Kendall tau-b: exact, by distributed inversion counting (``kendall_pairs``).
 * p-values for the top pairs: Student t tail, vectorised pandas UDF over the
   small pair table.
 """
@@ -17,7 +17,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulyst.functions.expressions import MULTICOLLINEAR, SIGNIFICANCE, STRONG_PAIR, direction, strength
+from tabulyst.functions.expressions import MULTICOLLINEAR, SIGNIFICANCE, STRONG_PAIR, col_, direction, strength
+from tabulyst.functions.inversions import discordant
 from tabulyst.functions.pvalues import p_value
 from tabulyst.functions.quantiles import medians
 from tabulyst.functions.ranking import attach_ranks
@@ -35,12 +36,12 @@ def median_filled(df: DataFrame, cols: list[str], with_means: bool = False, **qk
     With ``with_means`` also returns the column means (of the present values, from
     the same aggregate that counts the gaps) for use as numerical shifts.
     """
-    df = normalize_missing(df.select(*cols))
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)],
-                 *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    df = normalize_missing(df.select(*[col_(c) for c in cols]))
+    row = df.agg(*[F.count_if(col_(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)],
+                 *[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     need = [c for i, c in enumerate(cols) if row[f"g{i}"]]
     meds = medians(df, need, **qkw) if need else {}
-    out = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(meds.get(c)).cast("double")).alias(c)
+    out = df.select(*[F.coalesce(col_(c).cast("double"), F.lit(meds.get(c)).cast("double")).alias(c)
                       if c in meds else F.col(c).cast("double").alias(c) for c in cols])
     if with_means:
         return out, {c: row[f"m{i}"] for i, c in enumerate(cols)}
@@ -60,14 +61,15 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     if k > MAX_PAIR_COLUMNS:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(df).select("__v")
+        plain = [f"f{i}" for i in range(k)]  # the assembler splits names at dots
+        vec = VectorAssembler(inputCols=plain, outputCol="__v").transform(df.select(*[col_(c).alias(p) for p, c in zip(plain, cols)])).select("__v")
         m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()  # k x k, bounded by columns
         vals = {(cols[i], cols[j]): float(m[i, j]) for i, j in pairs}
         return {p: (None if v is None or math.isnan(v) else float(v)) for p, v in vals.items()}
     if shifts is None:
-        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         shifts = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
-    u = [F.col(c).cast("double") - F.lit(float(shifts.get(c) or 0.0)) for c in cols]
+    u = [col_(c).cast("double") - F.lit(float(shifts.get(c) or 0.0)) for c in cols]
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(u[i]).alias(f"s{i}") for i in range(k)]
     aggs += [F.sum(u[i] * u[i]).alias(f"q{i}") for i in range(k)]
@@ -90,31 +92,30 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     return out
 
 
-def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Exact Kendall tau-b for many column pairs at once, as aggregations only.
+def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]], n_rows: int | None = None,
+                  block_points: int | None = None) -> dict[tuple[str, str], float | None]:
+    """Exact Kendall tau-b for many column pairs at once.
 
-    ``ranked`` holds dense 0-based integer ranks. Per pair, rows collapse to
-    weights ``c`` per distinct (X, Y). A pair of rows (i, j) with X_i < X_j and
-    Y_i > Y_j is discordant; X_i and X_j first differ at one bit ``lx`` (i has 0, j
-    has 1) below a shared prefix ``gx = X >> (lx+1)``, and likewise Y at ``ly`` (i has
-    1, j has 0) below ``gy``. So the discordant count is ``sum over (lx, ly, gx, gy)
-    of A * B``, A = weight with (bit_lx X, bit_ly Y) = (0, 1), B = weight with (1, 0):
-    one explode by level pair, one ``groupBy``, one sum – for all pairs together
-    (the pair id is a grouping key). Work grows as n log^2 n per pair; there is no
-    window, no pair enumeration, and a hot (X, Y) value is a single weighted row.
+    ``ranked`` holds per column ``c`` the rows below its value and in ``c__n`` the rows that share it (``attach_ranks`` of kind
+    ``below``). Per pair, rows collapse to weights ``c`` per distinct (X, Y); discordant pairs are counted
+    by :func:`tabulyst.functions.inversions.discordant`, all pairs in the same jobs, and the rest follows from tie counts.
     """
     if not pairs:
         return {}
-    parts = [ranked.select(F.lit(p).alias("pair"), F.col(a).alias("X"), F.col(b).alias("Y"))
+    n_rows = ranked.count() if n_rows is None else n_rows
+    parts = [ranked.select(F.lit(p).alias("pair"), col_(a).alias("X"), col_(b).alias("Y"), col_(f"{a}__n").alias("xn"))
              for p, (a, b) in enumerate(pairs)]
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
-    # read by four aggregates below; its size is the number of distinct (pair, X, Y)
+    yat = F.col("Y") / float(max(1, n_rows))
+    # read by the aggregates below and by two steps of the count; its size is the number of distinct (pair, X, Y)
     w = (long.where(F.col("X").isNotNull() & F.col("Y").isNotNull())
-         .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c")).persist())
+         .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c"), F.min("xn").alias("xn"))
+         .select("pair", "X", "Y", "c", yat.alias("yat"), ((F.col("X") + F.col("xn") * yat) / float(max(1, n_rows))).alias("at"))
+         .persist())
     tot = {r["pair"]: r for r in w.groupBy("pair").agg(
-        F.sum("c").alias("n"), F.max("X").alias("mx"), F.max("Y").alias("my"),
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("points"),
         F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("n3")).collect()}
 
     def ties(key):
@@ -122,22 +123,7 @@ def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple
                 .groupBy("pair").agg(F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("t")).collect()}
 
     n1, n2 = ties("X"), ties("Y")
-    # bit levels per pair (a literal map: one entry per pair)
-    bits = {p: (max(1, int(r["mx"]).bit_length()), max(1, int(r["my"]).bit_length())) for p, r in tot.items()}
-    lx_of = F.create_map(*[x for p, (bx_, _) in bits.items() for x in (F.lit(p), F.lit(bx_))])
-    ly_of = F.create_map(*[x for p, (_, by_) in bits.items() for x in (F.lit(p), F.lit(by_))])
-    sized = w.select("pair", "X", "Y", "c", lx_of[F.col("pair")].alias("lx"), ly_of[F.col("pair")].alias("ly"))
-    e = sized.select("pair", "X", "Y", "c", "ly",
-                     F.explode(F.sequence(F.lit(0), F.col("lx") * F.col("ly") - 1)).alias("lv")).select(
-        "pair", "c", (F.col("lv") / F.col("ly")).cast("int").alias("bx"), (F.col("lv") % F.col("ly")).cast("int").alias("by"),
-        "X", "Y")
-    bitx = F.expr("(X >> bx) & 1")
-    bity = F.expr("(Y >> by) & 1")
-    cells = (e.where(bitx != bity)
-             .groupBy("pair", "bx", "by", F.expr("X >> (bx + 1)").alias("gx"), F.expr("Y >> (by + 1)").alias("gy"))
-             .agg(F.sum(F.when((bitx == 0) & (bity == 1), F.col("c")).otherwise(0)).alias("a"),
-                  F.sum(F.when((bitx == 1) & (bity == 0), F.col("c")).otherwise(0)).alias("b")))
-    disc = {r["pair"]: r["d"] or 0 for r in cells.groupBy("pair").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("d")).collect()}
+    disc = discordant(w, max((r["points"] for r in tot.values()), default=0), block_points)
     w.unpersist()
     out: dict[tuple[str, str], float | None] = {}
     for p, key in enumerate(pairs):
@@ -153,12 +139,9 @@ def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple
     return out
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, ranked: bool = False) -> float | None:
+def kendall_tau_b(df: DataFrame, x: str, y: str, **options) -> float | None:
     """Exact Kendall tau-b of two columns (see ``kendall_pairs``)."""
-    if not ranked:
-        df = attach_ranks(df.select(x, y), [x, y], kind="dense", suffix="__dr").select(
-            F.col(f"{x}__dr").alias(x), F.col(f"{y}__dr").alias(y))
-    return kendall_pairs(df, [(x, y)])[(x, y)]
+    return kendall_pairs(attach_ranks(df.select(col_(x), col_(y)), [x, y], kind="below"), [(x, y)], **options)[(x, y)]
 
 
 def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson", n: int | None = None,
@@ -172,15 +155,14 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
     cached: list = []
     if method == "spearman":
         ranked = attach_ranks(df, cols, kind="average", cached=cached).select(
-            *[F.col(f"{c}__rank").alias(c) for c in cols])
+            *[col_(f"{c}__rank").alias(c) for c in cols])
         # average ranks of n gap-free values always have mean (n + 1) / 2
         out = _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
         for frame in cached:  # the coefficients are on the driver: release the rank tables
             frame.unpersist()
         return out
-    ranked = attach_ranks(df, cols, kind="dense", suffix="__dr", cached=cached).select(
-        *[F.col(f"{c}__dr").alias(c) for c in cols]).persist()
-    out = kendall_pairs(ranked, [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))])
+    ranked = attach_ranks(df, cols, kind="below", cached=cached).persist()
+    out = kendall_pairs(ranked, [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))], n)
     for frame in [ranked, *cached]:
         frame.unpersist()
     return out

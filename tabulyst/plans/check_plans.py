@@ -85,15 +85,16 @@ def automl_check(spark, sf_dir):
 
 
 @register("feature_importance_check", """
-SELECT 'p_retailprice' AS target, 'p_partkey, p_size' AS features, true AS ranks_dense, 1.0 AS total, true AS in_order""")
+SELECT 'p_retailprice' AS target, 'p_partkey, p_size' AS features, true AS ranks_dense, 1.0 AS total, true AS in_order, count(*) AS "rows" FROM part""")
 def feature_importance_check(spark, sf_dir):
     """Importances of all numeric features add up to 1 and fall with the rank."""
-    imp = ML.feature_importance(table(spark, sf_dir, "part"), "p_retailprice").importance
+    part = table(spark, sf_dir, "part")
+    imp = ML.feature_importance(part, "p_retailprice").importance
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "importance"))), lambda x: x["importance"])  # one per column
     return imp.agg(
         F.lit("p_retailprice").alias("target"), F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("features"),
         ((F.min("rank") == 1) & (F.max("rank") == F.count_distinct("rank")) & (F.count("rank") == F.max("rank"))).alias("ranks_dense"),
-        F.round(F.sum("importance"), 6).alias("total"), (ordered == F.sort_array(ordered, asc=False)).alias("in_order"))
+        F.round(F.sum("importance"), 6).alias("total"), (ordered == F.sort_array(ordered, asc=False)).alias("in_order")).withColumn("rows", F.lit(part.count()))
 
 
 @register("model_facts_check", """

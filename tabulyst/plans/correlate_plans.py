@@ -111,6 +111,32 @@ def kendall_pairs(spark, sf_dir):
     return COR.correlate(table(spark, sf_dir, "customer"), method="kendall").pairs
 
 
+def _kendall_steps_sql(src: str, pairs: list[tuple[str, str]]) -> str:
+    """Tau-b of (x, y) with few distinct x: for any two of them, the rows of the one above and below each row of the other."""
+    parts = []
+    for k, (x, y) in enumerate(pairs):
+        parts.append(f"""SELECT '{x}' AS a, '{y}' AS b, (SELECT (conc - disc) / sqrt((n0 - n1) * (n0 - n2)) FROM (
+  WITH w AS (SELECT {x} AS x, {y} AS y, count(*) AS c FROM {src} GROUP BY ALL), v AS (SELECT DISTINCT x FROM w),
+  pools AS (SELECT p.x AS v1, q.x AS v2 FROM v p JOIN v q ON p.x < q.x),
+  pooled AS (SELECT v1, v2, y, sum(c1) AS c1, sum(c2) AS c2 FROM (SELECT v1, v2, y, c AS c1, 0 AS c2 FROM pools JOIN w ON x = v1
+    UNION ALL SELECT v1, v2, y, 0, c FROM pools JOIN w ON x = v2) GROUP BY ALL),
+  s AS (SELECT c1, c2, sum(c1) OVER (PARTITION BY v1, v2 ORDER BY y) AS upto, sum(c1) OVER (PARTITION BY v1, v2) AS total FROM pooled),
+  t AS (SELECT sum(c2 * (upto - c1)) AS conc, sum(c2 * (total - upto)) AS disc FROM s),
+  n AS (SELECT sum(c) * (sum(c) - 1) / 2.0 AS n0 FROM w), x1 AS (SELECT sum(c * (c - 1)) / 2.0 AS n1 FROM (SELECT sum(c) AS c FROM w GROUP BY x)),
+  x2 AS (SELECT sum(c * (c - 1)) / 2.0 AS n2 FROM (SELECT sum(c) AS c FROM w GROUP BY y)) SELECT * FROM t, n, x1, x2)) AS r""")
+    return (f"SELECT a AS feature_a, b AS feature_b, round(r, 4) AS correlation, round(abs(r), 4) AS abs_correlation, "
+            f"{STRENGTH} AS strength, {DIRECTION} AS direction FROM ({' UNION ALL '.join(parts)}) WHERE r IS NOT NULL")
+
+
+KENDALL_LINEITEM = ["l_linenumber", "l_discount", "l_quantity", "l_extendedprice"]
+
+
+@register("kendall_lineitem", _kendall_steps_sql("lineitem", [(KENDALL_LINEITEM[i], KENDALL_LINEITEM[j]) for i, j in _pairs(KENDALL_LINEITEM)]))
+def kendall_lineitem(spark, sf_dir):
+    """Exact tau-b of all lineitem rows."""
+    return COR.correlate(table(spark, sf_dir, "lineitem").select(*KENDALL_LINEITEM), method="kendall").pairs
+
+
 @register("multicollinear_pairs", with_views(f"""
 WITH p AS ({_r_table('lineitem_target', TARGET_VIEW)}),
 q AS (SELECT a, b, seq, r, round(abs(r), 4) AS ac FROM p WHERE r IS NOT NULL)

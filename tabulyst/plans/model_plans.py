@@ -73,6 +73,40 @@ def label_encode(spark, sf_dir):
     return out
 
 
+@register("label_codes_many", """
+SELECT l_orderkey, l_linenumber, l_shipdate, CAST(dense_rank() OVER (ORDER BY l_shipdate) - 1 AS DOUBLE) AS label FROM lineitem""")
+def label_codes_many(spark, sf_dir):
+    """Codes of a column of more than 2,000 values."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return ML.label_codes(rows, "l_shipdate")[0]
+
+
+@register("one_hot_vectors", """
+WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey % 7 = 0 AS INT) AS gap, dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) AS r, l_partkey FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey = (SELECT min(CAST(l_partkey AS VARCHAR)) FROM lineitem)::BIGINT THEN NULL ELSE r - 2 END AS BIGINT) AS place,
+  CAST((SELECT max(r) - 1 FROM c) AS BIGINT) AS places FROM c""")
+def one_hot_vectors(spark, sf_dir):
+    """Text with more than 1,000 categories as sparse vectors: each row's place, and the vector's length."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
+    out, _ = ML.one_hot_vectors(rows, ["part"])
+    parts = F.from_json(F.to_json(F.struct("part")), "part struct<indices: array<bigint>, size: bigint>")["part"]
+    return out.select("l_orderkey", "l_linenumber", F.get(parts["indices"], 0).alias("place"), parts["size"].alias("places"))
+
+
+_SPLIT_CONTENT = "l_returnflag, l_linestatus, l_linenumber"
+
+
+@register("split_repeated", f"""
+SELECT {_SPLIT_CONTENT}, count(*) AS "rows", true AS share_holds FROM lineitem GROUP BY {_SPLIT_CONTENT}""")
+def split_repeated(spark, sf_dir):
+    """Of n equal rows the test set holds 0.2 n, rounded to one of its neighbours, and no row is lost."""
+    rows = table(spark, sf_dir, "lineitem").select(*_SPLIT_CONTENT.split(", "))
+    train, test = ML.train_test_split(rows, 0.2)
+    both = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
+    return both.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"), F.sum("t").alias("t")).select(
+        *rows.columns, "rows", (F.abs(F.col("t") - 0.2 * F.col("rows")) < 1).alias("share_holds"))
+
+
 def _part(spark, sf_dir):
     return table(spark, sf_dir, "part")
 

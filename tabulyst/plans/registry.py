@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 PLAN_MODULES = ["profile_plans", "clean_plans", "anomaly_plans", "compare_plans", "correlate_plans",
-                "chart_plans", "model_plans", "forecast_plans", "check_plans"]
+                "chart_plans", "model_plans", "forecast_plans", "check_plans", "io_plans"]
 
 
 def register(name: str, oracle: str | None = None):

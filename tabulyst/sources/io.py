@@ -8,7 +8,13 @@ that the scan is split across executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabulyst.functions.expressions import col_
 
 _EXT = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc", ".txt": "csv"}
 
@@ -40,13 +46,57 @@ def read_table(spark: SparkSession, source: str, fmt: str | None = None, **optio
         raise ValueError(f"could not read table: {exc}") from exc
 
 
-def read_csv_rows(spark: SparkSession, rows, header: bool = True, infer_schema: bool = True) -> DataFrame:
-    """Read CSV lines (a list of strings or a DataFrame with one string column)."""
+#: The type lattice of CSV cells, narrowest first; a column takes the first type that reads all its cells.
+CSV_TYPES = ["int", "bigint", "double", "timestamp", "boolean", "string"]
+
+
+def infer_csv_schema(cells: DataFrame) -> T.StructType:
+    """Types of a table of text cells: one aggregate over the lattice, counting per column and type the cells that do not fit."""
+    names = cells.columns
+
+    def misfits(c: Column, kind: str) -> Column:
+        whole = c.rlike(r"^\s*[+-]?[0-9]+\s*$")
+        number = c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$") | F.lower(F.trim(c)).isin("nan", "inf", "-inf", "infinity", "-infinity")
+        fits = {"int": whole & c.try_cast("int").isNotNull(), "bigint": whole & c.try_cast("bigint").isNotNull(), "double": number & c.try_cast("double").isNotNull(),
+                "timestamp": c.rlike(r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}") & c.try_cast("timestamp").isNotNull(), "boolean": F.lower(F.trim(c)).isin("true", "false")}[kind]
+        return F.count_if(c.isNotNull() & ~fits)
+
+    kinds = CSV_TYPES[:-1]
+    row = cells.agg(*[F.struct(F.count(col_(c)).alias("n"), *[misfits(col_(c), k).alias(k) for k in kinds]).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    found = [next((k for k in kinds if r["n"] and r[k] == 0), "string") for r in row]
+    return T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(names, found)])
+
+
+def read_csv_rows(spark: SparkSession, rows, header: bool | list[str] = True, infer_schema: bool = True) -> DataFrame:
+    """A typed table of CSV lines (a list of strings or a DataFrame with one string column), parsed by the JVM.
+
+    ``header``: True takes the first line of a list, or that line of a table which its partitions yield first; a list gives the
+    names. Lines that repeat the header are left out. Empty cells are null; blank lines are skipped; a line with fewer cells ends in nulls. Types come from
+    one aggregate over all cells (:func:`infer_csv_schema`).
+    """
     if isinstance(rows, DataFrame):
-        lines = rows.select(rows.columns[0]).rdd.map(lambda r: r[0])
+        lines = rows.select(col_(rows.columns[0]).cast("string").alias("line"))
+    else:
+        lines = spark.createDataFrame([(str(r),) for r in rows], "line string")
+    lines = lines.where(F.trim("line") != "")
+    first = lines.first()
+    if first is None:
+        return spark.createDataFrame([], T.StructType([]))
+    if isinstance(header, (list, tuple)):
+        names = list(header)
     else:
-        lines = spark.sparkContext.parallelize(list(rows), 1)
-    return spark.read.csv(lines, header=header, inferSchema=infer_schema)
+        cells = next(csv.reader([first[0]]))
+        names = [x.strip() or f"_c{i}" for i, x in enumerate(cells)] if header else [f"_c{i}" for i in range(len(cells))]
+    if header is True:
+        lines = lines.where(F.col("line") != first[0])
+    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    # one parse; an empty cell is null whatever its type
+    parsed = lines.select(F.from_csv("line", plain.simpleString()[len("struct<"):-1].replace(":", " "), {"mode": "PERMISSIVE", "escape": '"', "nullValue": ""}).alias("r"))
+    texts = parsed.select(*[F.nullif(F.col(f"r.c{i}"), F.lit("")).alias(c) for i, c in enumerate(names)])
+    if not infer_schema:
+        return texts
+    schema = infer_csv_schema(texts)
+    return texts.select(*[F.trim(col_(f.name)).cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else col_(f.name) for f in schema])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

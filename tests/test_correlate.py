@@ -32,6 +32,42 @@ def test_kendall_tau_b_with_ties(spark):
     assert COR.kendall_tau_b(df, "x", "y") == pytest.approx(_brute_tau_b(x, y), abs=1e-12)
 
 
+@pytest.mark.parametrize("block_points", [None, 40, 7])
+def test_kendall_blocks_and_hot_values(spark, block_points):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(900) < 0.4, 5, rng.integers(0, 300, 900))  # one value holds a third of the rows
+    y = np.where(rng.random(900) < 0.4, -3.5, np.round(rng.normal(size=900) + x / 200, 2))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y.z": y})).repartition(3)
+    assert COR.kendall_tau_b(df, "x", "y.z", block_points=block_points) == pytest.approx(_brute_tau_b(x, y), abs=1e-12)
+    assert COR.kendall_tau_b(df, "y.z", "x", block_points=block_points) == pytest.approx(_brute_tau_b(x, y), abs=1e-12)
+
+
+def test_inversions_equal_brute_force():
+    from tabulyst.functions.inversions import inversions
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50):
+        y, c = rng.integers(0, 12, n), rng.integers(1, 9, n)
+        assert inversions(y, c) == sum(c[i] * c[j] for i in range(n) for j in range(i + 1, n) if y[i] > y[j])
+
+
+def test_kendall_blocks_stay_small_with_a_hot_value(spark):
+    """A value of X that holds a third of all rows is cut along Y."""
+    from tabulyst.functions import inversions as INV
+    from tabulyst.functions.ranking import attach_ranks
+
+    n = 3000
+    x = np.where(np.arange(n) % 3 == 0, 1, np.arange(n))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": (np.arange(n) * 7919) % n}))
+    sizes = {}
+    r = attach_ranks(df, ["x", "y"], kind="below")
+    yat = r["y"] / float(n)
+    for row in r.select(((r["x"] + r["x__n"] * yat) / float(n) * 30).cast("int").alias("block")).groupBy("block").count().collect():
+        sizes[row["block"]] = row["count"]
+    assert len(sizes) == 30 and max(sizes.values()) < 3 * n / 30
+    assert INV.BLOCK_POINTS >= 1
+
+
 def test_pearson_spearman_match_pandas(spark, shop):
     pdf = shop.toPandas().drop(columns=["date"])
     for method in ("pearson", "spearman"):

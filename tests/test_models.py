@@ -95,3 +95,50 @@ def test_group_profile_keeps_null_label(spark):
     rows = {r["cluster"]: r for r in SEG.group_profile(df, "g", ["x"]).collect()}
     assert rows[None]["size"] == 2 and rows[None]["median"] == 2.0 and rows[None]["percent"] == 40.0
     assert rows["a"]["median"] == 20.0
+
+
+def test_split_gives_repeated_rows_their_exact_share(spark, monkeypatch):
+    monkeypatch.setattr(ML, "LOT", 64)
+    rows = [("a", 1.0)] * 1000 + [("b", None)] * 1000 + [(f"x{i}", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "`k.1` string, v double").repartition(7)
+    train, test = ML.train_test_split(df, 0.2)
+    counts = {(r[0], s): r["count"] for s, d in (("train", train), ("test", test)) for r in d.groupBy("`k.1`").count().collect()}
+    assert [counts[("a", "train")], counts[("a", "test")], counts[("b", "train")], counts[("b", "test")]] == [800, 200, 800, 200]
+    assert train.columns == df.columns and train.count() + test.count() == len(rows)
+    singles = test.where("`k.1` like 'x%'").count()
+    assert 320 < singles < 480
+    again = ML.train_test_split(df.repartition(3), 0.2)[1]
+    assert sorted(map(str, again.collect())) == sorted(map(str, test.collect()))
+
+
+def test_codes_and_vectors_of_many_values(spark):
+    rng = np.random.default_rng(3)
+    vals = [None if i % 50 == 0 else f"v{rng.integers(0, 1500):04d}" for i in range(4000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, `t.x` string").repartition(5)
+    kinds = sorted({v for v in vals if v})
+    coded, n = ML.label_codes(df, "t.x")
+    assert n == len(kinds) > 1000
+    assert {r["id"]: r["label"] for r in coded.collect()} == {i: (None if v is None else float(kinds.index(v))) for i, v in enumerate(vals)}
+    out, places = ML.one_hot_vectors(df, ["t.x"])
+    assert out.columns == df.columns
+    assert [(r["place"], r["category"]) for r in places.orderBy("place").collect()] == list(enumerate(kinds[1:]))
+    for r in out.collect():
+        v = r["t.x"]
+        want = [] if vals[r["id"]] in (None, kinds[0]) else [kinds.index(vals[r["id"]]) - 1]
+        assert v.size == len(kinds) - 1 and list(v.indices) == want
+
+
+def test_one_category_or_none_leaves_empty_vectors(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, None)], "id long, s string, t string")
+    out, places = ML.one_hot_vectors(df, ["s", "t"])
+    assert [(r["s"].size, r["t"].size) for r in out.collect()] == [(0, 0)] * 2 and places.count() == 0
+
+
+def test_models_with_many_categories_and_classes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{rng.integers(0, 700):03d}", float(rng.normal()), i % 20) for i in range(3000)]
+    df = spark.createDataFrame([(c, x, f"k{k:02d}") for c, x, k in rows], "cat string, x double, y string")
+    res = ML.automl(df, "y", features=["cat", "x"], models=["Logistic Regression", "Decision Tree"])
+    board = {r["model"]: r for r in res.leaderboard.collect()}
+    assert {r["status"] for r in board.values()} == {"success"} and res.best.first()["type"] == "classification"
+    assert res.best.first()["training_samples"] + res.best.first()["test_samples"] == 3000

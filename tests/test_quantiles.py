@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tabulyst.functions.quantiles import exact_quantiles, group_quantiles, quantile_map
 from tabulyst.functions.ranking import column_ranks
 
@@ -110,3 +112,45 @@ def test_group_quantiles_many_small_and_large_groups(spark):
         values = [v for h, v in rows if h == g]
         for p in (0.25, 0.5):
             assert got[g, p] == pytest.approx(np.quantile(values, p))
+
+
+@pytest.mark.parametrize("accuracy", [20_000, 100, 20])
+@pytest.mark.parametrize("kind", ["uniform", "log", "infinite", "hot", "few"])
+def test_three_passes_whatever_the_values(spark, kind, accuracy):
+    rng = np.random.default_rng(7)
+    n = 4001
+    x = {"uniform": rng.random(n), "log": 10.0 ** rng.uniform(-300, 300, n), "infinite": np.where(rng.random(n) < 0.3, np.inf, np.where(rng.random(n) < 0.3, -np.inf, rng.normal(size=n))),
+         "hot": np.where(rng.random(n) < 0.4, 0.25, rng.random(n)), "few": rng.integers(0, 3, n).astype(float)}[kind]
+    df = spark.createDataFrame([(float(v), float(-v), None if i % 5 == 0 else float("nan")) for i, v in enumerate(x)], "x double, `y.z` double, w double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    passes: list[str] = []
+    got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, ["x", "y.z", "w"], probs, max_exact_rows=50, accuracy=accuracy, passes=passes)}
+    assert passes in (["sketch", "count"], ["sketch", "count", "finish"])
+    assert {c for c, _ in got} == {"x", "y.z"}
+    for p in probs:
+        for c, v in (("x", np.sort(x)), ("y.z", np.sort(-x))):
+            k = int((n - 1) * p)
+            a, b, frac = v[k], v[min(k + 1, n - 1)], (n - 1) * p - k
+            assert got[(c, p)] == pytest.approx(a if a == b or not frac else a + (b - a) * frac, rel=1e-12, nan_ok=True)
+
+
+def test_three_passes_with_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if g == 0 else f"g.{g}", float(v)) for g in range(4) for v in rng.normal(size=300 * g + 5)]
+    passes: list[str] = []
+    res = exact_quantiles(spark.createDataFrame(rows, "`g.k` string, x double").repartition(4), ["x"], [0.1, 0.5], by=["g.k"], accuracy=50, passes=passes)
+    assert passes == ["sketch", "count", "finish"] and len(res) == 8
+    for r in res:
+        assert r["value"] == pytest.approx(np.quantile([v for g, v in rows if g == r["g.k"]], r["p"]), rel=1e-12)
+
+
+def test_targets_outside_a_bracket_are_narrowed(spark, monkeypatch):
+    """Were the sketch wrong, the counts would tell and rounds of buckets would find the value."""
+    from tabulyst.functions import quantiles as Q
+
+    true = F.percentile_approx
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda v, near, accuracy: true(v, [0.9 for _ in near], accuracy))
+    x = np.arange(1000.0)
+    passes: list[str] = []
+    got = Q.exact_quantiles(spark.createDataFrame([(float(v),) for v in x], "x double"), ["x"], [0.25, 0.97], max_exact_rows=30, bins=8, passes=passes)
+    assert [r["value"] for r in got] == [np.quantile(x, 0.25), np.quantile(x, 0.97)] and "refine" in passes
