@@ -210,11 +210,16 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> t
     return copies(F.col("__n") - F.col("__t")), copies(F.col("__t"))
 
 
-def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed: int):
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """Rows in at least as many partitions as the session has cores, and of at most a million rows each."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, n // 1_000_000))
+
+
+def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed: int, depth: int = RF_DEPTH):
     if is_cls:
         gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
         return [
-            ("Random Forest", RandomForestClassifier(numTrees=100, maxDepth=RF_DEPTH, seed=seed)),
+            ("Random Forest", RandomForestClassifier(numTrees=100, maxDepth=depth, maxMemoryInMB=1024, seed=seed)),
             ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt)),
             ("Logistic Regression", LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1),
                                                        elasticNetParam=0.0, standardization=False)),
@@ -222,7 +227,7 @@ def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed
         ]
     ridge = (sd_y or 0.0) / max(n_train, 1)
     return [
-        ("Random Forest", RandomForestRegressor(numTrees=100, maxDepth=RF_DEPTH, featureSubsetStrategy="all", seed=seed)),
+        ("Random Forest", RandomForestRegressor(numTrees=100, maxDepth=depth, maxMemoryInMB=1024, featureSubsetStrategy="all", seed=seed)),
         ("Gradient Boosting", GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)),
         ("Linear Regression", LinearRegression(regParam=0.0, solver="normal")),
         ("Ridge Regression", LinearRegression(regParam=ridge, elasticNetParam=0.0, standardization=False)),
@@ -250,19 +255,19 @@ def _rank_table(spark, imp: list[tuple[str, float]] | None) -> DataFrame:
 
 
 def automl(df: DataFrame, target: str, features: list[str] | None = None, test_size: float = 0.2,
-           seed: int = 42, models: list[str] | None = None, parallelism: int = 4) -> Tables:
+           seed: int = 42, models: list[str] | None = None, parallelism: int = 4, forest_depth: int = RF_DEPTH) -> Tables:
     """Train the model sweep; tables ``leaderboard``, ``best``, ``importance`` and ``split``."""
     spark = df.sparkSession
     data, names, is_cls, classes = _prepare(df, target, features)
     data = data.persist()
-    train, test = train_test_split(data, test_size, seed)
-    train, test = train.persist(), test.persist()
+    train, test = (_spread(d, data.count()).persist() for d in train_test_split(data, test_size, seed))
     n_train, n_test = train.count(), test.count()
+    data.unpersist()
     sd_y = None if is_cls else train.agg(F.stddev_samp("label")).first()[0]
     metric = "accuracy" if is_cls else "r2"
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if is_cls
           else RegressionEvaluator(metricName="r2"))
-    sweep = [(name, est) for name, est in _models(is_cls, classes, n_train, sd_y, seed)
+    sweep = [(name, est) for name, est in _models(is_cls, classes, n_train, sd_y, seed, forest_depth)
              if not models or name in models]
 
     def run(item):
@@ -284,7 +289,7 @@ def automl(df: DataFrame, target: str, features: list[str] | None = None, test_s
                 best = (name, score, fitted)
         else:
             board.append((name, None, metric, "failed", err))
-    for d in (train, test, data):
+    for d in (train, test):
         d.unpersist()
     leaderboard = spark.createDataFrame(board, "model string, score double, metric string, status string, error string")
     kind = "classification" if is_cls else "regression"
@@ -298,7 +303,7 @@ def automl(df: DataFrame, target: str, features: list[str] | None = None, test_s
 
 
 def feature_importance(df: DataFrame, target: str, top_n: int = 10, features: list[str] | None = None,
-                       seed: int = 42) -> Tables:
+                       seed: int = 42, forest_depth: int = RF_DEPTH) -> Tables:
     """Random forest on all rows (numeric features only); ``importance`` and ``summary``."""
     spark = df.sparkSession
     if features:
@@ -306,8 +311,10 @@ def feature_importance(df: DataFrame, target: str, top_n: int = 10, features: li
         features = [c for c in features if c in types and is_numeric_type(types[c])]
     data, names, is_cls, _ = _prepare(df, target, features, dummies=False)
     est = (RandomForestClassifier if is_cls else RandomForestRegressor)(
-        numTrees=100, maxDepth=RF_DEPTH, featureSubsetStrategy="auto" if is_cls else "all", seed=seed)
+        numTrees=100, maxDepth=forest_depth, maxMemoryInMB=1024, featureSubsetStrategy="auto" if is_cls else "all", seed=seed)
+    data = _spread(data, 0).persist()
     model = est.fit(data)
+    data.unpersist()
     table = _rank_table(spark, importances(model, names))
     top = table.where(F.col("rank") <= top_n)
     summary = top.agg(
@@ -322,7 +329,10 @@ def model_facts(df: DataFrame, target: str, test_size: float = 0.2, seed: int =
     """Deterministic facts of a boosted-trees model: ``facts`` and ``drivers`` (with sentences)."""
     spark = df.sparkSession
     data, names, is_cls, classes = _prepare(df, target, None, dummies=False)
-    train, test = train_test_split(data, test_size, seed)
+    data = data.persist()
+    train, test = (_spread(d, data.count()).persist() for d in train_test_split(data, test_size, seed))
+    n_train, n_test = train.count(), test.count()
+    data.unpersist()
     gbt = (GBTClassifier if is_cls else GBTRegressor)(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
     est = OneVsRest(classifier=gbt) if is_cls and classes > 2 else gbt
     model = est.fit(train)
@@ -331,9 +341,11 @@ def model_facts(df: DataFrame, target: str, test_size: float = 0.2, seed: int =
     score = float(ev.evaluate(model.transform(test)))
     facts = spark.createDataFrame(
         [("Gradient Boosting", "classification" if is_cls else "regression", "accuracy" if is_cls else "R²",
-          round(score, 4), train.count(), test.count())],
+          round(score, 4), n_train, n_test)],
         "model string, task_type string, metric string, score double, training_rows bigint, test_rows bigint",
     ).withColumn("grade", score_grade("score"))
+    for d in (train, test):
+        d.unpersist()
     ranked = _rank_table(spark, importances(model, names)).where(F.col("rank") <= top)
     drivers = ranked.select(
         "rank", "feature", F.round("importance", 4).alias("importance"), F.round("percent", 1).alias("percent"),

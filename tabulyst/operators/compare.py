@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulyst.functions.cells import cell_counts, modes, nunique
-from tabulyst.functions.expressions import SHIFT_PERCENT, key_text
+from tabulyst.functions.expressions import SHIFT_PERCENT, col_, key_text
 from tabulyst.functions.quantiles import exact_quantiles
 from tabulyst.result import Tables
 from tabulyst.sources.schema import is_numeric_type, is_text_type, normalize_missing
@@ -58,7 +58,7 @@ def _side_stats(df: DataFrame, cols: list[str], **qkw) -> dict[str, dict]:
     for r in res:
         out[r["column"]] = dict(mean=r["mean"], median=r["value"], std=r["std"], min=r["min"], max=r["max"])
     if cols:
-        row = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.sum(col_(c).isNull().cast("bigint")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         for i, c in enumerate(cols):
             out[c]["missing"] = int(row[f"m{i}"] or 0)
     return out
@@ -142,7 +142,7 @@ def missing_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.sparkSession.createDataFrame([], "column string, missing_1 bigint, missing_2 bigint, change bigint")
 
     def counts(df, suffix):
-        row = df.agg(*[F.sum(F.col(c).isNull().cast("bigint")).alias(f"m{i}") for i, c in enumerate(cols)])
+        row = df.agg(*[F.sum(col_(c).isNull().cast("bigint")).alias(f"m{i}") for i, c in enumerate(cols)])
         arr = F.array(*[F.struct(F.lit(c).alias("column"),
                                  F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("bigint").alias(f"missing_{suffix}"))
                         for i, c in enumerate(cols)])
@@ -156,7 +156,7 @@ def missing_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _key_frames(a: DataFrame, b: DataFrame, key: str):
     ta, tb = _types(a)[key], _types(b)[key]
-    ka, kb = F.col(key), F.col(key)
+    ka, kb = col_(key), col_(key)
     if ta != tb and is_numeric_type(ta) and is_numeric_type(tb):
         # widen both sides first, so 7 and 7.0 render as the same text
         ka, kb, ta, tb = ka.cast("double"), kb.cast("double"), T.DoubleType(), T.DoubleType()

@@ -4,7 +4,8 @@
 * Pearson: every pair in ONE aggregate (``corr`` is partially aggregated per map
   task); beyond ``MAX_PAIR_COLUMNS`` columns the covariance comes from
   ``pyspark.ml.stat.Correlation`` on an assembled vector.
-* Spearman: Pearson on average ranks (``functions.ranking``: no global window).
+* Spearman: Pearson on average ranks (``functions.ranking``: no global window), which reach the rows by one join
+  of all columns' cells.
 * Kendall tau-b: exact, by distributed inversion counting (``kendall_pairs``).
 * p-values for the top pairs: Student t tail, vectorised pandas UDF over the
   small pair table.
@@ -21,7 +22,7 @@ from tabulyst.functions.expressions import MULTICOLLINEAR, SIGNIFICANCE, STRONG_
 from tabulyst.functions.inversions import discordant
 from tabulyst.functions.pvalues import p_value
 from tabulyst.functions.quantiles import medians
-from tabulyst.functions.ranking import attach_ranks
+from tabulyst.functions.ranking import attach_ranks, column_ranks
 from tabulyst.result import Tables
 from tabulyst.session import ship_package
 from tabulyst.sources.schema import normalize_missing, numeric_columns
@@ -42,7 +43,7 @@ def median_filled(df: DataFrame, cols: list[str], with_means: bool = False, **qk
     need = [c for i, c in enumerate(cols) if row[f"g{i}"]]
     meds = medians(df, need, **qkw) if need else {}
     out = df.select(*[F.coalesce(col_(c).cast("double"), F.lit(meds.get(c)).cast("double")).alias(c)
-                      if c in meds else F.col(c).cast("double").alias(c) for c in cols])
+                      if c in meds else col_(c).cast("double").alias(c) for c in cols])
     if with_means:
         return out, {c: row[f"m{i}"] for i, c in enumerate(cols)}
     return out
@@ -92,6 +93,37 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     return out
 
 
+def spearman_values(df: DataFrame, cols: list[str], cached: list | None = None) -> dict[tuple[str, str], float | None]:
+    """Spearman's rho for every pair of gap-free columns: Pearson sums of average ranks.
+
+    Equal rows collapse to one with a weight, known by a 128-bit fingerprint. Their cells form one long table (row, column, value), which
+    takes the ranks of all columns by ONE join on (column, value) and goes back to one row of ranks per distinct row; the cells of a
+    row come from one task, so they are combined before the shuffle when the rank table is broadcast.
+    """
+    k, n_key = len(cols), ["__i", "__j"]
+    values = [col_(c).cast("double") for c in cols]
+    rows = df.select(F.xxhash64(F.lit(1), *values).alias("__i"), F.xxhash64(F.lit(2), *values).alias("__j"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("c"))
+    plain = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    ranks, nd = column_ranks(plain, [f"v{i}" for i in range(k)], cached=cached)
+    ranks = ranks.select("column", "value", (F.col("below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
+    ranks = F.broadcast(ranks) if sum(nd.values()) <= 100_000 else ranks
+    cells = rows.select(*n_key, "c", F.inline(F.array(*[F.struct(F.lit(f"v{i}").alias("column"), F.col(f"v{i}").alias("value")) for i in range(k)])))
+    wide = cells.join(ranks, ["column", "value"]).groupBy(*n_key).agg(
+        F.first("c").alias("c"), *[F.max(F.when(F.col("column") == f"v{i}", F.col("rank"))).alias(f"r{i}") for i in range(k)])
+    # ranks of n values have the mean (n + 1) / 2
+    n = df.count()
+    u = [F.col(f"r{i}") - F.lit((n + 1) / 2.0) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = wide.agg(*[F.sum(F.col("c") * u[i] * u[j]).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    out: dict[tuple[str, str], float | None] = {}
+    for i, j in pairs:
+        if i < j:
+            both = (row[f"p{i}_{i}"] or 0.0) * (row[f"p{j}_{j}"] or 0.0)
+            out[(cols[i], cols[j])] = max(-1.0, min(1.0, row[f"p{i}_{j}"] / math.sqrt(both))) if n > 1 and both > 0 else None
+    return out
+
+
 def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]], n_rows: int | None = None,
                   block_points: int | None = None) -> dict[tuple[str, str], float | None]:
     """Exact Kendall tau-b for many column pairs at once.
@@ -154,10 +186,7 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
         return _pearson_values(df, cols, shifts)
     cached: list = []
     if method == "spearman":
-        ranked = attach_ranks(df, cols, kind="average", cached=cached).select(
-            *[col_(f"{c}__rank").alias(c) for c in cols])
-        # average ranks of n gap-free values always have mean (n + 1) / 2
-        out = _pearson_values(ranked, cols, {c: (n + 1) / 2.0 for c in cols} if n else None)
+        out = spearman_values(df, cols, cached)
         for frame in cached:  # the coefficients are on the driver: release the rank tables
             frame.unpersist()
         return out

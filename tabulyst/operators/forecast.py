@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulyst.functions.expressions import col_
 from tabulyst.result import Tables
 from tabulyst.session import ship_package
 from tabulyst.sources.schema import require_columns
@@ -55,17 +56,17 @@ def prepare_series(df: DataFrame, date: str, value: str, keys: list[str] | None
     keys = list(keys or [])
     require_columns(df, date, value, *keys)
     dt = df.schema[date].dataType
-    ts = F.col(date).cast("timestamp") if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) \
-        else F.try_to_timestamp(F.col(date).cast("string"))
-    y = F.col(value).cast("double")
-    return (df.select(*keys, F.to_date(ts).alias("ds"), F.when(F.isnan(y), None).otherwise(y).alias("y"),
+    ts = col_(date).cast("timestamp") if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)) \
+        else F.try_to_timestamp(col_(date).cast("string"))
+    y = col_(value).cast("double")
+    return (df.select(*[col_(k) for k in keys], F.to_date(ts).alias("ds"), F.when(F.isnan(y), None).otherwise(y).alias("y"),
                       *([ts.alias("ts")] if keep_time else []))
             .dropna(subset=["ds", "y"]))
 
 
 def daily_stats(series: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., ds, n, sy, syy)`` – sufficient statistics per series and day."""
-    return series.groupBy(*keys, "ds").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
+    return series.groupBy(*[col_(k) for k in keys], "ds").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
                                            F.sum(F.col("y") * F.col("y")).alias("syy"))
 
 
@@ -75,7 +76,7 @@ def chrono_split(stats: DataFrame, keys: list[str], share: float = TRAIN_SHARE)
     Windows are partitioned by series key and ordered by day: one group per
     series holding one row per day.
     """
-    part = keys if keys else [F.lit(0)]
+    part = [col_(k) for k in keys] if keys else [F.lit(0)]
     w_all = Window.partitionBy(*part)
     w_run = Window.partitionBy(*part).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
     return (stats.withColumn("points", F.sum("n").over(w_all))
@@ -155,29 +156,34 @@ def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit:
 
 def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval: float = 0.95,
                 refit: bool = False) -> DataFrame:
-    """``(keys..., ds, part, yhat, yhat_lower, yhat_upper)`` from ``chrono_split`` output;
-    ``part`` is ``test`` (holdout days) or ``future`` (the horizon). One
+    """``(keys..., ds, part, yhat, yhat_lower, yhat_upper, error)`` from ``chrono_split`` output;
+    ``part`` is ``test`` (holdout days), ``future`` (the horizon) or ``failed`` (one row with the error of a series that has no fit). One
     ``applyInPandas`` group per series, one row per day: bounded by the calendar span."""
     ship_package(stats.sparkSession)
     schema = T.StructType([stats.schema[k] for k in keys] + [
         T.StructField("ds", T.DateType()), T.StructField("part", T.StringType()),
         T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
-        T.StructField("yhat_upper", T.DoubleType())])
+        T.StructField("yhat_upper", T.DoubleType()), T.StructField("error", T.StringType())])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        res = fit_predict_series(pdf, periods, interval, refit)
+        try:
+            if not np.isfinite(pdf[["sy", "syy"]].to_numpy(dtype=float)).all():
+                raise ValueError("the series holds values that are not finite")
+            res = fit_predict_series(pdf, periods, interval, refit).assign(error=None)
+        except Exception as exc:  # noqa: BLE001 - a series that fails is a row, not the end of the job
+            res = pd.DataFrame([{"ds": None, "part": "failed", "yhat": None, "yhat_lower": None, "yhat_upper": None, "error": f"{type(exc).__name__}: {exc}"}])
         for i, k in enumerate(keys):
             res.insert(i, k, key[i])
         return res[[f.name for f in schema.fields]]
 
-    return stats.groupBy(*keys).applyInPandas(fit, schema)
+    return stats.groupBy(*[col_(k) for k in keys]).applyInPandas(fit, schema)
 
 
 def holdout_mape(series: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., mape)``: mean |(y - yhat) / y| over holdout rows (a fraction, not percent);
     a missed zero makes it infinite."""
-    return (series.join(test.select(*keys, "ds", "yhat"), [*keys, "ds"])
-            .groupBy(*keys).agg(F.avg(F.when(F.col("y") != 0, F.abs((F.col("y") - F.col("yhat")) / F.col("y")))
+    return (series.join(test.select(*[col_(k) for k in keys], "ds", "yhat"), [*keys, "ds"])
+            .groupBy(*[col_(k) for k in keys]).agg(F.avg(F.when(F.col("y") != 0, F.abs((F.col("y") - F.col("yhat")) / F.col("y")))
                                       .when(F.col("yhat") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("mape")))
 
 
@@ -185,13 +191,13 @@ def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: li
                      interval: float) -> DataFrame:
     """``(keys..., historical_points, latest_value, projected_value, change_percent, mape, ...)``;
     the change is 0 when the latest value is 0."""
-    wk = Window.partitionBy(*keys).orderBy(F.desc("ds"))  # one group per series, `periods` rows each
+    wk = Window.partitionBy(*[col_(k) for k in keys]).orderBy(F.desc("ds"))  # one group per series, `periods` rows each
     proj = fc.withColumn("__r", F.row_number().over(wk)).where(F.col("__r") == 1).select(
-        *keys, F.col("yhat").alias("projected_value"))
-    latest = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("historical_points"),
+        *[col_(k) for k in keys], F.col("yhat").alias("projected_value"))
+    latest = series.groupBy(*[col_(k) for k in keys]).agg(F.count(F.lit(1)).alias("historical_points"),
                                        F.max_by("y", F.struct("ts", "y")).alias("latest_value"))
     return latest.join(proj, keys).join(mape, keys, "left").select(
-        *keys, "historical_points", "latest_value", "projected_value",
+        *[col_(k) for k in keys], "historical_points", "latest_value", "projected_value",
         F.when(F.col("latest_value") != 0,
                (F.col("projected_value") - F.col("latest_value")) / F.col("latest_value") * 100.0)
         .otherwise(F.lit(0.0)).alias("change_percent"),
@@ -201,32 +207,32 @@ def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: li
 def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None, periods: int = 30,
              interval: float = 0.95, refit: bool = False, min_points: int = MIN_POINTS) -> Tables:
     """Per-key forecasts: ``forecast`` (keys, ds, yhat, yhat_lower, yhat_upper), ``test``
-    (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE) and
-    ``skipped`` (series with fewer than ``min_points`` rows)."""
+    (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE),
+    ``skipped`` (series with fewer than ``min_points`` rows) and ``failed`` (keys, error): a series whose fit fails leaves the others their forecasts."""
     user_keys = list(keys or [])
     series = prepare_series(df, date, value, user_keys, keep_time=True)
-    keys = user_keys or ["__one"]  # a keyless call is one series under a constant key
-    if not user_keys:
-        series = series.withColumn("__one", F.lit(0))
+    # grouped pandas functions and joins take names without dots; a keyless call is one series under a constant key
+    keys = [f"__k{i}" for i in range(len(user_keys))] or ["__one"]
+    series = series.withColumnsRenamed(dict(zip(user_keys, keys))) if user_keys else series.withColumn("__one", F.lit(0))
+    own = lambda t: t.withColumnsRenamed(dict(zip(keys, user_keys))) if user_keys else t.drop("__one")
     stats = chrono_split(daily_stats(series, keys), keys)
     enough = stats.where(F.col("points") >= min_points)
-    skipped = stats.where(F.col("points") < min_points).select(*keys, "points").distinct()
+    skipped = stats.where(F.col("points") < min_points).select(*[col_(k) for k in keys], "points").distinct()
     if not user_keys and enough.limit(1).count() == 0:
         found = stats.agg(F.max("points")).first()[0] or 0
         raise ValueError(f"Need at least {min_points} data points for forecasting (found {found})")
     # read by the forecast, the holdout join and the summary
     preds = fit_predict(enough, keys, periods, interval, refit).persist()
-    fc = preds.where(F.col("part") == "future").drop("part")
-    test = preds.where(F.col("part") == "test").drop("part")
+    fc = preds.where(F.col("part") == "future").drop("part", "error")
+    test = preds.where(F.col("part") == "test").drop("part", "error")
+    failed = preds.where(F.col("part") == "failed").select(*[col_(k) for k in keys], "error")
     summary = forecast_summary(series, fc, holdout_mape(series, test, keys), keys, periods, interval)
-    drop = [] if user_keys else ["__one"]
-    return Tables(forecast=fc.drop(*drop), test=test.drop(*drop), summary=summary.drop(*drop),
-                  skipped=skipped.drop(*drop), split=stats.drop(*drop))
+    return Tables(forecast=own(fc), test=own(test), summary=own(summary), skipped=own(skipped), failed=own(failed), split=own(stats))
 
 
 def future_dates(df: DataFrame, date: str, value: str, keys: list[str] | None = None, periods: int = 30) -> DataFrame:
     """``(keys..., ds)``: the ``periods`` days after each series' last training day (I-03)."""
     keys = list(keys or [])
     stats = chrono_split(daily_stats(prepare_series(df, date, value, keys), keys), keys)
-    last = stats.where("is_train").groupBy(*keys).agg(F.max("ds").alias("last"))
-    return last.select(*keys, F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", periods))).alias("ds"))
+    last = stats.where("is_train").groupBy(*[col_(k) for k in keys]).agg(F.max("ds").alias("last"))
+    return last.select(*[col_(k) for k in keys], F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", periods))).alias("ds"))

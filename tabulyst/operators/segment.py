@@ -20,6 +20,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulyst.functions.expressions import col_
 from tabulyst.functions.quantiles import group_quantiles, medians
 from tabulyst.result import Tables
 from tabulyst.sources.schema import normalize_missing, select_columns
@@ -29,31 +30,31 @@ def standardize(df: DataFrame, cols: list[str], population: bool = False) -> Dat
     """Columns centred and divided by their sd (sample sd like Spark's ``StandardScaler``;
     ``population=True`` for the population sd). A constant column becomes 0."""
     fn = F.stddev_pop if population else F.stddev_samp
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[fn(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                 *[fn(col_(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = []
     for i, c in enumerate(cols):
         m, s = row[f"m{i}"], row[f"s{i}"]
-        z = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0) * F.col(c)
+        z = (col_(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0) * col_(c)
         out.append(z.cast("double").alias(c))
-    return df.select(*[o for o in out], *[c for c in df.columns if c not in cols])
+    return df.select(*[o for o in out], *[col_(c) for c in df.columns if c not in cols])
 
 
 def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFrame:
     """``(cluster, column, size, percent, mean, median, std)`` per label value and column (4 dp)."""
-    total = F.sum("size").over(Window.partitionBy(F.lit(1)))  # one row per group: bounded
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.select(F.col(label).alias("cluster"), "size",
-                         F.round(F.col("size") / total * 100.0, 1).alias("percent"))
+    total = df.count()
+    sizes = df.groupBy(col_(label)).agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select(col_(label).alias("cluster"), "size",
+                         F.round(F.col("size") / F.lit(float(total)) * 100.0, 1).alias("percent"))
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
-    mom = df.groupBy(label).agg(*aggs)
+        aggs += [F.avg(col_(c)).alias(f"m{i}"), F.stddev_samp(col_(c)).alias(f"s{i}")]
+    mom = df.groupBy(col_(label)).agg(*aggs)
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
                     for i, c in enumerate(cols)])
-    mom = mom.select(F.col(label).alias("cluster"), F.inline(arr))
+    mom = mom.select(col_(label).alias("cluster"), F.inline(arr))
     med = group_quantiles(df, cols, [0.5], [label], **qkw)
-    med = med.select(F.col(label).alias("cluster"), "column", F.col("value").alias("median"))
+    med = med.select(col_(label).alias("cluster"), "column", F.col("value").alias("median"))
     # null-safe joins keep a group whose label is null
     m2 = mom.withColumnRenamed("cluster", "__c")
     j = sizes.join(m2, sizes["cluster"].eqNullSafe(m2["__c"])).drop("__c")
@@ -65,7 +66,7 @@ def group_profile(df: DataFrame, label: str, cols: list[str], **qkw) -> DataFram
 
 def between_group_variance(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     """``(rank, column, between_variance)``: sample variance of the group means, largest first."""
-    means = df.groupBy(label).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
+    means = df.groupBy(col_(label)).agg(*[F.avg(col_(c)).alias(f"m{i}") for i, c in enumerate(cols)])
     v = means.agg(*[F.var_samp(f"m{i}").alias(f"v{i}") for i in range(len(cols))])
     arr = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(f"v{i}").alias("between_variance"))
                     for i, c in enumerate(cols)])
@@ -86,7 +87,7 @@ def segment(df: DataFrame, k: int = 3, columns: str | list[str] = "", scale: boo
     if n < k:
         raise ValueError(f"Need at least {k} rows.")
     meds = medians(df, cols, **qkw)
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(meds[c]).cast("double")) for c in cols}
+    filled = {c: F.coalesce(col_(c).cast("double"), F.lit(meds[c]).cast("double")) for c in cols}
     fnames = [f"__f{i}" for i in range(len(cols))]
     feats = df.select("*", *[filled[c].alias(f) for c, f in zip(cols, fnames)])
     vec = VectorAssembler(inputCols=fnames, outputCol="__raw").transform(feats)

@@ -68,3 +68,11 @@ def test_short_series_are_skipped(spark, weekly):
     res = FC.forecast(weekly.unionByName(short), "ds", "y", keys=["k"], periods=2)
     assert {r["k"] for r in res.skipped.collect()} == {"tiny"}
     assert {r["k"] for r in res.forecast.collect()} == {"k0", "k1", "k2"}
+
+
+def test_a_failing_series_is_a_row_among_good_ones(spark):
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float("inf") if k == "bad" and i == 9 else float(i)) for k in ("good", "bad", "fine") for i in range(40)]
+    res = FC.forecast(spark.createDataFrame(rows, "k string, d date, v double"), "d", "v", keys=["k"], periods=3)
+    assert [(r["k"], "not finite" in r["error"]) for r in res.failed.collect()] == [("bad", True)]
+    assert {r["k"] for r in res.forecast.collect()} == {"good", "fine"} and res.forecast.count() == 6
+    assert {r["k"] for r in res.test.collect()} == {"good", "fine"}

@@ -34,3 +34,25 @@ def test_models(spark):
     board = {r["model"]: r for r in res.leaderboard.collect()}
     assert board["Linear Regression"]["score"] > 0.999 and board["Decision Tree"]["status"] == "success"
     assert {r["feature"] for r in ML.feature_importance(_dotted(spark), "y.out").importance.collect()} == {"unit.price", "a.b.c"}
+
+
+def test_comparison_correlation_segments_and_forecasts(spark):
+    from pyspark.sql import functions as F
+
+    from tabulyst.operators import compare as CMP
+    from tabulyst.operators import correlate as COR
+    from tabulyst.operators import forecast as FC
+    from tabulyst.operators import segment as SEG
+
+    a = _dotted(spark)
+    res = CMP.compare(a, a.where("`unit.price` > 3"), key="unit.price")
+    assert {r["column"] for r in res.statistics.collect()} == {"unit.price", "a.b.c", "y.out"}
+    assert res.key_summary.first()["rows_only_in_2"] == 0
+    for method in ("pearson", "spearman", "kendall"):
+        pairs = {(r["feature_a"], r["feature_b"]) for r in COR.correlate(a, target="y.out", method=method).pairs.collect()}
+        assert ("unit.price", "y.out") in pairs or ("y.out", "unit.price") in pairs
+    seg = SEG.segment(a, k=2, columns="unit.price, a.b.c", n_init=2)
+    assert seg.labelled.columns == [*a.columns, "cluster_label"] and seg.profiles.count() == 4
+    days = spark.range(60).select(F.expr("date_add(date '2024-01-01', cast(id as int))").alias("on.day"), (F.col("id") * 2.0).alias("v.al"), F.lit("s.1").alias("k.ey"))
+    out = FC.forecast(days, "on.day", "v.al", keys=["k.ey"], periods=5)
+    assert out.forecast.count() == 5 and out.summary.first()["k.ey"] == "s.1"
