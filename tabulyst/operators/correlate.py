@@ -93,26 +93,35 @@ def _pearson_values(df: DataFrame, cols: list[str], shifts: dict[str, float] | N
     return out
 
 
-def spearman_values(df: DataFrame, cols: list[str], cached: list | None = None) -> dict[tuple[str, str], float | None]:
+def spearman_values(df: DataFrame, cols: list[str], cached: list | None = None, broadcast_rows: int = 100_000, n: int | None = None) -> dict[tuple[str, str], float | None]:
     """Spearman's rho for every pair of gap-free columns: Pearson sums of average ranks.
 
-    Equal rows collapse to one with a weight, known by a 128-bit fingerprint. Their cells form one long table (row, column, value), which
-    takes the ranks of all columns by ONE join on (column, value) and goes back to one row of ranks per distinct row; the cells of a
-    row come from one task, so they are combined before the shuffle when the rank table is broadcast.
+    A row is known by a 128-bit fingerprint, so equal rows count as one with a weight. The cells form one long table (row, column, value), which
+    takes the ranks by a join on (column, value) - one broadcast join for all columns of few values, one shuffled join for all
+    others - and goes back to one row of ranks per distinct row.
     """
     k, n_key = len(cols), ["__i", "__j"]
     values = [col_(c).cast("double") for c in cols]
     rows = df.select(F.xxhash64(F.lit(1), *values).alias("__i"), F.xxhash64(F.lit(2), *values).alias("__j"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("c"))
     plain = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
     ranks, nd = column_ranks(plain, [f"v{i}" for i in range(k)], cached=cached)
     ranks = ranks.select("column", "value", (F.col("below") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-    ranks = F.broadcast(ranks) if sum(nd.values()) <= 100_000 else ranks
-    cells = rows.select(*n_key, "c", F.inline(F.array(*[F.struct(F.lit(f"v{i}").alias("column"), F.col(f"v{i}").alias("value")) for i in range(k)])))
-    wide = cells.join(ranks, ["column", "value"]).groupBy(*n_key).agg(
-        F.first("c").alias("c"), *[F.max(F.when(F.col("column") == f"v{i}", F.col("rank"))).alias(f"r{i}") for i in range(k)])
+    # columns of few values take the broadcast part of the table, the others its shuffled part
+    few: list[int] = []
+    for i in sorted(range(k), key=lambda i: nd.get(f"v{i}", 0)):
+        if sum(nd.get(f"v{j}", 0) for j in [*few, i]) <= broadcast_rows:
+            few.append(i)
+    found = None
+    for some in (few, [i for i in range(k) if i not in few]):
+        if some:
+            cells = rows.select(*n_key, F.inline(F.array(*[F.struct(F.lit(f"v{i}").alias("column"), F.col(f"v{i}").alias("value")) for i in some])))
+            known = ranks.where(F.col("column").isin([f"v{i}" for i in some]))
+            part = cells.join(F.broadcast(known) if some is few else known, ["column", "value"]).select(*n_key, "column", "rank")
+            found = part if found is None else found.unionByName(part)
+    wide = found.groupBy(*n_key).agg(
+        F.count_if(F.col("column") == "v0").alias("c"), *[F.max(F.when(F.col("column") == f"v{i}", F.col("rank"))).alias(f"r{i}") for i in range(k)])
     # ranks of n values have the mean (n + 1) / 2
-    n = df.count()
+    n = df.count() if n is None else n
     u = [F.col(f"r{i}") - F.lit((n + 1) / 2.0) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = wide.agg(*[F.sum(F.col("c") * u[i] * u[j]).alias(f"p{i}_{j}") for i, j in pairs]).first()
@@ -186,7 +195,7 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
         return _pearson_values(df, cols, shifts)
     cached: list = []
     if method == "spearman":
-        out = spearman_values(df, cols, cached)
+        out = spearman_values(df, cols, cached, n=n)
         for frame in cached:  # the coefficients are on the driver: release the rank tables
             frame.unpersist()
         return out

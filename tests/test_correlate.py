@@ -68,11 +68,12 @@ def test_kendall_blocks_stay_small_with_a_hot_value(spark):
     assert INV.BLOCK_POINTS >= 1
 
 
-def test_spearman_by_one_join_with_repeated_rows_and_hot_values(spark, capsys):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 50, 0])
+def test_spearman_with_repeated_rows_and_hot_values(spark, broadcast_rows):
     rng = np.random.default_rng(12)
     pdf = pd.DataFrame({"a.b": np.where(rng.random(600) < 0.4, 1.0, rng.integers(0, 40, 600)), "b": rng.integers(0, 5, 600), "c": rng.normal(size=600), "d": 2.0})
     pdf = pd.concat([pdf, pdf.iloc[:200]])  # repeated rows
-    got = COR.spearman_values(spark.createDataFrame(pdf).repartition(4), list(pdf.columns))
+    got = COR.spearman_values(spark.createDataFrame(pdf).repartition(4), list(pdf.columns), broadcast_rows=broadcast_rows)
     want = pdf.corr(method="spearman")
     assert len(got) == 6 and got[("a.b", "d")] is None
     for (x, y), v in got.items():
