@@ -44,7 +44,7 @@ from tabulyst.llm.neardup import slices
 from tabulyst.result import Tables
 
 #: Text bytes per block, phrases per range, sampled places per block and the sampled places that make a pair large.
-BLOCK_BYTES, RANGE_PHRASES, SAMPLE, LARGE = 8 << 20, 2_000_000, 1000, 300
+BLOCK_BYTES, RANGE_PHRASES, SAMPLE, LARGE = 8 << 20, 1_000_000, 1000, 600
 LONGEST = 4
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
