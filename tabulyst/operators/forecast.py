@@ -1,4 +1,4 @@
-"""Forecasting many daily series by key: additive trend + seasonality model.
+"""Forecasting many series by key, by days or by instants: additive trend + seasonality model.
 
 Spark plan:
 
@@ -7,7 +7,8 @@ Spark plan:
    sum y^2)`` per day – a least-squares fit only needs these, so duplicate days and
    hot keys shrink to one row per calendar day before the shuffle;
 3. chronological split (I-02): the first ``int(0.8 n)`` rows by date train (split at
-   day granularity; the boundary day goes to training);
+   day granularity; the boundary day goes to training). Series with a time of day keep their instants and are cut at the
+   row (:func:`instant_split`);
 4. ``groupBy(keys).applyInPandas(fit)`` (I-04): one group per series, sized by its
    number of distinct days; numpy solves the weighted ridge normal equations;
 5. holdout MAPE (I-05) and the summary (I-06) are Spark aggregates over the rows
@@ -26,11 +27,12 @@ yhat <= upper, and recovery of trend and weekly pattern.
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +51,8 @@ YEARLY = (365.25, 10)
 WEEKLY = (7.0, 3)
 TRAIN_SHARE = 0.8
 MIN_POINTS = 20
+DAY_MICROS = 86_400_000_000
+LOT_BITS = 12  # the rows of one instant are told apart in 2**LOT_BITS lots
 
 
 def prepare_series(df: DataFrame, date: str, value: str, keys: list[str] | None = None, keep_time: bool = False) -> DataFrame:
@@ -85,6 +89,59 @@ def chrono_split(stats: DataFrame, keys: list[str], share: float = TRAIN_SHARE)
             .withColumn("is_train", F.col("before") < F.col("train_n")).drop("before"))
 
 
+def _with(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``names``, null keys equal."""
+    own = right.withColumnsRenamed({n: f"__r_{n}" for n in names})
+    on: Column = reduce(lambda a, b: a & b, [left[n].eqNullSafe(own[f"__r_{n}"]) for n in names])
+    return left.join(own, on, how).drop(*[f"__r_{n}" for n in names])
+
+
+def finest_grain(series: DataFrame) -> str:
+    """``instant`` if any ``ts`` has a time of day, else ``day``; one aggregate."""
+    return "instant" if series.agg(F.bool_or(F.col("ts") != F.date_trunc("day", "ts"))).first()[0] else "day"
+
+
+def instant_split(series: DataFrame, keys: list[str], share: float = TRAIN_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Row-exact chronological split of ``(keys..., ts, y)``: the first ``int(share * n)`` rows of a series train.
+
+    Returns ``(stats, holdout)``: ``keys..., ds, n, sy, syy, points, train_n, is_train`` with ds in microseconds, and the
+    test rows as ``keys..., ds, y, n``. Rows of one instant have no order in time; where the cut falls among them they are taken
+    by a hash of their value, and the instant has a row in ``stats`` for either side.
+
+    Scaling: equal rows are counted before any shuffle; an instant's rows meet in lots by that hash, so only one lot of
+    the cut instant is sorted; the running count of a series is taken over days first, then inside each day.
+    """
+    part = [col_(k) for k in keys]
+    cells = series.groupBy(*part, F.unix_micros("ts").alias("ds"), "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("lot", F.shiftrightunsigned(F.xxhash64("y"), 64 - LOT_BITS))
+    sums = lambda n, y: [F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * y * y).alias("syy")]
+    lots = cells.groupBy(*part, "ds", "lot").agg(*sums(F.col("n"), F.col("y")))
+    stats = lots.groupBy(*part, "ds").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy")]).withColumn("day", F.floor(F.col("ds") / DAY_MICROS))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = stats.groupBy(*part, "day").agg(F.sum("n").alias("n"))
+    days = days.select(*part, "day", ahead(Window.partitionBy(*part).orderBy("day")).alias("day_before"), F.sum("n").over(Window.partitionBy(*part)).alias("points"))
+    stats = _with(stats, days, [*keys, "day"])
+    stats = stats.withColumn("before", F.col("day_before") + ahead(Window.partitionBy(*part, "day").orderBy("ds")))
+    stats = stats.withColumn("train_n", F.floor(F.col("points") * share).cast("bigint")).drop("day", "day_before")
+    stats = stats.withColumn("room", F.col("train_n") - F.col("before")).drop("before")
+    inside = (F.col("room") > 0) & (F.col("room") < F.col("n"))
+
+    cut = stats.where(inside).select(*part, "ds", "room", "points", "train_n")
+    lots = _with(lots.select(*part, "ds", "lot", "n"), cut, [*keys, "ds"])
+    lots = lots.withColumn("room", F.col("room") - ahead(Window.partitionBy(*part, "ds").orderBy("lot"))).drop("n")
+    rows = _with(cells, lots, [*keys, "ds", "lot"])
+    free = F.col("room") - ahead(Window.partitionBy(*part, "ds", "lot").orderBy("y"))
+    rows = rows.withColumn("train", F.greatest(F.lit(0), F.least(F.col("n"), free)))
+    rows = rows.select(*part, "ds", "y", "points", "train_n", F.inline(F.array(
+        F.struct(F.lit(True).alias("is_train"), F.col("train").alias("n")), F.struct(F.lit(False).alias("is_train"), (F.col("n") - F.col("train")).alias("n"))))).where("n > 0")
+    halves = rows.groupBy(*part, "ds", "points", "train_n", "is_train").agg(*sums(F.col("n"), F.col("y")))
+    out = [*part, "ds", "n", "sy", "syy", "points", "train_n", "is_train"]
+    whole = stats.where(~inside).withColumn("is_train", F.col("room") > 0)
+    tested = _with(cells.drop("lot"), whole.where(~F.col("is_train")).select(*part, "ds"), [*keys, "ds"])
+    holdout = tested.unionByName(rows.where(~F.col("is_train")).select(*part, "ds", "y", "n"))
+    return whole.select(*out).unionByName(halves.select(*out)), holdout
+
+
 def _design(days: np.ndarray, t0: float, span: float, cps: np.ndarray) -> np.ndarray:
     t = (days - t0) / span
     cols = [np.ones_like(t), t] + [np.maximum(t - s, 0.0) for s in cps]
@@ -95,10 +152,14 @@ def _design(days: np.ndarray, t0: float, span: float, cps: np.ndarray) -> np.nda
     return np.column_stack(cols)
 
 
-def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit: bool) -> pd.DataFrame:
-    """Fit one series from its daily statistics; predict test days and the horizon."""
+def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit: bool, step: int = DAY_MICROS) -> pd.DataFrame:
+    """Fit one series from its statistics by day (ds a date) or by instant (ds in microseconds); predict the test days or instants
+    and the horizon, ``periods`` days or ``step``s after the last one of the training rows."""
     pdf = pdf.sort_values("ds")
-    days = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(np.int64).astype(float)
+    by_instant = pd.api.types.is_integer_dtype(pdf["ds"])
+    at = pdf["ds"].to_numpy(dtype=np.int64) if by_instant else pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+    unit = DAY_MICROS if by_instant else 1
+    days = at / unit
     n, sy, syy = (pdf[c].to_numpy(dtype=float) for c in ("n", "sy", "syy"))
     train = np.ones(len(pdf), dtype=bool) if refit else pdf["is_train"].to_numpy(dtype=bool)
     dtr = days[train]
@@ -137,17 +198,16 @@ def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit:
     rate = len(cps)  # changepoints per unit of trend time in history
     z = NormalDist().inv_cdf(0.5 + interval / 2.0)
 
-    last = dtr.max()
-    future = last + np.arange(1, periods + 1, dtype=float)
-    test_days = days[~train]
-    out_days = np.concatenate([test_days, future])
-    part = np.array(["test"] * len(test_days) + ["future"] * len(future))
+    future = at[train].max() + np.arange(1, periods + 1) * (step if by_instant else 1)
+    out_at = np.concatenate([at[~train], future])
+    out_days = out_at / unit
+    part = np.array(["test"] * int((~train).sum()) + ["future"] * len(future))
     Xo = _design(out_days, t0, span, cps)
     yhat = Xo @ beta
     h = np.maximum((out_days - t0) / span - 1.0, 0.0)
     sd = np.sqrt(sigma2 + 2.0 * rate * mean_abs ** 2 * h ** 3 / 3.0)
     res = pd.DataFrame({
-        "ds": pd.Series(out_days.astype(np.int64).astype("datetime64[D]")).dt.date,
+        "ds": out_at if by_instant else pd.Series(out_at.astype("datetime64[D]")).dt.date,
         "part": part, "yhat": yhat * scale, "yhat_lower": (yhat - z * sd) * scale,
         "yhat_upper": (yhat + z * sd) * scale,
     })
@@ -155,13 +215,13 @@ def fit_predict_series(pdf: pd.DataFrame, periods: int, interval: float, refit:
 
 
 def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval: float = 0.95,
-                refit: bool = False) -> DataFrame:
-    """``(keys..., ds, part, yhat, yhat_lower, yhat_upper, error)`` from ``chrono_split`` output;
+                refit: bool = False, step: int = DAY_MICROS) -> DataFrame:
+    """``(keys..., ds, part, yhat, yhat_lower, yhat_upper, error)`` from the output of ``chrono_split`` or ``instant_split``;
     ``part`` is ``test`` (holdout days), ``future`` (the horizon) or ``failed`` (one row with the error of a series that has no fit). One
-    ``applyInPandas`` group per series, one row per day: bounded by the calendar span."""
+    ``applyInPandas`` group per series, one row per day (bounded by the calendar span) or per distinct instant."""
     ship_package(stats.sparkSession)
     schema = T.StructType([stats.schema[k] for k in keys] + [
-        T.StructField("ds", T.DateType()), T.StructField("part", T.StringType()),
+        stats.schema["ds"], T.StructField("part", T.StringType()),
         T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
         T.StructField("yhat_upper", T.DoubleType()), T.StructField("error", T.StringType())])
 
@@ -169,22 +229,29 @@ def fit_predict(stats: DataFrame, keys: list[str], periods: int = 30, interval:
         try:
             if not np.isfinite(pdf[["sy", "syy"]].to_numpy(dtype=float)).all():
                 raise ValueError("the series holds values that are not finite")
-            res = fit_predict_series(pdf, periods, interval, refit).assign(error=None)
+            res = fit_predict_series(pdf, periods, interval, refit, step).assign(error=None)
         except Exception as exc:  # noqa: BLE001 - a series that fails is a row, not the end of the job
             res = pd.DataFrame([{"ds": None, "part": "failed", "yhat": None, "yhat_lower": None, "yhat_upper": None, "error": f"{type(exc).__name__}: {exc}"}])
         for i, k in enumerate(keys):
             res.insert(i, k, key[i])
+        if pd.api.types.is_integer_dtype(pdf["ds"]):
+            res["ds"] = res["ds"].astype("Int64")
         return res[[f.name for f in schema.fields]]
 
     return stats.groupBy(*[col_(k) for k in keys]).applyInPandas(fit, schema)
 
 
+def _off() -> Column:
+    """|(y - yhat) / y|; 0 where both are 0, infinite for a missed zero."""
+    return F.when(F.col("y") != 0, F.abs((F.col("y") - F.col("yhat")) / F.col("y"))).when(F.col("yhat") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+
+
 def holdout_mape(series: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys..., mape)``: mean |(y - yhat) / y| over holdout rows (a fraction, not percent);
-    a missed zero makes it infinite."""
-    return (series.join(test.select(*[col_(k) for k in keys], "ds", "yhat"), [*keys, "ds"])
-            .groupBy(*[col_(k) for k in keys]).agg(F.avg(F.when(F.col("y") != 0, F.abs((F.col("y") - F.col("yhat")) / F.col("y")))
-                                      .when(F.col("yhat") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("mape")))
+    a missed zero makes it infinite. Rows with a count ``n`` stand for as many."""
+    both = series.join(test.select(*[col_(k) for k in keys], "ds", "yhat"), [*keys, "ds"])
+    mean = F.sum(_off() * F.col("n")) / F.sum("n") if "n" in series.columns else F.avg(_off())
+    return both.groupBy(*[col_(k) for k in keys]).agg(mean.alias("mape"))
 
 
 def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: list[str], periods: int,
@@ -205,28 +272,41 @@ def forecast_summary(series: DataFrame, fc: DataFrame, mape: DataFrame, keys: li
 
 
 def forecast(df: DataFrame, date: str, value: str, keys: list[str] | None = None, periods: int = 30,
-             interval: float = 0.95, refit: bool = False, min_points: int = MIN_POINTS) -> Tables:
+             interval: float = 0.95, refit: bool = False, min_points: int = MIN_POINTS, grain: str = "auto",
+             step_seconds: int = 86_400) -> Tables:
     """Per-key forecasts: ``forecast`` (keys, ds, yhat, yhat_lower, yhat_upper), ``test``
     (holdout predictions), ``summary`` (points, latest, projected, change %, MAPE),
-    ``skipped`` (series with fewer than ``min_points`` rows) and ``failed`` (keys, error): a series whose fit fails leaves the others their forecasts."""
+    ``skipped`` (series with fewer than ``min_points`` rows) and ``failed`` (keys, error): a series whose fit fails leaves the others their forecasts.
+
+    ``grain``: ``day`` sums up each day; ``instant`` fits every instant and cuts at the exact row, ds being a timestamp and the
+    horizon ``periods`` steps of ``step_seconds`` after the last training instant; ``auto`` takes instants where any value has a time of day.
+    """
+    if grain not in ("auto", "day", "instant"):
+        raise ValueError(f"unknown grain '{grain}' (auto, day or instant)")
     user_keys = list(keys or [])
     series = prepare_series(df, date, value, user_keys, keep_time=True)
     # grouped pandas functions and joins take names without dots; a keyless call is one series under a constant key
     keys = [f"__k{i}" for i in range(len(user_keys))] or ["__one"]
     series = series.withColumnsRenamed(dict(zip(user_keys, keys))) if user_keys else series.withColumn("__one", F.lit(0))
-    own = lambda t: t.withColumnsRenamed(dict(zip(keys, user_keys))) if user_keys else t.drop("__one")
-    stats = chrono_split(daily_stats(series, keys), keys)
+    by_instant = (finest_grain(series) if grain == "auto" else grain) == "instant"
+
+    def own(t: DataFrame) -> DataFrame:
+        if by_instant and "ds" in t.columns:
+            t = t.withColumn("ds", F.timestamp_micros("ds"))
+        return t.withColumnsRenamed(dict(zip(keys, user_keys))) if user_keys else t.drop("__one")
+
+    stats, holdout = instant_split(series, keys) if by_instant else (chrono_split(daily_stats(series, keys), keys), series)
     enough = stats.where(F.col("points") >= min_points)
     skipped = stats.where(F.col("points") < min_points).select(*[col_(k) for k in keys], "points").distinct()
     if not user_keys and enough.limit(1).count() == 0:
         found = stats.agg(F.max("points")).first()[0] or 0
         raise ValueError(f"Need at least {min_points} data points for forecasting (found {found})")
     # read by the forecast, the holdout join and the summary
-    preds = fit_predict(enough, keys, periods, interval, refit).persist()
+    preds = fit_predict(enough, keys, periods, interval, refit, step_seconds * 1_000_000).persist()
     fc = preds.where(F.col("part") == "future").drop("part", "error")
     test = preds.where(F.col("part") == "test").drop("part", "error")
     failed = preds.where(F.col("part") == "failed").select(*[col_(k) for k in keys], "error")
-    summary = forecast_summary(series, fc, holdout_mape(series, test, keys), keys, periods, interval)
+    summary = forecast_summary(series, fc, holdout_mape(holdout, test, keys), keys, periods, interval)
     return Tables(forecast=own(fc), test=own(test), summary=own(summary), skipped=own(skipped), failed=own(failed), split=own(stats))
 
 

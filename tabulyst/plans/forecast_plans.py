@@ -71,3 +71,41 @@ def forecast_orders(spark, sf_dir):
 def forecast_orders_summary(spark, sf_dir):
     res = FC.forecast(view(spark, sf_dir, "orders_daily"), "ds", "y", periods=30)
     return rounded(res.summary.withColumn("mape", F.col("mape")))
+
+
+_HOURLY = """
+WITH d AS (SELECT series, ds, count(*) AS n, sum(y) AS sy FROM events_hourly WHERE ds IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY series) AS points,
+        coalesce(sum(n) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+t AS (SELECT *, least(n, greatest(0, floor(points * 0.8) - before)) AS train FROM s)"""
+
+
+@register("forecast_hourly_split", with_views(_HOURLY + """
+SELECT series, CAST(ds AS VARCHAR) AS ds, CAST(train AS BIGINT) AS train_rows, CAST(n - train AS BIGINT) AS test_rows, round(sy, 4) AS sy,
+  CAST(n - train AS BIGINT) AS holdout_rows FROM t""", "events_hourly"))
+def forecast_hourly_split(spark, sf_dir):
+    """Rows of each hour on either side of the cut, which falls inside an hour's equal instants."""
+    series = FC.prepare_series(view(spark, sf_dir, "events_hourly"), "ds", "y", ["series"], keep_time=True)
+    stats, holdout = FC.instant_split(series, ["series"])
+    sides = stats.groupBy("series", "ds").agg(
+        F.sum(F.when(F.col("is_train"), F.col("n")).otherwise(0)).alias("train_rows"), F.sum(F.when(F.col("is_train"), 0).otherwise(F.col("n"))).alias("test_rows"),
+        F.round(F.sum("sy"), 4).alias("sy"))
+    held = holdout.groupBy("series", "ds").agg(F.sum("n").alias("holdout_rows"))
+    return sides.join(held, ["series", "ds"], "left").select(
+        "series", F.timestamp_micros("ds").cast("string").alias("ds"), "train_rows", "test_rows", "sy", F.coalesce("holdout_rows", F.lit(0)).alias("holdout_rows"))
+
+
+@register("forecast_hourly_check", with_views(_HOURLY + """,
+l AS (SELECT series, max(ds) FILTER (train > 0) AS last, CAST(max(points) AS BIGINT) AS historical_points, count(*) FILTER (train < n) AS test_hours FROM t GROUP BY series)
+SELECT series, historical_points, CAST(test_hours AS BIGINT) AS test_hours, CAST(48 AS BIGINT) AS future_hours,
+  CAST(last + INTERVAL 1 HOUR AS VARCHAR) AS first_hour, CAST(last + INTERVAL 48 HOUR AS VARCHAR) AS last_hour, true AS intervals_hold, true AS has_mape
+FROM l""", "events_hourly"))
+def forecast_hourly_check(spark, sf_dir):
+    """48 hours ahead per event type: hours of test and horizon against SQL, ordered intervals."""
+    res = FC.forecast(view(spark, sf_dir, "events_hourly"), "ds", "y", keys=["series"], periods=48, step_seconds=3600)
+    future = res.forecast.groupBy("series").agg(
+        F.count(F.lit(1)).alias("future_hours"), F.min("ds").cast("string").alias("first_hour"), F.max("ds").cast("string").alias("last_hour"),
+        F.every((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("intervals_hold"))
+    hours = res.test.groupBy("series").agg(F.count_distinct("ds").alias("test_hours"))
+    return res.summary.join(future, "series").join(hours, "series").select(
+        "series", "historical_points", "test_hours", "future_hours", "first_hour", "last_hour", "intervals_hold", (F.col("mape") >= 0).alias("has_mape"))

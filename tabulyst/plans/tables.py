@@ -118,3 +118,7 @@ VIEWS["lineitem_gaps"] = """
                CASE WHEN l_orderkey % 11 = 0 THEN 'NA' WHEN l_orderkey % 17 = 0 THEN 'null' ELSE l_returnflag END
                  AS l_returnflag
         FROM lineitem"""
+
+# event values at the full hour: several rows per series and instant
+VIEWS["events_hourly"] = """
+        SELECT event_type AS series, date_trunc('hour', ts) AS ds, value AS y FROM events"""

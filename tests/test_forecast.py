@@ -76,3 +76,41 @@ def test_a_failing_series_is_a_row_among_good_ones(spark):
     assert [(r["k"], "not finite" in r["error"]) for r in res.failed.collect()] == [("bad", True)]
     assert {r["k"] for r in res.forecast.collect()} == {"good", "fine"} and res.forecast.count() == 6
     assert {r["k"] for r in res.test.collect()} == {"good", "fine"}
+
+
+def test_the_cut_falls_inside_equal_instants(spark):
+    # 30 instants of 7 rows, an instant of 40 equal rows, a null key; int(.8 n) falls inside an instant
+    at = lambda i: dt.datetime(2024, 3, 1, 6, 30) + dt.timedelta(hours=i)
+    rows = [(k, at(i), float(i + j)) for k in ("a", None) for i in range(30) for j in range(7)] + [("b", at(i), 2.0) for i in (0, 1) for _ in range(40)]
+    series = FC.prepare_series(spark.createDataFrame(rows, "k string, t timestamp, v double"), "t", "v", ["k"], keep_time=True)
+    stats, holdout = FC.instant_split(series, ["k"])
+    got = stats.groupBy("k", "is_train").agg({"n": "sum", "sy": "sum", "ds": "count"}).collect()
+    counts = {(r["k"], r["is_train"]): (r["sum(n)"], r["count(ds)"]) for r in got}
+    assert counts == {(k, True): (168, 24) for k in ("a", None)} | {(k, False): (42, 6) for k in ("a", None)} | {("b", True): (64, 2), ("b", False): (16, 1)}
+    assert {r["k"]: r["sum(sy)"] for r in got if r["k"] == "b" and r["is_train"]} == {"b": 128.0}
+    odd = series.where("k = 'a'").limit(0).unionByName(series.where("k = 'a' and y <> 3"))
+    stats, holdout = FC.instant_split(odd, ["k"])
+    n = odd.count()
+    sides = {r["is_train"]: r["n"] for r in stats.groupBy("is_train").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert sides == {True: int(n * 0.8), False: n - int(n * 0.8)}
+    kept = sorted((r["ds"], r["y"]) for r in holdout.collect() for _ in range(r["n"]))
+    first = stats.where("is_train").agg({"ds": "max"}).first()[0]
+    assert len(kept) == sides[False] and kept[0][0] >= first
+    assert FC.instant_split(odd, ["k"])[1].exceptAll(holdout.repartition(5)).count() == 0
+
+
+def test_series_with_a_time_of_day(spark):
+    # a weekly wave sampled each six hours; the horizon goes on from the last training instant
+    at = lambda i: dt.datetime(2024, 1, 1, 3) + dt.timedelta(hours=6 * i)
+    wave = lambda i: 100 + 0.1 * i + 8 * np.sin(2 * np.pi * i / 28)
+    df = spark.createDataFrame([(at(i), float(wave(i))) for i in range(600)], "t timestamp, v double")
+    res = FC.forecast(df, "t", "v", periods=8, step_seconds=6 * 3600)
+    got = res.forecast.orderBy("ds").collect()
+    assert [r["ds"] for r in got] == [at(i) for i in range(480, 488)]
+    assert max(abs(r["yhat"] - wave(480 + j)) for j, r in enumerate(got)) < 3
+    assert res.test.count() == 120 and res.summary.first()["mape"] < 0.05
+    # whole days by default, as for series of dates
+    assert [r["ds"] for r in FC.forecast(df, "t", "v", periods=2).forecast.orderBy("ds").collect()] == [at(483), at(487)]
+    assert FC.forecast(df, "t", "v", periods=2, grain="day").forecast.schema["ds"].dataType.typeName() == "date"
+    with pytest.raises(ValueError):
+        FC.forecast(df, "t", "v", grain="week")
