@@ -210,9 +210,11 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42) -> t
     return copies(F.col("__n") - F.col("__t")), copies(F.col("__t"))
 
 
-def _spread(df: DataFrame, n: int) -> DataFrame:
-    """Rows in at least as many partitions as the session has cores, and of at most a million rows each."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, n // 1_000_000))
+def _spread(df: DataFrame, n: int | None) -> DataFrame:
+    """Rows in as many partitions as the session has cores (fewer where one would hold under 2,000 of the ``n`` rows), of at most a
+    million rows each. A boosted model runs hundreds of jobs over this frame, whose time on a small one is that of starting tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores if n is None else max(1, min(cores, n // 2_000), n // 1_000_000))
 
 
 def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed: int, depth: int = RF_DEPTH):
@@ -220,7 +222,7 @@ def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed
         gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
         return [
             ("Random Forest", RandomForestClassifier(numTrees=100, maxDepth=depth, maxMemoryInMB=1024, seed=seed)),
-            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt)),
+            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=4)),
             ("Logistic Regression", LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1),
                                                        elasticNetParam=0.0, standardization=False)),
             ("Decision Tree", DecisionTreeClassifier(maxDepth=10, maxBins=128, seed=seed)),
@@ -312,7 +314,7 @@ def feature_importance(df: DataFrame, target: str, top_n: int = 10, features: li
     data, names, is_cls, _ = _prepare(df, target, features, dummies=False)
     est = (RandomForestClassifier if is_cls else RandomForestRegressor)(
         numTrees=100, maxDepth=forest_depth, maxMemoryInMB=1024, featureSubsetStrategy="auto" if is_cls else "all", seed=seed)
-    data = _spread(data, 0).persist()
+    data = _spread(data, None).persist()
     model = est.fit(data)
     data.unpersist()
     table = _rank_table(spark, importances(model, names))

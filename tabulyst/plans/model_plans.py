@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabulyst.operators import automl as ML
 from tabulyst.operators import segment as SEG
 from tabulyst.plans.registry import register
-from tabulyst.plans.tables import spark_view, table, view
+from tabulyst.plans.tables import embedding_features, table, view
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -130,8 +130,8 @@ def automl_classification(spark, sf_dir):
 
 @register("automl_multiclass")
 def automl_multiclass(spark, sf_dir):
-    res = ML.automl(spark_view(spark, sf_dir, "embedding_features"), "label", features=["e1", "e2", "e3", "e4"],
-                    models=["Random Forest", "Logistic Regression", "Decision Tree"])
+    """All four models on the whole embedding vector, one feature per dimension."""
+    res = ML.automl(embedding_features(spark, sf_dir), "label")
     return res.leaderboard.select("model", F.round("score", 4).alias("score"), "metric", "status")
 
 

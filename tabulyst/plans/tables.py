@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -96,20 +97,12 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-# Views read only by model queries (no SQL oracle), written in Spark SQL.
-SPARK_VIEWS = {
-    # first four embedding dimensions as numeric features, 10 classes
-    "embedding_features": """
-        SELECT vec_id, CAST(element_at(embedding, 1) AS DOUBLE) AS e1, CAST(element_at(embedding, 2) AS DOUBLE) AS e2,
-               CAST(element_at(embedding, 3) AS DOUBLE) AS e3, CAST(element_at(embedding, 4) AS DOUBLE) AS e4, label
-        FROM embeddings""",
-}
-
+def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``e1, e2, ..., label``: one numeric feature per dimension of the embedding, 10 classes."""
+    rows = table(spark, sf_dir, "embeddings")
+    size = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return rows.select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i + 1}") for i in range(size)], "label")
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = SPARK_VIEWS[name]
-    register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", sql)])
-    return spark.sql(sql)
 
 VIEWS["lineitem_gaps"] = """
         SELECT l_orderkey, l_linenumber,
