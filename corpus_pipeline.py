@@ -11,7 +11,8 @@ and rereads it as the next one's ``docs``.
 * mixing: documents are repeated or left out to meet their source's target.
 * sharding: 16 shards of near equal bytes, equal texts together.
 
-An empty table passes all stages as an empty table.
+An empty table passes all stages as an empty table. Columns that are named like an operator's own ones (``kept``, ``size``, ...)
+come back as they were: quality and mixing see the text, id and source alone and carry the row beside them.
 """
 
 from __future__ import annotations
@@ -24,12 +25,23 @@ from tabulyst.llm.common import written
 from tabulyst.session import ship_package
 
 
+ROW = "__pipeline_row"
+
+
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and, as one struct, the whole row, out of the way of what operators add."""
+    return docs.select(F.struct("*").alias(ROW), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
     changed = F.col("lost_words") > 0
-    kept = queries.judged(docs).where("kept")
-    new = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    kept = queries.judged(carried(docs, "text")).where("kept")
+    own = {c: F.col(ROW).getField(c) for c in docs.columns}
+    own["text"] = F.when(changed, F.col("clean_text")).otherwise(F.col("text"))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(changed, F.length("clean_text")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[value.alias(c) for c, value in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +57,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.withColumn("size", queries.n_words(F.col("text")))
+    sized = carried(docs, "doc_id", "source", "text").withColumn("size", queries.n_words(F.col("text"))).drop("text")
     weights = mixing.cyclic_weights(docs, queries.MIX_WEIGHTS)
     mixed = mixing.mix(sized, weights, queries.MIX_SHARE, queries.MIX_EPOCHS, "doc_id")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("repeats"))).alias("__copy")).drop("__copy")
+    return mixed.select(ROW, F.explode(F.array_repeat(F.lit(0), F.col("repeats")))).select(f"{ROW}.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

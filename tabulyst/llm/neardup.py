@@ -25,7 +25,7 @@ What is left is verified against one in 64, then one in 8, then all of the nodes
 different components and where the bound allows it. So no link between different components is lost
 inside a bucket and no partner is capped, while few nodes reach the last round.
 
-Scaling: texts are read twice for counts and draws and once for the candidates'
+Scaling: no task gets a whole bucket (:func:`_by_bucket`). Texts are read twice for counts and draws and once for the candidates'
 shingles; shuffles carry draws, candidates and links only. A hot pivot's shingles are
 copied to 64 sub-keys. Components come from alternating star
 contraction over written tables; nothing but counts and the fixed cell table reaches the driver.
@@ -239,10 +239,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _by_bucket(members: DataFrame, first: dict[str, Column], then: dict[str, Column], keep: str = "true") -> DataFrame:
+    """``members`` with aggregates of their bucket (``first`` and ``then`` as in :func:`per_key`), of the buckets that ``keep`` holds for.
+
+    No task gets a whole bucket: a bucket's rows are summed up where they are, and its one row is broadcast to them, or past the
+    broadcast bound meets them in 32 sub-keys.
+    """
+    part = members.groupBy("band", "key").agg(*[c.alias(n) for n, c in first.items()])
+    total = written(part.groupBy("band", "key").agg(*[c.alias(n) for n, c in then.items()]).where(keep), "buckets")
+    if total.count() <= BROADCAST_ROWS:
+        return members.join(F.broadcast(total), ["band", "key"])
+    return per_key(members, ["band", "key"], F.col("node"), first, then).where(keep).drop("__salt")
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of buckets that hold nodes of two or more components."""
-    of = members.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    return members.join(of, ["band", "key"])
+    ends = {"lo": F.min("root"), "hi": F.max("root")}
+    return _by_bucket(members, ends, {"lo": F.min("lo"), "hi": F.max("hi")}, "lo <> hi").drop("lo", "hi")
+
+
+def _choose(both: DataFrame, mine: DataFrame, salts: int) -> DataFrame:
+    """Each member beside the chosen ones of its bucket; past the broadcast bound a bucket's members meet them in ``salts`` sub-keys."""
+    if mine.count() <= BROADCAST_ROWS:
+        return both.join(F.broadcast(mine), ["band", "key"])
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    copies = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["band", "key", "salt"]).drop("salt")
 
 
 def overlap_bounds(sets: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -273,10 +295,10 @@ def _possible(members: DataFrame, bounds: DataFrame, threshold: float) -> DataFr
     and y is at least t * x and at least the bucket's least weight.
     """
     known = members.join(bounds, "node")
-    least = known.groupBy("band", "key").agg(F.min("total").alias("least"))
+    known = _by_bucket(known, {"least": F.min("total")}, {"least": F.min("least")})
     partner = F.greatest(F.col("total") * threshold, F.col("least"))
     need = threshold / (1 + threshold) * (F.col("total") + partner)
-    return known.join(least, ["band", "key"]).where(F.col("most") >= need * (1 - 1e-6)).drop("least")
+    return known.where(F.col("most") >= need * (1 - 1e-6)).drop("least")
 
 
 def _linked(roots: DataFrame, sims: DataFrame, threshold: float) -> DataFrame:
@@ -301,22 +323,21 @@ def rooted(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
     idf = shingle_idf(docs, text, rare, strength)
     sig = written(signatures(docs, text, idf, bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
     members = sig.select("node", "keys", F.posexplode("keys").alias("band", "key"))
-    shared = members.drop("keys").groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1")
-    members = written(members.join(shared, ["band", "key"]), "bucket-members")
+    members = written(_by_bucket(members, {"company": F.count("*")}, {"company": F.sum("company")}, "company > 1"), "bucket-members")
     central = members.groupBy("node").agg(F.sum("company").alias("central"))
     members = members.drop("company").join(central, "node")
     sets = written(shingle_sets(docs, text, central.select("node")), "shingle-sets")
     roots = _empty(spark, "node binary, root binary")
     # the first round: one pivot per bucket
-    pivot = members.groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("pivot"))
-    paired = written(members.join(pivot, ["band", "key"]).where("node <> pivot"), "bucket-pairs")
+    paired = _by_bucket(members, {"p": F.max(F.struct("central", "node"))}, {"pivot": F.max("p")["node"]})
+    paired = written(paired.where("node <> pivot"), "bucket-pairs")
     pairs = written(paired.select("pivot", "node").distinct(), "pairs")
     sims = written(similarities(pairs, sets, idf), "similarities")
     roots = _linked(roots, sims, threshold)
     # what stays: members away from the pivot, and linked ones that may be near those
     seen = paired.join(sims, ["pivot", "node"])
-    away = seen.where(F.col("sim") < threshold).groupBy("band", "key").agg(F.max("sim").alias("nearest"))
-    members = seen.join(away, ["band", "key"]).where((F.col("sim") < threshold) | (F.col("sim") <= F.col("nearest") + 1 - threshold))
+    seen = _by_bucket(seen, {"far": F.max(F.when(F.col("sim") < threshold, F.col("sim")))}, {"nearest": F.max("far")}, "nearest IS NOT NULL")
+    members = seen.where((F.col("sim") < threshold) | (F.col("sim") <= F.col("nearest") + 1 - threshold))
     for every in (64, 8, 1):
         members = members.select("band", "key", "node", "keys").join(checked_broadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         members = written(_mixed(members), "bucket-members")
@@ -325,11 +346,11 @@ def rooted(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
         bounds = overlap_bounds(sets.join(members.select("node").distinct(), "node", "left_semi"), idf)
         members = _mixed(_possible(members, bounds, threshold))
         both = written(members.withColumn("chosen", F.pmod(F.xxhash64("node"), F.lit(every)) == 0), "bucket-members")
-        mine = checked_broadcast(both.where("chosen")).select("band", "key", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "keys", "total", "most")])
+        mine = both.where("chosen").select("band", "key", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "keys", "total", "most")])
         # a pair that shares several buckets comes from the first
         band = F.array_position(F.zip_with("keys", "p_keys", lambda x, y: x == y), True) - 1
         members = both.where(~F.col("chosen"))
-        pairs = both.join(mine, ["band", "key"]).where(
+        pairs = _choose(both, mine, 32 if every == 64 else 8).where(
             (F.col("root") != F.col("p_root")) & (~F.col("chosen") | (F.col("p_node") < F.col("node"))) & (band == F.col("band"))
             & (F.least("most", "p_most") >= threshold / (1 + threshold) * (F.col("total") + F.col("p_total")) * (1 - 1e-6)))
         pairs = written(pairs.select(F.col("p_node").alias("pivot"), "node"), "pairs")

@@ -366,3 +366,14 @@ def test_encoder_equals_the_library_on_odd_texts():
         ids, lengths = encoder.encode(texts)
         assert lengths.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_buckets_past_the_broadcast_bound_give_the_same_groups(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(words[:50] + [f"own{k}"] + words[50:])) for k in range(120)]
+    rows += [(1000 + k, " ".join(f"z{k}.{i}" for i in range(30))) for k in range(10)] + [(2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(neardup.groups(docs).collect())
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert sorted(neardup.groups(docs).collect()) == few
+    assert {r["group_id"] for r in few if r["doc_id"] < 1000} == {0} and all(r["kept"] for r in few if r["doc_id"] >= 1000)

@@ -68,6 +68,21 @@ def test_texts_with_null_and_shared_ids_are_told_apart(spark):
     assert left == [("5", "d"), ("6", "e"), ("6", "e"), ("None", "b"), ("None", "b"), ("None", "e")]
 
 
+def test_columns_named_like_the_operators_own_come_back(spark):
+    text = " ".join(f"word{i}." for i in range(60)) + "\nhome | about | contact"
+    names = ["kept", "n_words", "lost_words", "clean_text", "m_n_words", "base_failed", "size", "target", "source_size", "repeats", "a.b", "root", "node", "id"]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    base = spark.createDataFrame([(k, text.replace("word", f"w{k}x"), "s", 5, *[f"mine-{c}" for c in names]) for k in range(4)], schema)
+    docs = base
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[:len(base.columns)] == base.columns or set(base.columns) <= set(docs.columns), name
+        assert [f.dataType for f in docs.schema.fields if f.name in base.columns] == [f.dataType for f in base.schema.fields], name
+        rows = docs.collect()
+        assert rows and all(r[c] == f"mine-{c}" for r in rows for c in names), name
+        assert all("about" not in r["text"] and r["n_chars"] == len(r["text"]) for r in rows), name
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and set(out.columns) >= {"doc_id", "text", "shard", "slot"}
