@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -193,6 +194,13 @@ def format_conversations(rows: DataFrame, definition: str, conv_id: str = "conv_
     return written(ordered.mapInArrow(build, SEQUENCE % kind), "chat-sequences")
 
 
+def within(intervals: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """Of ascending, disjoint intervals those inside ``[start, end)``."""
+    first = bisect_left(intervals, (start,))
+    last = bisect_left(intervals, (end,), lo=first)
+    return [x for x in intervals[first:last] if x[1] <= end]
+
+
 def read_conversations(sequences: DataFrame, definition: str, conv_id: str = "conv_id") -> DataFrame:
     """Per conversation, decoded from its sequence: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
 
@@ -207,12 +215,13 @@ def read_conversations(sequences: DataFrame, definition: str, conv_id: str = "co
             for k in range(b.num_rows):
                 row = {c: b.column(c)[k].as_py() for c in ("tokens", "loss", "nodes", "conversations")}
                 tokens, known, out = row["tokens"], {}, []
+                loss = [(x["start"], x["end"]) for x in row["loss"]]  # ascending and disjoint, as nodes are appended
                 for conv in row["conversations"]:
                     if conv["node"] not in known:
                         spans = [(x["start"], x["end"]) for x in row["nodes"][conv["node"]]["attends"]] if conv["node"] >= 0 else []
                         formatted = tokenizer.decode([t for a, z in spans for t in tokens[a:z]], skip_special_tokens=False)
                         turns = parse_turns(formatted)
-                        masked = [(x["start"], x["end"]) for a, z in spans for x in row["loss"] if a <= x["start"] and x["end"] <= z]
+                        masked = [x for a, z in spans for x in within(loss, a, z)]
                         lost = "".join(unescape(tokenizer.decode(tokens[a:z], skip_special_tokens=False)) for a, z in masked)
                         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                         known[conv["node"]] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(lost), sha(lost), len(formatted))

@@ -12,15 +12,15 @@ else the run with the most equal tokens that does.
 
 Tokens are the words of the lower-cased text without punctuation.
 
-Built-in functions only. Documents' windows are one ``explode`` over hash arrays
+Built-in functions only. Texts are told by a digest, whatever their ids. Documents' windows are one ``explode`` over hash arrays
 and one join against the benchmark's hashes. That side is broadcast only after
-it was counted (``BROADCAST_ROWS``), else the join shuffles; hits on very common
-windows are summed per alignment before they are shuffled. Only documents with a hit are read
-again for verification.
+it was counted (``BROADCAST_ROWS``, and ``BROADCAST_TOKENS`` where it carries token arrays), else the join shuffles. Hits are
+summed up per text and item where they arise, as the set of their offsets. Only texts with a hit are read
+again, equal ones once, and each (text, item) is verified by one row.
 
-Defined cases: null texts count as empty; an item shorter than a mask is not
-searched under it, so one shorter than the narrowest mask (6 tokens) matches nothing; an empty benchmark or table gives an empty result; repeated rows of
-documents give repeated results, repeated items are one item; other columns of
+Defined cases: null texts count as empty; an item shorter than a mask is not searched under it. An item shorter than the narrowest mask (6 tokens)
+is compared exactly: it leaks into a text of which it is a whole line, or all of it. An item without tokens matches nothing; an empty benchmark or table
+gives an empty result; each of repeated rows of documents, also of rows of one id (null too) with different texts, has its own results; repeated items are one item; other columns of
 either table are ignored here and kept by :func:`remove_leaks`.
 """
 
@@ -39,6 +39,9 @@ MASKS = ("111111", "1101100101", "110010001011")
 #: Characters that do not count: they are taken out of every text.
 PUNCTUATION = ".,;:!?\"'`()[]{}<>*#$%&|=+~^_/\\-…“”„‘’«»–—¡¿"
 
+#: Most tokens of items that a forced broadcast may hold (8 bytes each).
+BROADCAST_TOKENS = 4_000_000
+
 
 def tokens(text: Column) -> Column:
     """Hashes of the words of the lower-cased text without punctuation, in order."""
@@ -123,51 +126,77 @@ def widest_run(doc: Column, item: Column, offset: Column, min_share: float) -> C
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``hash, item, item_at`` of every window of every item under every mask."""
+    """``hash, key, item_at`` of every window of every item under every mask."""
     span = max(map(len, masks))
-    got = window_rows(items, span).select("item", F.col("at").alias("item_at"), F.explode(seeds(masks)).alias("hash"))
+    got = window_rows(items.select("key", "tokens"), span).select("key", F.col("at").alias("item_at"), F.explode(seeds(masks)).alias("hash"))
     return got.where(F.col("hash").isNotNull())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-          masks: tuple[str, ...] = MASKS, min_match: int = 10, min_share: float = 0.8) -> DataFrame:
-    """``row_id, item_id, matched, run_length, item_tokens, doc_start`` of each verified leak (the best alignment of a pair).
-
-    A row of ``docs`` whose id is null can be reported but not told from others of that kind.
-    """
-    span = max(map(len, masks))
-    items = benchmark.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("tokens")).dropDuplicates()
-    items = written(items, "benchmark-items")
-    probes = written(benchmark_seeds(items, masks).groupBy("hash", "item", "item_at").agg(F.lit(1).alias("one")).drop("one"), "benchmark-seeds")
-    rows = docs.select(F.col(row_id).alias("id"), tokens(F.col(text)).alias("tokens"))
-    found = window_rows(rows, span).select("id", "at", F.explode(seeds(masks)).alias("hash")).where(F.col("hash").isNotNull())
-    hits = (found.join(checked_broadcast(probes), "hash")
-            .groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count("*").alias("n")))
-    hits = written(hits, "benchmark-hits")
-    ids = written(hits.select("id").distinct(), "benchmark-hit-ids")
-    again = rows.join(checked_broadcast(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
-    pairs = hits.join(checked_broadcast(items.withColumnRenamed("tokens", "item_tokens")), "item")
-    need = F.least(F.lit(min_match), F.size("item_tokens"))
+def best_alignment(doc: Column, item: Column, offsets: Column, min_match: int, min_share: float) -> Column:
+    """Of all ``offsets``: struct (matched, neg_length, neg_start) of the best run that holds the share; null if none does."""
+    need = F.least(F.lit(min_match), F.size(item))
 
     def holds(run: Column) -> Column:
         return (run["matched"] >= need) & (run["matched"] >= F.lit(min_share) * run["length"] - 1e-9)
 
-    aligned = F.col("tokens"), F.col("item_tokens"), F.col("offset")
-    found_run = let(best_run(*aligned), lambda run: F.when(holds(run), F.struct(*[run[x].alias(x) for x in ("matched", "length", "start")]))
-                    .when(run["matched"] > 0, widest_run(*aligned, min_share)))
-    checked = again.join(pairs, again["id"].eqNullSafe(pairs["id"])).select(
-        again["id"], "item", "offset", F.size("item_tokens").alias("n_item"), "item_tokens", found_run.alias("run"))
-    good = checked.where(holds(F.col("run")))
-    best = good.groupBy("id", "item").agg(F.max(F.struct(
-        F.col("run.matched").alias("matched"), (-F.col("run.length")).alias("neg"), (-(F.col("run.start") + F.col("offset"))).alias("at"),
-        F.col("n_item").alias("n_item"))).alias("b"))
-    return best.select(F.col("id").alias(row_id), F.col("item").alias(item_id), F.col("b.matched").cast("long").alias("matched"),
-                       (-F.col("b.neg")).cast("long").alias("run_length"), F.col("b.n_item").cast("long").alias("item_tokens"),
-                       (-F.col("b.at")).cast("long").alias("doc_start"))
+    def verify(offset: Column) -> Column:
+        run = let(best_run(doc, item, offset), lambda r: F.when(holds(r), F.struct(*[r[x].alias(x) for x in ("matched", "length", "start")]))
+                  .when(r["matched"] > 0, widest_run(doc, item, offset, min_share)))
+        return let(run, lambda r: F.when(holds(r), F.struct(
+            r["matched"].alias("matched"), (-r["length"]).alias("neg_length"), (-(r["start"] + offset)).alias("neg_start"))))
+
+    return F.array_max(F.transform(offsets, verify))
+
+
+def short_leaks(texts: DataFrame, short: DataFrame, longest: int) -> DataFrame:
+    """``node, item, best`` where an item of ``short`` (``item, tokens``, at most ``longest`` each) is a whole line of a text or all of it."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), tokens)
+    parts = F.filter(F.array_distinct(F.concat(lines, F.array(tokens(F.col("text"))))), lambda x: (F.size(x) > 0) & (F.size(x) <= longest))
+    found = texts.select("node", "text", F.explode(parts).alias("tokens")).join(checked_broadcast(short), "tokens")
+    n = F.size("tokens")
+    first = let(tokens(F.col("text")), lambda all_: F.array_min(F.filter(
+        F.sequence(F.lit(0), F.size(all_) - n), lambda i: F.slice(all_, i + 1, n) == F.col("tokens"))))
+    best = F.struct(n.alias("matched"), (-n).alias("neg_length"), (-first).alias("neg_start"))
+    return found.select("node", "item", n.alias("n_item"), best.alias("best"))
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  masks: tuple[str, ...] = MASKS, min_match: int = 10, min_share: float = 0.8) -> DataFrame:
+    """Per text (``node``) and item: ``node, item, matched, run_length, item_tokens, doc_start`` of the best alignment that leaks."""
+    span, narrow = max(map(len, masks)), min(map(len, masks))
+    items = benchmark.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("tokens")).dropDuplicates()
+    items = written(items.withColumn("key", F.xxhash64("item", "tokens")), "benchmark-items")
+    facts = items.agg(F.sum(F.size("tokens")).alias("n"), F.count_if((F.size("tokens") > 0) & (F.size("tokens") < narrow)).alias("short")).first()
+    probes = written(benchmark_seeds(items, masks).distinct(), "benchmark-seeds")
+    texts = docs.select(node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
+    rows = texts.select("node", tokens(F.col("text")).alias("tokens"))
+    found = window_rows(rows, span).select("node", "at", F.explode(seeds(masks)).alias("hash")).where(F.col("hash").isNotNull())
+    hits = written(found.join(checked_broadcast(probes), "hash").groupBy("node", "key").agg(
+        F.collect_set(F.col("at") - F.col("item_at")).alias("offsets")), "benchmark-hits")
+    nodes = written(hits.select("node").distinct(), "benchmark-hit-texts")
+    again = rows.join(checked_broadcast(nodes), "node", "left_semi").dropDuplicates(["node"])
+    side = items.select("key", "item", F.col("tokens").alias("item_tokens"))
+    pairs = hits.join(checked_broadcast(side) if (facts["n"] or 0) <= BROADCAST_TOKENS else side, "key")
+    best = best_alignment(F.col("tokens"), F.col("item_tokens"), F.col("offsets"), min_match, min_share)
+    good = again.join(pairs, "node").select("node", "item", F.size("item_tokens").alias("n_item"), best.alias("best"))
+    if facts["short"]:
+        short = items.where((F.size("tokens") > 0) & (F.size("tokens") < narrow)).select("item", "tokens")
+        good = good.unionByName(short_leaks(texts, written(short, "benchmark-short-items"), narrow - 1))
+    # repeated texts give a short item's leak once each, and an id may name several items
+    good = good.where(F.col("best").isNotNull()).groupBy("node", "item").agg(F.max(F.struct("best", "n_item")).alias("b"))
+    return good.select("node", "item", F.col("b.best.matched").cast("long").alias("matched"), (-F.col("b.best.neg_length")).cast("long").alias("run_length"),
+                       F.col("b.n_item").cast("long").alias("item_tokens"), (-F.col("b.best.neg_start")).cast("long").alias("doc_start"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", **options) -> DataFrame:
+    """``row_id, item_id, matched, run_length, item_tokens, doc_start`` of each verified leak: one row per row of ``docs`` and item."""
+    found = written(leaking_texts(docs, benchmark, text, item_id, **options), "benchmark-leaks")
+    rows = docs.select(F.col(row_id).alias("id"), node_of(F.col(text)).alias("node"))
+    return rows.join(checked_broadcast(found), "node").select(
+        F.col("id").alias(row_id), F.col("item").alias(item_id), "matched", "run_length", "item_tokens", "doc_start")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows into which an item leaks; all columns stay as they are. Rows are told by their text, whatever their ids."""
-    rows = docs.select(node_of(F.col(text)).alias("__node"), F.col(text))
-    found = written(leaks(rows, benchmark, row_id="__node", text=text, **options).select(F.col("__node").alias("__leaked")).distinct(), "leaked-texts")
+    found = written(leaking_texts(docs, benchmark, text, **options).select(F.col("node").alias("__leaked")).distinct(), "leaked-texts")
     return docs.join(checked_broadcast(found), node_of(docs[text]) == found["__leaked"], "left_anti")

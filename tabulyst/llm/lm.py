@@ -361,7 +361,7 @@ def answered_levels(manifest: DataFrame, counted: DataFrame, model: LogFilter) -
 # ---- scores -----------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "text", back: float = 0.8, least: int = 2,
+def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "text", back: float = 0.8, least: int = 1,
           bits_per_entry: int = 8, broadcast_bits: int = 1 << 28) -> DataFrame:
     """``row_id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 

@@ -313,7 +313,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     ids = list(range(304)) + [None]
     df = docs_of(spark, texts, ids).withColumn("train", F.lit("clash"))
     train = F.pmod(F.col("doc_id"), F.lit(5)) != 2
-    got = {r["doc_id"]: r for r in lm.score(df, train).collect()}
+    got = {r["doc_id"]: r for r in lm.score(df, train, least=2).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = {i: WORD.findall((t or "").translate(low)) + ["</s>"] for i, t in zip(ids, texts)}
     one, two = Counter(), Counter()

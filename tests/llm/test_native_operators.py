@@ -309,6 +309,50 @@ def test_shuffled_and_broadcast_joins_agree(spark, monkeypatch):
     assert one == {tuple(r) for r in decontaminate.leaks(df, bench).collect()} and len(one) == 60
 
 
+def normal(text):
+    return (text or "").lower().translate({ord(c): None for c in decontaminate.PUNCTUATION}).split()
+
+
+def brute_leaks(text, item, min_match=10):
+    """Whether any alignment that a seed hits has a run with enough equal tokens, all runs tried."""
+    doc, it = normal(text), normal(item)
+    if len(it) < 6:
+        return bool(it) and it in [doc, *map(normal, (text or "").split("\n"))]
+    offsets = {a - b for m in decontaminate.MASKS for a in range(len(doc) - len(m) + 1) for b in range(len(it) - len(m) + 1)
+               if all(doc[a + k] == it[b + k] for k, bit in enumerate(m) if bit == "1")}
+    for o in offsets:
+        same = [doc[i + o] == it[i] for i in range(max(0, -o), min(len(it), len(doc) - o))]
+        for a in range(len(same)):
+            for b in range(a + 1, len(same) + 1):
+                n = sum(same[a:b])
+                if n >= min(min_match, len(it)) and 5 * n >= 4 * (b - a):
+                    return True
+    return False
+
+
+def test_leaks_equal_all_alignments_tried(spark):
+    rng = random.Random(31)
+    items = [" ".join(rng.choices("abc", k=n)) for n in (6, 8, 12, 20, 33)] + ["a b", "c", "", None, "New short Item."]
+    texts = [None, "", "c", "x\nnew short item\ny", "a new short item", "a  B!", "new short item x"]
+    for _ in range(60):
+        own = [w if rng.random() < rng.choice([1.0, 0.9, 0.75]) else "x" for w in (rng.choice(items[:5])).split()]
+        texts.append(" ".join(rng.choices("abcd", k=rng.randrange(12)) + own + rng.choices("abcd", k=rng.randrange(12))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect())
+    assert got == [(i, j) for i, t in enumerate(texts) for j, it in enumerate(items) if brute_leaks(t, it)]
+    assert {(2, 6), (3, 9), (5, 5)} <= set(got) and not {4, 6} & {i for i, _ in got}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rng = random.Random(6)
+    item = words_of(rng, 20)
+    bench = spark.createDataFrame([(None, " ".join(item)), (5, "of four words long")], "item_id long, text string")
+    leaky, clean = " ".join(words_of(rng, 5) + item), " ".join(words_of(rng, 30))
+    rows = [(1, leaky), (1, leaky), (1, clean), (None, leaky), (None, clean), (2, "Of four words, long"), (3, "all of four words long here")]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, None, 20, 20, 20, 5)] * 2 + [(None, None, 20, 20, 20, 5), (2, 5, 4, 4, 4, 0)], key=str)
+
+
 def test_sha_of_spans(spark):
     text = "token=abcdefgh"
     r = secrets.scan(docs_of(spark, [text]), secrets.Model([0.0] * 16384, 0.0, False)).select(F.sha2(secrets.joined(F.col("found")), 256).alias("s")).first()
