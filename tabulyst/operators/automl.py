@@ -14,8 +14,8 @@ model becomes a ``failed`` leaderboard row.
 Model mapping (scikit-learn defaults -> Spark ML):
 
 * random forest: 100 trees, ``maxDepth`` 12 (Spark's limit is 30)
-* gradient boosting: 100 rounds, step 0.1, depth 3; more than two classes run
-  one-vs-rest, importances averaged over the binary models
+* gradient boosting: 100 rounds, step 0.1, depth 3; more than two classes share one
+  ensemble with a softmax gradient (:mod:`tabulyst.operators.boosting`)
 * logistic regression: C = 1 -> ``regParam = 1 / n_train``, no standardisation
 * linear regression: no penalty, normal equations
 * ridge (alpha 1): ``regParam = alpha * sd(y) / n_train`` (Spark penalises in
@@ -32,7 +32,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -47,6 +46,7 @@ from tabulyst.functions.cells import cell_counts
 from tabulyst.functions.codes import value_codes, with_codes
 from tabulyst.functions.expressions import col_, score_grade
 from tabulyst.functions.quantiles import medians
+from tabulyst.operators.boosting import JointBoosting
 from tabulyst.result import Tables
 from tabulyst.sources.schema import is_numeric_type, is_text_type, normalize_missing, numeric_columns, require_columns
 
@@ -222,7 +222,7 @@ def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed
         gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
         return [
             ("Random Forest", RandomForestClassifier(numTrees=100, maxDepth=depth, maxMemoryInMB=1024, seed=seed)),
-            ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=4)),
+            ("Gradient Boosting", gbt if n_classes <= 2 else JointBoosting(n_classes)),
             ("Logistic Regression", LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1),
                                                        elasticNetParam=0.0, standardization=False)),
             ("Decision Tree", DecisionTreeClassifier(maxDepth=10, maxBins=128, seed=seed)),
@@ -239,15 +239,10 @@ def _models(is_cls: bool, n_classes: int, n_train: int, sd_y: float | None, seed
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]] | None:
-    """Tree importances (averaged over one-vs-rest models); None for linear models."""
-    if hasattr(model, "featureImportances"):
-        vals = model.featureImportances.toArray()
-    elif hasattr(model, "models") and model.models and hasattr(model.models[0], "featureImportances"):
-        arrs = [m.featureImportances.toArray() for m in model.models]
-        vals = sum(arrs) / len(arrs)
-    else:
+    """Tree importances; None for linear models."""
+    if not hasattr(model, "featureImportances"):
         return None
-    return [(n, float(v)) for n, v in zip(names, vals)]
+    return [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
 
 
 def _rank_table(spark, imp: list[tuple[str, float]] | None) -> DataFrame:
@@ -336,7 +331,7 @@ def model_facts(df: DataFrame, target: str, test_size: float = 0.2, seed: int =
     n_train, n_test = train.count(), test.count()
     data.unpersist()
     gbt = (GBTClassifier if is_cls else GBTRegressor)(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
-    est = OneVsRest(classifier=gbt) if is_cls and classes > 2 else gbt
+    est = JointBoosting(classes) if is_cls and classes > 2 else gbt
     model = est.fit(train)
     ev = (MulticlassClassificationEvaluator(metricName="accuracy") if is_cls
           else RegressionEvaluator(metricName="r2"))

@@ -59,7 +59,7 @@ def test_automl_classification_with_text_feature(spark):
     assert set(feats) == {"x", "grp_beta", "grp_gamma"}  # first category (alpha) dropped
 
 
-def test_multiclass_boosting_one_vs_rest(spark):
+def test_multiclass_boosting(spark):
     rng = np.random.default_rng(8)
     f1, f2 = rng.normal(size=240), rng.normal(size=240)
     y = (f1 > 0).astype(int) * 2 + (f2 > 0).astype(int)  # 4 classes
