@@ -7,6 +7,7 @@ computes the same facts from the base tables.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tabulyst.operators import automl as ML
 from tabulyst.operators import correlate as COR
 from tabulyst.operators import forecast as FC
 from tabulyst.operators import segment as SEG
+from tabulyst.operators.boosting import JointBoosting
 from tabulyst.plans.registry import register
 from tabulyst.plans.tables import table, view, with_views
 
@@ -84,6 +86,21 @@ def automl_check(spark, sf_dir):
     return res.leaderboard.crossJoin(rows).select("model", "metric", "status", "type", "rows", holds.alias("score_holds"))  # one row
 
 
+@register("joint_boosting_check", """
+SELECT label, count(*) AS "rows", true AS classes_known, 1.0 AS importance, true AS above_largest_class FROM embeddings GROUP BY label""")
+def joint_boosting_check(spark, sf_dir):
+    """Ten rounds over all embeddings and classes: every row gets a class, importances add up to 1, more rows are right than the largest class has."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("class"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    data, classes = ML.label_codes(rows, "class", "label")
+    model = JointBoosting(classes, rounds=10, step=0.5).fit(data)
+    known = F.col("prediction").between(0, classes - 1)
+    out = model.transform(data).groupBy(F.col("class").alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.every(known).alias("classes_known"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+    above = out.agg((F.sum("right") > F.max("rows")).alias("above_largest_class"))
+    total = round(float(model.featureImportances.toArray().sum()), 6)
+    return out.crossJoin(above).select("label", "rows", "classes_known", F.lit(total).alias("importance"), "above_largest_class")  # one row
+
+
 @register("feature_importance_check", """
 SELECT 'p_retailprice' AS target, 'p_partkey, p_size' AS features, true AS ranks_dense, 1.0 AS total, true AS in_order, count(*) AS "rows" FROM part""")
 def feature_importance_check(spark, sf_dir):
