@@ -6,7 +6,8 @@ Each line of a document is judged alone:
   short list of site words (home, login, ...);
 * punctuation: symbol characters ``#*$%&|<>`` are at least one per two words, or a line of
   ``long_line`` or more words has no sentence punctuation at all;
-* boilerplate: it speaks of cookies, scripts, subscriptions or all rights reserved;
+* boilerplate: a line of fewer than ``long_line`` words speaks of cookies, scripts, subscriptions or all rights reserved,
+  in English, German, French or Spanish; a longer line is prose that may mention them;
 * repetition: a line of ``long_line`` or more words with fewer than a third distinct.
 
 Failing lines are removed. A document is rejected if the removed words are more
@@ -35,9 +36,12 @@ from tabulyst.llm.common import SPACE, let
 SYMBOLS = "#*$%&|<>"
 #: Words per window of the repetition count.
 WINDOW = 5
-NAVIGATION = r"(?i)^(\W*(home|about|contact|login|log in|sign in|sign up|register|menu|search|next|previous|back|top|share|print|sitemap|help|faq)\b\W*)+$"
+NAVIGATION = (r"(?i)^(\W*(home|about|contact|login|log in|sign in|sign up|register|menu|search|next|previous|back|top|share|print|sitemap|help|faq|"
+              r"impressum|datenschutz|startseite|kontakt|anmelden|suche|accueil|connexion|rechercher|inicio|contacto|buscar|aviso legal)\b\W*)+$")
 BOILERPLATE = (r"(?i)\b(cookies? (policy|settings|preferences)|(use|uses|accept( all)?) cookies|enable javascript|javascript (is )?(required|disabled)|"
-               r"all rights reserved|terms (of (use|service)|and conditions)|privacy policy|subscribe to (our|the)|sign up for our|click here to)\b")
+               r"all rights reserved|terms (of (use|service)|and conditions)|privacy policy|subscribe to (our|the)|sign up for our|click here to|"
+               r"alle rechte vorbehalten|tous droits r.serv.s|todos los derechos reservados|(verwendet|verwenden|nutzt|nutzen|akzeptieren) cookies|"
+               r"cookies (akzeptieren|zulassen)|(utilise|utilisons|accepter|acceptez) (des|les|tous les) cookies|(utiliza|utilizamos) cookies|aceptar (las |todas las )?cookies)\b")
 SENTENCE_END = r"[.!?…。！？:;,]"
 
 
@@ -100,7 +104,7 @@ def line_fails(line: Column, word_list: Column, long_line: int) -> Column:
         (separators * 3 >= n_words) & (separators > 0)
         | (symbols * 2 >= n_words) & (symbols > 1)
         | (n_words <= 12) & line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
+        | (n_words < long_line) & line.rlike(BOILERPLATE)
         | (n_words >= long_line) & ~line.rlike(SENTENCE_END)
         | (n_words >= long_line) & (distinct * 3 < n_words)
     )

@@ -193,7 +193,7 @@ judged AS (SELECT k, len(lw) AS n, (len(lw) > 0 AND (
    ((length(line) - length(regexp_replace(line, '[|•·»›→]', '', 'g'))) * 3 >= len(lw) AND line SIMILAR TO '(.|\n|\r)*[|•·»›→](.|\n|\r)*')
    OR ((length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) * 2 >= len(lw) AND length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > 1)
    OR (len(lw) <= 12 AND regexp_matches(line, '{quality.NAVIGATION}'))
-   OR regexp_matches(line, '{quality.BOILERPLATE}')
+   OR (len(lw) < 25 AND regexp_matches(line, '{quality.BOILERPLATE}'))
    OR (len(lw) >= 25 AND NOT regexp_matches(line, '{quality.SENTENCE_END}'))
    OR (len(lw) >= 25 AND len(list_distinct(lw)) * 3 < len(lw)))) AS bad FROM ln),
 lost AS (SELECT k, coalesce(sum(n) FILTER (bad), 0) AS lost FROM judged GROUP BY k)

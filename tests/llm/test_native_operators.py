@@ -223,6 +223,14 @@ def test_lines_fail_by_rule_and_prose_stays(spark):
     assert quality.clean(docs_of(spark, [PROSE]).limit(0)).count() == 0
 
 
+def test_boilerplate_in_four_languages_is_short(spark):
+    junk = ["Impressum | Datenschutz | Kontakt", "Startseite", "Diese Seite verwendet Cookies.", "Tous droits réservés.", "Nous utilisons des cookies.", "Utilizamos cookies.", "Aviso legal"]
+    long = " ".join(f"Our privacy policy of {1900 + i} was debated by member{i}, street{i} and house{i}." for i in range(12))
+    out = {r["doc_id"]: r for r in quality.clean(docs_of(spark, [PROSE + "\n" + j for j in junk] + [long])).collect()}
+    assert [out[i]["clean_text"] for i in range(len(junk))] == [PROSE] * len(junk)
+    assert out[len(junk)]["lines_kept"] and out[len(junk)]["lost_words"] == 0
+
+
 @pytest.mark.parametrize("large, others", [(20_000, 60), (200_000, 300)])
 def test_a_very_long_row_does_not_end_the_fraction(spark, large, others):
     rng = random.Random(large)
