@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
 
 from tabulyst.operators import automl as ML
 from tabulyst.operators import segment as SEG
@@ -142,3 +145,40 @@ def test_models_with_many_categories_and_classes(spark):
     board = {r["model"]: r for r in res.leaderboard.collect()}
     assert {r["status"] for r in board.values()} == {"success"} and res.best.first()["type"] == "classification"
     assert res.best.first()["training_samples"] + res.best.first()["test_samples"] == 3000
+
+
+def test_trees_grow_with_distinct_ranges_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(ML, "CELLS_FROM", 1000)
+    monkeypatch.setattr(ML, "FOREST_LOTS", 500)
+    rng = np.random.default_rng(12)
+    a, b = rng.integers(0, 8, 3000), rng.integers(0, 5, 3000)
+    pdf = pd.DataFrame({"a": a.astype(float), "b": b.astype(float), "one": 1.0, "y": 2.0 * a - b + rng.normal(0, 2, 3000)})
+    data = ML._prepare(spark.createDataFrame(pdf), "y", None)[0]
+    train, test = ML._split(data, 3000, 0.2, 42)
+    assert train.columns == data.columns and train.count() + test.count() == 3000
+    n = train.count()
+    cells, by_range = ML._cells(train, test, n, False)
+    whole = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+    own = cells.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("label"))).first()
+    assert cells.count() == train.select("f0", "f1").distinct().count() == 40 and own[0] == n and own[1] == pytest.approx(whole[1])
+    lots = ML._lots(cells, n)
+    assert lots.agg(F.max("weight"), F.sum("weight")).first()[0] <= n // 500 and lots.agg(F.sum("weight")).first()[0] == pytest.approx(n)
+    gbt = GBTRegressor(maxIter=5, maxDepth=3, seed=1)
+    ev = RegressionEvaluator(metricName="r2")
+    plain, weighted = gbt.fit(train), gbt.copy({gbt.weightCol: "weight"}).fit(cells)
+    assert weighted.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-6)
+    assert ev.evaluate(weighted.transform(by_range)) == pytest.approx(ev.evaluate(plain.transform(test)), abs=1e-6)
+    # values that hardly repeat stay rows
+    pdf["a"], pdf["b"] = rng.normal(size=3000), rng.normal(size=3000)
+    assert ML._cells(*ML._split(ML._prepare(spark.createDataFrame(pdf.assign(c=rng.normal(size=3000))), "y", None)[0], 3000, 0.2, 42), 2400, False) is None
+
+
+def test_forest_on_distinct_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ML, "CELLS_FROM", 1000)
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 2000).astype(float), "b": rng.integers(0, 60, 2000) / 60})
+    for target, least in ((3 * pdf.a - 5 * pdf.b, 0.95), ((pdf.a > 4).astype(int), 0.99)):
+        res = ML.automl(spark.createDataFrame(pdf.assign(y=target)), "y", models=["Random Forest", "Decision Tree"], forest_depth=8)
+        board = {r["model"]: r for r in res.leaderboard.collect()}
+        assert {r["status"] for r in board.values()} == {"success"} and board["Random Forest"]["score"] > least
+        assert res.best.first()["training_samples"] + res.best.first()["test_samples"] == 2000
