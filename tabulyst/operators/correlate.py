@@ -29,6 +29,7 @@ from tabulyst.sources.schema import normalize_missing, numeric_columns
 
 METHODS = ("pearson", "spearman", "kendall")
 MAX_PAIR_COLUMNS = 60
+KENDALL_BROADCAST = 1_000_000  # distinct values whose ranks are broadcast, about 100 MB
 
 
 def median_filled(df: DataFrame, cols: list[str], with_means: bool = False, **qkw):
@@ -144,26 +145,30 @@ def kendall_pairs(ranked: DataFrame, pairs: list[tuple[str, str]], n_rows: int |
     if not pairs:
         return {}
     n_rows = ranked.count() if n_rows is None else n_rows
-    parts = [ranked.select(F.lit(p).alias("pair"), col_(a).alias("X"), col_(b).alias("Y"), col_(f"{a}__n").alias("xn"))
-             for p, (a, b) in enumerate(pairs)]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
+    # one pass over the rows for all pairs
+    long = ranked.select(F.inline(F.array(*[
+        F.struct(F.lit(p).alias("pair"), col_(a).alias("X"), col_(b).alias("Y"), col_(f"{a}__n").alias("xn"), col_(f"{b}__n").alias("yn"))
+        for p, (a, b) in enumerate(pairs)])))
     yat = F.col("Y") / float(max(1, n_rows))
     # read by the aggregates below and by two steps of the count; its size is the number of distinct (pair, X, Y)
     w = (long.where(F.col("X").isNotNull() & F.col("Y").isNotNull())
-         .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c"), F.min("xn").alias("xn"))
-         .select("pair", "X", "Y", "c", yat.alias("yat"), ((F.col("X") + F.col("xn") * yat) / float(max(1, n_rows))).alias("at"))
+         .groupBy("pair", "X", "Y").agg(F.count(F.lit(1)).alias("c"), F.min("xn").alias("xn"), F.min("yn").alias("yn"))
+         .select("pair", "X", "Y", "c", "xn", "yn", yat.alias("yat"), ((F.col("X") + F.col("xn") * yat) / float(max(1, n_rows))).alias("at"))
          .persist())
+    tied = lambda n: F.sum(F.col("c").cast("double") * (F.col(n) - 1) / 2)
     tot = {r["pair"]: r for r in w.groupBy("pair").agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("points"),
-        F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("n3")).collect()}
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("points"), tied("c").alias("n3"), tied("xn").alias("n1"), tied("yn").alias("n2")).collect()}
+    # a pair without gaps has every row that shares a value; the others count theirs anew
+    gaps = [p for p, r in tot.items() if r["n"] != n_rows]
 
-    def ties(key):
-        return {r["pair"]: r["t"] or 0 for r in w.groupBy("pair", key).agg(F.sum("c").alias("t"))
-                .groupBy("pair").agg(F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("t")).collect()}
+    def ties(key, known):
+        out = {p: r[known] or 0 for p, r in tot.items()}
+        if gaps:
+            out |= {r["pair"]: r["t"] or 0 for r in w.where(F.col("pair").isin(gaps)).groupBy("pair", key).agg(F.sum("c").alias("t"))
+                    .groupBy("pair").agg(F.sum(F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("t")).collect()}
+        return out
 
-    n1, n2 = ties("X"), ties("Y")
+    n1, n2 = ties("X", "n1"), ties("Y", "n2")
     disc = discordant(w, max((r["points"] for r in tot.values()), default=0), block_points)
     w.unpersist()
     out: dict[tuple[str, str], float | None] = {}
@@ -199,9 +204,10 @@ def correlation_values(df: DataFrame, cols: list[str], method: str = "pearson",
         for frame in cached:  # the coefficients are on the driver: release the rank tables
             frame.unpersist()
         return out
-    ranked = attach_ranks(df, cols, kind="below", cached=cached).persist()
+    # read once; the values of a column reach the rows without a shuffle while they fit a broadcast
+    ranked = attach_ranks(df, cols, kind="below", broadcast_limit=KENDALL_BROADCAST, cached=cached)
     out = kendall_pairs(ranked, [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))], n)
-    for frame in [ranked, *cached]:
+    for frame in cached:
         frame.unpersist()
     return out
 

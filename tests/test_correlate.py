@@ -125,3 +125,28 @@ def test_all_null_and_constant_columns(spark):
     got = {(r["feature_a"], r["feature_b"]) for r in res.pairs.collect()}
     assert got == {("a", "b")}
     assert [r["feature"] for r in res.target.collect()] == ["b"]
+
+
+def test_kendall_reads_rows_once_without_a_shuffle_join(spark, monkeypatch):
+    seen = []
+    whole = COR.kendall_pairs
+    monkeypatch.setattr(COR, "kendall_pairs", lambda ranked, *rest: seen.append(ranked) or whole(ranked, *rest))
+    # 120,000 distinct values in x
+    df = spark.range(0, 120_000, numPartitions=4).selectExpr("cast(id as double) as x", "cast(id % 3 as double) as y")
+    got = COR.correlation_values(df, ["x", "y"], "kendall")[("x", "y")]
+    n, t = 120_000, 40_000
+    # for classes a < b of y, row i of a is above the first i rows of b and, but for them, below the others
+    conc, disc = sum(t * (t + 1) / 2 for _ in range(3)), sum(t * (t - 1) / 2 for _ in range(3))
+    n0 = n * (n - 1) / 2
+    assert got == pytest.approx((conc - disc) / np.sqrt(n0 * (n0 - 3 * t * (t - 1) / 2)), abs=1e-12)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not seen[0].is_cached
+
+
+def test_kendall_ties_with_gaps(spark):
+    rng = np.random.default_rng(21)
+    x, y = rng.integers(0, 6, 200).astype(float), rng.integers(0, 5, 200).astype(float)
+    rows = [(None if i % 9 == 0 else float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    both = [(a, b) for a, b in rows if a is not None and b is not None]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert COR.kendall_tau_b(df, "x", "y") == pytest.approx(_brute_tau_b(*map(np.array, zip(*both))), abs=1e-12)
