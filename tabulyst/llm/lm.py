@@ -10,16 +10,16 @@ Flow, with every step proportional to the input:
 
 1. Each task turns its documents into blocks: the block's distinct words and
    its word sequence as indexes. A block is one file in the shared folder and one manifest row.
-2. Counts: each block sends its distinct words and word pairs (of training
-   documents), sorted and packed by hash range. A range's task adds up what all
+2. Counts: each block sends its distinct words and word pairs, with their counts in training
+   documents, sorted and packed by hash range. A range's task adds up what all
    blocks sent, answers each block with the exact counts of its words, and keeps
-   the n-grams of ``least`` or more occurrences with their levels. The number of ranges follows
+   the n-grams with their levels, and where those of each block stand among them. The number of ranges follows
    the number of words, so a task's share stays bounded. A frequent word comes once per block, so
    there is no hot key.
 3. The filter: one segment per range, built where the range's n-grams are. It grows with the corpus,
    ``bits_per_entry`` for each entry, and holds every n-gram that was kept. Up to ``broadcast_bits`` it is
-   broadcast and each task probes it. A larger one stays in its segments: each block sends its distinct
-   n-grams to their ranges, is answered with their levels, and no worker holds more than a segment.
+   broadcast and each task probes it. A larger one stays in its segments: each range answers
+   the blocks with the levels of the n-grams that they sent for the counts, so n-grams are sent once, and no worker holds more than a segment.
    Both ways probe the same bits, so scores do not depend on the way.
 4. Each block's file is read again and its documents are scored.
 
@@ -152,26 +152,27 @@ def make_blocks(docs: DataFrame, row_id: str, text: str, train: Column) -> DataF
 
 
 def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as differences of the fewest bytes, and counts (1 byte, larger ones in a list)."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
+    """Sorted hashes as the first one and differences of the fewest bytes, and counts (1 byte, larger ones in a list)."""
+    gaps = np.diff(hashes, prepend=hashes[:1])
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
     raw = np.ascontiguousarray(gaps.astype("<u8").view("u1").reshape(-1, 8)[:, :width])
     big = np.flatnonzero(counts >= 255)
     small = zlib.compress(np.minimum(counts, 255).astype("u1").tobytes(), 1)
-    return (np.array([len(hashes), width, len(small), len(big)], "<i8").tobytes() + raw.tobytes() + small
+    first = int(hashes[0]) if len(hashes) else 0
+    return (np.array([len(hashes), width, len(small), len(big)], "<i8").tobytes() + first.to_bytes(8, "little") + raw.tobytes() + small
             + big.astype("<i8").tobytes() + counts[big].astype("<i8").tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width, small, big = (int(x) for x in np.frombuffer(blob, "<i8", 4))
-    at = 32
+    first, at = np.frombuffer(blob, "<u8", 1, 32), 40
     raw = np.zeros((n, 8), "u1")
     raw[:, :width] = np.frombuffer(blob, "u1", n * width, at).reshape(n, width)
     at += n * width
     counts = np.frombuffer(zlib.decompress(blob[at: at + small]), "u1").astype(np.int64)
     at += small
     counts[np.frombuffer(blob, "<i8", big, at)] = np.frombuffer(blob, "<i8", big, at + 8 * big)
-    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64), counts
+    return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64) + first, counts
 
 
 def _ranges(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -181,7 +182,7 @@ def _ranges(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sent(manifest: DataFrame, bits: int) -> DataFrame:
-    """``part, path, kind, blob``: each block's words (kind 0) and training word pairs (kind 1) by hash range."""
+    """``part, path, kind, blob``: each block's words (kind 0) and word pairs (kind 1) by hash range, with their training counts."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -190,7 +191,8 @@ def sent(manifest: DataFrame, bits: int) -> DataFrame:
                 before = np.roll(h, 1)
                 before[np.append(0, np.cumsum(block.lengths)[:-1])] = END
                 inside = np.repeat(block.train, block.lengths)
-                pairs, n = np.unique(pair_hash(before[inside], h[inside]), return_counts=True)
+                pairs, index = np.unique(pair_hash(before, h), return_inverse=True)
+                n = np.bincount(index[inside], minlength=len(pairs))
                 for kind, hashes, counts in ((0, block.vocabulary, block.counts), (1, pairs, n)):
                     at = _ranges(hashes, bits)
                     some = [p for p in range(1 << bits) if at[p] < at[p + 1]]
@@ -207,42 +209,52 @@ def _level(counts: np.ndarray, least: int) -> np.ndarray:
 
 
 def count_ranges(messages: DataFrame, least: int) -> DataFrame:
-    """Per range: rows (kind 0, path, blob: counts of that block's words), one row (kind 1: n-grams and levels),
-    and ``levels`` (how many n-grams have each level), ``known`` (distinct training words)."""
+    """Per range: rows (kind 0, path, blob: counts of that block's words), one row (kind 1: n-grams and levels, 0 below ``least``),
+    and ``levels`` (how many n-grams have each level), ``known`` (distinct training words), ``asked`` (the places of each block's n-grams)."""
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {0: [], 1: []}
-        paths = []
+        paths: dict[int, list] = {0: [], 1: []}
         for b in batches:
             for path, kind, blob in zip(b.column("path").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
                 got[kind].append(unpack(blob.as_py()))
-                if kind == 0:
-                    paths.append(path)
-        kept, known = [], 0
+                paths[kind].append(path)
+        found, known, size = [], 0, 0
+        own: dict[str, list] = {}  # each block's n-grams, as places among those found
         for kind, lists in got.items():
             if not lists:
                 continue
             every = np.concatenate([x[0] for x in lists])
             hashes, index = np.unique(every, return_inverse=True)
             totals = np.bincount(index, weights=np.concatenate([x[1] for x in lists]).astype(float), minlength=len(hashes)).astype(np.int64)
-            kept.append((hashes[totals >= least], totals[totals >= least]))
+            edges = np.cumsum([len(x[0]) for x in lists])[:-1]
+            for path, places in zip(paths[kind], np.split(index + size, edges)):
+                own.setdefault(path, []).append(places)
+            found.append((hashes, totals))
+            size += len(hashes)
             if kind == 0:
                 known = int((totals > 0).sum())
-                answers = np.split(totals[index], np.cumsum([len(x[0]) for x in lists])[:-1])
-                for path, a in zip(paths, answers):
-                    yield _answer(key[0].as_py(), 0, path, zlib.compress(a.astype("<i8").view("u1").reshape(-1, 8).T.tobytes(), 1), None, None)
-        hashes = np.concatenate([k[0] for k in kept]) if kept else np.zeros(0, np.uint64)
-        levels = _level(np.concatenate([k[1] for k in kept]), least) if len(hashes) else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        yield _answer(key[0].as_py(), 1, None, pack(hashes[order], levels[order]), np.bincount(levels, minlength=64)[:64], known)
-
-    schema = "part int, kind int, path string, blob binary, levels array<long>, known long"
+                for path, a in zip(paths[kind], np.split(totals[index], edges)):
+                    yield _answer(key[0].as_py(), 0, path, zlib.compress(a.astype("<i8").view("u1").reshape(-1, 8).T.tobytes(), 1), None, None, None)
+        hashes, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        totals = np.concatenate([f[1] for f in found])
+        levels = np.zeros(len(hashes), np.int64)
+        kept = np.flatnonzero(totals >= least)
+        np.maximum.at(levels, place[kept], _level(totals[kept], least))
+        asked = []
+        for path, places in own.items():
+            places = np.unique(place[np.concatenate(places)])
+            asked.append({"path": path, "blob": pack(places.astype(np.uint64), np.zeros(len(places), np.int64))})
+        yield _answer(key[0].as_py(), 1, None, pack(hashes, levels), np.bincount(levels, minlength=64)[:64], known, asked)
+
+    schema = "part int, kind int, path string, blob binary, levels array<long>, known long, asked array<struct<path: string, blob: binary>>"
     return messages.groupBy("part").applyInArrow(add, schema)
 
 
-def _answer(part, kind, path, blob, levels, known) -> pa.RecordBatch:
+def _answer(part, kind, path, blob, levels, known, asked) -> pa.RecordBatch:
     return pa.record_batch([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([path], pa.string()), pa.array([blob], pa.binary()),
-                            pa.array([None if levels is None else levels.tolist()], pa.list_(pa.int64())), pa.array([known], pa.int64())],
-                           ["part", "kind", "path", "blob", "levels", "known"])
+                            pa.array([None if levels is None else levels.tolist()], pa.list_(pa.int64())), pa.array([known], pa.int64()),
+                            pa.array([asked], pa.list_(pa.struct([("path", pa.string()), ("blob", pa.binary())])))],
+                           ["part", "kind", "path", "blob", "levels", "known", "asked"])
 
 
 # ---- the filter -------------------------------------------------------------------------------------
@@ -326,36 +338,20 @@ def needed(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, at[:size], at[size:][which]
 
 
-def answered_levels(manifest: DataFrame, counted: DataFrame, model: LogFilter) -> DataFrame:
+def answered_levels(counted: DataFrame, model: LogFilter) -> DataFrame:
     """``path, part, kind (2), blob``: levels of each block's n-grams, found in the range's own segment."""
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                hashes = needed(Block(path))[0]
-                at = _ranges(hashes, model.bits)
-                some = np.flatnonzero(np.diff(at))
-                blobs = [pack(hashes[at[p]: at[p + 1]], np.zeros(at[p + 1] - at[p], np.int64)) for p in some]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([path] * len(some), pa.string()), pa.array([2] * len(some), pa.int32()),
-                                       pa.array(blobs, pa.binary())], ["part", "path", "kind", "blob"])
-
-    def tell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, asked = model.segment(np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, blob in zip(b.column("path").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
-                if kind == 1:
-                    held = model.segment(*unpack(blob.as_py()))
-                else:
-                    asked.append((path, blob))
-        own = LogFilter(model.bits, model.segment_bits, model.least, np.frombuffer(held, "u1"), only=True)
-        for path, blob in asked:
-            levels = zlib.compress(own.levels(unpack(blob.as_py())[0]).astype("u1").tobytes(), 1)
-            yield pa.record_batch([pa.array([path]), pa.array([key[0].as_py()], pa.int32()), pa.array([2], pa.int32()), pa.array([levels], pa.binary())],
-                                  ["path", "part", "kind", "blob"])
+            for part, blob, asked in zip(b.column("part").to_pylist(), b.column("blob"), b.column("asked")):
+                hashes, levels = unpack(blob.as_py())
+                own = LogFilter(model.bits, model.segment_bits, model.least, np.frombuffer(model.segment(hashes, levels), "u1"), only=True)
+                got = own.levels(hashes).astype("u1")
+                for one in asked:
+                    path, places = one["path"].as_py(), unpack(one["blob"].as_py())[0].astype(np.int64)
+                    yield pa.record_batch([pa.array([path]), pa.array([part], pa.int32()), pa.array([2], pa.int32()),
+                                           pa.array([zlib.compress(got[places].tobytes(), 1)], pa.binary())], ["path", "part", "kind", "blob"])
 
-    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
-    questions = files.mapInArrow(ask, "part int, path string, kind int, blob binary")
-    both = questions.unionByName(counted.where("kind = 1").select("part", "path", "kind", "blob"))
-    return both.groupBy("part").applyInArrow(tell, "path string, part int, kind int, blob binary")
+    return counted.where("kind = 1").select("part", "blob", "asked").mapInArrow(tell, "path string, part int, kind int, blob binary")
 
 
 # ---- scores -----------------------------------------------------------------------------------------
@@ -383,7 +379,7 @@ def score(docs: DataFrame, train: Column, row_id: str = "doc_id", text: str = "t
         shared = spark.sparkContext.broadcast(whole_filter(counted, model))
     else:
         shared = spark.sparkContext.broadcast(model)
-        answers = answers.unionByName(answered_levels(manifest, counted, model))
+        answers = answers.unionByName(answered_levels(counted, model))
 
     def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[int, bytes]] = {0: {}, 2: {}}

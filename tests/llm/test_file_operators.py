@@ -355,6 +355,28 @@ def test_query_scores_words_and_pairs_seen_once(spark, tmp_path):
     assert lm.LogFilter(0, 64, 1).counts(np.array([0, 1, 2, 3])).tolist() == [0.0, 1.0, 3.0, 6.0]
 
 
+def test_packed_hashes_cost_what_their_differences_need():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**50, 3000).astype(np.uint64)) + np.uint64(2**63)
+    assert len(lm.pack(h, np.ones(len(h), np.int64))) < 7 * len(h)
+
+
+def test_ranges_know_the_places_of_each_blocks_ngrams(spark):
+    """The levels of all documents' n-grams, held-out ones too, are told without sending the n-grams again."""
+    rng = random.Random(5)
+    df = docs_of(spark, [" ".join(f"w{rng.randrange(60)}" for _ in range(40)) for _ in range(90)] + [None, "only here"]).repartition(3)
+    manifest = lm.make_blocks(df, "doc_id", "text", F.col("doc_id") % 7 != 2)
+    counted = lm.count_ranges(lm.sent(manifest, 4), 1).where("kind = 1").collect()
+    got = {r["path"]: [] for r in manifest.collect()}
+    for row in sorted(counted, key=lambda r: r["part"]):
+        hashes, levels = lm.unpack(bytes(row["blob"]))
+        assert row["levels"] == np.bincount(levels, minlength=64).tolist()
+        for one in row["asked"]:
+            got[one["path"]].append(hashes[lm.unpack(bytes(one["blob"]))[0].astype(int)])
+    assert len(got) == 3
+    for path, parts in got.items():
+        assert (np.concatenate(parts) == lm.needed(lm.Block(path))[0]).all()
+
+
 def test_encoder_equals_the_library_on_odd_texts():
     """White space of all kinds, numerals that are words to patterns, marks, control characters."""
     draw = random.Random(3)
