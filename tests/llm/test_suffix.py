@@ -136,6 +136,20 @@ def test_hot_anchors_are_dealt_string_by_string(spark, monkeypatch):
     assert sorted(((r["id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), r["kept"]) for r in got), key=repr) == brute(rows, 50)
 
 
+def test_lone_fragments_share_no_string_with_others():
+    rng = random.Random(11)
+    raw = "".join(t or "" for _, t in corpus(rng, 60)).encode()
+    start, count, _ = suffix.runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 50)
+    fragments = sorted({raw[s: s + c + 49] for s, c in zip(start.tolist(), count.tolist())})
+    lone = suffix._lone(fragments, 50)
+    holders = {}
+    for k, f in enumerate(fragments):
+        for i in range(len(f) - 49):
+            holders.setdefault(f[i: i + 50], set()).add(k)
+    shared = {k for ks in holders.values() if len(ks) > 1 for k in ks}
+    assert lone.any() and not any(lone[k] for k in shared)
+
+
 def test_passages_query_of_sample_and_empty_table(spark, tmp_path):
     rows = corpus(random.Random(9), 40)
     spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string").write.parquet(str(tmp_path / "documents.parquet"))
