@@ -119,7 +119,8 @@ def take(df: DataFrame, targets: DataFrame, row_id: str, source: str = "source",
     got = written(got, "mix-decisions")
     rows = df.drop("source_size", "target", "repeats")
     both = rows[source].eqNullSafe(got["__source"]) & rows[row_id].eqNullSafe(got["__id"]) & rows[size].eqNullSafe(got["__size"])
-    return rows.join(got, both).drop("__source", "__id", "__size")
+    # always a merge: few decisions would be broadcast, and the step's disk would then jump where they become many
+    return rows.join(got.hint("merge"), both).drop("__source", "__id", "__size")
 
 
 def mix(df: DataFrame, weights: DataFrame, share: float, max_epochs: float, row_id: str, seed: int = 0) -> DataFrame:

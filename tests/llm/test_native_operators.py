@@ -365,3 +365,13 @@ def test_sha_of_spans(spark):
     text = "token=abcdefgh"
     r = secrets.scan(docs_of(spark, [text]), secrets.Model([0.0] * 16384, 0.0, False)).select(F.sha2(secrets.joined(F.col("found")), 256).alias("s")).first()
     assert r["s"] == hashlib.sha256(base(text).encode()).hexdigest()
+
+
+def test_mix_joins_decisions_alike_at_all_sizes(spark, capsys):
+    """A broadcast of few decisions would shuffle nothing, and all rows where they become many."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], 1 + i % 5) for i in range(50)], "doc_id long, source string, size long")
+    out = mixing.mix(df, mixing.cyclic_weights(df, [3.0, 1.0]), 1.5, 2.0, "doc_id")
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert out.count() == 50
