@@ -31,6 +31,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,13 +42,18 @@ from tabulyst.llm.files import create, own_name, reader
 BLOCK = 256
 SECTION = 1 << 20
 #: Words, and characters in them, that an encoder remembers before it starts anew.
-MEMO, MEMO_CHARS = 700_000, 1 << 25
+MEMO, MEMO_CHARS = 1_000_000, 1 << 25
+#: Texts that are encoded together.
+TEXTS = 512
 MAGIC = b"PFOR1\n"
 _UNSAFE = re.compile(r"\s | \s")
 #: A space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, a sentence mark, and perhaps a line break and the same again: byte-level BPE never merges over these edges.
 _LETTERS = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+#: In texts whose spaces are null characters: a single line break between visible characters, and marks that end a word.
+_BREAK = re.compile(r"\n(?<=[^\s\0]\n)(?=[^\s\0])")
+_MARKS = re.compile(r"[^\w\s\0](?<=[^\W_].)[^\w\s\0]*(?=\0|\Z)")
 # Fixed values of byte-level BPE: printable bytes stand for themselves, the others for the code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512))))
@@ -67,7 +73,8 @@ class Encoder:
     """Encodes texts with a ``tokenizers`` file; repeated words are encoded once.
 
     Byte-level BPE never merges over a single space between two characters that are no
-    white space, so texts are cut there; the space goes with the piece after it.
+    white space, so texts are cut there; the space goes with the piece after it. Printable texts are also cut
+    around the marks that end a word and around line breaks, so that a word is learned once, whatever follows it.
     """
 
     def __init__(self, definition: str):
@@ -130,33 +137,52 @@ class Encoder:
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int64))
 
+    def _pieces(self, texts: list[str]) -> pa.Array:
+        """Each text's pieces (none: null); all lost the space before them, and those that had none get one as their mark."""
+        cut: list[str | None] = []  # pieces with a null character between
+        lists: list[list[str]] | None = [] if any("\0" in text for text in texts) else None
+        for text in texts:
+            # the first tests are quicker; together they find every text that the pattern finds
+            doubtful = "  " in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable()
+            if lists is not None or doubtful or self.model is None:
+                parts = _CUT.split(text) if doubtful and _UNSAFE.search(text) else text.split(" ")
+                if parts[0]:
+                    parts[0] = " " + parts[0]
+                else:
+                    del parts[0]
+                if lists is not None:
+                    lists.append(parts)
+                else:
+                    cut.append("\0".join(parts) if parts else None)
+                continue
+            text = text.replace(" ", "\0")
+            if "\n" in text:
+                text = _BREAK.sub("\0 \n\0 ", text)
+            text = _MARKS.sub("\0 \\g<0>", text)
+            cut.append((text[1:] if text[0] == "\0" else " " + text) if text else None)
+        if lists is not None:
+            return pa.array(lists, pa.large_list(pa.large_string()))
+        return pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
         if len(self.places) > MEMO or self.chars > MEMO_CHARS:
             self._forget()
-        pieces, lengths = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            # the first tests are quicker; together they find every text that the pattern finds
-            doubtful = "  " in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable()
-            parts = _CUT.split(text) if doubtful and _UNSAFE.search(text) else text.split(" ")
-            # all pieces lost their space but the first, which has none and gets one as its mark
-            if parts[0]:
-                parts[0] = " " + parts[0]
-            else:
-                del parts[0]
-            pieces += parts
-            lengths[i] = len(parts)
+        pieces = self._pieces(texts)
+        lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+        # a piece that comes several times is looked up once
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         known = len(self.places)
         # the collector would walk all remembered pieces again and again; there are no cycles among them
         gc.disable()
         try:
-            which = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+            which = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
             if len(self.places) > known:
                 self._learn(list(islice(reversed(self.places), len(self.places) - known))[::-1])
         finally:
             gc.enable()
+        which = which[coded.indices.to_numpy(zero_copy_only=False)]
         begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(size)
         out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
@@ -345,8 +371,8 @@ def write_tokens(docs: DataFrame, definition: str, row_id: str = "doc_id", text:
             held.clear()
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
                 if file is None:
                     file = Writer(path, percentile)
                 ids, lengths = encoder.encode(batch.column("text").to_pylist())

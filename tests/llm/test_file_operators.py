@@ -377,6 +377,18 @@ def test_ranges_know_the_places_of_each_blocks_ngrams(spark):
         assert (np.concatenate(parts) == lm.needed(lm.Block(path))[0]).all()
 
 
+def test_encoder_learns_a_word_once_whatever_follows_it():
+    encoder = tokenfile.Encoder(queries.tokenizer_json())
+    draw = random.Random(4)
+    texts = ["a word. word, word!! word\nword.\nword"] + ["".join(draw.choice(["word", " ", ".", ",\n", "!!", "_", "'s", "'", "1", "½", "é", "é", "\n", "日"]) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    ids, lengths = encoder.encode(texts)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    encoder._forget()
+    encoder.encode(texts[:1])
+    assert sorted(encoder.places) == sorted([" a", "word", " .", " ,", " !!", " \n", " word"])
+
+
 def test_encoder_equals_the_library_on_odd_texts():
     """White space of all kinds, numerals that are words to patterns, marks, control characters."""
     draw = random.Random(3)
