@@ -26,8 +26,9 @@ import json
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ SECTION = 1 << 20
 #: Words, and characters in them, that an encoder remembers before it starts anew.
 MEMO, MEMO_CHARS = 1_000_000, 1 << 25
 #: Texts that are encoded together.
-TEXTS = 512
+TEXTS = 1024
 MAGIC = b"PFOR1\n"
 _UNSAFE = re.compile(r"\s | \s")
 #: A space between two characters that are no white space.
@@ -53,7 +54,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
 #: In texts whose spaces are null characters: a single line break between visible characters, and marks that end a word.
 _BREAK = re.compile(r"\n(?<=[^\s\0]\n)(?=[^\s\0])")
-_MARKS = re.compile(r"[^\w\s\0](?<=[^\W_].)[^\w\s\0]*(?=\0|\Z)")
+#: (first a set of code points, which is quicker to search for than ``[^\w\s\0]`` and finds the same in printable texts)
+_MARKS = re.compile(r"[!-/:-@\[-^`{-~\x80-\U0010ffff](?<!\w)(?<=[^\W_].)[^\w\s\0]*(?=\0|\Z)")
 # Fixed values of byte-level BPE: printable bytes stand for themselves, the others for the code points from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, range(256, 512))))
@@ -61,14 +63,6 @@ _ALPHABET = dict(zip([b for b in range(256) if b not in _PRINTABLE], map(chr, ra
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-class _Places(dict):
-    """Numbers pieces in the order of their first look-up."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = place = len(self)
-        return place
-
-
 class Encoder:
     """Encodes texts with a ``tokenizers`` file; repeated words are encoded once.
 
@@ -91,7 +85,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.places = _Places()
+        self.places: dict[str, int] = defaultdict(count().__next__)  # numbers pieces in the order of their first look-up
         self.chars = 0
         self.ids = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
@@ -112,7 +106,11 @@ class Encoder:
         got: list[list[int]] = []
         other = []
         mark = dict(zip(".,\n", self._whole([".", ",", "\n"]))) | {"": []}
+        after_space = _ALPHABET[32]
         for piece in fresh:
+            if self.model is not None and piece.isascii() and piece.isalpha():  # most pieces
+                got.append([t.id for t in self.model.tokenize(after_space + piece)])
+                continue
             space = piece[:1] != " "
             word = piece if space else piece[1:]
             if self.model is None:
@@ -172,7 +170,7 @@ class Encoder:
         lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
         # a piece that comes several times is looked up once
         coded = pieces.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)  # strings made in one go, to_pylist makes an object of Arrow's for each
         known = len(self.places)
         # the collector would walk all remembered pieces again and again; there are no cycles among them
         gc.disable()

@@ -7,6 +7,7 @@ import io
 import math
 import random
 import re
+import sys
 import zipfile
 import zlib
 from collections import Counter
@@ -389,6 +390,23 @@ def test_encoder_learns_a_word_once_whatever_follows_it():
     assert sorted(encoder.places) == sorted([" a", "word", " .", " ,", " !!", " \n", " word"])
 
 
+def test_encoder_makes_no_python_call_per_new_word():
+    """Most of the encoding time went into calls per word; marks of all scripts are cut as before."""
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=9)) for _ in range(500)) + "… né» word–. x¡" for _ in range(10)]
+    encoder = tokenfile.Encoder(queries.tokenizer_json())
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        ids, lengths = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(encoder.places) > 4900 and len(calls) < 500
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert {" …", "né", " »", "word", " –.", "x", " ¡"} <= set(encoder.places)
+
+
 def test_encoder_equals_the_library_on_odd_texts():
     """White space of all kinds, numerals that are words to patterns, marks, control characters."""
     draw = random.Random(3)
