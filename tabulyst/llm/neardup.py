@@ -70,8 +70,8 @@ def shingle_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``most`` bytes of text."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of text; a worker's hashes and sorts take many times a run's bytes."""
     sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
     lo = 0
     while lo < batch.num_rows:
@@ -146,7 +146,7 @@ def signatures(docs: DataFrame, text: str, idf: np.ndarray, bands: int, rows: in
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text"):
                 doc, h, tf = shingle_counts(batch.column("text"))
                 w = (1 + np.log(tf)) * table.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 got = draws(doc, h, w.astype(np.float32), batch.num_rows, bands * rows)
@@ -309,8 +309,9 @@ def _linked(roots: DataFrame, sims: DataFrame, threshold: float) -> DataFrame:
     return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "components")
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _no_roots(spark: SparkSession) -> DataFrame:
+    """No ``node, root`` at all; rows from a Python list, even none, would start Python workers of their own beside those of the Arrow tasks."""
+    return spark.range(0).select(*[F.lit(None).cast("binary").alias(c) for c in ("node", "root")])
 
 
 def rooted(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 10, rows: int = 3,
@@ -327,7 +328,7 @@ def rooted(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshol
     central = members.groupBy("node").agg(F.sum("company").alias("central"))
     members = members.drop("company").join(central, "node")
     sets = written(shingle_sets(docs, text, central.select("node")), "shingle-sets")
-    roots = _empty(spark, "node binary, root binary")
+    roots = _no_roots(spark)
     # the first round: one pivot per bucket
     paired = _by_bucket(members, {"p": F.max(F.struct("central", "node"))}, {"pivot": F.max("p")["node"]})
     paired = written(paired.where("node <> pivot"), "bucket-pairs")

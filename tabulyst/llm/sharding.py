@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,7 @@ def _sums(groups: DataFrame, open_prefixes: list[str], length: int) -> list[_Nod
     rows = groups
     if open_prefixes != [""]:
         known = len(open_prefixes[0])
-        wanted = groups.sparkSession.createDataFrame([(p,) for p in open_prefixes], "__p string")
+        wanted = groups.sparkSession.createDataFrame(pa.table({"__p": pa.array(open_prefixes, pa.string())}))  # as Arrow, so no Python worker starts
         rows = groups.withColumn("__p", F.substring("__key", 1, known)).join(F.broadcast(wanted), "__p", "left_semi")
     got = rows.groupBy(cut.alias("p")).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()
     return [_Node(r["p"], int(r["s"]), int(r["n"])) for r in sorted(got, key=lambda r: r["p"])]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulyst.llm import decontaminate, queries
+from tabulyst.llm import decontaminate, neardup, queries, sharding
 from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +89,25 @@ def test_columns_named_like_the_operators_own_come_back(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and set(out.columns) >= {"doc_id", "text", "shard", "slot"}
+
+
+def test_runs_of_texts_are_small_and_change_no_shingle():
+    text = lambda name: " ".join(f"{name}{i}" for i in range(120_000))
+    batch = pa.record_batch([pa.array([text("a"), None, text("b"), text("c"), "d"])], ["text"])
+    runs = list(neardup.slices(batch, "text"))
+    assert len(runs) >= 3 and [t for b in runs for t in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+    whole = neardup.shingle_counts(batch.column("text"))[1]
+    parts = np.concatenate([neardup.shingle_counts(b.column("text"))[1] for b in runs])
+    assert (np.sort(whole) == np.sort(parts)).all()
+
+
+def test_fixed_rows_start_no_python_workers(spark, monkeypatch):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five "), F.floor(F.col("id") / 2)).alias("text"))
+
+    def refuse(*_, **__):
+        raise AssertionError("rows from a Python list")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    placed = sharding.shard(docs, F.col("text"), F.lit(5), 4, max_nodes=16).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in placed) == [150, 150, 150, 150]
+    assert neardup.rooted(docs).groupBy("root").count().where("count >= 2").agg(F.sum("count")).first()[0] == 600
