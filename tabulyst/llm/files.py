@@ -29,6 +29,13 @@ def create(uri: str):
     return system.open_output_stream(path)
 
 
+def remove(uri: str):
+    """Delete a folder whose files nobody reads any more."""
+    system, path = _at(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def reader(uri: str):
     """A seekable binary input."""
     system, path = _at(uri)

@@ -71,7 +71,8 @@ class Encoder:
     around the marks that end a word and around line breaks, so that a word is learned once, whatever follows it.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, memo: int = MEMO, memo_chars: int = MEMO_CHARS):
+        self.memo, self.memo_chars = memo, memo_chars
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,7 +165,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        if len(self.places) > MEMO or self.chars > MEMO_CHARS:
+        if len(self.places) > self.memo or self.chars > self.memo_chars:
             self._forget()
         pieces = self._pieces(texts)
         lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)

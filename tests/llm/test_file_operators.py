@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import sys
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulyst.llm import chat, hashing, lm, neardup, queries, tokenfile, warc
-from tabulyst.session import ship_package
+from tabulyst.session import checkpoint_dir, ship_package
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -245,6 +246,40 @@ def test_conversations_come_back_and_share_tokens(spark):
     assert chat.read_conversations(chat.format_conversations(df.limit(0), definition), definition).count() == 0
 
 
+def test_chat_files_stay_small(spark, monkeypatch):
+    """Ranges over many runs, a shared first turn, and what is left in the shared folder."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 3000)])
+    say = lambda n: " ".join(rng.choice(words, n))
+    head = say(60)
+    rows = [(c, t, ("user", "assistant")[t % 2], head if t == 0 and c % 3 == 0 else say(80)) for c in range(1500) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    monkeypatch.setattr(chat, "RANGE_BYTES", 300_000, raising=False)
+    folder = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names}
+    definition = queries.tokenizer_json()
+    seqs = chat.format_conversations(df, definition)
+    left = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if os.path.join(d, f) not in before)
+    assert left < 0.75 * sum(len(r[3]) for r in rows)  # the sequences alone
+    got = {r["conv_id"]: r for r in chat.read_conversations(seqs, definition).collect()}
+    assert len(got) == 1500
+    for c in range(1500):
+        turns = [(r[2], r[3]) for r in rows[4 * c: 4 * c + 4]]
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    firsts = sum(n["attends"] == [(n["start"], n["end"])] for s in seqs.collect() for n in s["nodes"])
+    assert firsts < 1000 + 60  # the shared turn once for each sequence, not for each of 500 conversations
+
+
+def test_chat_decoder_equals_the_library():
+    definition = queries.tokenizer_json()
+    decoder = chat.Decoder(definition)
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 50_257, 3000)
+    text = decoder.of(ids)
+    assert text([(0, 700), (900, 3000)]) == decoder.tokenizer.decode([*ids[:700].tolist(), *ids[900:].tolist()], skip_special_tokens=False)
+    assert text([]) == ""
+
+
 # ---- token files ------------------------------------------------------------------------------------
 
 
