@@ -150,6 +150,35 @@ def test_lone_fragments_share_no_string_with_others():
     assert lone.any() and not any(lone[k] for k in shared)
 
 
+def test_fragments_without_repeated_context_are_not_sent(spark):
+    """Anchors that many different texts have by chance are no reason to send their fragments, however many texts have them."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=16)) for _ in range(40)]  # runs of an anchor's length that repeat everywhere
+    texts = ["".join(rng.choice(words) + "".join(rng.choices("rstuvwxyz", k=24)) for _ in range(40)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(100, texts[3][200:420])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    manifest = suffix.make_blocks(docs, "doc_id", "text")
+    told = [bytes(r.blob) for r in suffix.repeated(suffix.anchors(manifest, 50, 2)).collect()]
+    block = suffix.Fragments(manifest.first().path, told, 50, 2)
+    assert 171 <= block.count.sum() / 2 < 171 + 200  # the copied strings, in both texts, and little else of 96,000
+    got = suffix.remove_passages(docs).collect()
+    assert sorted(((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got), key=repr) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("size,longest", [(50, 256), (20, 256), (20, 3), (3, 256), (17, 5)])
+def test_parts_shared_by_fragments_have_their_least_document(monkeypatch, size, longest):
+    monkeypatch.setattr(suffix, "LONGEST", longest)
+    rng = random.Random(size)
+    texts = sorted({t for _, t in corpus(rng, 70) if t})
+    texts += [t[:k] + "#" + t[k + 1:] for t in texts for k in (len(t) // 3, len(t) // 2)]
+    raw = "".join(texts).encode()
+    at = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    start, count, _ = suffix.runs(np.frombuffer(raw, np.uint8), at, size)
+    fragments = sorted({raw[s: s + c + size - 1] for s, c in zip(start.tolist(), count.tolist())})
+    documents = np.array([rng.randrange(1000) for _ in fragments])
+    assert (suffix._common(fragments, documents, size) == suffix._least_values(fragments, documents, size)).all()
+
+
 def test_passages_query_of_sample_and_empty_table(spark, tmp_path):
     rows = corpus(random.Random(9), 40)
     spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string").write.parquet(str(tmp_path / "documents.parquet"))
