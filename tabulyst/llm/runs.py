@@ -8,6 +8,7 @@ compressed in blocks, and the ranges are chosen when the number of bytes is know
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -46,8 +47,7 @@ def save(table: pa.Table, sizes: np.ndarray, folder: str) -> pa.RecordBatch:
     """Write ``table``, sorted here by its column ``key``, as one run; its manifest row. ``sizes``: about the bytes of each row."""
     order = pc.sort_indices(table, sort_keys=[("key", "ascending")])
     table, total = table.take(order).combine_chunks(), np.cumsum(sizes[order.to_numpy()])
-    cut = lambda step: np.flatnonzero(np.diff((total - 1) // step, prepend=-1))
-    blocks = np.append(np.unique(np.append(0, cut(BLOCK))), table.num_rows)
+    blocks = np.append(np.flatnonzero(np.diff((total - 1) // BLOCK, prepend=-1)), table.num_rows)
     path, places = own_name(folder, ".run"), [0]
     with create(path) as out:
         for a, b in zip(blocks[:-1].tolist(), blocks[1:].tolist()):
@@ -56,8 +56,11 @@ def save(table: pa.Table, sizes: np.ndarray, folder: str) -> pa.RecordBatch:
             out.write(raw)
             places.append(places[-1] + len(raw))
     key = table.column("key")
+    # runs of like rows have like quantiles: each samples its own, lest all samples of all runs fall together
+    many = -(-int(total[-1]) // SAMPLED)
+    sampled = np.searchsorted(total, (np.arange(many) + zlib.crc32(key[0].as_py()) / 2**32) * (int(total[-1]) / many), side="right")
     taken = lambda at: pa.array([key.take(pa.array(at)).to_pylist()], _KEYS)
-    return pa.record_batch([pa.array([path]), pa.array([int(total[-1])], pa.int64()), taken(blocks[:-1]), pa.array([places], _PLACES), taken(cut(SAMPLED))],
+    return pa.record_batch([pa.array([path]), pa.array([int(total[-1])], pa.int64()), taken(blocks[:-1]), pa.array([places], _PLACES), taken(np.minimum(sampled, table.num_rows - 1))],
                            ["path", "bytes", "keys", "places", "samples"])
 
 
